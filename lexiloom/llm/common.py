@@ -61,3 +61,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Materialises a small table reliably, in the shared checkpoint folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that no column of the frame has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

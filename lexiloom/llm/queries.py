@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import decontaminate, secret_scan
+from lexiloom.llm import decontaminate, mixing, quality, secret_scan
 from lexiloom.llm.common import table
 
 
@@ -10,9 +10,17 @@ def op1_decontaminate(spark, sf_dir):
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_quality(spark, sf_dir):
+    return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_mixing(spark, sf_dir):
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark, sf_dir):
     return secret_scan.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op9_secret_scan)}
-ORACLE_SQL = {"op1_decontaminate": decontaminate.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality, op5_mixing, op9_secret_scan)}
+ORACLE_SQL = {"op1_decontaminate": decontaminate.ORACLE, "op5_mixing": mixing.ORACLE}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import decontaminate, mixing, quality, secret_scan
+from lexiloom.llm import decontaminate, media, mixing, quality, secret_scan
 from lexiloom.llm.common import table
 
 
@@ -18,9 +18,13 @@ def op5_mixing(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op8_media(spark, sf_dir):
+    return media.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark, sf_dir):
     return secret_scan.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality, op5_mixing, op9_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality, op5_mixing, op8_media, op9_secret_scan)}
 ORACLE_SQL = {"op1_decontaminate": decontaminate.ORACLE, "op5_mixing": mixing.ORACLE}

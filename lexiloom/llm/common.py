@@ -73,3 +73,15 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def slices(raws: list[bytes], limit: int = 4 << 20):
+    """Consecutive slices [a, b) of a list of texts, of about `limit` bytes each."""
+    start = size = 0
+    for i, raw in enumerate(raws):
+        size += len(raw) + 8
+        if size >= limit:
+            yield start, i + 1
+            start, size = i + 1, 0
+    if start < len(raws):
+        yield start, len(raws)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import decontaminate, language_id, media, mixing, quality, secret_scan
+from lexiloom.llm import decontaminate, language_id, lm_score, media, mixing, quality, secret_scan
 from lexiloom.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op5_mixing(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op6_lm_score(spark, sf_dir):
+    return lm_score.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_language_id(spark, sf_dir):
     return language_id.digest(table(spark, sf_dir, "documents"))
 
@@ -30,5 +34,5 @@ def op9_secret_scan(spark, sf_dir):
     return secret_scan.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality, op5_mixing, op7_language_id, op8_media, op9_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality, op5_mixing, op6_lm_score, op7_language_id, op8_media, op9_secret_scan)}
 ORACLE_SQL = {"op1_decontaminate": decontaminate.ORACLE, "op5_mixing": mixing.ORACLE}

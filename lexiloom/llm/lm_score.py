@@ -63,7 +63,7 @@ class Model:
 
     def losses(self, word: np.ndarray, context: np.ndarray, pair: np.ndarray, scale: float) -> np.ndarray:
         """Bits for each token."""
-        unigram = (scale * self.words[word] + 1) / (scale * self.tokens + (1 << WORD_BITS))
+        unigram = (scale * self.words[word].astype(np.float64) + 1) / (scale * self.tokens + (1 << WORD_BITS))
         seen = np.where(context < 0, self.starts, self.words[context])
         both = np.minimum(self.pairs[pair], seen)
         return -np.log2((scale * both + KAPPA * unigram) / (scale * seen + KAPPA))

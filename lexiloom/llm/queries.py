@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import decontaminate, language_id, lm_score, media, mixing, quality, secret_scan
+from lexiloom.llm import decontaminate, language_id, lm_score, media, mixing, near_dedup, quality, secret_scan
 from lexiloom.llm.common import table
 
 
@@ -34,5 +34,9 @@ def op9_secret_scan(spark, sf_dir):
     return secret_scan.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality, op5_mixing, op6_lm_score, op7_language_id, op8_media, op9_secret_scan)}
+def op10_near_dedup(spark, sf_dir):
+    return near_dedup.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality, op5_mixing, op6_lm_score, op7_language_id, op8_media, op9_secret_scan, op10_near_dedup)}
 ORACLE_SQL = {"op1_decontaminate": decontaminate.ORACLE, "op5_mixing": mixing.ORACLE}

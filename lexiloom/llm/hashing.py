@@ -104,3 +104,18 @@ def shingle_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     for k in range(size):
         total = total * _BASE + hashes[k : len(hashes) - size + 1 + k]
     return mix(total)
+
+
+def window_hashes(rolling: Rolling, size: int) -> np.ndarray:
+    """Hashes of all substrings of one length, by start."""
+    n = len(rolling.sums) - size
+    return mix((rolling.sums[size:] - rolling.sums[:n]) * rolling.down[:n])
+
+
+def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of each `width` consecutive numbers, by doubling."""
+    have = 1
+    while 2 * have <= width:
+        x = np.minimum(x[:-have], x[have:])
+        have *= 2
+    return np.minimum(x[: len(x) - (width - have)], x[width - have :]) if have < width else x

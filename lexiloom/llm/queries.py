@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import decontaminate, language_id, lm_score, media, mixing, near_dedup, quality, secret_scan, suffix_dedup
+from lexiloom.llm import decontaminate, language_id, license_scan, lm_score, media, mixing, near_dedup, quality, secret_scan, suffix_dedup
 from lexiloom.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op3_suffix_dedup(spark, sf_dir):
     return suffix_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark, sf_dir):
+    return license_scan.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -42,5 +46,5 @@ def op10_near_dedup(spark, sf_dir):
     return near_dedup.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_suffix_dedup, op5_mixing, op6_lm_score, op7_language_id, op8_media, op9_secret_scan, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_suffix_dedup, op4_license_scan, op5_mixing, op6_lm_score, op7_language_id, op8_media, op9_secret_scan, op10_near_dedup)}
 ORACLE_SQL = {"op1_decontaminate": decontaminate.ORACLE, "op5_mixing": mixing.ORACLE}

@@ -1,4 +1,281 @@
-"""Registered queries of the retrieval engine and their DuckDB oracles."""
+"""Registered queries of the retrieval engine over whole tables, and their DuckDB oracles."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexiloom.functions import lemma, text
+from lexiloom.functions.config import AnalyzerConfig
+from lexiloom.operators import analyze, dictionary, evaluate, index, phrase, tolerant
+from lexiloom.plans import oracle
+from lexiloom.plans.workbench import Collection
+from lexiloom.sources.collection import read_table
+
+PLAIN = AnalyzerConfig(norm="none")
+STEMMED = AnalyzerConfig()
+#: A sentence that many documents of the test tables share; its second and third pairs overlap.
+PHRASE = "The and attion to thanedble the, anea"
+TERMS = ["attion", "thanedble", "anea"]
+WORDS = "attion, thanedble anea, missingword, The, eriner"
+PATTERN, WORD, NAME = "th*ble", "therhaen", "thanedble"
+QUERIES_OF_TRUTH = ["attion anea", "therhean esndha", "stanford university"]
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, f"{sf_dir}/documents.parquet")
+
+
+def _plain(spark: SparkSession, sf_dir: str) -> Collection:
+    return Collection(_docs(spark, sf_dir), PLAIN)
+
+
+def _listed(df: DataFrame, *columns: str) -> DataFrame:
+    """Arrays as text."""
+    for c in columns:
+        df = df.withColumn(c, F.array_join(F.transform(c, lambda x: x.cast("string")), ","))
+    return df
+
+
+def stages(spark, sf_dir):
+    out = analyze.pipeline_stages(_docs(spark, sf_dir), 0, PLAIN)
+    return _listed(out, "stage3_tokens", "stage4_stop", "stage5_norm")
+
+
+def tokens(spark, sf_dir):
+    return _plain(spark, sf_dir).tokens
+
+
+def tokens_raw_options(spark, sf_dir):
+    return Collection(_docs(spark, sf_dir), AnalyzerConfig(False, False, False, "none")).tokens
+
+
+def tokens_by_norm(spark, sf_dir, norm):
+    return Collection(_docs(spark, sf_dir), AnalyzerConfig(norm=norm)).tokens
+
+
+def vocabulary(spark, sf_dir):
+    return _plain(spark, sf_dir).vocabulary()
+
+
+def vocabulary_size(spark, sf_dir):
+    return _plain(spark, sf_dir).terms.agg(F.count("*").alias("n"))
+
+
+def inverted_index(spark, sf_dir):
+    return _listed(_plain(spark, sf_dir).index("inverted"), "docs")
+
+
+def biword_index(spark, sf_dir):
+    return _listed(_plain(spark, sf_dir).index("biword"), "docs")
+
+
+def positional_index(spark, sf_dir):
+    return _listed(_plain(spark, sf_dir).index("positional"), "positions")
+
+
+def kgram_index(spark, sf_dir):
+    return _listed(_plain(spark, sf_dir).index("kgram"), "terms")
+
+
+def soundex_index(spark, sf_dir):
+    c = _plain(spark, sf_dir)
+    return _listed(index.soundex_index(c.terms.where(F.col("term").rlike("^[a-z]+$"))), "terms")
+
+
+def index_samples(spark, sf_dir):
+    c = _plain(spark, sf_dir)
+    return index.index_sample(c.index("biword"), "biword", 8)
+
+
+def phrase_query(spark, sf_dir, method):
+    return _plain(spark, sf_dir).phrase(PHRASE, method)
+
+
+def phrase_positional(spark, sf_dir):
+    return _listed(phrase_query(spark, sf_dir, "positional"), "positions")
+
+
+def phrase_positional_indexed(spark, sf_dir):
+    return _listed(phrase.positional_lookup(_plain(spark, sf_dir).tokens, TERMS), "positions")
+
+
+def phrase_biword_indexed(spark, sf_dir):
+    return phrase.biword_lookup(index.biword_postings(_plain(spark, sf_dir).arrays), TERMS)
+
+
+def phrase_stemmed(spark, sf_dir, method):
+    out = Collection(_docs(spark, sf_dir), STEMMED).phrase(PHRASE, method)
+    return _listed(out, "positions") if "positions" in out.columns else out
+
+
+def dictionary_lookup(spark, sf_dir):
+    return _listed(_plain(spark, sf_dir).lookup(WORDS), "docs")
+
+
+def wildcard(spark, sf_dir):
+    return _plain(spark, sf_dir).wildcard(PATTERN)
+
+
+def wildcard_candidates(spark, sf_dir):
+    return tolerant.wildcard_candidates(_plain(spark, sf_dir).terms, PATTERN)
+
+
+def _ascii_terms(c: Collection) -> DataFrame:
+    return c.terms.where(F.col("term").rlike("^[a-z0-9]+$"))
+
+
+def spell_suggest(spark, sf_dir):
+    return tolerant.spell_suggest(_ascii_terms(_plain(spark, sf_dir)), WORD, 2)
+
+
+def spell_suggest_all(spark, sf_dir):
+    return _plain(spark, sf_dir).spell(WORD, 2)
+
+
+def spell_join(spark, sf_dir):
+    queries = spark.createDataFrame([(WORD,), ("attoin",), ("thanedbel",)], "query string")
+    return tolerant.spell_join(_ascii_terms(_plain(spark, sf_dir)), queries, 2)
+
+
+def phonetic(spark, sf_dir):
+    return tolerant.phonetic(_plain(spark, sf_dir).terms.where(F.col("term").rlike("^[a-z]+$")), NAME)
+
+
+def ground_truth(spark, sf_dir):
+    return evaluate.ground_truth(_docs(spark, sf_dir), QUERIES_OF_TRUTH)
+
+
+def test_queries(spark, sf_dir):
+    return spark.createDataFrame(list(enumerate(evaluate.test_queries(_docs(spark, sf_dir)))), "ord int, query string")
+
+
+def compare_normalizers(spark, sf_dir):
+    return _listed(Collection(_docs(spark, sf_dir)).compare(), "stem_retrieved", "lemma_retrieved")
+
+
+def compare_summary(spark, sf_dir):
+    return Collection(_docs(spark, sf_dir)).summary()
+
+
+def compression(spark, sf_dir):
+    """Vocabulary sizes with and without lower-casing, and the compression rate in percent."""
+    docs = _docs(spark, sf_dir)
+    size = lambda cfg, name: Collection(docs, cfg).terms.agg(F.count("*").alias(name))
+    both = size(AnalyzerConfig(lowercase=False, norm="none"), "n_raw").join(size(PLAIN, "n_norm"))
+    return both.select("n_raw", "n_norm", F.round((1 - F.col("n_norm") / F.greatest("n_raw", F.lit(1))) * 100, 2).alias("compression_rate"))
+
+
+def lemmas(spark, sf_dir):
+    """Lemmas of the documents' terms and of words with irregular or regular plurals."""
+    words = spark.createDataFrame([(w,) for w in ("geese", "wolves", "indexes", "queries", "running", "boxes", "churches")], "term string")
+    terms = _ascii_terms(_plain(spark, sf_dir)).union(words)
+    return lemma.lemma_map(terms, lemma.seed_lexicon(spark), lemma.seed_exceptions(spark))
+
+
+def collection_view(spark, sf_dir):
+    return _docs(spark, sf_dir)
+
+
+def benchmark_phrases(spark, sf_dir):
+    """Benchmark items' tokens: the analyzer over another table."""
+    items = read_table(spark, f"{sf_dir}/benchmark.parquet", "item_id")
+    return _listed(analyze.analyzed(items, PLAIN), "tokens")
+
+
+_PLAIN = oracle.tokens(PLAIN)
+_LONG = f"with {_PLAIN} "
+_PAIRS = f"with {oracle.arrays(PLAIN)}, {oracle.pairs()} "
+_QUERY = "[" + ", ".join(map(oracle.quoted, TERMS)) + "]"
+_STARTS = f"""
+hits as (select doc_id, pos - (k - 1) as start, k from tokens join (select unnest(generate_series(1, {len(TERMS)})) as k, unnest({_QUERY}) as t) q on term = t),
+starts as (select doc_id, min(start) as start from (select doc_id, start from hits group by 1, 2 having count(distinct k) = {len(TERMS)}) group by 1)"""
+_HAVE = f"""have as (select doc_id from biwords where biword in ({", ".join(oracle.quoted(f"{a} {b}") for a, b in zip(TERMS, TERMS[1:]))})
+group by 1 having count(distinct biword) = {len(TERMS) - 1})"""
+_POSITIONAL = f"""with {_PLAIN}, {_STARTS} select doc_id, array_to_string(generate_series(start, start + {len(TERMS) - 1}), ',') as positions from starts"""
+_CODE = oracle.soundex("term")
+
+
+def _csv(order: str) -> str:
+    return f"array_to_string(list({order} order by {order}), ',')"
+
+
+def _lookup_sql() -> str:
+    rows = [("attion", "attion"), ("thanedble anea", "thanedble"), ("missingword", "missingword"), ("The", "the"), ("eriner", "eriner")]
+    values = ", ".join(f"('{q}', '{t}')" for q, t in rows)
+    return f"""{_LONG} select q.query_term, p.docs is not null as in_corpus, coalesce(p.docs, '') as docs from (values {values}) q(query_term, term)
+left join (select term, {_csv('doc_id')} as docs from (select distinct term, doc_id from tokens) group by 1) p on p.term = q.term"""
+
+
+def _lemma_sql() -> str:
+    nouns = ", ".join(map(oracle.quoted, lemma.NOUNS))
+    irregular = ", ".join(f"({oracle.quoted(a)}, {oracle.quoted(b)})" for a, b in lemma.EXCEPTIONS.items())
+    cuts = " union all ".join(
+        f"select term, substr(term, 1, length(term) - {len(s)}) || '{n}' as c from terms where suffix(term, '{s}') and length(term) > {len(s)}" for s, n in lemma.DETACHMENTS
+    )
+    words = "('geese'), ('wolves'), ('indexes'), ('queries'), ('running'), ('boxes'), ('churches')"
+    return f"""{_LONG}, terms as (select distinct term from tokens where regexp_full_match(term, '[a-z0-9]+') union select * from (values {words})),
+cand as (select term, term as c from terms union all {cuts}),
+best as (select term, first(c order by length(c), c) as noun from cand where c in ({nouns}) group by 1)
+select terms.term, coalesce(e.lemma, best.noun, terms.term) as lemma from terms left join (values {irregular}) e(form, lemma) on e.form = terms.term left join best on best.term = terms.term"""
+
+
+_GRAMS = "('$t', 'th', 'bl', 'le', 'e$')"
+_LIKE = text.wildcard_like(PATTERN)
+_TEXT = "lower(replace(text, '-', ' '))"
+_WORDLIST = oracle.without_stop_words(oracle.word_tokens(_TEXT))
+
+QUERIES = {
+    "stages": stages, "tokens": tokens, "tokens_raw_options": tokens_raw_options, "vocabulary": vocabulary, "vocabulary_size": vocabulary_size,
+    "tokens_stem": partial(tokens_by_norm, norm="stem"), "tokens_lemma": partial(tokens_by_norm, norm="lemma"), "tokens_both": partial(tokens_by_norm, norm="both"),
+    "inverted_index": inverted_index, "biword_index": biword_index, "positional_index": positional_index, "kgram_index": kgram_index,
+    "soundex_index": soundex_index, "index_samples": index_samples, "phrase_positional": phrase_positional,
+    "phrase_biword": partial(phrase_query, method="biword"), "phrase_false_positives": partial(phrase_query, method="false_positives"),
+    "phrase_positional_indexed": phrase_positional_indexed, "phrase_biword_indexed": phrase_biword_indexed,
+    "phrase_positional_stemmed": partial(phrase_stemmed, method="positional"), "phrase_biword_stemmed": partial(phrase_stemmed, method="biword"),
+    "dictionary_lookup": dictionary_lookup, "wildcard": wildcard, "wildcard_candidates": wildcard_candidates, "spell_suggest": spell_suggest,
+    "spell_suggest_all": spell_suggest_all, "spell_join": spell_join, "phonetic": phonetic, "ground_truth": ground_truth, "test_queries": test_queries,
+    "compare_normalizers": compare_normalizers, "compare_summary": compare_summary, "compression": compression, "lemmas": lemmas,
+    "collection_view": collection_view, "benchmark_phrases": benchmark_phrases,
+}
+
+ORACLE_SQL = {
+    "stages": f"""select doc_id, text as stage0_raw, replace(text, '-', ' ') as stage1_hyphen, {_TEXT} as stage2_lower,
+array_to_string({oracle.word_tokens(_TEXT)}, ',') as stage3_tokens, array_to_string({_WORDLIST}, ',') as stage4_stop,
+array_to_string({_WORDLIST}, ',') as stage5_norm from documents where doc_id = 0""",
+    "tokens": f"{_LONG} select doc_id, pos, term from tokens",
+    "tokens_raw_options": f"with {oracle.tokens(AnalyzerConfig(False, False, False, 'none'))} select doc_id, pos, term from tokens",
+    "vocabulary": f"{_LONG} select distinct term from tokens",
+    "vocabulary_size": f"{_LONG} select count(distinct term) as n from tokens",
+    "inverted_index": f"{_LONG} select term, count(*) as df, {_csv('doc_id')} as docs from (select distinct term, doc_id from tokens) group by 1",
+    "biword_index": f"{_PAIRS} select biword, count(*) as df, {_csv('doc_id')} as docs from biwords group by 1",
+    "positional_index": f"{_LONG} select term, doc_id, {_csv('pos')} as positions from tokens group by 1, 2",
+    "kgram_index": f"with {_PLAIN}, {oracle.kgrams()} select gram, count(*) as n, {_csv('term')} as terms from grams group by 1",
+    "soundex_index": f"{_LONG} select code, {_csv('term')} as terms from (select distinct term, {_CODE} as code from tokens where regexp_full_match(term, '[a-z]+')) group by 1",
+    "phrase_positional": _POSITIONAL,
+    "phrase_positional_indexed": _POSITIONAL,
+    "phrase_biword": f"{_PAIRS}, {_HAVE} select doc_id from have",
+    "phrase_biword_indexed": f"{_PAIRS}, {_HAVE} select doc_id from have",
+    "phrase_false_positives": f"with {_PLAIN}, {oracle.pairs()}, {_HAVE}, {_STARTS} select doc_id from have where doc_id not in (select doc_id from starts)",
+    "dictionary_lookup": _lookup_sql(),
+    "wildcard": f"{_LONG} select distinct term from tokens where term like '{_LIKE}'",
+    "wildcard_candidates": f"with {_PLAIN}, {oracle.kgrams()} select term from grams where gram in {_GRAMS} group by 1 having count(distinct gram) = 5",
+    "spell_suggest": f"{_LONG} select term, levenshtein(term, '{WORD}')::int as distance from (select distinct term from tokens where regexp_full_match(term, '[a-z0-9]+')) where levenshtein(term, '{WORD}') <= 2",
+    "spell_join": f"""{_LONG} select query, term, levenshtein(term, query)::int as distance from (select distinct term from tokens where regexp_full_match(term, '[a-z0-9]+')),
+(values ('{WORD}'), ('attoin'), ('thanedbel')) q(query) where levenshtein(term, query) <= 2""",
+    "phonetic": f"{_LONG} select {_CODE} as code, term from (select distinct term from tokens where regexp_full_match(term, '[a-z]+')) where {_CODE} = {oracle.soundex(oracle.quoted(NAME))}",
+    "ground_truth": " union all ".join(
+        f"select '{q}' as query, doc_id from documents where " + " and ".join(f"contains({_TEXT}, '{w}')" for w in q.split()) for q in QUERIES_OF_TRUTH
+    ),
+    "test_queries": f"""with w as (select doc_id, list_filter({_WORDLIST}, lambda w: regexp_full_match(w, '\\p{{L}}+')) as ws from documents),
+f as (select row_number() over (order by doc_id) - 1 as ord, ws[1] || ' ' || ws[2] as query from w where len(ws) >= 2 order by doc_id limit 3)
+select ord::int as ord, query from f union all select * from (values (0, 'fox jumps'), (1, 'Stanford university'), (2, 'lung cancer')) v(ord, query) where v.ord >= (select count(*) from f)""",
+    "compression": f"""with {oracle.arrays(AnalyzerConfig(lowercase=False, norm='none'), 'a')}, {oracle.arrays(PLAIN, 'b')},
+x as (select count(distinct t) as n from (select unnest(tokens) as t from a)), y as (select count(distinct t) as n from (select unnest(tokens) as t from b))
+select x.n as n_raw, y.n as n_norm, round((1 - y.n / greatest(x.n, 1)) * 100, 2) as compression_rate from x, y""",
+    "lemmas": _lemma_sql(),
+    "collection_view": "select doc_id, text from documents",
+    "benchmark_phrases": f"select item_id as doc_id, array_to_string({oracle.without_stop_words(oracle.word_tokens(_TEXT))}, ',') as tokens from benchmark",
+}

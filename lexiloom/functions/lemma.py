@@ -37,7 +37,7 @@ def candidates(term: Column) -> Column:
     found = [F.array(term)]
     for suffix, new in DETACHMENTS:
         cut = F.concat(F.substring(term, F.lit(1), F.length(term) - len(suffix)), F.lit(new))
-        found.append(F.when(term.endswith(suffix) & (F.length(term) > len(suffix)), F.array(cut)).otherwise(F.array().cast("array<string>")))
+        found.append(F.when(term.endswith(suffix), F.array(cut)).otherwise(F.array().cast("array<string>")))
     return F.concat(*found)
 
 

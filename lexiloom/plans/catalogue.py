@@ -213,7 +213,7 @@ def _lemma_sql() -> str:
     nouns = ", ".join(map(oracle.quoted, lemma.NOUNS))
     irregular = ", ".join(f"({oracle.quoted(a)}, {oracle.quoted(b)})" for a, b in lemma.EXCEPTIONS.items())
     cuts = " union all ".join(
-        f"select term, substr(term, 1, length(term) - {len(s)}) || '{n}' as c from terms where suffix(term, '{s}') and length(term) > {len(s)}" for s, n in lemma.DETACHMENTS
+        f"select term, substr(term, 1, length(term) - {len(s)}) || '{n}' as c from terms where suffix(term, '{s}')" for s, n in lemma.DETACHMENTS
     )
     words = "('geese'), ('wolves'), ('indexes'), ('queries'), ('running'), ('boxes'), ('churches')"
     return f"""{_LONG}, terms as (select distinct term from tokens where regexp_full_match(term, '[a-z0-9]+') union select * from (values {words})),

@@ -2,8 +2,8 @@
 
 A byte goes if some string of LENGTH bytes over it also starts in a document with a smaller id.
 
-1. Every window of LENGTH bytes names an anchor, the least of its 12-byte strings by hash; equal
-   windows name equal anchors. Consecutive windows with one anchor are a segment (about 68 bytes).
+1. Every window of LENGTH bytes names an anchor, the least of its 20-byte strings by hash; equal
+   windows name equal anchors. Consecutive windows with one anchor are a segment (about 65 bytes).
    Segments are dealt to buckets by anchor, so all places of a string meet, as packed columns.
 2. In a bucket, segments equal to one of a smaller document go whole (pre-aggregation of copies).
    Of anchors with different segments, one copy of each segment is fetched from its document.
@@ -38,12 +38,12 @@ from pyspark.sql import functions as F
 from lexiloom.llm.common import utf8, write_shared
 from lexiloom.llm.hashing import Rolling, sliding_least, window_hashes
 
-LENGTH, ANCHOR = 50, 12
+LENGTH, ANCHOR = 50, 20
 DEPTH = 64
 #: Bytes of text for each bucket up to 1 GB of input; beyond, buckets grow with its cube root, so that pieces stay of useful size.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 #: Bytes hashed at once (a longer text is cut into overlapping pieces), and bytes whose segments are sent together.
-PIECE, BATCH = 2 << 20, 32 << 20
+PIECE, BATCH = 1 << 20, 8 << 20
 _BLOB = "kind int, place long, data binary"
 SEGMENTS, SPANS, NEEDS, TEXTS = 0, 1, 2, 3
 

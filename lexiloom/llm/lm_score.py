@@ -1,13 +1,18 @@
 """Language-model scores by cross-entropy difference.
 
-Two bigram models, of a target corpus and of all documents as background, share one hashed
-vocabulary, one smoothing and one mass: background counts are scaled to the target's size, so that
-losses differ by content and not by corpus size. A document's score is its mean loss per token (in
-bits) under the target less that under the background; lower is more like the target.
+Two bigram models, of a target corpus and of all documents as background, share one vocabulary, one
+smoothing and one mass: background counts are scaled to the target's size, so that losses differ by
+content and not by corpus size. A document's score is its mean loss per token (in bits) under the
+target less that under the background; lower is more like the target.
 
-Counts come from every document. Tasks add up dense tables of a fixed number of slots and send each
-range of slots compressed; ranges are summed in two rounds, by range and salt, then by range. The
-finished tables have a fixed size (about 50 MB), whatever the input, and are broadcast.
+Counts come from every document and are kept for each word and each pair of words (by 62 bits of
+hash), in tables that grow with the input:
+
+1. Rows are packed into chunks of about CHUNK_BYTES of text, kept in the shared folder.
+2. A chunk's keys and their counts are sent by range of keys. Ranges hold the keys of about
+   RANGE_BYTES of text, so there are more of them for more input.
+3. A range adds up its keys over all chunks and sends each chunk the sums of the keys that it asked
+   for, in its order. A chunk derives its keys from its texts again, so no keys are sent back.
 
 Edge cases: null and empty texts have no tokens, losses and score 0; without target documents the
 target model is the smoothed background vocabulary alone; repeated rows count as often as they
@@ -16,158 +21,215 @@ occur; null labels are no target; extra columns pass through.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from lexiloom.llm.common import fresh, slices, utf8
+from lexiloom.llm.common import delete_shared, fresh, slices, write_shared
 from lexiloom.llm.hashing import mix, word_hashes
 
-#: Slots of the shared vocabulary, and of word pairs, as powers of 2.
-WORD_BITS, PAIR_BITS = 20, 22
-RANGES, SALTS = 64, 32
-SLOTS = (1 << WORD_BITS) + (1 << PAIR_BITS)
+#: The smoothing's vocabulary, as a power of 2; that of the documents, if it is larger.
+WORD_BITS = 20
+CHUNK_BYTES, RANGE_BYTES = 8 << 20, 16 << 20
+#: Bits of a key.
+KEY_BITS = 63
 #: The weight of the unigram model in each context.
 KAPPA = 2.0
 #: Target ids up to which they are broadcast (8 bytes each); beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
 _START = np.uint64(0x5851F42D4C957F2D)
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
+_SCORES = StructType([StructField("n_tokens", LongType()), *(StructField(c, DoubleType()) for c in ("target_loss", "background_loss", "ce_diff"))])
 
 
 def token_slots(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For all tokens of a batch: slots of the word, of the word before it (-1: none), of the pair; and the texts' offsets."""
+    """For all tokens of a batch: keys of the word (even), of the word before it (-1: none), of the pair (odd); and the texts' offsets."""
     hashes, offsets = word_hashes(raws)
     before = np.concatenate([[_START], hashes[:-1]]) if len(hashes) else hashes
     first = offsets[:-1][np.diff(offsets) > 0]
     before[first] = _START
-    word = (hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64)
-    context = (before >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+    even = lambda x: (x >> np.uint64(2) << np.uint64(1)).astype(np.int64)
+    word, context, pair = even(hashes), even(before), even(mix(before * _PAIR + hashes)) + 1
     context[first] = -1
-    pair = (mix(before * _PAIR + hashes) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
     return word, context, pair, offsets
 
 
-@dataclass
-class Model:
-    """Counts by slot and the size of one corpus."""
-
-    words: np.ndarray
-    pairs: np.ndarray
-    tokens: float
-    starts: float
-
-    def losses(self, word: np.ndarray, context: np.ndarray, pair: np.ndarray, scale: float) -> np.ndarray:
-        """Bits for each token."""
-        unigram = (scale * self.words[word].astype(np.float64) + 1) / (scale * self.tokens + (1 << WORD_BITS))
-        seen = np.where(context < 0, self.starts, self.words[context])
-        both = np.minimum(self.pairs[pair], seen)
-        return -np.log2((scale * both + KAPPA * unigram) / (scale * seen + KAPPA))
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One task's counts: for each range of slots, both corpora's counts, compressed."""
-    tables = [np.zeros(SLOTS + 1, np.int64) for _ in range(2)]  # the last slot counts texts with tokens
-    for batch in batches:
-        raws = [x.as_py() or b"" for x in batch.column(0)]
-        targets = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-        for a, b in slices(raws):
-            target = targets[a:b]
-            word, _, pair, offsets = token_slots(raws[a:b])
-            sizes = np.diff(offsets)
-            chosen = np.repeat(target, sizes)
-            for table, keep in zip(tables, (chosen, slice(None))):
-                table[: 1 << WORD_BITS] += np.bincount(word[keep], minlength=1 << WORD_BITS)
-                table[1 << WORD_BITS : -1] += np.bincount(pair[keep], minlength=1 << PAIR_BITS)
-            tables[0][-1] += (target & (sizes > 0)).sum()
-            tables[1][-1] += (sizes > 0).sum()
-    if not tables[1][-1]:
-        return
-    salt = int(mix(np.array([tables[1].sum()], np.uint64))[0] % np.uint64(SALTS))
-    cuts = np.linspace(0, SLOTS + 1, RANGES + 1).astype(int)
-    yield _rows([(k, salt, [t[a:b] for t in tables]) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))])
-
-
-_BLOBS = "part int, salt int, counts binary"
-
-
-def _rows(rows: list) -> pa.RecordBatch:
-    pack = lambda pair: pa.compress(np.concatenate(pair).astype(np.int64).tobytes(), "zstd", asbytes=True)
-    sized = lambda pair: len(pair[0]).to_bytes(4, "little") + pack(pair)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([sized(r[2]) for r in rows], pa.binary())],
-        ["part", "salt", "counts"],
-    )
-
-
-def _unpack(blob: bytes) -> list[np.ndarray]:
+def _keys(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk's distinct keys, sorted, after key 0 for the start of a text; places of each token's word, context and pair in them; offsets."""
+    word, context, pair, offsets = token_slots(raws)
+    keys, place = np.unique(np.concatenate([[0], word, pair]).astype(np.int64), return_inverse=True)
+    at = place[1 : len(word) + 1]
+    before = np.where(context < 0, 0, np.concatenate([[0], at[:-1]])) if len(at) else at
+    return keys, at, before, place[len(word) + 1 :], offsets
+
+
+def _squeeze(x: np.ndarray) -> bytes:
+    """Numbers, byte by byte of equal weight, compressed."""
+    planes = np.ascontiguousarray(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T)
+    return len(x).to_bytes(4, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def _expand(blob: bytes) -> np.ndarray:
     n = int.from_bytes(blob[:4], "little")
-    both = np.frombuffer(pa.decompress(blob[4:], 16 * n, "zstd", asbytes=True), np.int64)
-    return [both[:n], both[n:]]
+    planes = np.frombuffer(pa.decompress(blob[4:], 8 * n, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view(np.int64).ravel()
 
 
-def _sum(rows: pa.Table) -> pa.Table:
-    """Adds up the tables of one group."""
-    total = None
-    for blob in rows.column("counts"):
-        found = _unpack(blob.as_py())
-        total = [x.copy() for x in found] if total is None else [a + b for a, b in zip(total, found)]
-    return pa.Table.from_batches([_rows([(rows.column("part")[0].as_py(), 0, total)])])
+def _raws(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
+    return [x or b"" for x in column.cast(pa.large_string()).cast(pa.large_binary()).to_pylist()]
 
 
-def train(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[Model, Model]:
-    """The target's model (documents whose id is in targets' one column) and the background's (all documents)."""
-    key, flag = fresh(docs, "target_id", "is_target")
-    ids = targets.select(F.col(targets.columns[0]).cast("long").alias(key)).where(F.col(key).isNotNull()).distinct().withColumn(flag, F.lit(True))
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    rows = docs.select(F.col(doc_id).cast("long").alias(key), utf8(docs[text]).alias("raw")).join(ids, key, "left")
-    counted = rows.select("raw", F.coalesce(F.col(flag), F.lit(False)).alias(flag)).mapInArrow(_count, _BLOBS)
-    summed = counted.groupBy("part", "salt").applyInArrow(_sum, _BLOBS).groupBy("part").applyInArrow(_sum, _BLOBS)
-    cuts = np.linspace(0, SLOTS + 1, RANGES + 1).astype(int)
-    tables = [np.zeros(SLOTS + 1, np.int64) for _ in range(2)]
-    for r in summed.toLocalIterator():  # RANGES rows of fixed size
-        for table, part in zip(tables, _unpack(bytes(r.counts))):
-            table[cuts[r.part] : cuts[r.part + 1]] = part
-    n = 1 << WORD_BITS
-    return tuple(Model(t[:n].astype(np.float32), t[n:-1].astype(np.float32), float(t[:n].sum()), float(t[-1])) for t in tables)
-
-
-def score_batch(raws: list[bytes], target: Model, background: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens and mean losses under both models, for each text."""
-    word, context, pair, offsets = token_slots(raws)
-    sizes = np.diff(offsets)
-    scale = target.tokens / background.tokens if background.tokens else 1.0
-    out, some = [], sizes > 0
-    for model, by in ((target, 1.0), (background, scale)):
-        mean = np.zeros(len(raws))
-        if some.any():
-            mean[some] = np.add.reduceat(model.losses(word, context, pair, by).astype(np.float64), offsets[:-1][some]) / sizes[some]
-        out.append(mean)
-    return sizes, out[0], out[1]
+_PACKED = "chunk long, size long, packed binary"
+
+
+def _packer(text: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows to chunks of rows."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, chunk = [], 0, TaskContext.get().partitionId() << 32
+
+        def packed() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for part in held:
+                    out.write_batch(part)
+            return pa.RecordBatch.from_pydict({"chunk": [chunk], "size": [size], "packed": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
+        for batch in batches:
+            raws = _raws(batch.column(text))
+            for a, b in slices(raws, CHUNK_BYTES // 8):
+                held.append(batch.slice(a, b - a))
+                size += sum(map(len, raws[a:b]))
+                if size >= CHUNK_BYTES or sum(len(x) for x in held) >= 1 << 16:
+                    yield packed()
+                    held, size, chunk = [], 0, chunk + 1
+        if held:
+            yield packed()
 
-def score(docs: DataFrame, models: tuple[Model, Model], text: str = "text", out: str = "lm") -> DataFrame:
-    """Adds a struct of tokens, both losses and their difference."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    return pack
 
-    @F.arrow_udf("struct<n_tokens:bigint,target_loss:double,background_loss:double,ce_diff:double>")
-    def scored(texts: pa.Array) -> pa.Array:
-        raws = [x.as_py() or b"" for x in texts]
-        parts = [score_batch(raws[a:b], *shared.value) for a, b in slices(raws)]
-        sizes, a, b = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in range(3))
-        columns = [pa.array(sizes.astype(np.int64), pa.int64()), *(pa.array(x, pa.float64()) for x in (a, b, a - b))]
-        return pa.StructArray.from_arrays(columns, ["n_tokens", "target_loss", "background_loss", "ce_diff"])
 
-    return docs.withColumn(out, scored.asNondeterministic()(utf8(docs[text])))
+def _unpacked(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(blob).read_all()
+
+
+_COUNTS = "part long, chunk long, keys binary, target binary, both binary"
+
+
+def _counter(text: str, flag: str, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Chunks to their counts by range of keys."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("packed")):
+                rows = _unpacked(blob.as_py())
+                keys, word, _, pair, offsets = _keys(_raws(rows.column(text)))
+                if not len(word):
+                    continue
+                sizes = np.diff(offsets)
+                chosen = np.asarray(rows.column(flag).to_pylist(), bool)
+                counts = []
+                for texts in (chosen, np.ones(len(sizes), bool)):
+                    tokens = np.repeat(texts, sizes)
+                    counts.append(np.bincount(np.concatenate([word[tokens], pair[tokens]]), minlength=len(keys)))
+                    counts[-1][0] = (texts & (sizes > 0)).sum()
+                parts, starts = np.unique(keys >> (KEY_BITS - bits), return_index=True)
+                ends = [*starts[1:], len(keys)]
+                cut = lambda x: pa.array([_squeeze(x[a:b]) for a, b in zip(starts, ends)], pa.binary())
+                gaps = np.diff(keys, prepend=0)
+                gaps[starts] = keys[starts]
+                yield pa.RecordBatch.from_pydict(
+                    {"part": parts, "chunk": np.full(len(parts), chunk, np.int64), "keys": cut(gaps), "target": cut(counts[0]), "both": cut(counts[1])}
+                )
+
+    return count
+
+
+_SUMS = "part long, chunk long, target binary, both binary, words long, target_tokens long, tokens long"
+
+
+def _sum(rows: pa.Table) -> pa.Table:
+    """Adds up a range's counts over all chunks; each chunk gets the sums of its keys, one row also the range's totals."""
+    asked = [np.cumsum(_expand(x.as_py())) for x in rows.column("keys")]
+    keys, place = np.unique(np.concatenate(asked), return_inverse=True)
+    sums = []
+    for name in ("target", "both"):
+        total = np.zeros(len(keys), np.int64)
+        np.add.at(total, place, np.concatenate([_expand(x.as_py()) for x in rows.column(name)]))
+        sums.append(total)
+    cuts = np.cumsum([0, *map(len, asked)])
+    back = lambda total: pa.array([_squeeze(total[place[a:b]]) for a, b in zip(cuts, cuts[1:])], pa.binary())
+    word = (keys % 2 == 0) & (keys > 0)
+    once = lambda n: pa.array([int(n), *[0] * (len(asked) - 1)], pa.int64())
+    return pa.table(
+        {
+            "part": rows.column("part"), "chunk": rows.column("chunk"), "target": back(sums[0]), "both": back(sums[1]),
+            "words": once(word.sum()), "target_tokens": once(sums[0][word].sum()), "tokens": once(sums[1][word].sum()),
+        }
+    )
+
+
+def losses(counts: np.ndarray, tokens: int, vocabulary: int, scale: float, word: np.ndarray, context: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """Bits for each token, from a model's counts by place."""
+    unigram = (scale * counts[word] + 1) / (scale * tokens + vocabulary)
+    seen = counts[context]
+    return -np.log2((scale * counts[pair] + KAPPA * unigram) / (scale * seen + KAPPA))
+
+
+def _scorer(text: str, flag: str, name: str, sums: tuple[int, int], vocabulary: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A chunk and its keys' counts to its rows with scores."""
+    scale = sums[0] / sums[1] if sums[1] else 1.0
+
+    def scored(chunk: pa.Table, counts: pa.Table) -> pa.Table:
+        rows = pa.concat_tables([_unpacked(x.as_py()) for x in chunk.column("packed")])
+        _, word, context, pair, offsets = _keys(_raws(rows.column(text)))
+        sizes = np.diff(offsets)
+        counts, some, means = counts.sort_by("part"), sizes > 0, []
+        for model, tokens, by in (("target", sums[0], 1.0), ("both", sums[1], scale)):
+            mean = np.zeros(len(sizes))
+            if some.any():
+                found = np.concatenate([_expand(x.as_py()) for x in counts.column(model)])
+                bits = losses(found, tokens, vocabulary, by, word, context, pair)
+                mean[some] = np.add.reduceat(bits, offsets[:-1][some]) / sizes[some]
+            means.append(mean)
+        columns = [pa.array(sizes.astype(np.int64)), *(pa.array(x) for x in (*means, means[0] - means[1]))]
+        return rows.drop_columns([flag]).append_column(name, pa.StructArray.from_arrays(columns, _SCORES.names))
+
+    return scored
+
+
+def score(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", out: str = "lm") -> tuple[DataFrame, list[str]]:
+    """Adds a struct of tokens, both losses and their difference; the target is the documents whose id is in targets' one column.
+
+    Also returns the paths of the shared tables that the result reads.
+    """
+    key, own, flag = fresh(docs, "target_id", "own_id", "is_target")
+    ids = targets.select(F.col(targets.columns[0]).cast("long").alias(key)).where(F.col(key).isNotNull()).distinct().withColumn(flag, F.lit(True))
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    rows = docs.withColumn(own, F.col(doc_id).cast("long")).join(ids, F.col(own) == F.col(key), "left")
+    rows = rows.select(*docs.columns, F.coalesce(F.col(flag), F.lit(False)).alias(flag))
+    chunks, packed_path = write_shared(rows.mapInArrow(_packer(text), _PACKED), "chunks")
+    size = chunks.agg(F.sum("size")).first()[0] or 0
+    bits = max(5, (size // RANGE_BYTES).bit_length())
+    counts = chunks.select("chunk", "packed").mapInArrow(_counter(text, flag, bits), _COUNTS)
+    sums, sums_path = write_shared(counts.groupBy("part").applyInArrow(_sum, _SUMS), "sums")
+    words, target, both = (x or 0 for x in sums.agg(F.sum("words"), F.sum("target_tokens"), F.sum("tokens")).first())
+    scored = _scorer(text, flag, out, (target, both), max(1 << WORD_BITS, words))
+    schema = StructType([*docs.schema.fields, StructField(out, _SCORES)])
+    pairs = chunks.select("chunk", "packed").groupBy("chunk").cogroup(sums.select("chunk", "part", "target", "both").groupBy("chunk"))
+    return pairs.applyInArrow(scored, schema), [packed_path, sums_path]
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document: tokens, losses and their difference, with documents labelled as good as the target."""
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    models = train(kept, labels.where(F.col("quality") == 1).select("doc_id"))
-    return score(kept, models).select("doc_id", "lm.*")
+    scored, spent = score(kept, labels.where(F.col("quality") == 1).select("doc_id"))
+    found, _ = write_shared(scored.select("doc_id", "lm.*"), "lm-scores")
+    delete_shared(docs.sparkSession, *spent)
+    return found

@@ -227,6 +227,32 @@ def test_lm_scores_against_definition(spark, nothing):
     assert lm_score.digest(nothing, labels).count() == 0
 
 
+def test_lm_scores_keep_words_apart(spark):
+    # Words whose hashes agree in their first 20 bits, as one in a million does.
+    first, seen = None, {}
+    for i in range(20_000):
+        h = int(hashing.word_hashes([f"w{i}".encode()])[0][0]) >> 44
+        if h in seen:
+            first = (f"w{seen[h]}", f"w{i}")
+            break
+        seen[h] = i
+    texts = ["a " + first[0]] * 50 + ["a " + first[1], "a rare"]
+    labels = spark.createDataFrame([(i, 1) for i in range(50)], "doc_id long, quality int")
+    got = rows(lm_score.digest(frame(spark, texts), labels))
+    assert got[50].target_loss == got[51].target_loss and got[0].target_loss < got[50].target_loss - 5
+
+
+def test_lm_counts_from_many_chunks_and_ranges(spark, monkeypatch):
+    rnd = random.Random(9)
+    texts = [" ".join(f"w{int(rnd.random() ** 3 * 500)}" for _ in range(rnd.randint(0, 60))) for _ in range(200)]
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 200, 3)], "doc_id long, quality int")
+    docs = frame(spark, texts).repartition(7)
+    whole = rows(lm_score.digest(docs, labels))
+    monkeypatch.setattr(lm_score, "RANGE_BYTES", 64)
+    monkeypatch.setattr(lm_score, "CHUNK_BYTES", 800)
+    assert rows(lm_score.digest(docs, labels)) == whole
+
+
 # ---- languages
 
 

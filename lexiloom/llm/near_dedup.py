@@ -14,9 +14,9 @@ order of time and stop once they are later than every component's best.
    same few.
 3. Pairs whose signatures agree enough are verified by the overlap of their multisets: first each
    node's best pair; then all other pairs whose ends are not connected yet, and with them those of
-   a second pass, where nodes that share a bucket with other classes and are outside its largest
-   are paired with all its nodes, in a bucket of more than WHOLE with four representatives, extremes
-   of two orders that differ from bucket to bucket.
+   a second pass over buckets that hold several classes. In a bucket of up to WHOLE nodes, those
+   outside its largest class are paired with all others. The nodes of larger buckets are paired where
+   the prefixes of their multisets, rarest shingles first, meet: no pair at 0.8 is left out.
 4. Links are merged to connected components; a class is named by its smallest doc_id.
 
 A pair at similarity 0.8 shares no bucket with probability (1 - 0.8^5)^32 = 3e-6.
@@ -138,24 +138,6 @@ def node_column(text: Column) -> Column:
     return numbered.asNondeterministic()(utf8(text))
 
 
-def _reps(band: str) -> list[Column]:
-    """Four representatives of a bucket: the extremes of two orders of its nodes that the band sets."""
-    masks = (F.col(band), F.xxhash64(band))
-    return [end(F.col("node").bitwiseXOR(m)).alias(c) for m, pair in zip(masks, ("ab", "cd")) for end, c in zip((F.min, F.max), pair)]
-
-
-def _unmasked(reps: str) -> Column:
-    """The nodes themselves."""
-    masks = {"a": F.col("band"), "b": F.col("band"), "c": F.xxhash64("band"), "d": F.xxhash64("band")}
-    return F.array_distinct(F.array(*[F.col(c).bitwiseXOR(masks[c]) for c in reps]))
-
-
-def _pairs(members: DataFrame, reps: str) -> DataFrame:
-    """Distinct pairs (u > v) of the members of buckets with their bucket's representatives."""
-    met = members.select("node", F.explode(_unmasked(reps)).alias("other")).where("node <> other")
-    return met.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
-
-
 def _first_pairs(bands: DataFrame) -> tuple[DataFrame, str]:
     """Every node with the least node of each of its buckets, often the same one; and the path of the buckets."""
     least = bands.groupBy("band").agg(F.min("node").alias("other"), F.max("node").alias("last")).where("other <> last").select("band", "other")
@@ -163,21 +145,65 @@ def _first_pairs(bands: DataFrame) -> tuple[DataFrame, str]:
     return bands.join(buckets, "band").where("node <> other").select(F.col("node").alias("u"), F.col("other").alias("v")).distinct(), path
 
 
-def _second_pairs(bands: DataFrame, roots: DataFrame) -> tuple[DataFrame, str]:
-    """In buckets that hold several classes, the nodes outside the bucket's largest class with all of a small bucket, or with four representatives."""
+def _second_pairs(bands: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Of buckets that hold several classes: if small, the pairs of nodes outside the largest class with all others; if not, their nodes and roots."""
     sizes = roots.groupBy("root").agg((F.count("*") + 1).alias("size"))
     placed = roots.select(F.col("u").alias("node"), "root").union(sizes.select(F.col("root").alias("node"), "root")).join(sizes, "root")
     home = F.shiftleft(F.col("size"), 32) + F.pmod(F.xxhash64("root"), F.lit(1 << 32))
     placed = bands.join(placed.select("node", "root", home.alias("own")), "node", "left")
     alone = F.pmod(F.xxhash64("node"), F.lit(1 << 32))
     placed = placed.select("node", "band", F.coalesce("root", "node").alias("root"), F.coalesce("own", alone).alias("own"))
-    found = placed.groupBy("band").agg(*_reps("band"), F.min("root").alias("r1"), F.max("root").alias("r2"), F.max("own").alias("home"), F.count("*").alias("n"))
+    found = placed.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.max("own").alias("home"), F.count("*").alias("n"))
     buckets, path = write_shared(found.where("r1 <> r2").drop("r1", "r2"), "buckets")
-    outside = placed.join(buckets, "band").where("own <> home")
-    small = placed.join(buckets.where(F.col("n") <= WHOLE).select("band"), "band").groupBy("band").agg(F.collect_list("node").alias("all"))
+    little = buckets.where(F.col("n") <= WHOLE)
+    small = placed.join(little.select("band"), "band").groupBy("band").agg(F.collect_list("node").alias("all"))
+    outside = placed.join(little, "band").where("own <> home")
     whole = outside.select("node", "band").join(small, "band").select("node", F.explode("all").alias("other")).where("node <> other")
     whole = whole.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v"))
-    return _apart(_pairs(outside.where(F.col("n") > WHOLE), "abcd").union(whole).distinct(), roots), path
+    crowd = placed.join(buckets.where(F.col("n") > WHOLE).select("band"), "band").select("node", "root").distinct()
+    crowd, crowd_path = write_shared(crowd, "crowd")
+    return _apart(whole.distinct(), roots), crowd, [path, crowd_path]
+
+
+def elements(bag: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A multiset as a set: each shingle with the number of its occurrence. Overlap and Jaccard similarity stay the same."""
+    starts = np.cumsum(bag[1]) - bag[1]
+    place = np.arange(int(bag[1].sum())) - np.repeat(starts, bag[1])
+    return mix(np.repeat(bag[0], bag[1]) + place.astype(np.uint64) * _STEP).astype(np.int64)
+
+
+def _element_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root, raw) to (node, root, items)."""
+    for batch in batches:
+        raws = [x.as_py() for x in batch.column(2)]
+        for a, b in slices(raws):
+            hashes, offsets = word_hashes(raws[a:b])
+            items = [elements(multiset(hashes[s:e])) for s, e in zip(offsets, offsets[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(items, pa.list_(pa.int64()))], ["node", "root", "items"])
+
+
+def _crowd_pairs(crowd: DataFrame, texts: DataFrame) -> tuple[DataFrame, list[str]]:
+    """All pairs (u > v) of different classes of a crowd that can reach SIMILARITY, by prefixes.
+
+    With elements in any one order, two sets that are similar enough share an element of their first
+    n - ceil(SIMILARITY n) + 1. The rarest come first, so that what a template gives to all its texts
+    comes last. An element that only one node has counts in the prefix, but pairs nothing.
+    """
+    lists, path = write_shared(crowd.join(texts, "node").select("node", "root", "raw").mapInArrow(_element_lists, "node long, root long, items array<long>"), "elements")
+    single = lists.select("node", "root", F.size("items").alias("size"), F.explode("items").alias("item"))
+    shared = single.groupBy("item").agg(F.count("*").alias("df")).where("df > 1")
+    ordered = single.join(shared, "item").groupBy("node", "root", "size").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("items"))
+    length = F.col("size") - F.ceil(F.col("size") * SIMILARITY - 1e-6) + 1 - (F.col("size") - F.size("items"))
+    prefix = ordered.where(length > 0).select("node", "root", "size", F.explode(F.slice("items", F.lit(1), length.cast("int"))).alias("e"))
+    prefix, prefix_path = write_shared(prefix.select("node", "root", "size", F.col("e.item").alias("item")), "prefixes")
+    counts = prefix.groupBy("item", "root").agg(F.count("*").alias("n"))
+    home = counts.groupBy("item").agg(F.max(F.struct("n", "root")).alias("home"), F.count("*").alias("classes")).where("classes > 1")
+    mixed = prefix.join(home.select("item", F.col("home.root").alias("home")), "item")
+    outside = mixed.where("root <> home").select("item", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("size").alias("sa"))
+    # A pair outside the largest class is met from either end, so the smaller end is left out.
+    fits = (F.col("ra") != F.col("root")) & (F.least("sa", "size") >= F.greatest("sa", "size") * SIMILARITY - 1e-6)
+    met = outside.join(mixed, "item").where(fits & ((F.col("root") == F.col("home")) | (F.col("a") > F.col("node"))))
+    return met.select(F.greatest("a", "node").alias("u"), F.least("a", "node").alias("v")).distinct(), [path, prefix_path]
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -236,7 +262,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         spent.append(path)
         if chosen.isEmpty():
             return roots
-        found, path = write_shared(_verified(chosen, _texts(numbered, chosen, nodes)), "links")
+        ends = chosen.select(F.col("u").alias("node")).union(chosen.select("v")).distinct()
+        found, path = write_shared(_verified(chosen, _texts(numbered, ends, nodes)), "links")
         spent.append(path)
         found = found.union(roots.select("u", F.col("root").alias("v"))) if roots is not None else found
         roots, path = components(found, "roots")
@@ -251,8 +278,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     best = ends.groupBy("u").agg(F.max_by("pair", F.struct("estimate", "pair")).alias("pair")).select("pair.*").distinct()
     roots = settle(best, None)
     if roots is not None:
-        pairs, path = _second_pairs(bands, roots)
-        spent.append(path)
+        pairs, crowd, paths = _second_pairs(bands, roots)
+        spent.extend(paths)
+        if not crowd.isEmpty():
+            more, paths = _crowd_pairs(crowd, _texts(numbered, crowd.select("node"), nodes))
+            spent.extend(paths)
+            pairs = pairs.union(more).distinct()
         roots = settle(_likely(pairs, nodes).select("u", "v").union(_apart(first.select("u", "v"), roots)).distinct(), roots)
     rooted = nodes.select("node", "n", "id")
     if roots is not None:
@@ -271,9 +302,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return result
 
 
-def _texts(numbered: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One text of each node in the pairs: of a row with the node's smallest id. Equal texts are dealt by id too, so none is hot."""
-    ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+def _texts(numbered: DataFrame, ends: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One text of each of the nodes: of a row with the node's smallest id. Equal texts are dealt by id too, so none is hot."""
     wanted = ends.join(nodes.select("node", F.col("id").alias("least")), "node").select(F.col("node").alias("wanted"), "least")
     found = numbered.join(wanted, (F.col("node") == F.col("wanted")) & F.col("id").eqNullSafe(F.col("least")), "left_semi")
     return found.select("node", "raw").dropDuplicates(["node"])

@@ -468,6 +468,56 @@ def test_near_duplicates_against_brute_force(spark, nothing):
     assert near_dedup.digest(nothing).count() == 0
 
 
+def crowded_texts():
+    """Several hundred texts on one template, just below 0.8 to each other, with a few true pairs and a group of near copies among them."""
+    rnd = random.Random(11)
+    shared = [f"s{i}" for i in range(170)]
+    own = lambda k: [f"v{k}x{i}" for i in range(21)]
+    texts = [" ".join(shared + own(k)) for k in range(400)]
+    for k in rnd.sample(range(400), 25):
+        texts.append(" ".join(shared + own(k)[:2] + own(k + 2000)[2:]))
+    texts += [" ".join(shared + own(1000) + [f"c{k}"]) for k in range(90)]
+    rnd.shuffle(texts)
+    return texts
+
+
+def test_near_duplicates_in_large_buckets(spark):
+    texts = crowded_texts()
+    hashes, offsets = hashing.word_hashes([t.encode() for t in texts])
+    bags = [near_dedup.multiset(hashes[s:e]) for s, e in zip(offsets, offsets[1:])]
+    # Every shingle occurs once in its text, so sets do.
+    sets = [set(b[0].tolist()) for b in bags]
+    root = list(range(len(texts)))
+    close = 0
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            s = both / (len(sets[i]) + len(sets[j]) - both)
+            close += 0.75 <= s < 0.8
+            if s >= 0.8:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    got = rows(near_dedup.digest(frame(spark, texts)))
+    assert close > 50_000
+    assert {i: got[i].class_id for i in got} == {i: find(i) for i in range(len(texts))}
+
+
+def test_elements_keep_similarity():
+    rnd = random.Random(12)
+    for _ in range(20):
+        raws = [" ".join(rnd.choice("abc") for _ in range(rnd.randint(1, 60))).encode() for _ in range(2)]
+        hashes, offsets = hashing.word_hashes(raws)
+        bags = [near_dedup.multiset(hashes[s:e]) for s, e in zip(offsets, offsets[1:])]
+        a, b = (set(near_dedup.elements(x).tolist()) for x in bags)
+        assert len(a) == bags[0][1].sum() and len(a & b) / len(a | b) == near_dedup.similarity(*bags)
+
+
 def test_deduplicate_repeated_and_null_ids(spark):
     texts = ["one two three four five six"] * 4 + [None, None, "seven eight", "seven eight"]
     kept = near_dedup.deduplicate(frame(spark, texts, [3, 3, 5, None, 3, 9, None, None])).collect()

@@ -17,19 +17,24 @@ repeated rows and extra columns pass through.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.llm.common import crc_mod, utf8
+from lexiloom.llm.hashing import mix
 
-#: The sample: at most one document for each language and each of SLOTS hash slots, this many characters of each.
+#: The sample: at most one document for each language and each of SLOTS hash slots; of their texts, cut whole into
+#: pieces of at most SAMPLE_CHARS characters, those with the least hashes, so that they come from all parts.
 SLOTS, SAMPLE_CHARS = 64, 640
-#: Characters of sample over all languages, which bounds the table to about 130 MB.
+#: Characters of sample over all languages, which bounds the table to about 130 MB, but that each language has a piece.
 TOTAL_CHARS = 400_000
+#: The length of pieces where many languages share TOTAL_CHARS.
+LEAST_CHARS = 64
 ALPHABET = 62
 PIECE = 256
 #: Symbols parsed together.
@@ -178,18 +183,44 @@ def build(samples: dict[str, str]) -> CrossParser:
     return parser
 
 
+def piece_size(languages: int) -> tuple[int, int]:
+    """The length of a piece of sample and the number of pieces of each language."""
+    share = TOTAL_CHARS // max(1, languages)
+    size = max(LEAST_CHARS, min(SAMPLE_CHARS, share // 16))
+    return size, max(1, share // size)
+
+
+def _pieces(size: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(l, h, t) to (l, rank, t): of each text the pieces that rank first by hash."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[str, int, str]] = []
+            for name, h, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                t = raw.decode("utf-8", "replace")
+                ranks = mix(np.arange(-(-len(t) // size), dtype=np.uint64) + mix(np.array([h], np.int64).view(np.uint64))).view(np.int64)
+                out += [(name, int(ranks[i]), t[i * size : (i + 1) * size]) for i in np.argsort(ranks, kind="stable")[:most].tolist()]
+            columns = [pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, ["l", "rank", "t"])
+
+    return cut
+
+
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 4, held_out: int = 2) -> CrossParser:
     """Builds the parser from a bounded sample of labelled rows outside the held-out fold of crc32(id)."""
     rows = docs.select(F.col(doc_id).cast("long").alias("k"), F.col(lang).cast("string").alias("l"), docs[text].alias("t"))
     rows = rows.where(F.col("l").isNotNull() & F.col("t").isNotNull() & (crc_mod(F.col("k"), folds) != held_out)).withColumn("h", F.xxhash64("k"))
     chosen = rows.groupBy("l", F.pmod("h", F.lit(SLOTS)).alias("slot")).agg(F.min("h").alias("h")).select("l", "h")
     # At most SLOTS rows for each language, so the broadcast is bounded by the number of languages.
-    found = rows.join(F.broadcast(chosen), ["l", "h"]).select("l", "h", F.substring("t", 1, SAMPLE_CHARS).alias("t")).dropDuplicates(["l", "h"]).collect()
+    found = rows.join(F.broadcast(chosen), ["l", "h"]).select("l", "h", utf8(F.col("t")).alias("t")).dropDuplicates(["l", "h"])
+    size, most = piece_size(chosen.select("l").distinct().count())
+    ranked = found.mapInArrow(_pieces(size, most), "l string, rank long, t string")
+    # At most SLOTS * most pieces for each language.
+    best = ranked.withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("rank", "t"))).where(F.col("n") <= most).collect()
     samples: dict[str, list[str]] = {}
-    for r in sorted(found, key=lambda r: (r.l, r.h)):
+    for r in sorted(best, key=lambda r: (r.l, r.n)):
         samples.setdefault(r.l, []).append(r.t)
-    limit = TOTAL_CHARS // max(1, len(samples))
-    return build({name: "\n".join(parts)[:limit] for name, parts in samples.items()})
+    return build({name: "\n".join(parts) for name, parts in samples.items()})
 
 
 def identify(docs: DataFrame, parser: CrossParser, text: str = "text", out: str = "language") -> DataFrame:

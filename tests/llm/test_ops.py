@@ -290,6 +290,21 @@ def test_language_id(spark, nothing):
     assert {r.lang_pred for r in language_id.digest(docs.selectExpr("doc_id", "text", "cast(null as string) as lang")).collect()} == {"und"}
 
 
+def test_language_samples_are_no_prefixes(spark, monkeypatch):
+    rnd = random.Random(6)
+    make = {"en": ["the", "thing", "other"], "fr": ["le", "été", "que"]}
+    body = lambda lang, n: " ".join(rnd.choice(make[lang]) for _ in range(n))
+    learned = [(i, "zzz kkk " * 100 + body(lang, 400), lang) for i in range(40) for lang in [("en", "fr")[i % 2]]]
+    asked = [(100 + i, body(lang, 30), None) for i in range(20) for lang in [("en", "fr")[i % 2]]]
+    docs = spark.createDataFrame(learned + asked, "doc_id long, text string, lang string")
+    right = [("en", "fr")[i % 2] for i in range(20)]
+    got = rows(language_id.digest(docs))
+    assert [got[100 + i].lang_pred for i in range(20)] == right
+    assert [language_id.piece_size(n) for n in (1, 10, 1000, 10**6)] == [(640, 625), (640, 62), (64, 6), (64, 1)]
+    monkeypatch.setattr(language_id, "TOTAL_CHARS", 1)
+    assert all(cost > 1 for cost in language_id.train(docs).costs)
+
+
 # ---- media
 
 

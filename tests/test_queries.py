@@ -4,6 +4,7 @@ import pytest
 
 from lexiloom.functions.config import AnalyzerConfig
 from lexiloom.operators import evaluate, index, phrase, tolerant
+from lexiloom.plans import catalogue
 from lexiloom.plans.workbench import Collection
 from lexiloom.sources import collection as sources
 from lexiloom.streaming import ingest
@@ -95,6 +96,43 @@ def test_tolerant(plain):
     assert set(tolerant.default_queries(plain.terms)) == {"wildcard", "spelling", "phonetic"}
 
 
+def brute_soundex(term):
+    digits = {c: d for d, cs in zip("123456", ("BFPV", "CGJKQSXZ", "DT", "L", "MN", "R")) for c in cs}
+    upper = term.upper()
+    out, last = upper[0], digits.get(upper[0], "")
+    for c in upper[1:]:
+        d = digits.get(c, "")
+        out += d if d != last else ""
+        last = d
+    return (out + "000")[:4]
+
+
+def brute_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, before = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_whole_vocabulary(spark, tmp_path):
+    words = "schön schon été étés naïve señor señores thanedble thañedble tänzer straße über übers mañana Дом дома boxes córpora attion áttion 42 x9"
+    spark.createDataFrame([(i, w) for i, w in enumerate([words, "schöne " + words])], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: getattr(catalogue, name)(spark, str(tmp_path)).collect()
+    terms = {w.lower() for w in words.split()} | {"schöne"}
+    letters = {w for w in terms if w.isalpha()}
+    codes = {(r.code, t) for r in run("soundex_index_all") for t in r.terms.split(",")}
+    assert codes == {(brute_soundex(w), w) for w in letters}
+    assert [r.term for r in run("phonetic_all")] == sorted(w for w in letters if brute_soundex(w) == brute_soundex(catalogue.NAME))
+    queries = [catalogue.WORD, "attoin", "thanedbel", *catalogue.ACCENTED]
+    near = {(q, w, brute_distance(q, w)) for q in queries for w in terms if brute_distance(q, w) <= 2}
+    assert {tuple(r) for r in run("spell_join_all")} == near and ("señro", "señor", 2) in near
+    lemmas = {r.term: r.lemma for r in run("lemmas_all")}
+    assert terms <= set(lemmas) and lemmas["étés"] == "étés" and lemmas["boxes"] == "box"
+    assert {"soundex_index_all", "phonetic_all", "spell_join_all", "lemmas_all"} <= set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)
+
+
 def test_stages(plain, docs):
     row = plain.stages(0).first()
     assert row.stage1_hyphen.startswith("Web scale") and row.stage4_stop[:2] == ["web", "scale"]

@@ -86,7 +86,7 @@ class CrossParser:
     def read(self, text: str) -> np.ndarray:
         """A text's symbols; 0 stands for anything between letters."""
         points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        found = self.symbols[np.minimum(points, len(self.symbols) - 1)]
+        found = self.symbols[points]
         gap = found == 0
         gap[1:] &= gap[:-1].copy()
         gap[:1] = False
@@ -157,11 +157,9 @@ def build(samples: dict[str, str]) -> CrossParser:
                 letters[c] = letters.get(c, 0) + 1
     alphabet = sorted(letters, key=lambda c: (-letters[c], c))[:ALPHABET]
     width = len(alphabet) + 2
-    symbols = np.fromiter((width - 1 if chr(i).isalpha() else 0 for i in range(1 << 16)), np.int32, 1 << 16)
+    symbols = np.fromiter((width - 1 if chr(i).isalpha() else 0 for i in range(0x110000)), np.int32, 0x110000)
     for i, c in enumerate(alphabet):
-        if ord(c) < len(symbols):
-            symbols[ord(c)] = i + 1
-    symbols = np.append(symbols, np.int32(width - 1))
+        symbols[ord(c)] = i + 1
     parser = CrossParser(languages, symbols, width, np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0))
     tables, starts, costs, base = [], [], [], 0
     for name in languages:

@@ -290,6 +290,12 @@ def test_language_id(spark, nothing):
     assert {r.lang_pred for r in language_id.digest(docs.selectExpr("doc_id", "text", "cast(null as string) as lang")).collect()} == {"und"}
 
 
+def test_language_of_high_code_points():
+    parser = language_id.build({"en": "the thing other", "got": "𐌰𐌽𐌰 𐌸𐌰𐌽𐌰"})
+    assert parser.predict(["😀 12 🚀", "𝄞"]) == [("und", 0.0)] * 2
+    assert parser.predict(["𐌸𐌰𐌽𐌰 😀"])[0][0] == "got"
+
+
 def test_language_samples_are_no_prefixes(spark, monkeypatch):
     rnd = random.Random(6)
     make = {"en": ["the", "thing", "other"], "fr": ["le", "été", "que"]}

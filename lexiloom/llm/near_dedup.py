@@ -256,7 +256,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     numbered = raw.select("id", "raw", node_column(F.col("raw")).alias("node")).where("node is not null")
     spent = [rows_path, nodes_path]
 
-    def settle(chosen: DataFrame, roots: DataFrame | None) -> DataFrame | None:
+    def settle(chosen: DataFrame, roots: DataFrame) -> DataFrame:
         """Roots with the links among the chosen pairs added."""
         chosen, path = write_shared(chosen, "chosen")
         spent.append(path)
@@ -265,8 +265,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         ends = chosen.select(F.col("u").alias("node")).union(chosen.select("v")).distinct()
         found, path = write_shared(_verified(chosen, _texts(numbered, ends, nodes)), "links")
         spent.append(path)
-        found = found.union(roots.select("u", F.col("root").alias("v"))) if roots is not None else found
-        roots, path = components(found, "roots")
+        roots, path = components(found.union(roots.select("u", F.col("root").alias("v"))), "roots")
         spent.append(path)
         return roots
 
@@ -276,20 +275,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     spent.append(path)
     ends = first.select("u", "estimate", F.struct("u", "v").alias("pair")).union(first.select("v", "estimate", F.struct("u", "v")))
     best = ends.groupBy("u").agg(F.max_by("pair", F.struct("estimate", "pair")).alias("pair")).select("pair.*").distinct()
-    roots = settle(best, None)
-    if roots is not None:
-        pairs, crowd, paths = _second_pairs(bands, roots)
+    roots = settle(best, spark.createDataFrame([], "u long, root long"))
+    pairs, crowd, paths = _second_pairs(bands, roots)
+    spent.extend(paths)
+    if not crowd.isEmpty():
+        more, paths = _crowd_pairs(crowd, _texts(numbered, crowd.select("node"), nodes))
         spent.extend(paths)
-        if not crowd.isEmpty():
-            more, paths = _crowd_pairs(crowd, _texts(numbered, crowd.select("node"), nodes))
-            spent.extend(paths)
-            pairs = pairs.union(more).distinct()
-        roots = settle(_likely(pairs, nodes).select("u", "v").union(_apart(first.select("u", "v"), roots)).distinct(), roots)
-    rooted = nodes.select("node", "n", "id")
-    if roots is not None:
-        rooted = rooted.join(roots.withColumnRenamed("u", "node"), "node", "left").select("node", "n", "id", F.coalesce("root", "node").alias("root"))
-    else:
-        rooted = rooted.withColumn("root", F.col("node"))
+        pairs = pairs.union(more).distinct()
+    roots = settle(_likely(pairs, nodes).select("u", "v").union(_apart(first.select("u", "v"), roots)).distinct(), roots)
+    rooted = nodes.join(roots.withColumnRenamed("u", "node"), "node", "left").select("node", "n", "id", F.coalesce("root", "node").alias("root"))
     named = rooted.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("n").alias("class_size"))
     of_node, path = write_shared(rooted.select("node", "root").join(named, "root"), "classes")
     spent.append(path)

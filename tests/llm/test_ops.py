@@ -529,6 +529,14 @@ def test_near_duplicates_in_large_buckets(spark):
     assert {i: got[i].class_id for i in got} == {i: find(i) for i in range(len(texts))}
 
 
+def test_second_pass_without_first_links(spark, monkeypatch):
+    first = near_dedup._first_pairs
+    monkeypatch.setattr(near_dedup, "_first_pairs", lambda bands: (first(bands)[0].where("false"), first(bands)[1]))
+    line = " ".join(f"w{i}" for i in range(60))
+    got = rows(near_dedup.digest(frame(spark, [line, line + " x", "other words"])))
+    assert [got[i].class_id for i in range(3)] == [0, 0, 2]
+
+
 def test_elements_keep_similarity():
     rnd = random.Random(12)
     for _ in range(20):

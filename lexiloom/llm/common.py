@@ -33,28 +33,37 @@ def crc_mod(column: Column, n: int) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local default only where none is set."""
+    """The folder that driver and executors share; where none is set, a default of one machine, for a local master only."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "/tmp/lexiloom-shared"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def write_shared(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Writes a table to the shared folder, cutting lineage; returns its reader and its path."""
+    """Writes a table to the shared folder, cutting lineage; returns its reader and its path. What is not deleted before goes with the driver."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lexiloom-{name}-{uuid.uuid4().hex}"
+    files, where = _files(spark, path)
     df.write.parquet(path)
+    files.deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path), path
 
 
 def delete_shared(spark: SparkSession, *paths: str) -> None:
     """Removes intermediate tables once nothing reads them any more."""
     for path in paths:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        files, where = _files(spark, path)
+        files.delete(where, True)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

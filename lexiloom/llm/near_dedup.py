@@ -8,26 +8,30 @@ earliest point in each of SIZE components is the signature, so two signatures ag
 with a probability equal to the weighted Jaccard similarity, without bias. Points are drawn in
 order of time and stop once they are later than every component's best.
 
-1. Documents with equal words are one node (exact copies cost nothing further).
-2. BANDS bands of ROWS components put nodes into buckets. In a bucket, every node is paired with the
-   least one: as many pairs as nodes, not their square, and in a group of near copies mostly the
-   same few.
-3. Pairs whose signatures agree enough are verified by the overlap of their multisets: first each
-   node's best pair; then all other pairs whose ends are not connected yet, and with them those of
-   a second pass over buckets that hold several classes. In a bucket of up to WHOLE nodes, those
-   outside its largest class are paired with all others. The nodes of larger buckets are paired where
-   the prefixes of their multisets, rarest shingles first, meet: no pair at 0.8 is left out.
-4. Links are merged to connected components; a class is named by its smallest doc_id.
-
-A pair at similarity 0.8 shares no bucket with probability (1 - 0.8^5)^32 = 3e-6.
+1. Documents with equal words are one node, by 128 bits of digest; exact copies cost nothing further.
+2. BANDS bands of ROWS components put nodes into buckets; only buckets of several nodes go on, and one
+   text of each of their nodes is fetched, once.
+3. First pass: each node is verified against one hub, the node that is the least in most of its buckets.
+   In a group of near copies this settles nearly all, in as many comparisons as there are nodes.
+4. Second pass: buckets that still hold several classes are compared whole, but that nodes of the bucket's
+   largest class are not compared with each other. Larger buckets are dealt into blocks of bounded size,
+   and every block meets every other in a task of its own. A task first compares signatures (a pair counts
+   in the first band that it shares only), a second one the multisets of the pairs that may reach
+   SIMILARITY. Pairs are rows of no table: tasks take nodes and return the links that connect them.
+5. Links are merged to connected components; a class is named by its smallest doc_id.
+
+A pair at similarity 0.8 shares no bucket with probability (1 - 0.8^5)^32 = 3e-6, and falls below ESTIMATE with
+less than 1e-6; all other pairs at 0.8 are verified, or their ends are connected by verified links. Where
+a bucket holds many different texts that are not linked, the comparisons grow with the square of their number.
 
 Edge cases: fewer than five words are one shingle; texts without words match only the same text, and
 null and empty texts match nothing; rows with a null id belong to their text's class and never name
-it; repeated rows are copies of each other; an empty table gives an empty result.
+it; repeated rows are copies of each other; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -45,8 +49,10 @@ BANDS, ROWS = 32, 5
 SIZE = BANDS * ROWS
 #: Signatures (whose agreement has a standard deviation of 0.032 at 0.8) that agree less are not verified.
 ESTIMATE = 0.64
-#: Buckets up to this size are compared whole in the second pass.
-WHOLE = 64
+#: Nodes, and bytes of their texts, in a block of a bucket.
+BLOCK, BLOCK_BYTES = 1024, 4 << 20
+#: Bytes of text in a file of the texts fetched.
+FILE_BYTES = 32 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MARK = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -106,63 +112,28 @@ def node_key(raw: bytes | None) -> bytes | None:
     return hashlib.md5(b" ".join(tokens) if tokens else b"\0" + raw).digest()
 
 
-def _node(key: bytes | None) -> int | None:
-    return None if key is None else int.from_bytes(key[:8], "little", signed=True)
+_SIGNED = "id long, tag long, low long, high long, size long, sign binary"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, raw) to (id, node, signature); the signature is null for texts without words."""
+    """(id, tag, raw) to ids with the node's key in two halves, the text's size and, once a batch for each node that has words, the signature."""
     for batch in batches:
-        raws = [x.as_py() or b"" for x in batch.column(1)]
-        nodes, signs = [_node(node_key(x)) for x in raws], [None] * len(raws)
+        raws = [x.as_py() or b"" for x in batch.column(2)]
+        keys, signs = [node_key(x) for x in raws], [None] * len(raws)
         first: dict = {}
-        for i, node in enumerate(nodes):
-            first.setdefault(node, i)
-        chosen = sorted(i for node, i in first.items() if node is not None)
+        for i, key in enumerate(keys):
+            if key is not None:
+                first.setdefault(key, i)
+        chosen = sorted(first.values())
         for a, b in slices([raws[i] for i in chosen]):
             part = chosen[a:b]
             hashes, offsets = word_hashes([raws[i] for i in part])
             bags = [multiset(hashes[s:e]) for s, e in zip(offsets, offsets[1:])]
             for i, bag, sign in zip(part, bags, signatures(bags)):
                 signs[i] = sign.tobytes() if len(bag[0]) else None
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array([signs[first[n]] if n is not None else None for n in nodes], pa.binary())], ["id", "node", "sign"])
-
-
-def node_column(text: Column) -> Column:
-    """The number of a text's node; null for empty texts."""
-
-    @F.arrow_udf("bigint")
-    def numbered(texts: pa.Array) -> pa.Array:
-        return pa.array([_node(node_key(x.as_py())) for x in texts], pa.int64())
-
-    return numbered.asNondeterministic()(utf8(text))
-
-
-def _first_pairs(bands: DataFrame) -> tuple[DataFrame, str]:
-    """Every node with the least node of each of its buckets, often the same one; and the path of the buckets."""
-    least = bands.groupBy("band").agg(F.min("node").alias("other"), F.max("node").alias("last")).where("other <> last").select("band", "other")
-    buckets, path = write_shared(least, "buckets")
-    return bands.join(buckets, "band").where("node <> other").select(F.col("node").alias("u"), F.col("other").alias("v")).distinct(), path
-
-
-def _second_pairs(bands: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Of buckets that hold several classes: if small, the pairs of nodes outside the largest class with all others; if not, their nodes and roots."""
-    sizes = roots.groupBy("root").agg((F.count("*") + 1).alias("size"))
-    placed = roots.select(F.col("u").alias("node"), "root").union(sizes.select(F.col("root").alias("node"), "root")).join(sizes, "root")
-    home = F.shiftleft(F.col("size"), 32) + F.pmod(F.xxhash64("root"), F.lit(1 << 32))
-    placed = bands.join(placed.select("node", "root", home.alias("own")), "node", "left")
-    alone = F.pmod(F.xxhash64("node"), F.lit(1 << 32))
-    placed = placed.select("node", "band", F.coalesce("root", "node").alias("root"), F.coalesce("own", alone).alias("own"))
-    found = placed.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.max("own").alias("home"), F.count("*").alias("n"))
-    buckets, path = write_shared(found.where("r1 <> r2").drop("r1", "r2"), "buckets")
-    little = buckets.where(F.col("n") <= WHOLE)
-    small = placed.join(little.select("band"), "band").groupBy("band").agg(F.collect_list("node").alias("all"))
-    outside = placed.join(little, "band").where("own <> home")
-    whole = outside.select("node", "band").join(small, "band").select("node", F.explode("all").alias("other")).where("node <> other")
-    whole = whole.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v"))
-    crowd = placed.join(buckets.where(F.col("n") > WHOLE).select("band"), "band").select("node", "root").distinct()
-    crowd, crowd_path = write_shared(crowd, "crowd")
-    return _apart(whole.distinct(), roots), crowd, [path, crowd_path]
+        half = lambda k: pa.array([None if x is None else int.from_bytes(x[k : k + 8], "little", signed=True) for x in keys], pa.int64())
+        columns = [batch.column(0), batch.column(1), half(0), half(8), pa.array([len(x) for x in raws], pa.int64()), pa.array(signs, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["id", "tag", "low", "high", "size", "sign"])
 
 
 def elements(bag: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -172,147 +143,192 @@ def elements(bag: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return mix(np.repeat(bag[0], bag[1]) + place.astype(np.uint64) * _STEP).astype(np.int64)
 
 
-def _element_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, root, raw) to (node, root, items)."""
-    for batch in batches:
-        raws = [x.as_py() for x in batch.column(2)]
-        for a, b in slices(raws):
-            hashes, offsets = word_hashes(raws[a:b])
-            items = [elements(multiset(hashes[s:e])) for s, e in zip(offsets, offsets[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(items, pa.list_(pa.int64()))], ["node", "root", "items"])
-
+class _Forest:
+    """Classes of the numbers below n, and the links that made them."""
+
+    def __init__(self, labels: np.ndarray) -> None:
+        _, self.of = np.unique(labels, return_inverse=True)
+        self.links: list[tuple[int, int]] = []
+
+    def link(self, u: int, v: int) -> None:
+        a, b = self.of[u], self.of[v]
+        if a != b:
+            self.of[self.of == b] = a
+            self.links.append((u, v))
+
+
+_PAIRED = "bucket long, a int, b int, node long, root long, partners array<long>"
+
+
+def _candidates(table: pa.Table) -> pa.Table:
+    """Of the nodes of a block, or of two: those with partners of other classes whose signatures agree enough."""
+    node, root, own = (table.column(c).to_numpy() for c in ("node", "root", "own"))
+    signs = np.frombuffer(b"".join(x.as_py() for x in table.column("sign")), np.uint16).reshape(-1, SIZE)
+    bucket, band, a, b = (table.column(c)[0].as_py() for c in ("bucket", "band", "a", "b"))
+    order = np.argsort(node)
+    node, root, own, signs = node[order], root[order], own[order], signs[order]
+    partners: dict[int, np.ndarray] = {}
+    every = np.arange(len(node))
+    least = np.uint8(np.ceil(ESTIMATE * SIZE - 1e-9))
+    for u in every[own == a]:
+        other = every[(root != root[u]) & ((own == b) if a != b else (every > u))]
+        same = signs[other] == signs[u]
+        likely = same.sum(1, dtype=np.uint8) >= least
+        other, same = other[likely], same[likely].reshape(-1, BANDS, ROWS).all(2)
+        other = other[same.argmax(1) == band]
+        if len(other):
+            partners[int(u)] = node[other]
+    wanted = np.zeros(len(node), bool)
+    wanted[list(partners)] = True
+    wanted |= np.isin(node, np.concatenate([*partners.values(), node[:0]]))
+    kept = every[wanted]
+    n = len(kept)
+    return pa.table(
+        {
+            "bucket": np.full(n, bucket, np.int64), "a": np.full(n, a, np.int32), "b": np.full(n, b, np.int32), "node": node[kept], "root": root[kept],
+            "partners": pa.array([partners.get(int(u), node[:0]) for u in kept], pa.list_(pa.int64())),
+        }
+    )
+
+
+def _verified(table: pa.Table) -> pa.Table:
+    """Of nodes with texts and partners: the links between similar partners that connect classes."""
+    node = table.column("node").to_numpy()
+    forest = _Forest(table.column("root").to_numpy())
+    place = {int(x): i for i, x in enumerate(node)}
+    partners = [np.array([place[x] for x in p], np.int64) for p in table.column("partners").to_pylist()]
+    hashes, offsets = word_hashes([x.as_py() for x in table.column("raw")])
+    sets = [elements(multiset(hashes[s:e])) for s, e in zip(offsets, offsets[1:])]
+    sizes = np.array([len(x) for x in sets])
+    ends = np.cumsum(sizes)
+    items, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(items), np.int32)
+    for u in sorted(range(len(node)), key=lambda i: -len(partners[i])):
+        other = partners[u][forest.of[partners[u]] != forest.of[u]]
+        other = other[np.minimum(sizes[other], sizes[u]) >= SIMILARITY * np.maximum(sizes[other], sizes[u]) - 1e-6]
+        if not len(other):
+            continue
+        mine = flat[ends[u] - sizes[u] : ends[u]]
+        mark[mine] = 1
+        cuts = np.cumsum(sizes[other]) - sizes[other]
+        places = np.arange(int(sizes[other].sum())) + np.repeat(ends[other] - sizes[other] - cuts, sizes[other])
+        both = np.add.reduceat(mark[flat[places]], cuts)
+        mark[mine] = 0
+        for v in other[both >= SIMILARITY * (sizes[other] + sizes[u] - both) - 1e-9]:
+            forest.link(u, int(v))
+    links = np.array(forest.links, np.int64).reshape(-1, 2)
+    return pa.table({"u": node[links[:, 0]], "v": node[links[:, 1]]})
+
+
+def _blocks(n: Column, size: Column) -> Column:
+    """The number of blocks for n nodes with texts of so many bytes."""
+    return F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
+
+
+def _block(node: Column, blocks: Column) -> Column:
+    return F.pmod(F.xxhash64(node), blocks).cast("int")
+
+
+def _first_pass(shared: DataFrame) -> DataFrame:
+    """Every node with its hub, and the hub itself, in blocks."""
+    met = shared.where("node <> least").groupBy("node", "size", "least").agg(F.count("*").alias("c"))
+    paired = met.groupBy("node", "size").agg(F.max_by("least", F.struct("c", "least")).alias("hub"))
+    hubs = paired.groupBy("hub").agg(_blocks(F.count("*"), F.sum("size")).alias("blocks"))
+    spokes = paired.join(hubs, "hub").select(F.col("hub").alias("bucket"), _block(F.col("node"), F.col("blocks")).alias("a"), "node", F.array("hub").alias("partners"))
+    centres = hubs.select(F.col("hub").alias("bucket"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("a"), F.col("hub").alias("node"), F.array().cast("array<long>"))
+    return spokes.union(centres).select("bucket", "a", F.lit(0).alias("b"), "node", F.col("node").alias("root"), "partners")
+
+
+def _second_pass(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """The nodes of buckets of several classes, in all pairs of blocks that hold pairs to compare."""
+    placed = shared.drop("least").join(roots.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    classes = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    mixed = classes.groupBy("bucket").agg(F.max(F.struct("n", "root", "bytes")).alias("home"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count("*").alias("classes"))
+    mixed = mixed.where("classes > 1").select(
+        "bucket", F.col("home.root").alias("home"), _blocks(F.col("n") - F.col("home.n"), F.col("bytes") - F.col("home.bytes")).alias("outer"),
+        _blocks(F.col("home.n"), F.col("home.bytes")).alias("inner"),
+    )
+    dealt = placed.join(mixed, "bucket")
+    at_home = F.col("root") == F.col("home")
+    own = F.when(at_home, F.col("outer") + _block(F.col("node"), F.col("inner"))).otherwise(_block(F.col("node"), F.col("outer")))
+    others = F.when(at_home, F.sequence(F.lit(0), F.col("outer") - 1)).otherwise(F.sequence(F.lit(0), F.col("outer") + F.col("inner") - 1))
+    met = dealt.select("bucket", "band", "node", "root", own.alias("own"), F.explode(others).alias("other"))
+    return met.select("bucket", "band", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "node", "root")
+
+
+def _classes(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """All rows (id, tag, low, high); nodes by (low, high) with class (root), the class's smallest id, number of rows and first row; and the tables behind them."""
+    spark = docs.sparkSession
+    spent: list[str] = []
 
-def _crowd_pairs(crowd: DataFrame, texts: DataFrame) -> tuple[DataFrame, list[str]]:
-    """All pairs (u > v) of different classes of a crowd that can reach SIMILARITY, by prefixes.
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df, path = write_shared(df, name)
+        spent.append(path)
+        return df
+
+    raw = docs.select(F.col(doc_id).cast("long").alias("id"), utf8(docs[text]).alias("raw")).withColumn("tag", F.xxhash64("raw"))
+    rows = kept(raw.select("id", "tag", "raw").mapInArrow(_sign, _SIGNED), "signatures")
+    # The least row that has an id stands for the node.
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tag")).alias("first")
+    grouped = rows.where("low is not null").groupBy("low", "high").agg(F.any_value("sign", F.lit(True)).alias("sign"), F.max("size").alias("size"), first, F.count("*").alias("n"))
+    nodes = kept(grouped.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    width = 2 * ROWS
+    keys = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(sign, i * {width} + 1, {width})))")
+    bands = nodes.where("sign is not null").select("node", "size", F.posexplode(keys).alias("band", "bucket"))
+    least = bands.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("last")).where("least <> last").drop("last")
+    # Few rows are left of many; rebalanced, they make few files.
+    shared = kept(bands.join(least, "bucket").hint("rebalance"), "buckets")
+    several = shared.select("node", "size").distinct()
+    files = 1 + (several.agg(F.sum("size")).first()[0] or 0) // FILE_BYTES
+    wanted = several.select("node").join(nodes, "node").select("node", F.coalesce("first.id", F.lit(0)).alias("id0"), F.col("first.none").alias("none"), F.col("first.tag").alias("tag"))
+    sources = raw.select(F.coalesce("id", F.lit(0)).alias("id0"), F.col("id").isNull().alias("none"), "tag", "raw")
+    texts = kept(sources.join(wanted, ["id0", "none", "tag"]).dropDuplicates(["id0", "none", "tag"]).select("node", "raw").repartition(files, "node"), "texts")
+
+    def settle(batches: DataFrame, before: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+        """The links among the batches' pairs, and the roots with them and the links before."""
+        found = batches.join(texts, "node").groupBy("bucket", "a", "b").applyInArrow(_verified, "u long, v long")
+        found = kept(found, "links")
+        roots, path = components(functools.reduce(DataFrame.union, before, found), "roots")
+        spent.append(path)
+        return found, roots
 
-    With elements in any one order, two sets that are similar enough share an element of their first
-    n - ceil(SIMILARITY n) + 1. The rarest come first, so that what a template gives to all its texts
-    comes last. An element that only one node has counts in the prefix, but pairs nothing.
-    """
-    lists, path = write_shared(crowd.join(texts, "node").select("node", "root", "raw").mapInArrow(_element_lists, "node long, root long, items array<long>"), "elements")
-    single = lists.select("node", "root", F.size("items").alias("size"), F.explode("items").alias("item"))
-    shared = single.groupBy("item").agg(F.count("*").alias("df")).where("df > 1")
-    ordered = single.join(shared, "item").groupBy("node", "root", "size").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("items"))
-    length = F.col("size") - F.ceil(F.col("size") * SIMILARITY - 1e-6) + 1 - (F.col("size") - F.size("items"))
-    prefix = ordered.where(length > 0).select("node", "root", "size", F.explode(F.slice("items", F.lit(1), length.cast("int"))).alias("e"))
-    prefix, prefix_path = write_shared(prefix.select("node", "root", "size", F.col("e.item").alias("item")), "prefixes")
-    counts = prefix.groupBy("item", "root").agg(F.count("*").alias("n"))
-    home = counts.groupBy("item").agg(F.max(F.struct("n", "root")).alias("home"), F.count("*").alias("classes")).where("classes > 1")
-    mixed = prefix.join(home.select("item", F.col("home.root").alias("home")), "item")
-    outside = mixed.where("root <> home").select("item", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("size").alias("sa"))
-    # A pair outside the largest class is met from either end, so the smaller end is left out.
-    fits = (F.col("ra") != F.col("root")) & (F.least("sa", "size") >= F.greatest("sa", "size") * SIMILARITY - 1e-6)
-    met = outside.join(mixed, "item").where(fits & ((F.col("root") == F.col("home")) | (F.col("a") > F.col("node"))))
-    return met.select(F.greatest("a", "node").alias("u"), F.least("a", "node").alias("v")).distinct(), [path, prefix_path]
-
-
-def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs whose signatures agree enough, with the estimate."""
-
-    @F.arrow_udf("double")
-    def agreement(a: pa.Array, b: pa.Array) -> pa.Array:
-        x, y = (np.frombuffer(b"".join(v.as_py() for v in s), np.uint16).reshape(-1, SIZE) for s in (a, b))
-        return pa.array((x == y).mean(1) if len(x) else np.zeros(0), pa.float64())
-
-    signs = nodes.where("sign is not null").select("node", "sign")
-    joined = pairs.join(signs.select(F.col("node").alias("u"), F.col("sign").alias("su")), "u")
-    joined = joined.join(signs.select(F.col("node").alias("v"), F.col("sign").alias("sv")), "v")
-    return joined.select("u", "v", agreement.asNondeterministic()("su", "sv").alias("estimate")).where(F.col("estimate") >= ESTIMATE)
-
-
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (u, v) whose multisets overlap enough; texts: (node, raw), any one text of each node."""
-
-    @F.arrow_udf("double")
-    def overlap(a: pa.Array, b: pa.Array) -> pa.Array:
-        out = []
-        for x, y in zip(a, b):
-            hashes, offsets = word_hashes([x.as_py(), y.as_py()])
-            out.append(similarity(multiset(hashes[: offsets[1]]), multiset(hashes[offsets[1] :])))
-        return pa.array(out, pa.float64())
-
-    joined = pairs.join(texts.select(F.col("node").alias("u"), F.col("raw").alias("ru")), "u")
-    joined = joined.join(texts.select(F.col("node").alias("v"), F.col("raw").alias("rv")), "v")
-    return joined.select("u", "v", overlap.asNondeterministic()("ru", "rv").alias("similarity")).where(F.col("similarity") >= SIMILARITY).select("u", "v")
-
-
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs whose ends have different roots."""
-    r = roots.withColumnRenamed("root", "ru")
-    joined = pairs.join(r, "u", "left").join(r.select(F.col("u").alias("v"), F.col("ru").alias("rv")), "v", "left")
-    return joined.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).drop("ru", "rv")
+    links, roots = settle(_first_pass(shared), [])
+    dealt = _second_pass(shared, roots).join(nodes.select("node", "sign"), "node")
+    likely = kept(dealt.groupBy("bucket", "a", "b").applyInArrow(_candidates, _PAIRED), "candidates")
+    if not likely.isEmpty():
+        _, roots = settle(likely, [links])
+    rooted = nodes.drop("sign").join(roots.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = rooted.groupBy("root").agg(F.min("first").alias("named"), F.sum("n").alias("class_size"))
+    return rows.select("id", "tag", "low", "high"), rooted.select("low", "high", "node", "root").join(named, "root"), spent
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: its id, node (of equal texts), class (root), the class's smallest id and number of documents."""
-    spark = docs.sparkSession
-    raw = docs.select(F.col(doc_id).cast("long").alias("id"), utf8(docs[text]).alias("raw"))
-    rows, rows_path = write_shared(raw.mapInArrow(_sign, "id long, node long, sign binary"), "signatures")
-    grouped = rows.where("node is not null").groupBy("node")
-    nodes, nodes_path = write_shared(grouped.agg(F.any_value("sign").alias("sign"), F.min("id").alias("id"), F.count("*").alias("n")), "nodes")
-    width = 2 * ROWS
-    keys = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(sign, i * {width} + 1, {width})))")
-    bands = nodes.where("sign is not null").select("node", F.explode(keys).alias("band"))
-    numbered = raw.select("id", "raw", node_column(F.col("raw")).alias("node")).where("node is not null")
-    spent = [rows_path, nodes_path]
-
-    def settle(chosen: DataFrame, roots: DataFrame) -> DataFrame:
-        """Roots with the links among the chosen pairs added."""
-        chosen, path = write_shared(chosen, "chosen")
-        spent.append(path)
-        if chosen.isEmpty():
-            return roots
-        ends = chosen.select(F.col("u").alias("node")).union(chosen.select("v")).distinct()
-        found, path = write_shared(_verified(chosen, _texts(numbered, ends, nodes)), "links")
-        spent.append(path)
-        roots, path = components(found.union(roots.select("u", F.col("root").alias("v"))), "roots")
-        spent.append(path)
-        return roots
-
-    pairs, path = _first_pairs(bands)
-    spent.append(path)
-    first, path = write_shared(_likely(pairs, nodes), "pairs")
-    spent.append(path)
-    ends = first.select("u", "estimate", F.struct("u", "v").alias("pair")).union(first.select("v", "estimate", F.struct("u", "v")))
-    best = ends.groupBy("u").agg(F.max_by("pair", F.struct("estimate", "pair")).alias("pair")).select("pair.*").distinct()
-    roots = settle(best, spark.createDataFrame([], "u long, root long"))
-    pairs, crowd, paths = _second_pairs(bands, roots)
-    spent.extend(paths)
-    if not crowd.isEmpty():
-        more, paths = _crowd_pairs(crowd, _texts(numbered, crowd.select("node"), nodes))
-        spent.extend(paths)
-        pairs = pairs.union(more).distinct()
-    roots = settle(_likely(pairs, nodes).select("u", "v").union(_apart(first.select("u", "v"), roots)).distinct(), roots)
-    rooted = nodes.join(roots.withColumnRenamed("u", "node"), "node", "left").select("node", "n", "id", F.coalesce("root", "node").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("n").alias("class_size"))
-    of_node, path = write_shared(rooted.select("node", "root").join(named, "root"), "classes")
-    spent.append(path)
-    out = rows.select("id", "node").join(of_node, "node", "left").select(
-        F.col("id").alias("doc_id"), "node", "root", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
+    rows, nodes, spent = _classes(docs, doc_id, text)
+    out = rows.join(nodes, ["low", "high"], "left").select(
+        F.col("id").alias("doc_id"), "node", "root", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("named.id")).alias("class_id"),
         F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
-    )
+    )
     result, _ = write_shared(out, "near-duplicates")
-    delete_shared(spark, *spent)
+    delete_shared(docs.sparkSession, *spent)
     return result
 
 
-def _texts(numbered: DataFrame, ends: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One text of each of the nodes: of a row with the node's smallest id. Equal texts are dealt by id too, so none is hot."""
-    wanted = ends.join(nodes.select("node", F.col("id").alias("least")), "node").select(F.col("node").alias("wanted"), "least")
-    found = numbered.join(wanted, (F.col("node") == F.col("wanted")) & F.col("id").eqNullSafe(F.col("least")), "left_semi")
-    return found.select("node", "raw").dropDuplicates(["node"])
-
-
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without near-duplicates: of each class one with the smallest id stays; empty texts stay."""
-    node, own, key = fresh(docs, "near_node", "near_own", "near_key")
-    classes = near_duplicates(docs, doc_id, text).where("node is not null and doc_id <=> class_id")
-    keep = classes.groupBy("root").agg(F.min("node").alias(own), F.min("class_id").alias(key)).select(own, key)
-    numbered = docs.withColumn(node, node_column(docs[text]))
-    empty = numbered.where(F.col(node).isNull()).drop(node)
-    full = numbered.where(F.col(node).isNotNull())
-    same = (F.col(node) == F.col(own)) & F.col(doc_id).cast("long").eqNullSafe(F.col(key))
-    return full.join(keep, same, "left_semi").dropDuplicates([node, doc_id]).drop(node).unionByName(empty)
+    """The documents without near-duplicates: of each class one with the smallest id stays; empty texts stay.
+
+    The result reads a table of the rows that stay, of a few bytes each, kept until the driver ends.
+    """
+    tag, number, none = names = fresh(docs, "near_tag", "near_id", "near_null")
+    _, nodes, spent = _classes(docs, doc_id, text)
+    stay = nodes.select("named").distinct().select(F.col("named.tag").alias(tag), F.coalesce("named.id", F.lit(0)).alias(number), F.col("named.none").alias(none))
+    stay, _ = write_shared(stay, "stay")
+    delete_shared(docs.sparkSession, *spent)
+    own = F.col(f"`{doc_id}`").cast("long")
+    marked = docs.withColumns({tag: F.xxhash64(utf8(docs[text])), number: F.coalesce(own, F.lit(0)), none: own.isNull()})
+    empty = F.coalesce(F.length(utf8(docs[text])), F.lit(0)) == 0
+    full = marked.where(~empty).join(stay, names, "left_semi").dropDuplicates(names)
+    return full.drop(*names).unionByName(docs.where(empty))
 
 
 def digest(docs: DataFrame) -> DataFrame:

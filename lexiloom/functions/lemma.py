@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiloom.functions.batches import on_terms, on_tokens
+from lexiloom.functions.porter import stem
+
 # Suffixes of plural nouns and what replaces them.
 DETACHMENTS = (("s", ""), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"), ("ches", "ch"), ("shes", "sh"), ("men", "man"), ("ies", "y"))
 # A seed of irregular plurals, nouns and other words, in place of a full lexicon.
@@ -54,6 +57,43 @@ def lemma_map(vocabulary: DataFrame, lexicon: DataFrame, exceptions: DataFrame)
     return terms.join(irregular, "term", "left").join(known, "term", "left").select("term", F.coalesce("irregular", "noun", "term").alias("lemma"))
 
 
+#: Words of a lexicon and its exceptions up to which their forms (some ten for each) are sent to all executors.
+LEXICON_WORDS = 200_000
+
+
+def noun_forms(nouns, exceptions: dict[str, str]) -> dict[str, str]:
+    """Every form that has another lemma than itself; as lemma_map finds them, but from the lexicon's side."""
+    best: dict[str, tuple[int, str]] = {}
+    for noun in nouns:
+        for suffix, new in (*DETACHMENTS, ("", "")):
+            if noun.endswith(new):
+                form = noun[: len(noun) - len(new)] + suffix
+                best[form] = min(best.get(form, (len(noun), noun)), (len(noun), noun))
+    return {form: lemma for form, lemma in ({f: n for f, (_, n) in best.items()} | exceptions).items() if form != lemma}
+
+
+def lemma_forms(lexicon: DataFrame | None, exceptions: DataFrame | None) -> dict[str, str] | None:
+    """noun_forms of a lexicon and exceptions, or of the seed's; None if they have more than LEXICON_WORDS words."""
+    nouns, irregular = list(NOUNS), dict(EXCEPTIONS)
+    if lexicon is not None:
+        found = lexicon.where((F.col("pos") == "noun") & F.col("word").isNotNull()).select("word").distinct()
+        nouns = [r.word for r in found.limit(LEXICON_WORDS + 1).collect()]
+    if exceptions is not None:
+        found = exceptions.where("form is not null and lemma is not null").groupBy("form").agg(F.min("lemma").alias("lemma"))
+        irregular = {r.form: r.lemma for r in found.limit(LEXICON_WORDS + 1).collect()}
+    return None if len(nouns) + len(irregular) > LEXICON_WORDS else noun_forms(nouns, irregular)
+
+
+def lemma_terms(terms: Column, forms: dict[str, str]) -> Column:
+    """Lemmas of a string column."""
+    return on_terms(terms, lambda w: forms.get(w, w))
+
+
+def lemma_tokens(tokens: Column, forms: dict[str, str], stemmed: bool = False) -> Column:
+    """Lemmas of an array column, or their stems, in place: no join, no shuffle."""
+    return on_tokens(tokens, (lambda w: stem(forms.get(w, w))) if stemmed else (lambda w: forms.get(w, w)))
+
+
 def valid_terms(vocabulary: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Terms that the lexicon has, as any part of speech."""
     return vocabulary.join(lexicon.select(F.col("word").alias("term")).distinct(), "term", "left_semi")

@@ -5,9 +5,9 @@ from __future__ import annotations
 import functools
 import re
 
-import pyarrow as pa
 from pyspark.sql import Column
-from pyspark.sql import functions as F
+
+from lexiloom.functions.batches import on_terms, on_tokens
 
 # Irregular stems of the extended form.
 IRREGULAR = {
@@ -131,31 +131,11 @@ def stem(word: str, extensions: bool = True) -> str:
     return _last(_fourth(w))
 
 
-def _stemmed(values: pa.Array) -> pa.Array:
-    """Stems of an array of words: each distinct word of the batch once."""
-    coded = values.dictionary_encode()
-    stems = pa.array([None if x is None else stem(x) for x in coded.dictionary.to_pylist()], pa.string())
-    return stems.take(coded.indices)
-
-
 def stem_terms(terms: Column) -> Column:
     """Stems of a string column."""
-
-    @F.arrow_udf("string")
-    def stemmed(values: pa.Array) -> pa.Array:
-        return _stemmed(values.cast(pa.string()))
-
-    return stemmed(terms)
+    return on_terms(terms, stem)
 
 
 def stem_tokens(tokens: Column) -> Column:
-    """Stems of an array column, without exploding or shuffling it."""
-
-    @F.arrow_udf("array<string>")
-    def stemmed(values: pa.Array) -> pa.Array:
-        flat = _stemmed(values.flatten().cast(pa.string()))
-        sizes = values.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        offsets = pa.array([0, *sizes.cumsum().tolist()], pa.int32())
-        return pa.ListArray.from_arrays(offsets, flat)
-
-    return stemmed(tokens)
+    """Stems of an array column."""
+    return on_tokens(tokens, stem)

@@ -1,13 +1,16 @@
 """Text expressions: tokens, biwords, k-grams, Soundex. All are built-in columns that Catalyst sees through.
 
-The tokeniser is a fixed chain of regular expressions that Java and RE2 read alike, so that the same
-chain serves the DuckDB oracle. It follows the published word rules of treebank tokenisation as far
-as they matter once tokens that are not wholly letters and digits have been dropped. A period that
-ends a word always splits off; a list of abbreviations is not consulted.
+STEPS define the tokeniser: a chain of regular expressions that Java and RE2 read alike, which is what the
+DuckDB oracle runs. It follows the published word rules of treebank tokenisation as far as they matter
+once tokens that are not wholly letters and digits have been dropped. A period that ends a word always
+splits off; a list of abbreviations is not consulted. The column form takes the same tokens out of a
+text in one pass of one expression, TOKEN; rules for rare words apply only to texts that may hold one.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,35 +31,78 @@ STEPS = (
     *((rf"(?i)(^| ){w[: len(a)]}{w[len(a) :]}( |$)", f"$1{a} {b}$2") for w, (a, b) in ((w, p.split()) for w, p in SPLIT_WORDS.items())),
 )
 ALNUM, ALPHA = r"^[\p{L}\p{N}]+$", r"^\p{L}+$"
+#: The steps for contractions, which need an apostrophe.
+CONTRACTIONS = STEPS[5:7]
+
+# Where the chain leaves a space. Of a run of commas and colons it keeps the last with what follows, if that is a
+# digit, or if their number is even and what follows is not a space.
+_BLANK = r"[\s;@#$%&?!\"()\[\]{}<>«»“”„‘’`]"
+_HARD = rf"{_BLANK}|--|\.\.\."
+_COMMAS = rf"(?<![:,])(?:(?:[:,][:,])*+[:,](?![:,0-9])|(?:[:,][:,])++(?={_HARD}|\z)|[:,]+(?=[:,]))"
+_BEFORE = rf"{_HARD}|{_COMMAS}|\z"
+_GAP = rf"{_HARD}|{_COMMAS}|'(?={_BEFORE})|\.(?={_BEFORE}|'(?:{_BEFORE}))"
+#: A token of letters and digits with the gap that ends it, a gap, or a run of other characters. Only the first has a group.
+TOKEN = rf"([\p{{L}}\p{{N}}]++)(?:{_BLANK}++|{_GAP}|\z)|{_BLANK}++|{_GAP}|(?:(?!{_GAP})[\s\S])++"
 
 
 def hyphen_spaced(text: Column) -> Column:
-    return F.translate(text, "-", " ")
+    return F.replace(text, F.lit("-"), F.lit(" "))
+
+
+def _once(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _any(text: Column, words) -> Column:
+    return functools.reduce(lambda a, b: a | b, [text.contains(w) for w in words])
+
+
+def _split_words(tokens: Column) -> Column:
+    def parts(w: Column) -> Column:
+        out = F.array(w)
+        for word, two in SPLIT_WORDS.items():
+            out = F.when(F.lower(w) == word, F.array(*[F.lit(x) for x in two.split()])).otherwise(out)
+        return out
+
+    return F.flatten(F.transform(tokens, parts))
+
+
+def word_tokens(text: Column, lowered: bool = False) -> Column:
+    """All tokens that are wholly letters and digits. lowered: the text is in lower case already."""
+
+    def tokens(t: Column) -> Column:
+        plain = t
+        for pattern, replacement in CONTRACTIONS:
+            plain = F.regexp_replace(plain, pattern, replacement)
+        plain = F.when(t.contains("'"), plain).otherwise(t)
+        return F.array_remove(F.regexp_extract_all(plain, F.lit(TOKEN), F.lit(1)), "")
 
+    def whole(t: Column) -> Column:
+        rare = _any(t, SPLIT_WORDS) if lowered else _once(F.lower(t), lambda x: _any(x, SPLIT_WORDS))
+        return F.when(rare, _split_words(tokens(t))).otherwise(tokens(t))
 
-def word_tokens(text: Column) -> Column:
-    """All tokens that are wholly letters and digits."""
-    for pattern, replacement in STEPS:
-        text = F.regexp_replace(text, pattern, replacement)
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w.rlike(ALNUM))
+    return _once(F.coalesce(text, F.lit("")), whole)
 
 
-def without_stop_words(tokens: Column) -> Column:
-    return F.filter(tokens, lambda w: ~F.lower(w).isin(*STOP_WORDS))
+def without_stop_words(tokens: Column, lowered: bool = False) -> Column:
+    """lowered: the tokens are in lower case already."""
+    return F.filter(tokens, lambda w: ~(w if lowered else F.lower(w)).isin(*STOP_WORDS))
 
 
 def plain_tokens(text: Column, cfg: AnalyzerConfig) -> Column:
     """Tokens after hyphens, case and stop words, before normalisation."""
     text = hyphen_spaced(text) if cfg.hyphens else text
     text = F.lower(text) if cfg.lowercase else text
-    tokens = word_tokens(text)
-    return without_stop_words(tokens) if cfg.stopwords else tokens
+    tokens = word_tokens(text, cfg.lowercase)
+    return without_stop_words(tokens, cfg.lowercase) if cfg.stopwords else tokens
 
 
 def biwords(tokens: Column) -> Column:
     """Neighbouring pairs, joined by a space; none for fewer than two tokens."""
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, 2), " "))
-    return F.when(F.size(tokens) >= 2, pairs).otherwise(F.array().cast("array<string>"))
+    n = F.greatest(F.size(tokens) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(tokens, 1, n), F.slice(tokens, 2, n), lambda a, b: F.concat_ws(" ", a, b))
+    return F.when(n > 0, pairs).otherwise(F.array().cast("array<string>"))
 
 
 def kgrams(term: Column, k: int = 2) -> Column:

@@ -2,39 +2,63 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.functions.config import AnalyzerConfig
 from lexiloom.functions.text import comma_list
 from lexiloom.operators.analyze import analyzed
+from lexiloom.operators.index import inverted_index
 
 
-def lookup_terms(frame: DataFrame, entries: str, cfg: AnalyzerConfig) -> DataFrame:
+def lookup_terms(frame: DataFrame, entries: str, cfg: AnalyzerConfig, **lexical: DataFrame) -> DataFrame:
     """(ord, query_term, term): each entry's first analyzed token, or the entry in lower case if it has none."""
     spark = frame.sparkSession
     raw = spark.createDataFrame([(entries,)], "e string").select(F.posexplode(comma_list(F.col("e"))).alias("doc_id", "text"))
-    tokens = analyzed(raw, cfg).withColumnRenamed("doc_id", "ord")
+    tokens = analyzed(raw, cfg, **lexical).withColumnRenamed("doc_id", "ord")
     return raw.withColumnRenamed("doc_id", "ord").join(tokens, "ord").select(
         "ord", F.col("text").alias("query_term"), F.coalesce(F.get("tokens", F.lit(0)), F.lower("text")).alias("term")
     )
 
 
-def dictionary_lookup(tokens: DataFrame, entries: str, cfg: AnalyzerConfig = AnalyzerConfig()) -> DataFrame:
-    """(query_term, in_corpus, docs) for each entry of a comma-separated list.
+def dictionary_lookup(tokens: DataFrame, entries: str, cfg: AnalyzerConfig = AnalyzerConfig(), **lexical: DataFrame) -> DataFrame:
+    """(query_term, in_corpus, chunk, docs) for each entry of a comma-separated list; docs in chunks as in the index.
 
     The few terms are known when the plan is built, so the token table is filtered by them before it is
     shuffled, and the terms' documents are gathered for those terms alone.
     """
-    terms = lookup_terms(tokens, entries, cfg)
+    terms = lookup_terms(tokens, entries, cfg, **lexical)
     wanted = [r.term for r in terms.select("term").distinct().collect()]
-    found = tokens.where(F.col("term").isin(*wanted) if wanted else F.lit(False)).select("term", "doc_id").distinct()
-    docs = found.groupBy("term").agg(F.array_sort(F.collect_list("doc_id")).alias("docs"))
+    found = tokens.where(F.col("term").isin(*wanted) if wanted else F.lit(False)).select("term", "doc_id")
+    docs = inverted_index(found)
     joined = terms.join(docs, "term", "left")
     empty = F.array().cast(docs.schema["docs"].dataType)
-    return joined.select("query_term", F.col("docs").isNotNull().alias("in_corpus"), F.coalesce("docs", empty).alias("docs"))
+    return joined.select("query_term", F.col("docs").isNotNull().alias("in_corpus"), F.coalesce("chunk", F.lit(0)).alias("chunk"), F.coalesce("docs", empty).alias("docs"))
+
+
+def lookup_latency(tokens: DataFrame, entries: str, cfg: AnalyzerConfig = AnalyzerConfig(), iterations: int = 5000, **lexical: DataFrame) -> DataFrame:
+    """(query_term, in_corpus, search_us, retrieval_us) for each entry: mean microseconds of a look-up by itself.
+
+    A look-up here is one of a batch: the entry is asked `iterations` times in one job, which is timed; search asks whether
+    the term is there, retrieval for its documents.
+    """
+    spark = tokens.sparkSession
+    rows = []
+    for r in lookup_terms(tokens, entries, cfg, **lexical).orderBy("ord").collect():
+        asked = spark.range(iterations).select(F.lit(r.term).alias("term"), "id")
+        there = tokens.where(F.col("term") == r.term)
+        found, spent = [], []
+        for kept in (there.select("term").limit(1), inverted_index(there)):
+            start = time.perf_counter()
+            found.append(asked.join(F.broadcast(kept) if len(kept.columns) == 1 else kept, "term").agg(F.count("*")).first()[0])
+            spent.append(round((time.perf_counter() - start) / iterations * 1e6, 4))
+        rows.append((r.query_term, found[0] > 0, *spent))
+    return spark.createDataFrame(rows, "query_term string, in_corpus boolean, search_us double, retrieval_us double")
 
 
 def default_entries(terms: DataFrame) -> str:
-    """The first three terms and one that is missing."""
-    return ", ".join([*(r.term for r in terms.orderBy("term").limit(3).collect()), "missingword"])
+    """The first three terms and one that is missing; all terms of a vocabulary of fewer."""
+    first = [r.term for r in terms.select("term").distinct().orderBy("term").limit(3).collect()]
+    return ", ".join([*first, "missingword"] if len(first) == 3 else first)

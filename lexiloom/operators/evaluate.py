@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.functions.config import AnalyzerConfig
-from lexiloom.functions.lemma import lemma_map, seed_exceptions, seed_lexicon
+from lexiloom.functions.lemma import lemma_forms, lemma_map, lemma_terms, seed_exceptions, seed_lexicon
 from lexiloom.functions.porter import stem_terms
 from lexiloom.functions.text import ALPHA, hyphen_spaced, plain_tokens, without_stop_words, word_tokens
+from lexiloom.operators.analyze import normalised
 
 # Queries that stand in where too few documents yield one.
 FALLBACK_QUERIES = ("fox jumps", "Stanford university", "lung cancer")
@@ -44,47 +45,42 @@ def ground_truth(docs: DataFrame, queries: list[str]) -> DataFrame:
     return docs.select("doc_id", F.explode(F.filter(flags, lambda f: f["hit"])).alias("f")).select("f.query", "doc_id")
 
 
-def normal_forms(docs: DataFrame, cfg: AnalyzerConfig, lexicon: DataFrame, exceptions: DataFrame, extra: list[str] = ()) -> DataFrame:
-    """(term, in_corpus, stem, lemma) for the raw vocabulary and extra words; each distinct term is normalised once."""
-    base = AnalyzerConfig(cfg.hyphens, True, cfg.stopwords, "none")
-    vocabulary = docs.select(F.explode(plain_tokens(F.col("text"), base)).alias("term")).distinct().withColumn("own", F.lit(1))
-    if extra:
-        words = docs.sparkSession.createDataFrame([(w, 0) for w in dict.fromkeys(extra)], "term string, own int")
-        vocabulary = vocabulary.union(words).groupBy("term").agg(F.max("own").alias("own"))
-    lemmas = lemma_map(vocabulary, lexicon, exceptions)
-    return vocabulary.join(lemmas, "term").select("term", (F.col("own") == 1).alias("in_corpus"), stem_terms(F.col("term")).alias("stem"), "lemma")
+def _raw(cfg: AnalyzerConfig, norm: str = "none") -> AnalyzerConfig:
+    """The evaluation's analyzer: always in lower case, with one norm."""
+    return AnalyzerConfig(cfg.hyphens, True, cfg.stopwords, norm)
+
+
+def normal_forms(docs: DataFrame, cfg: AnalyzerConfig = AnalyzerConfig(), lexicon: DataFrame | None = None, exceptions: DataFrame | None = None) -> DataFrame:
+    """(term, stem, lemma) for the raw vocabulary; each distinct term is normalised once."""
+    spark = docs.sparkSession
+    vocabulary = docs.select(F.explode(plain_tokens(F.col("text"), _raw(cfg))).alias("term")).distinct()
+    forms = lemma_forms(lexicon, exceptions)
+    if forms is not None:
+        return vocabulary.select("term", stem_terms(F.col("term")).alias("stem"), lemma_terms(F.col("term"), forms).alias("lemma"))
+    lemmas = lemma_map(vocabulary, seed_lexicon(spark) if lexicon is None else lexicon, seed_exceptions(spark) if exceptions is None else exceptions)
+    return lemmas.select("term", stem_terms(F.col("term")).alias("stem"), "lemma")
 
 
 def compare_normalizers(
     docs: DataFrame, cfg: AnalyzerConfig = AnalyzerConfig(), queries: list[str] | None = None, lexicon: DataFrame | None = None, exceptions: DataFrame | None = None
 ) -> DataFrame:
-    """Per query: for each method, retrieved documents, precision, recall and F1."""
+    """Per query: for each method, retrieved documents, precision, recall and F1. One pass over the documents."""
     spark = docs.sparkSession
+    lexical = {"lexicon": lexicon, "exceptions": exceptions}
     queries = test_queries(docs) if queries is None else queries
     words = query_words(docs, queries)
-    flat = [w for q in words for w in q]
-    forms = normal_forms(docs, cfg, lexicon or seed_lexicon(spark), exceptions or seed_exceptions(spark), flat)
-    # Words of the corpus that share a normal form with a query word: a handful, so documents are matched in one scan.
-    keys = {r.term: r for r in forms.where(F.col("term").isin(*flat)).collect()} if flat else {}
-    same: dict[tuple[str, str], list[str]] = {}
-    if keys:
-        wanted = {m: {getattr(r, m) for r in keys.values()} for m in METHODS}
-        near = forms.where(F.col("in_corpus") & (F.col("stem").isin(*wanted["stem"]) | F.col("lemma").isin(*wanted["lemma"]))).collect()
-        for r in near:
-            for m in METHODS:
-                same.setdefault((m, getattr(r, m)), []).append(r.term)
-    base = AnalyzerConfig(cfg.hyphens, True, cfg.stopwords, "none")
-
-    def retrieved(method: str, q: list[str]) -> Column:
-        out = F.lit(bool(q))
-        for w in q:
-            terms = same.get((method, getattr(keys[w], method)), [])
-            out = out & (F.arrays_overlap(F.col("tokens"), F.array(*[F.lit(t) for t in terms])) if terms else F.lit(False))
-        return out
-
-    rows = docs.select("doc_id", "text", F.explode(F.array(plain_tokens(F.col("text"), base))).alias("tokens"))
+    asked = spark.createDataFrame(list(enumerate(words)), "i int, w array<string>")
+    forms = {m: {r.i: list(dict.fromkeys(r.w)) for r in normalised(asked, "w", _raw(cfg, m), **lexical).collect()} for m in METHODS}
+    rows = docs.select("doc_id", "text", F.explode(F.array(plain_tokens(F.col("text"), _raw(cfg)))).alias("tokens"))
+    for m in METHODS:
+        rows = normalised(rows.withColumn(m, F.col("tokens")), m, _raw(cfg, m), **lexical)
+
+    def retrieved(method: str, i: int) -> Column:
+        wanted = forms[method][i]
+        return F.size(F.array_except(F.array(*[F.lit(w) for w in wanted]), F.col(method))) == 0 if wanted else F.lit(False)
+
     flags = [
-        F.struct(F.lit(i).alias("i"), F.lit(q).alias("query"), relevant(F.col("text"), w).alias("truth"), *[retrieved(m, w).alias(m) for m in METHODS])
+        F.struct(F.lit(i).alias("i"), F.lit(q).alias("query"), relevant(F.col("text"), w).alias("truth"), *[retrieved(m, i).alias(m) for m in METHODS])
         for i, (q, w) in enumerate(zip(queries, words))
     ]
     judged = rows.select("doc_id", F.explode(F.array(*flags)).alias("f")).select("doc_id", "f.*")
@@ -110,35 +106,58 @@ def compare_normalizers(
 def compare_summary(
     docs: DataFrame, cfg: AnalyzerConfig = AnalyzerConfig(), queries: list[str] | None = None, lexicon: DataFrame | None = None, exceptions: DataFrame | None = None
 ) -> DataFrame:
-    """Per method: averages, vocabulary size, compression and validity in percent, score, lead over the other, and the winner."""
+    """Per method: averages, vocabulary size, compression and validity in percent, score, lead over the other; and, over both, who wins in each respect."""
     spark = docs.sparkSession
-    lexicon = lexicon if lexicon is not None else seed_lexicon(spark)
-    exceptions = exceptions if exceptions is not None else seed_exceptions(spark)
-    forms = normal_forms(docs, cfg, lexicon, exceptions)
-    known = lexicon.select(F.col("word").alias("form")).distinct().withColumn("known", F.lit(1))
-    raw = forms.agg(F.count("*").alias("raw"))
-    long = forms.select(F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.col(m).alias("form")) for m in METHODS])).alias("x")).select("x.*").distinct()
+    words = seed_lexicon(spark) if lexicon is None else lexicon
+    known = words.select(F.col("word").alias("form")).distinct().withColumn("known", F.lit(1))
+    kinds = [F.struct(F.lit(m).alias("method"), F.col(c).alias("form")) for m, c in (*((m, m) for m in METHODS), ("raw", "term"))]
+    long = normal_forms(docs, cfg, lexicon, exceptions).select(F.explode(F.array(*kinds)).alias("x")).select("x.*").distinct()
     sizes = long.join(known, "form", "left").groupBy("method").agg(F.count("*").alias("n"), F.count("known").alias("valid"))
-    methods = spark.createDataFrame([(m,) for m in METHODS], "method string").join(sizes, "method", "left").join(raw)
+    # Three rows: the two methods and the raw vocabulary.
+    sizes = spark.createDataFrame([(m,) for m in (*METHODS, "raw")], "method string").join(sizes, "method", "left")
+    both = sizes.agg(*[
+        F.coalesce(F.max(F.when(F.col("method") == m, F.col(c))), F.lit(0)).alias(f"{c}_{m}") for m in (*METHODS, "raw") for c in ("n", "valid")
+    ])
     quality = compare_normalizers(docs, cfg, queries, lexicon, exceptions)
-    means = quality.select(F.explode(F.array(*[F.struct(F.lit(m).alias("method"), *[F.col(f"{m}_{k}").alias(k) for k in ("P", "R", "F1")]) for m in METHODS])).alias("x")).select("x.*")
-    means = means.groupBy("method").agg(*[F.round(F.avg(k), 4).alias(f"avg_{k}") for k in ("P", "R", "F1")])
-    n, valid = F.coalesce("n", F.lit(0)), F.coalesce("valid", F.lit(0))
-    rows = methods.join(means, "method").select(
-        "method", "avg_P", "avg_R", "avg_F1", n.cast("long").alias("vocab_size"),
-        F.round((1 - n / F.greatest("raw", F.lit(1))) * 100, 2).alias("compression_rate"),
-        F.round(valid / F.greatest(n, F.lit(1)) * 100, 2).alias("lexical_validity"),
-    )
-    rows = rows.withColumn("score", F.round(0.5 * F.col("avg_F1") + 0.25 * F.col("compression_rate") / 100 + 0.25 * F.col("lexical_validity") / 100, 4))
-    best = rows.agg(F.max(F.when(F.col("method") == "stem", F.col("score"))).alias("s"), F.max(F.when(F.col("method") == "lemma", F.col("score"))).alias("l"))
-    lead = F.when(F.col("method") == "stem", F.col("s") - F.col("l")).otherwise(F.col("l") - F.col("s"))
-    winner = F.when(F.col("s") > F.col("l"), "stem").when(F.col("l") > F.col("s"), "lemma").otherwise("tie")
-    return rows.join(best).select(*rows.columns, F.round(lead, 4).alias("delta"), winner.alias("winner")).orderBy(F.desc("method"))
+    means = quality.agg(*[F.round(F.avg(f"{m}_{k}"), 4).alias(f"{k}_{m}") for m in METHODS for k in ("P", "R", "F1")])
+    one = both.join(means)  # both have one row
+    for m in METHODS:
+        n = F.col(f"n_{m}")
+        one = one.withColumn(f"c_{m}", F.round((1 - n / F.greatest("n_raw", F.lit(1))) * 100, 2)).withColumn(f"v_{m}", F.round(F.col(f"valid_{m}") / F.greatest(n, F.lit(1)) * 100, 2))
+        one = one.withColumn(f"s_{m}", F.round(0.5 * F.col(f"F1_{m}") + 0.25 * F.col(f"c_{m}") / 100 + 0.25 * F.col(f"v_{m}") / 100, 4))
+
+    def higher(x: str) -> Column:
+        return F.when(F.col(f"{x}_stem") > F.col(f"{x}_lemma"), "stem").when(F.col(f"{x}_lemma") > F.col(f"{x}_stem"), "lemma").otherwise("tie")
+
+    rows = [
+        F.struct(
+            F.lit(m).alias("method"), *[F.col(f"{k}_{m}").alias(f"avg_{k}") for k in ("P", "R", "F1")], F.col(f"n_{m}").cast("long").alias("vocab_size"),
+            F.col(f"c_{m}").alias("compression_rate"), F.col(f"v_{m}").alias("lexical_validity"), F.col(f"s_{m}").alias("score"),
+            F.round(F.col(f"s_{m}") - F.col(f"s_{other}"), 4).alias("delta"), higher("s").alias("winner"),
+            higher("c").alias("higher_compression"), higher("v").alias("higher_validity"),
+        )
+        for m, other in zip(METHODS, reversed(METHODS))
+    ]
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*").orderBy(F.desc("method"))
+
+
+# Names of the methods in the summary's JSON.
+LABELS = {"stem": "stemming", "lemma": "lemmatization"}
 
 
 def summary_json(summary: DataFrame) -> DataFrame:
-    """Each method's row as JSON text."""
-    return summary.select("method", F.to_json(F.struct(*summary.columns)).alias("summary"))
+    """One row: both methods' averages, sizes and rates as nested JSON text, rates as percentages."""
+    fields = [f"avg_{k}" for k in ("P", "R", "F1")] + ["vocab_size"]
+    row = F.struct(*fields, *[percent(F.col(c)).alias(c) for c in ("compression_rate", "lexical_validity")])
+    parts = summary.agg(*[F.max(F.when(F.col("method") == m, row)).alias(name) for m, name in LABELS.items()])
+    return parts.select(F.to_json(F.struct(*LABELS.values())).alias("summary"))
+
+
+def justification(summary: DataFrame) -> DataFrame:
+    """One row: the winner, and for score, compression and validity both values and which is higher."""
+    value = lambda m, c: F.max(F.when(F.col("method") == m, F.col(c)))
+    columns = [value(m, c).alias(f"{m}_{c}") for c in ("score", "compression_rate", "lexical_validity", "vocab_size") for m in METHODS]
+    return summary.agg(F.max("winner").alias("winner"), F.max("higher_compression").alias("higher_compression"), F.max("higher_validity").alias("higher_validity"), *columns)
 
 
 def percent(column: Column) -> Column:

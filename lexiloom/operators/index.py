@@ -1,21 +1,39 @@
-"""Indexes as ordinary DataFrames. Long forms stay long; arrays are built only where the result asks for them."""
+"""Indexes as ordinary DataFrames.
+
+The long forms (postings, biword_postings, kgram_pairs, soundex_pairs, the token table) are the indexes that queries
+read. The forms with arrays are for results: a key's members come in chunks of about CHUNK, dealt by hash,
+so no row grows with the collection; a key with at most CHUNK members has chunk 0 alone.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import ALPHA, biwords, kgrams, soundex_code
 
 
+#: Members of a key in one row.
+CHUNK = 1 << 16
+
+
+def _in_chunks(pairs: DataFrame, key: str, by: str, members: Column, names: tuple[str, str]) -> DataFrame:
+    """(key, chunk, number of members, members) of distinct pairs; only keys of more than CHUNK members are dealt."""
+    n, name = names
+    heavy = pairs.groupBy(key).agg(F.count("*").alias("all")).where(F.col("all") > CHUNK)
+    chunk = F.coalesce(F.pmod(F.xxhash64(by), F.ceil(F.col("all") / CHUNK)), F.lit(0)).cast("int")
+    dealt = pairs.join(heavy, key, "left").withColumn("chunk", chunk)
+    return dealt.groupBy(key, "chunk").agg(F.coalesce(F.max("all"), F.count("*")).alias(n), F.array_sort(F.collect_list(members)).alias(name))
+
+
 def postings(tokens: DataFrame) -> DataFrame:
     """(term, doc_id), distinct."""
     return tokens.select("term", "doc_id").distinct()
 
 
 def inverted_index(tokens: DataFrame) -> DataFrame:
-    """(term, df, docs): documents of each term, ascending."""
-    return postings(tokens).groupBy("term").agg(F.count("*").alias("df"), F.array_sort(F.collect_list("doc_id")).alias("docs"))
+    """(term, chunk, df, docs): documents of each term, ascending in a chunk; df is the term's."""
+    return _in_chunks(postings(tokens), "term", "doc_id", F.col("doc_id"), ("df", "docs"))
 
 
 def biword_postings(arrays: DataFrame) -> DataFrame:
@@ -24,8 +42,8 @@ def biword_postings(arrays: DataFrame) -> DataFrame:
 
 
 def biword_index(arrays: DataFrame) -> DataFrame:
-    """(biword, df, docs)."""
-    return biword_postings(arrays).groupBy("biword").agg(F.count("*").alias("df"), F.array_sort(F.collect_list("doc_id")).alias("docs"))
+    """(biword, chunk, df, docs)."""
+    return _in_chunks(biword_postings(arrays), "biword", "doc_id", F.col("doc_id"), ("df", "docs"))
 
 
 def positional_index(tokens: DataFrame) -> DataFrame:
@@ -34,9 +52,9 @@ def positional_index(tokens: DataFrame) -> DataFrame:
 
 
 def positional_map(tokens: DataFrame) -> DataFrame:
-    """(term, map of document to positions)."""
-    pairs = positional_index(tokens).groupBy("term").agg(F.array_sort(F.collect_list(F.struct("doc_id", "positions"))).alias("p"))
-    return pairs.select("term", F.map_from_entries("p").alias("docs"))
+    """(term, chunk, df, map of document to positions)."""
+    pairs = _in_chunks(positional_index(tokens), "term", "doc_id", F.struct("doc_id", "positions"), ("df", "docs"))
+    return pairs.withColumn("docs", F.map_from_entries("docs"))
 
 
 def vocabulary(tokens: DataFrame) -> DataFrame:
@@ -50,8 +68,8 @@ def kgram_pairs(terms: DataFrame, k: int = 2) -> DataFrame:
 
 
 def kgram_index(terms: DataFrame, k: int = 2) -> DataFrame:
-    """(gram, n, terms), terms ascending."""
-    return kgram_pairs(terms, k).groupBy("gram").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("term")).alias("terms"))
+    """(gram, chunk, n, terms), terms ascending in a chunk."""
+    return _in_chunks(kgram_pairs(terms, k), "gram", "term", F.col("term"), ("n", "terms"))
 
 
 def soundex_pairs(terms: DataFrame) -> DataFrame:
@@ -61,10 +79,11 @@ def soundex_pairs(terms: DataFrame) -> DataFrame:
 
 
 def soundex_index(terms: DataFrame) -> DataFrame:
-    """(code, terms), terms ascending."""
-    return soundex_pairs(terms).groupBy("code").agg(F.array_sort(F.collect_list("term")).alias("terms"))
+    """(code, chunk, n, terms), terms ascending in a chunk."""
+    return _in_chunks(soundex_pairs(terms), "code", "term", F.col("term"), ("n", "terms"))
 
 
 def index_sample(index: DataFrame, key: str, n: int) -> DataFrame:
     """The first n entries by key, as JSON text."""
-    return index.orderBy(key).limit(n).select(F.to_json(F.struct(*index.columns)).alias("entry"))
+    order = [key, *(c for c in ("chunk",) if c in index.columns)]
+    return index.orderBy(*order).limit(n).select(F.col(key).alias("key"), F.to_json(F.struct(*index.columns)).alias("entry"))

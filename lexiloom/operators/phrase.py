@@ -60,9 +60,15 @@ def phrase_false_positives(arrays: DataFrame, terms: list[str]) -> DataFrame:
     return arrays.where(has_biwords(F.col("tokens"), terms) & phrase_start(F.col("tokens"), terms).isNull()).select("doc_id")
 
 
+def default_phrase(arrays: DataFrame) -> str:
+    """The first two tokens of the first document that has two; the empty string if none has."""
+    first = arrays.where(F.size("tokens") >= 2).orderBy("doc_id").select(F.slice("tokens", 1, 2).alias("t")).first()
+    return " ".join(first.t) if first else ""
+
+
 def biword_lookup(pairs: DataFrame, terms: list[str]) -> DataFrame:
-    """phrase_biword over stored biwords (biword, doc_id), for two terms or more."""
-    wanted = _pairs(terms)
+    """phrase_biword over stored biwords (biword, doc_id), for two terms or more; for one over stored postings, renamed."""
+    wanted = _pairs(terms) if len(terms) != 1 else terms
     found = pairs.where(F.col("biword").isin(*wanted) if wanted else F.lit(False))
     return found.groupBy("doc_id").agg(F.count_distinct("biword").alias("n")).where(F.col("n") == len(wanted)).select("doc_id")
 
@@ -70,7 +76,8 @@ def biword_lookup(pairs: DataFrame, terms: list[str]) -> DataFrame:
 def positional_lookup(tokens: DataFrame, terms: list[str]) -> DataFrame:
     """phrase_positional over a stored token table (doc_id, pos, term): one shuffle for any number of terms."""
     n = len(terms)
-    places = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(t).alias("t")) for k, t in enumerate(terms)])
+    # A phrase without a term stands nowhere; its one place keeps the plan's types.
+    places = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(t).alias("t")) for k, t in enumerate(terms or [""])])
     hits = tokens.where(F.col("term").isin(*terms) if terms else F.lit(False)).select(
         "doc_id", F.explode(F.filter(places, lambda p: p["t"] == F.col("term"))).alias("p"), "pos"
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import ALPHA, soundex_code, wildcard_grams, wildcard_like
@@ -31,35 +31,60 @@ def wildcard(terms: DataFrame, pattern: str) -> DataFrame:
 
 
 def spell_suggest(terms: DataFrame, word: str, max_dist: int = 2) -> DataFrame:
-    """(term, distance) of all terms within an edit distance, nearest first; lengths are compared before distances."""
+    """(term, distance) of all terms within an edit distance of the lower-cased word, nearest first; lengths are compared before distances."""
+    word = word.lower()
     near = terms.select("term").distinct().where(F.abs(F.length("term") - F.length(F.lit(word))) <= max_dist)
     scored = near.select("term", F.levenshtein("term", F.lit(word), max_dist).alias("distance"))
     return scored.where(F.col("distance").between(0, max_dist)).orderBy("distance", "term")
 
 
-def spell_join(terms: DataFrame, queries: DataFrame, max_dist: int = 2) -> DataFrame:
-    """(query, term, distance) for a table of queries, blocked by deletions so that no pair of far words is compared.
+def _spell_keys(word: Column, query: bool, max_dist: int) -> Column:
+    """What words within max_dist of each other have in common.
 
-    Words within distance d share a string left after at most d deletions from each; those strings are the join key.
+    Cut a query into max_dist + 1 pieces: one of them stands unchanged in any word so near, moved by at most as many
+    places as there are edits before it, and edits behind it make up for the rest of the difference in length. A
+    query has a key for each piece; a term one for each piece of each length a query may have and each move. Their number
+    depends on max_dist alone (39 for 2), however long the word.
     """
+    size, parts, keys = F.length(word), max_dist + 1, []
+    for longer in [0] if query else range(-max_dist, max_dist + 1):
+        m = size - longer
+        for k in range(parts):
+            start, end = F.floor(m * k / parts).cast("int"), F.floor(m * (k + 1) / parts).cast("int")
+            for move in [0] if query else range(-max_dist, max_dist + 1):
+                if abs(move) + abs(longer - move) <= max_dist:
+                    at = start + move
+                    key = F.concat_ws(":", m, F.lit(k), F.substring(word, at + 1, end - start))
+                    keys.append(F.when((m >= 0) & (at >= 0) & (at + end - start <= size), key))
+    return F.array_distinct(F.array_compact(F.array(*keys)))
 
-    def reduced(word):
-        out = F.array(word)
-        for _ in range(max_dist):
-            shorter = F.flatten(F.transform(out, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))))
-            out = F.array_distinct(F.concat(out, shorter))
-        return out
 
-    left = terms.select("term").distinct().select("term", F.explode(reduced(F.col("term"))).alias("rest"))
-    right = queries.select("query").distinct().select("query", F.explode(reduced(F.col("query"))).alias("rest"))
-    pairs = left.join(right, "rest").select("query", "term").distinct()
+def spell_join(terms: DataFrame, queries: DataFrame, max_dist: int = 2) -> DataFrame:
+    """(query, term, distance) for a table of queries; only words that share a key are compared."""
+    asked = queries.select("query").distinct().where("query is not null")
+    longest = asked.agg(F.max(F.length("query"))).first()[0]
+    near = terms.select("term").distinct().where(F.length("term") <= (longest or 0) + max_dist)
+    left = near.select("term", F.explode(_spell_keys(F.col("term"), False, max_dist)).alias("key"))
+    right = asked.select("query", F.explode(_spell_keys(F.col("query"), True, max_dist)).alias("key"))
+    pairs = left.join(right, "key").select("query", "term").distinct()
     return pairs.select("query", "term", F.levenshtein("term", "query", max_dist).alias("distance")).where(F.col("distance").between(0, max_dist))
 
 
+def decomposed(terms: DataFrame, pattern: str) -> DataFrame:
+    """One row: the pattern, its bigrams, and the number of terms that have them all."""
+    count = wildcard_candidates(terms, pattern).agg(F.count("*").alias("n_candidates"))
+    return count.select(F.lit(pattern).alias("pattern"), F.array(*[F.lit(g) for g in wildcard_grams(pattern)]).cast("array<string>").alias("grams"), "n_candidates")
+
+
 def phonetic(terms: DataFrame, word: str) -> DataFrame:
     """(code, term) of all-letter terms that sound like the word."""
+    return coded(soundex_pairs(terms), word)
+
+
+def coded(pairs: DataFrame, word: str) -> DataFrame:
+    """phonetic over stored pairs (code, term)."""
     code = soundex_code(F.lit(word))
-    return soundex_pairs(terms).where((F.col("code") == code) & (code != "")).orderBy("term")
+    return pairs.where((F.col("code") == code) & (code != "")).select("code", "term").orderBy("term")
 
 
 def default_queries(terms: DataFrame) -> dict[str, str]:
@@ -69,6 +94,6 @@ def default_queries(terms: DataFrame) -> dict[str, str]:
     long = [r.term for r in alpha.where(F.length("term") >= 3).orderBy("term").limit(1).collect()]
     return {
         "wildcard": f"{long[0][0]}*{long[0][-1]}" if long else "*",
-        "spelling": first[0][:-1] if first else "word",
+        "spelling": first[0][:-1] if first and len(first[0]) > 2 else "word",
         "phonetic": first[0] if first else "college",
     }

@@ -10,19 +10,20 @@ from pyspark.sql import functions as F
 from lexiloom.functions import lemma, text
 from lexiloom.functions.config import AnalyzerConfig
 from lexiloom.operators import analyze, dictionary, evaluate, index, phrase, tolerant
-from lexiloom.plans import oracle
+from lexiloom.plans import oracle, stored
 from lexiloom.plans.workbench import Collection
-from lexiloom.sources.collection import read_table
+from lexiloom.sources.collection import last_of_each, read_table, scratch_path, select_document
 
 PLAIN = AnalyzerConfig(norm="none")
 STEMMED = AnalyzerConfig()
 #: A sentence that many documents of the test tables share; its second and third pairs overlap.
 PHRASE = "The and attion to thanedble the, anea"
+#: A phrase whose pairs stand apart in many documents.
+FALSE_PHRASE = "de de la"
 TERMS = ["attion", "thanedble", "anea"]
 WORDS = "attion, thanedble anea, missingword, The, eriner"
-#: Misspelled words outside ASCII, for the queries over the whole vocabulary.
-ACCENTED = ["schön", "señro", "été"]
 PATTERN, WORD, NAME = "th*ble", "therhaen", "thanedble"
+SPELLED = [WORD, "attoin", "thanedbel", "schön", "señro", "été"]
 QUERIES_OF_TRUTH = ["attion anea", "therhean esndha", "stanford university"]
 
 
@@ -83,21 +84,15 @@ def kgram_index(spark, sf_dir):
 
 
 def soundex_index(spark, sf_dir):
-    c = _plain(spark, sf_dir)
-    return _listed(index.soundex_index(c.terms.where(F.col("term").rlike("^[a-z]+$"))), "terms")
-
-
-def soundex_index_all(spark, sf_dir):
     return _listed(_plain(spark, sf_dir).index("soundex"), "terms")
 
 
 def index_samples(spark, sf_dir):
-    c = _plain(spark, sf_dir)
-    return index.index_sample(c.index("biword"), "biword", 8)
+    return _plain(spark, sf_dir).samples()
 
 
-def phrase_query(spark, sf_dir, method):
-    return _plain(spark, sf_dir).phrase(PHRASE, method)
+def phrase_query(spark, sf_dir, method, text=PHRASE):
+    return _plain(spark, sf_dir).phrase(text, method)
 
 
 def phrase_positional(spark, sf_dir):
@@ -129,34 +124,67 @@ def wildcard_candidates(spark, sf_dir):
     return tolerant.wildcard_candidates(_plain(spark, sf_dir).terms, PATTERN)
 
 
-def _ascii_terms(c: Collection) -> DataFrame:
-    return c.terms.where(F.col("term").rlike("^[a-z0-9]+$"))
+def spell_suggest(spark, sf_dir):
+    return _plain(spark, sf_dir).spell(WORD, 2)
 
 
-def spell_suggest(spark, sf_dir):
-    return tolerant.spell_suggest(_ascii_terms(_plain(spark, sf_dir)), WORD, 2)
+def spell_join(spark, sf_dir):
+    queries = spark.createDataFrame([(w,) for w in SPELLED], "query string")
+    return tolerant.spell_join(_plain(spark, sf_dir).terms, queries, 2)
 
 
-def spell_suggest_all(spark, sf_dir):
-    return _plain(spark, sf_dir).spell(WORD, 2)
+def phonetic(spark, sf_dir):
+    return _plain(spark, sf_dir).phonetic(NAME)
 
 
-def spell_join(spark, sf_dir):
-    queries = spark.createDataFrame([(WORD,), ("attoin",), ("thanedbel",)], "query string")
-    return tolerant.spell_join(_ascii_terms(_plain(spark, sf_dir)), queries, 2)
+def phrase_default(spark, sf_dir):
+    return _listed(_plain(spark, sf_dir).phrase(), "positions")
 
 
-def spell_join_all(spark, sf_dir):
-    queries = spark.createDataFrame([(WORD,), ("attoin",), ("thanedbel",), *((w,) for w in ACCENTED)], "query string")
-    return tolerant.spell_join(_plain(spark, sf_dir).terms, queries, 2)
+def wildcard_grams(spark, sf_dir):
+    return _listed(_plain(spark, sf_dir).wildcard_grams(PATTERN), "grams")
 
 
-def phonetic(spark, sf_dir):
-    return tolerant.phonetic(_plain(spark, sf_dir).terms.where(F.col("term").rlike("^[a-z]+$")), NAME)
+def _stored(spark, sf_dir) -> stored.StoredCollection:
+    """The documents' stored indexes; built once in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORES:
+        _STORES[key] = scratch_path(spark, "store")
+        return stored.build(_plain(spark, sf_dir), _STORES[key])
+    return stored.StoredCollection(spark, _STORES[key], PLAIN)
 
 
-def phonetic_all(spark, sf_dir):
-    return _plain(spark, sf_dir).phonetic(NAME)
+_STORES: dict[tuple[str, str], str] = {}
+
+
+def stored_vocabulary(spark, sf_dir):
+    return _stored(spark, sf_dir).terms
+
+
+def stored_phrase(spark, sf_dir, method, text=PHRASE):
+    out = _stored(spark, sf_dir).phrase(text, method)
+    return _listed(out, "positions") if "positions" in out.columns else out
+
+
+def stored_lookup(spark, sf_dir):
+    return _listed(_stored(spark, sf_dir).lookup(WORDS), "docs")
+
+
+def stored_wildcard(spark, sf_dir):
+    return _stored(spark, sf_dir).wildcard(PATTERN)
+
+
+def stored_spell(spark, sf_dir):
+    return _stored(spark, sf_dir).spell(WORD, 2)
+
+
+def stored_phonetic(spark, sf_dir):
+    return _stored(spark, sf_dir).phonetic(NAME)
+
+
+def lookup_latency(spark, sf_dir):
+    """Times: the two rates differ from run to run."""
+    return _stored(spark, sf_dir).lookup_latency(WORDS)
 
 
 def ground_truth(spark, sf_dir):
@@ -175,6 +203,22 @@ def compare_summary(spark, sf_dir):
     return Collection(_docs(spark, sf_dir)).summary()
 
 
+def summary_json(spark, sf_dir):
+    return Collection(_docs(spark, sf_dir)).summary_json()
+
+
+def justification(spark, sf_dir):
+    return Collection(_docs(spark, sf_dir)).justification()
+
+
+def valid_terms(spark, sf_dir):
+    """Stems and lemmas of the vocabulary that the lexicon has."""
+    docs = _docs(spark, sf_dir)
+    forms = evaluate.normal_forms(docs)
+    known = lambda m: lemma.valid_terms(forms.select(F.col(m).alias("term")).distinct(), lemma.seed_lexicon(spark)).select(F.lit(m).alias("method"), "term")
+    return known("stem").union(known("lemma"))
+
+
 def compression(spark, sf_dir):
     """Vocabulary sizes with and without lower-casing, and the compression rate in percent."""
     docs = _docs(spark, sf_dir)
@@ -185,16 +229,29 @@ def compression(spark, sf_dir):
 
 def lemmas(spark, sf_dir):
     """Lemmas of the documents' terms and of words with irregular or regular plurals."""
-    return _lemmas(spark, _ascii_terms(_plain(spark, sf_dir)))
+    words = spark.createDataFrame([(w,) for w in ("geese", "wolves", "indexes", "queries", "running", "boxes", "churches")], "term string")
+    return lemma.lemma_map(_plain(spark, sf_dir).terms.union(words), lemma.seed_lexicon(spark), lemma.seed_exceptions(spark))
 
 
-def lemmas_all(spark, sf_dir):
-    return _lemmas(spark, _plain(spark, sf_dir).terms)
+def test_queries_short(spark, sf_dir):
+    """Of a table with fewer than three texts of two words, so that fixed queries stand in."""
+    names = read_table(spark, f"{sf_dir}/region.parquet", "r_regionkey", "r_name")
+    return spark.createDataFrame(list(enumerate(evaluate.test_queries(names))), "ord int, query string")
 
 
-def _lemmas(spark, terms: DataFrame) -> DataFrame:
-    words = spark.createDataFrame([(w,) for w in ("geese", "wolves", "indexes", "queries", "running", "boxes", "churches")], "term string")
-    return lemma.lemma_map(terms.union(words), lemma.seed_lexicon(spark), lemma.seed_exceptions(spark))
+def defaults(spark, sf_dir):
+    """What a user is offered for each kind of query."""
+    return spark.createDataFrame(list(_plain(spark, sf_dir).defaults().items()), "kind string, value string")
+
+
+def last_duplicates(spark, sf_dir):
+    """Of the turns of a conversation, taken as versions of one document, the last."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("doc_id"), "turn", "text")
+    return last_of_each(turns, "turn").select("doc_id", "text")
+
+
+def chosen_document(spark, sf_dir):
+    return select_document(_docs(spark, sf_dir), 0)
 
 
 def collection_view(spark, sf_dir):
@@ -218,6 +275,13 @@ _HAVE = f"""have as (select doc_id from biwords where biword in ({", ".join(orac
 group by 1 having count(distinct biword) = {len(TERMS) - 1})"""
 _POSITIONAL = f"""with {_PLAIN}, {_STARTS} select doc_id, array_to_string(generate_series(start, start + {len(TERMS) - 1}), ',') as positions from starts"""
 _CODE = oracle.soundex("term")
+_VOCABULARY = "select distinct term from tokens"
+_STEMS = f"{_LONG}, {oracle.stems(_VOCABULARY, 'stems')}"
+_STEMMED = f"""{_STEMS}, st as (select doc_id, pos, stem from tokens join stems using (term)),
+q as (select k, stem as t from (select unnest(generate_series(1, {len(TERMS)})) as k, unnest({_QUERY}) as term) join stems using (term)),
+starts as (select doc_id, min(start) as start from (select doc_id, pos - (k - 1) as start from st join q on stem = t group by 1, 2 having count(distinct k) = {len(TERMS)}) group by 1),
+have as (select doc_id from (select distinct a.doc_id, x.k from st a join st b on b.doc_id = a.doc_id and b.pos = a.pos + 1 join q x on x.t = a.stem join q y on y.k = x.k + 1 and y.t = b.stem)
+group by 1 having count(*) = {len(TERMS) - 1})"""
 
 
 def _csv(order: str) -> str:
@@ -227,21 +291,27 @@ def _csv(order: str) -> str:
 def _lookup_sql() -> str:
     rows = [("attion", "attion"), ("thanedble anea", "thanedble"), ("missingword", "missingword"), ("The", "the"), ("eriner", "eriner")]
     values = ", ".join(f"('{q}', '{t}')" for q, t in rows)
-    return f"""{_LONG} select q.query_term, p.docs is not null as in_corpus, coalesce(p.docs, '') as docs from (values {values}) q(query_term, term)
+    return f"""{_LONG} select q.query_term, p.docs is not null as in_corpus, 0 as chunk, coalesce(p.docs, '') as docs from (values {values}) q(query_term, term)
 left join (select term, {_csv('doc_id')} as docs from (select distinct term, doc_id from tokens) group by 1) p on p.term = q.term"""
 
 
-def _lemma_sql() -> str:
+def _lemmas_of(source: str, name: str) -> str:
+    """Common tables that end in name (term, lemma) for a query of distinct terms."""
     nouns = ", ".join(map(oracle.quoted, lemma.NOUNS))
     irregular = ", ".join(f"({oracle.quoted(a)}, {oracle.quoted(b)})" for a, b in lemma.EXCEPTIONS.items())
     cuts = " union all ".join(
-        f"select term, substr(term, 1, length(term) - {len(s)}) || '{n}' as c from terms where suffix(term, '{s}')" for s, n in lemma.DETACHMENTS
+        f"select term, substr(term, 1, length(term) - {len(s)}) || '{n}' as c from {name}_terms where suffix(term, '{s}')" for s, n in lemma.DETACHMENTS
     )
+    return f"""{name}_terms as ({source}), {name}_cand as (select term, term as c from {name}_terms union all {cuts}),
+{name}_best as (select term, first(c order by length(c), c) as noun from {name}_cand where c in ({nouns}) group by 1),
+{name} as (select t.term, coalesce(e.lemma, b.noun, t.term) as lemma from {name}_terms t
+left join (values {irregular}) e(form, lemma) on e.form = t.term left join {name}_best b on b.term = t.term)"""
+
+
+def _lemma_sql() -> str:
     words = "('geese'), ('wolves'), ('indexes'), ('queries'), ('running'), ('boxes'), ('churches')"
-    return f"""{_LONG}, terms as (select distinct term from tokens where regexp_full_match(term, '[a-z0-9]+') union select * from (values {words})),
-cand as (select term, term as c from terms union all {cuts}),
-best as (select term, first(c order by length(c), c) as noun from cand where c in ({nouns}) group by 1)
-select terms.term, coalesce(e.lemma, best.noun, terms.term) as lemma from terms left join (values {irregular}) e(form, lemma) on e.form = terms.term left join best on best.term = terms.term"""
+    source = f"{_VOCABULARY} union select * from (values {words})"
+    return f"{_LONG}, {_lemmas_of(source, 'lemmas')} select term, lemma from lemmas"
 
 
 _GRAMS = "('$t', 'th', 'bl', 'le', 'e$')"
@@ -249,20 +319,102 @@ _LIKE = text.wildcard_like(PATTERN)
 _TEXT = "lower(replace(text, '-', ' '))"
 _WORDLIST = oracle.without_stop_words(oracle.word_tokens(_TEXT))
 
+def _test_queries(table: str = "documents", doc_id: str = "doc_id", column: str = "text") -> str:
+    """Common tables that end in test_queries (ord, query)."""
+    words = oracle.without_stop_words(oracle.word_tokens(f"lower(replace({column}, '-', ' '))"))
+    fixed = ", ".join(f"({i}, {oracle.quoted(q)})" for i, q in enumerate(evaluate.FALLBACK_QUERIES))
+    return f"""w as (select {doc_id} as doc_id, list_filter({words}, lambda w: regexp_full_match(w, '\\p{{L}}+')) as ws from {table}),
+f as (select row_number() over (order by doc_id) - 1 as ord, ws[1] || ' ' || ws[2] as query from w where len(ws) >= 2 order by doc_id limit 3),
+test_queries as (select ord::int as ord, query from f union all select * from (values {fixed}) v(ord, query) where v.ord >= (select count(*) from f))"""
+
+
+def _defaults_sql() -> str:
+    return f"""{_LONG}, terms as ({_VOCABULARY}), alpha as (select term from terms where regexp_full_match(term, '\\p{{L}}+') order by term limit 1),
+long as (select term from terms where regexp_full_match(term, '\\p{{L}}+') and length(term) >= 3 order by term limit 1),
+first as (select tokens[1] || ' ' || tokens[2] as t from arrays where len(tokens) >= 2 order by doc_id limit 1)
+select 'phrase' as kind, (select t from first) as value
+union all select 'lookup', (select string_agg(term, ', ' order by term) || ', missingword' from (select term from terms order by term limit 3))
+union all select 'wildcard', (select term[1] || '*' || term[-1] from long)
+union all select 'spelling', (select case when length(term) > 2 then left(term, length(term) - 1) else 'word' end from alpha)
+union all select 'phonetic', (select term from alpha)"""
+
+
+def _compare_tables() -> str:
+    """Common tables that end in forms (term, stem, lemma, own) and compared: metrics of each query and method."""
+    words = oracle.word_tokens("lower(query)")
+    both = "select distinct term from tokens union select term from qw"
+    metrics = """metrics as (select ord, query, method, docs, case when n > 0 and truths > 0 then hits / n else 0.0 end as p, case when n > 0 and truths > 0 then hits / truths else 0.0 end as r
+from (select ord, query, method, (select count(*) from truth t where t.ord = m.ord) as truths, count(doc_id) as n, count(hit) as hits,
+coalesce(array_to_string(list(doc_id order by doc_id) filter (where doc_id is not null), ','), '') as docs
+from (select q.ord, q.query, k.method from test_queries q, (values ('stem'), ('lemma')) k(method)) m left join retrieved using (ord, method) group by 1, 2, 3))"""
+    return f"""{_LONG}, {_test_queries()}, qw as (select ord, unnest({words}) as term from test_queries),
+{_lemmas_of(both, 'lemmas')}, {oracle.stems(both, 'stems')},
+forms as (select l.term, s.stem, l.lemma from lemmas l join stems s using (term)),
+long as (select 'stem' as method, term, stem as form from forms union all select 'lemma', term, lemma from forms),
+asked as (select distinct ord, method, form from qw join long using (term)),
+held as (select distinct doc_id, method, form from tokens join long using (term)),
+truth as (select q.ord, d.doc_id from test_queries q, documents d where (select bool_and(contains({_TEXT.replace("text", "d.text")}, qw.term)) from qw where qw.ord = q.ord)),
+retrieved as (select x.ord, x.method, x.doc_id, t.doc_id as hit from (select ord, a.method, doc_id from asked a join held h on h.method = a.method and h.form = a.form group by 1, 2, 3
+having count(*) = (select count(*) from asked b where b.ord = a.ord and b.method = a.method)) x left join truth t on t.ord = x.ord and t.doc_id = x.doc_id),
+{metrics}, compared as (select ord, query, method, docs, round(p, 4) as p, round(r, 4) as r, case when p + r > 0 then round(2 * p * r / (p + r), 4) else 0.0 end as f1 from metrics)"""
+
+
+def _summary_tables() -> str:
+    """Common tables that end in result, the summary's rows."""
+    known = ", ".join(map(oracle.quoted, [*lemma.NOUNS, *(w for w, _ in lemma.OTHERS)]))
+    return f"""{_compare_tables()}, corpus as (select distinct method, form from long where term in (select term from tokens)),
+sizes as (select method, count(*) as n, count(*) filter (where form in ({known})) as valid from corpus group by 1),
+rates as (select method, n, round((1 - n / greatest((select count(distinct term) from tokens), 1)) * 100, 2) as c, round(valid / greatest(n, 1) * 100, 2) as v from sizes),
+means as (select method, round(avg(p), 4) as p, round(avg(r), 4) as r, round(avg(f1), 4) as f1 from compared group by 1),
+scored as (select *, round(0.5 * f1 + 0.25 * c / 100 + 0.25 * v / 100, 4) as s from rates join means using (method)),
+result as (select a.method, a.p as "avg_P", a.r as "avg_R", a.f1 as "avg_F1", a.n as vocab_size, a.c as compression_rate, a.v as lexical_validity, a.s as score, round(a.s - b.s, 4) as delta,
+case when a.s = b.s then 'tie' when a.s > b.s then a.method else b.method end as winner, case when a.c = b.c then 'tie' when a.c > b.c then a.method else b.method end as higher_compression,
+case when a.v = b.v then 'tie' when a.v > b.v then a.method else b.method end as higher_validity from scored a join scored b on a.method <> b.method)"""
+
+
+def _both(column: str) -> str:
+    return ", ".join(f"max({column}) filter (where method = '{m}') as {m}_{column}" for m in evaluate.METHODS)
+
+
+def _samples_sql() -> str:
+    parts = (
+        "'biword'", "biword", "{'biword': biword, 'chunk': 0, 'df': count(*), 'docs': list(doc_id order by doc_id)}", "biwords", 8,
+        "'positional'", "term", "{'term': term, 'chunk': 0, 'df': count(*), 'docs': map_from_entries(list((doc_id, positions) order by doc_id))}",
+        "(select term, doc_id, list(pos order by pos) as positions from tokens group by 1, 2)", 5,
+        "'kgram'", "gram", "{'gram': gram, 'chunk': 0, 'n': count(*), 'terms': list(term order by term)}", "grams", 10,
+    )
+    selects = [
+        f"(select {parts[i]} as kind, {parts[i + 1]} as key, to_json({parts[i + 2]})::varchar as entry from {parts[i + 3]} group by 2 order by 2 limit {parts[i + 4]})" for i in (0, 5, 10)
+    ]
+    return f"with {_PLAIN}, {oracle.pairs()}, {oracle.kgrams()} {' union all '.join(selects)}"
+
+
+def _false_sql() -> str:
+    terms = FALSE_PHRASE.split()
+    pairs = ", ".join(oracle.quoted(f"{a} {b}") for a, b in zip(terms, terms[1:]))
+    wanted = "[" + ", ".join(map(oracle.quoted, terms)) + "]"
+    return f"""with {_PLAIN}, {oracle.pairs()}, have as (select doc_id from biwords where biword in ({pairs}) group by 1 having count(distinct biword) = {len(set(zip(terms, terms[1:])))}),
+exact as (select distinct doc_id from (select doc_id, tokens, unnest(generate_series(1, len(tokens) - {len(terms) - 1})) as i from arrays) where tokens[i : i + {len(terms) - 1}] = {wanted})
+select doc_id from have where doc_id not in (select doc_id from exact)"""
+
+
 QUERIES = {
     "stages": stages, "tokens": tokens, "tokens_raw_options": tokens_raw_options, "vocabulary": vocabulary, "vocabulary_size": vocabulary_size,
     "tokens_stem": partial(tokens_by_norm, norm="stem"), "tokens_lemma": partial(tokens_by_norm, norm="lemma"), "tokens_both": partial(tokens_by_norm, norm="both"),
     "inverted_index": inverted_index, "biword_index": biword_index, "positional_index": positional_index, "kgram_index": kgram_index,
     "soundex_index": soundex_index, "index_samples": index_samples, "phrase_positional": phrase_positional,
-    "phrase_biword": partial(phrase_query, method="biword"), "phrase_false_positives": partial(phrase_query, method="false_positives"),
+    "phrase_biword": partial(phrase_query, method="biword"), "phrase_false_positives": partial(phrase_query, method="false_positives", text=FALSE_PHRASE),
     "phrase_positional_indexed": phrase_positional_indexed, "phrase_biword_indexed": phrase_biword_indexed,
     "phrase_positional_stemmed": partial(phrase_stemmed, method="positional"), "phrase_biword_stemmed": partial(phrase_stemmed, method="biword"),
     "dictionary_lookup": dictionary_lookup, "wildcard": wildcard, "wildcard_candidates": wildcard_candidates, "spell_suggest": spell_suggest,
-    "spell_suggest_all": spell_suggest_all, "spell_join": spell_join, "phonetic": phonetic, "ground_truth": ground_truth, "test_queries": test_queries,
+    "spell_join": spell_join, "phonetic": phonetic, "ground_truth": ground_truth, "test_queries": test_queries,
     "compare_normalizers": compare_normalizers, "compare_summary": compare_summary, "compression": compression, "lemmas": lemmas,
-    "collection_view": collection_view, "benchmark_phrases": benchmark_phrases,
-    # Over the whole vocabulary; DuckDB differs on letters outside ASCII, so these have no SQL.
-    "soundex_index_all": soundex_index_all, "phonetic_all": phonetic_all, "spell_join_all": spell_join_all, "lemmas_all": lemmas_all,
+    "collection_view": collection_view, "benchmark_phrases": benchmark_phrases, "test_queries_short": test_queries_short, "defaults": defaults,
+    "last_duplicates": last_duplicates, "chosen_document": chosen_document, "phrase_default": phrase_default, "wildcard_grams": wildcard_grams,
+    "summary_json": summary_json, "justification": justification, "valid_terms": valid_terms,
+    "stored_vocabulary": stored_vocabulary, "stored_phrase_positional": partial(stored_phrase, method="positional"), "stored_phrase_biword": partial(stored_phrase, method="biword"),
+    "stored_phrase_false_positives": partial(stored_phrase, method="false_positives", text=FALSE_PHRASE), "stored_lookup": stored_lookup,
+    "stored_wildcard": stored_wildcard, "stored_spell": stored_spell, "stored_phonetic": stored_phonetic, "lookup_latency": lookup_latency,
 }
 
 ORACLE_SQL = {
@@ -273,29 +425,50 @@ array_to_string({_WORDLIST}, ',') as stage5_norm from documents where doc_id = 0
     "tokens_raw_options": f"with {oracle.tokens(AnalyzerConfig(False, False, False, 'none'))} select doc_id, pos, term from tokens",
     "vocabulary": f"{_LONG} select distinct term from tokens",
     "vocabulary_size": f"{_LONG} select count(distinct term) as n from tokens",
-    "inverted_index": f"{_LONG} select term, count(*) as df, {_csv('doc_id')} as docs from (select distinct term, doc_id from tokens) group by 1",
-    "biword_index": f"{_PAIRS} select biword, count(*) as df, {_csv('doc_id')} as docs from biwords group by 1",
+    "inverted_index": f"{_LONG} select term, 0 as chunk, count(*) as df, {_csv('doc_id')} as docs from (select distinct term, doc_id from tokens) group by 1",
+    "biword_index": f"{_PAIRS} select biword, 0 as chunk, count(*) as df, {_csv('doc_id')} as docs from biwords group by 1",
     "positional_index": f"{_LONG} select term, doc_id, {_csv('pos')} as positions from tokens group by 1, 2",
-    "kgram_index": f"with {_PLAIN}, {oracle.kgrams()} select gram, count(*) as n, {_csv('term')} as terms from grams group by 1",
-    "soundex_index": f"{_LONG} select code, {_csv('term')} as terms from (select distinct term, {_CODE} as code from tokens where regexp_full_match(term, '[a-z]+')) group by 1",
+    "kgram_index": f"with {_PLAIN}, {oracle.kgrams()} select gram, 0 as chunk, count(*) as n, {_csv('term')} as terms from grams group by 1",
+    "soundex_index": f"{_LONG} select code, 0 as chunk, count(*) as n, {_csv('term')} as terms from (select distinct term, {_CODE} as code from tokens where regexp_full_match(term, '\\p{{L}}+')) group by 1",
     "phrase_positional": _POSITIONAL,
     "phrase_positional_indexed": _POSITIONAL,
     "phrase_biword": f"{_PAIRS}, {_HAVE} select doc_id from have",
     "phrase_biword_indexed": f"{_PAIRS}, {_HAVE} select doc_id from have",
-    "phrase_false_positives": f"with {_PLAIN}, {oracle.pairs()}, {_HAVE}, {_STARTS} select doc_id from have where doc_id not in (select doc_id from starts)",
+    "phrase_false_positives": _false_sql(),
+    "tokens_stem": f"{_STEMS} select doc_id, pos, stem as term from tokens join stems using (term)",
+    "tokens_lemma": f"{_LONG}, {_lemmas_of(_VOCABULARY, 'lemmas')} select doc_id, pos, lemma as term from tokens join lemmas using (term)",
+    "tokens_both": f"{_LONG}, {_lemmas_of(_VOCABULARY, 'lemmas')}, {oracle.stems('select distinct lemma as term from lemmas', 'stems')} "
+    "select doc_id, pos, stem as term from tokens t join lemmas l on l.term = t.term join stems s on s.term = l.lemma",
+    "phrase_positional_stemmed": f"{_STEMMED} select doc_id, array_to_string(generate_series(start, start + {len(TERMS) - 1}), ',') as positions from starts",
+    "phrase_biword_stemmed": f"{_STEMMED} select doc_id from have",
+    "index_samples": _samples_sql(),
+    "phrase_default": f"""{_LONG}, first as (select tokens[1] as a, tokens[2] as b from arrays where len(tokens) >= 2 order by doc_id limit 1)
+select x.doc_id, min(x.pos) || ',' || (min(x.pos) + 1) as positions from tokens x join tokens y on y.doc_id = x.doc_id and y.pos = x.pos + 1 join first on x.term = a and y.term = b group by 1""",
+    "compare_normalizers": f"""{_compare_tables()} select s.query, s.docs as stem_retrieved, s.p as "stem_P", s.r as "stem_R", s.f1 as "stem_F1", l.docs as lemma_retrieved, l.p as "lemma_P", l.r as "lemma_R", l.f1 as "lemma_F1"
+from compared s join compared l using (ord) where s.method = 'stem' and l.method = 'lemma'""",
+    "compare_summary": f"{_summary_tables()} select * from result",
+    "justification": f"""{_summary_tables()} select max(winner) as winner, max(higher_compression) as higher_compression, max(higher_validity) as higher_validity,
+{_both('score')}, {_both('compression_rate')}, {_both('lexical_validity')}, {_both('vocab_size')} from result""",
+    "summary_json": f"""{_summary_tables()}, rows as (select method, {{'avg_P': "avg_P", 'avg_R': "avg_R", 'avg_F1': "avg_F1", 'vocab_size': vocab_size,
+'compression_rate': compression_rate || '%', 'lexical_validity': lexical_validity || '%'}} as x from result)
+select to_json({{'stemming': (select x from rows where method = 'stem'), 'lemmatization': (select x from rows where method = 'lemma')}})::varchar as summary""",
+    "test_queries_short": f"with {_test_queries('region', 'r_regionkey', 'r_name')} select ord, query from test_queries",
+    "defaults": _defaults_sql(),
+    "last_duplicates": "select conv_id as doc_id, arg_max(text, turn) as text from conversations group by 1",
+    "chosen_document": "select doc_id, text from documents where doc_id = 0",
+    "valid_terms": f"""{_compare_tables()} select distinct method, form as term from long where term in (select term from tokens) and form in ({", ".join(map(oracle.quoted, [*lemma.NOUNS, *(w for w, _ in lemma.OTHERS)]))})""",
     "dictionary_lookup": _lookup_sql(),
     "wildcard": f"{_LONG} select distinct term from tokens where term like '{_LIKE}'",
+    "wildcard_grams": f"with {_PLAIN}, {oracle.kgrams()} select '{PATTERN}' as pattern, '{','.join(text.wildcard_grams(PATTERN))}' as grams, count(*) as n_candidates from (select term from grams where gram in {_GRAMS} group by 1 having count(distinct gram) = 5)",
     "wildcard_candidates": f"with {_PLAIN}, {oracle.kgrams()} select term from grams where gram in {_GRAMS} group by 1 having count(distinct gram) = 5",
-    "spell_suggest": f"{_LONG} select term, levenshtein(term, '{WORD}')::int as distance from (select distinct term from tokens where regexp_full_match(term, '[a-z0-9]+')) where levenshtein(term, '{WORD}') <= 2",
-    "spell_join": f"""{_LONG} select query, term, levenshtein(term, query)::int as distance from (select distinct term from tokens where regexp_full_match(term, '[a-z0-9]+')),
-(values ('{WORD}'), ('attoin'), ('thanedbel')) q(query) where levenshtein(term, query) <= 2""",
-    "phonetic": f"{_LONG} select {_CODE} as code, term from (select distinct term from tokens where regexp_full_match(term, '[a-z]+')) where {_CODE} = {oracle.soundex(oracle.quoted(NAME))}",
+    "spell_suggest": f"{_LONG}, near as (select term, {oracle.distance('term', oracle.quoted(WORD))} as distance from ({_VOCABULARY})) select term, distance from near where distance <= 2",
+    "spell_join": f"""{_LONG}, near as (select query, term, {oracle.distance('term', 'query')} as distance from ({_VOCABULARY}), (values {', '.join(f"({oracle.quoted(w)})" for w in SPELLED)}) q(query))
+select query, term, distance from near where distance <= 2""",
+    "phonetic": f"{_LONG} select {_CODE} as code, term from ({_VOCABULARY}) where regexp_full_match(term, '\\p{{L}}+') and {_CODE} = {oracle.soundex(oracle.quoted(NAME))}",
     "ground_truth": " union all ".join(
         f"select '{q}' as query, doc_id from documents where " + " and ".join(f"contains({_TEXT}, '{w}')" for w in q.split()) for q in QUERIES_OF_TRUTH
     ),
-    "test_queries": f"""with w as (select doc_id, list_filter({_WORDLIST}, lambda w: regexp_full_match(w, '\\p{{L}}+')) as ws from documents),
-f as (select row_number() over (order by doc_id) - 1 as ord, ws[1] || ' ' || ws[2] as query from w where len(ws) >= 2 order by doc_id limit 3)
-select ord::int as ord, query from f union all select * from (values (0, 'fox jumps'), (1, 'Stanford university'), (2, 'lung cancer')) v(ord, query) where v.ord >= (select count(*) from f)""",
+    "test_queries": f"with {_test_queries()} select ord, query from test_queries",
     "compression": f"""with {oracle.arrays(AnalyzerConfig(lowercase=False, norm='none'), 'a')}, {oracle.arrays(PLAIN, 'b')},
 x as (select count(distinct t) as n from (select unnest(tokens) as t from a)), y as (select count(distinct t) as n from (select unnest(tokens) as t from b))
 select x.n as n_raw, y.n as n_norm, round((1 - y.n / greatest(x.n, 1)) * 100, 2) as compression_rate from x, y""",
@@ -303,3 +476,8 @@ select x.n as n_raw, y.n as n_norm, round((1 - y.n / greatest(x.n, 1)) * 100, 2)
     "collection_view": "select doc_id, text from documents",
     "benchmark_phrases": f"select item_id as doc_id, array_to_string({oracle.without_stop_words(oracle.word_tokens(_TEXT))}, ',') as tokens from benchmark",
 }
+ORACLE_SQL |= {
+    "stored_vocabulary": ORACLE_SQL["vocabulary"], "stored_phrase_positional": ORACLE_SQL["phrase_positional"], "stored_phrase_biword": ORACLE_SQL["phrase_biword"],
+    "stored_phrase_false_positives": ORACLE_SQL["phrase_false_positives"], "stored_lookup": ORACLE_SQL["dictionary_lookup"], "stored_wildcard": ORACLE_SQL["wildcard"],
+    "stored_spell": ORACLE_SQL["spell_suggest"], "stored_phonetic": ORACLE_SQL["phonetic"],
+}

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lexiloom.functions.config import AnalyzerConfig
 from lexiloom.operators import analyze, dictionary, evaluate, index, phrase, tolerant
@@ -41,10 +43,10 @@ class Collection:
         self.terms.unpersist()
 
     def _phrase(self, text: str) -> list[str]:
-        return analyze.query_tokens(self.docs, text, self.cfg)
+        return analyze.query_tokens(self.docs, text, self.cfg, **self.lexical)
 
     def stages(self, doc_id) -> DataFrame:
-        return analyze.pipeline_stages(self.docs, doc_id, self.cfg)
+        return analyze.pipeline_stages(self.docs, doc_id, self.cfg, **self.lexical)
 
     def index(self, kind: str, **options) -> DataFrame:
         """inverted, biword, positional, kgram or soundex."""
@@ -56,13 +58,14 @@ class Collection:
     def vocabulary(self) -> DataFrame:
         return self.terms.orderBy("term")
 
-    def phrase(self, text: str, method: str = "positional") -> DataFrame:
-        """method: positional, biword, or false_positives."""
+    def phrase(self, text: str | None = None, method: str = "positional") -> DataFrame:
+        """method: positional, biword, or false_positives. Without a text, the first document's first two tokens are asked for."""
+        text = phrase.default_phrase(self.arrays) if text is None else text
         ask = {"positional": phrase.phrase_positional, "biword": phrase.phrase_biword, "false_positives": phrase.phrase_false_positives}[method]
         return ask(self.arrays, self._phrase(text))
 
     def lookup(self, entries: str | None = None) -> DataFrame:
-        return dictionary.dictionary_lookup(self.tokens, dictionary.default_entries(self.terms) if entries is None else entries, self.cfg)
+        return dictionary.dictionary_lookup(self.tokens, dictionary.default_entries(self.terms) if entries is None else entries, self.cfg, **self.lexical)
 
     def wildcard(self, pattern: str) -> DataFrame:
         return tolerant.wildcard(self.terms, pattern)
@@ -76,5 +79,24 @@ class Collection:
     def compare(self, queries: list[str] | None = None) -> DataFrame:
         return evaluate.compare_normalizers(self.docs, self.cfg, queries, **self.lexical)
 
+    def wildcard_grams(self, pattern: str) -> DataFrame:
+        return tolerant.decomposed(self.terms, pattern)
+
+    def defaults(self) -> dict[str, str]:
+        """What a user is offered for each kind of query."""
+        return {"phrase": phrase.default_phrase(self.arrays), "lookup": dictionary.default_entries(self.terms), **tolerant.default_queries(self.terms)}
+
+    def samples(self) -> DataFrame:
+        """The first entries of the biword (8), positional (5) and k-gram (10) index, as JSON."""
+        kinds = (("biword", index.biword_index(self.arrays), "biword", 8), ("positional", index.positional_map(self.tokens), "term", 5), ("kgram", index.kgram_index(self.terms), "gram", 10))
+        parts = [index.index_sample(frame, key, n).select(F.lit(kind).alias("kind"), "key", "entry") for kind, frame, key, n in kinds]
+        return functools.reduce(DataFrame.union, parts)
+
+    def summary_json(self, queries: list[str] | None = None) -> DataFrame:
+        return evaluate.summary_json(self.summary(queries))
+
+    def justification(self, queries: list[str] | None = None) -> DataFrame:
+        return evaluate.justification(self.summary(queries))
+
     def summary(self, queries: list[str] | None = None) -> DataFrame:
         return evaluate.compare_summary(self.docs, self.cfg, queries, **self.lexical)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,3 +52,18 @@ def select_document(docs: DataFrame, doc_id) -> DataFrame:
 def store_index(index: DataFrame, path: str, key: str) -> None:
     """Writes an index sorted by its key within files of key ranges, so that scans skip row groups."""
     index.repartitionByRange(F.col(key)).sortWithinPartitions(key).write.mode("overwrite").parquet(path)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir), which goes with the driver; of a local master, under /tmp if none is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "/tmp/lexiloom-scratch"
+    path = f"{folder.rstrip('/')}/lexiloom-{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(where)  # what is not there yet could not be marked
+    files.deleteOnExit(where)
+    return path

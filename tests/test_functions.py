@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -30,6 +32,27 @@ def test_tokeniser_contract(spark):
     assert column(spark, [None], text.word_tokens) == [[]]
 
 
+def chain(text_column):
+    """The tokeniser as its steps define it."""
+    for pattern, replacement in text.STEPS:
+        text_column = F.regexp_replace(text_column, pattern, replacement)
+    return F.filter(F.split(F.coalesce(text_column, F.lit("")), r"\s+"), lambda w: w.rlike(text.ALNUM))
+
+
+def test_tokeniser_takes_the_tokens_of_its_steps(spark):
+    rnd = random.Random(3)
+    pieces = [*"ab5-. ,:'\n\t;(\"é_/", "...", "--", "n't", "'s", "'ll", "::", ",,", "cannot", "Gonna", " gotta ", "can't", ", ", ". ", "x", "12"]
+    rows = [(i, "".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 14)))) for i in range(30_000)]
+    df = spark.createDataFrame(rows, "i int, t string")
+    different = df.select("t", chain(F.col("t")).alias("want"), text.word_tokens(F.col("t")).alias("got")).where("want <> got").collect()
+    assert different == []
+
+
+def test_tokeniser_on_long_runs(spark):
+    texts = ["- " * 100_000, "a-" * 200_000, "--" * 200_000, "," * 200_001 + "x", ". " * 100_000, "'" * 100_000, "a" * 500_000, "." * 300_000, ":" * 200_000 + " y", "a b " * 100_000]
+    assert [len(x) for x in column(spark, texts, text.word_tokens)] == [0, 0, 0, 1, 0, 0, 1, 0, 1, 200_000]
+
+
 def test_analyzer_options(spark):
     full = column(spark, ["State-of-the-art The END"], lambda c: text.plain_tokens(c, AnalyzerConfig(norm="none")))
     assert full == [["state", "art", "end"]]

@@ -1,10 +1,14 @@
 import json
+import random
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from lexiloom.functions import lemma, porter
 from lexiloom.functions.config import AnalyzerConfig
-from lexiloom.operators import evaluate, index, phrase, tolerant
-from lexiloom.plans import catalogue
+from lexiloom.operators import dictionary, evaluate, index, phrase, tolerant
+from lexiloom.plans import catalogue, oracle, stored
 from lexiloom.plans.workbench import Collection
 from lexiloom.sources import collection as sources
 from lexiloom.streaming import ingest
@@ -122,15 +126,14 @@ def test_whole_vocabulary(spark, tmp_path):
     run = lambda name: getattr(catalogue, name)(spark, str(tmp_path)).collect()
     terms = {w.lower() for w in words.split()} | {"schöne"}
     letters = {w for w in terms if w.isalpha()}
-    codes = {(r.code, t) for r in run("soundex_index_all") for t in r.terms.split(",")}
+    codes = {(r.code, t) for r in run("soundex_index") for t in r.terms.split(",")}
     assert codes == {(brute_soundex(w), w) for w in letters}
-    assert [r.term for r in run("phonetic_all")] == sorted(w for w in letters if brute_soundex(w) == brute_soundex(catalogue.NAME))
-    queries = [catalogue.WORD, "attoin", "thanedbel", *catalogue.ACCENTED]
+    assert [r.term for r in run("phonetic")] == sorted(w for w in letters if brute_soundex(w) == brute_soundex(catalogue.NAME))
+    queries = catalogue.SPELLED
     near = {(q, w, brute_distance(q, w)) for q in queries for w in terms if brute_distance(q, w) <= 2}
-    assert {tuple(r) for r in run("spell_join_all")} == near and ("señro", "señor", 2) in near
-    lemmas = {r.term: r.lemma for r in run("lemmas_all")}
+    assert {tuple(r) for r in run("spell_join")} == near and ("señro", "señor", 2) in near
+    lemmas = {r.term: r.lemma for r in run("lemmas")}
     assert terms <= set(lemmas) and lemmas["étés"] == "étés" and lemmas["boxes"] == "box"
-    assert {"soundex_index_all", "phonetic_all", "spell_join_all", "lemmas_all"} <= set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)
 
 
 def test_stages(plain, docs):
@@ -196,3 +199,133 @@ def test_entry(spark):
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).columns == ["doc_id", "positions"]
+
+
+LEXICON = [("quux", "noun"), ("zorn", "noun"), ("run", "verb")]
+IRREGULAR = [("quuxen", "quux")]
+
+
+@pytest.fixture(scope="module")
+def lexical(spark):
+    return {"lexicon": spark.createDataFrame(LEXICON, "word string, pos string"), "exceptions": spark.createDataFrame(IRREGULAR, "form string, lemma string")}
+
+
+@pytest.mark.parametrize("words", [lemma.LEXICON_WORDS, 0])
+def test_a_callers_lexicon_reaches_every_query(spark, lexical, monkeypatch, words):
+    """With forms sent to executors, and with terms joined."""
+    monkeypatch.setattr(lemma, "LEXICON_WORDS", words)
+    docs = spark.createDataFrame([(0, "Two quuxen saw zorns and geese."), (1, "One quux."), (2, "")], "doc_id long, text string")
+    c = Collection(docs, AnalyzerConfig(norm="lemma"), **lexical)
+    assert {r.doc_id: list(r.tokens) for r in c.arrays.collect()} == {0: ["two", "quux", "saw", "zorn", "geese"], 1: ["one", "quux"], 2: []}
+    assert {r.query_term: (r.in_corpus, list(r.docs)) for r in c.lookup("quuxen, zorns, geese, goose").collect()} == {
+        "quuxen": (True, [0, 1]), "zorns": (True, [0]), "geese": (True, [0]), "goose": (False, []),
+    }
+    assert ids(c.phrase("two quuxen")) == ids(c.phrase("two quuxen", "biword")) == [0]
+    assert list(c.stages(0).first().stage5_norm) == ["two", "quux", "saw", "zorn", "geese"]
+    rows = {r.query: r for r in c.compare(["quuxen", "geese"]).collect()}
+    assert list(rows["quuxen"].lemma_retrieved) == [0, 1] and list(rows["quuxen"].stem_retrieved) == [0]
+    assert {r.method: r.vocab_size for r in c.summary(["quuxen"]).collect()} == {"stem": 7, "lemma": 6}
+    both = Collection(docs, AnalyzerConfig(norm="both"), **lexical)
+    assert list(both.arrays.where("doc_id = 0").first().tokens) == ["two", "quux", "saw", "zorn", "gees"]
+
+
+@pytest.mark.parametrize("words", [lemma.LEXICON_WORDS, 0])
+def test_lemmas_of_rows_with_one_id_or_none(spark, monkeypatch, words):
+    monkeypatch.setattr(lemma, "LEXICON_WORDS", words)
+    texts = [(1, "geese ran"), (1, "wolves slept"), (None, "boxes"), (None, "boxes"), (2, None), (3, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = {norm: sorted((str(r.doc_id), list(r.tokens)) for r in Collection(docs, AnalyzerConfig(norm=norm)).arrays.collect()) for norm in ("none", "lemma", "both")}
+    assert found["lemma"] == [("1", ["goose", "ran"]), ("1", ["wolf", "slept"]), ("2", []), ("3", []), ("None", ["box"]), ("None", ["box"])]
+    assert [(i, len(t)) for i, t in found["none"]] == [(i, len(t)) for i, t in found["lemma"]] == [(i, len(t)) for i, t in found["both"]]
+    assert [list(r.stage5_norm) for r in Collection(docs, AnalyzerConfig(norm="lemma")).stages(1).orderBy("stage0_raw").collect()] == [["goose", "ran"], ["wolf", "slept"]]
+
+
+def test_lemmas_by_forms_and_by_join(spark):
+    rnd = random.Random(2)
+    nouns = sorted({"".join(rnd.choice("aefhimnsxyz") for _ in range(rnd.randint(1, 5))) for _ in range(400)})
+    terms = sorted({n[: len(n) - len(new)] + s for n in nouns for s, new in lemma.DETACHMENTS if n.endswith(new)} | set(nouns) | {"none", "zzz"})
+    lexicon = spark.createDataFrame([(n, "noun") for n in nouns] + [("zzz", "verb")], "word string, pos string")
+    exceptions = spark.createDataFrame([(terms[5], "odd"), (terms[9], terms[9])], "form string, lemma string")
+    joined = {r.term: r.lemma for r in lemma.lemma_map(spark.createDataFrame([(t,) for t in terms], "term string"), lexicon, exceptions).collect()}
+    forms = lemma.lemma_forms(lexicon, exceptions)
+    assert joined == {t: forms.get(t, t) for t in terms}
+
+
+def test_spelling_in_bulk_against_brute_force(spark):
+    rnd = random.Random(8)
+    words = {"".join(rnd.choice("abcé") for _ in range(rnd.randint(1, 9))) for _ in range(300)} | {"x" * 5000, "ab" * 2500, "aaaa" * 30, "aaaa" * 30 + "b"}
+    terms = spark.createDataFrame([(w,) for w in words], "term string")
+    asked = rnd.sample(sorted(words), 40) + ["", "a", "zz", "abca" * 30, "aaaa" * 30]
+    queries = spark.createDataFrame([(q,) for q in asked] + [(None,)], "query string")
+    for far in (1, 2, 3):
+        got = {tuple(r) for r in tolerant.spell_join(terms, queries, far).collect()}
+        assert got == {(q, w, d) for q in asked for w in words if abs(len(q) - len(w)) <= far and (d := brute_distance(q, w)) <= far}
+    assert tolerant.spell_join(terms, queries.where("false")).count() == 0
+    assert [r.term for r in tolerant.spell_suggest(terms, "X" * 4999, 1).collect()] == ["x" * 5000]
+
+
+def test_indexes_in_chunks(spark, plain, monkeypatch):
+    whole = {r.term: (r.df, list(r.docs)) for r in plain.index("inverted").collect()}
+    monkeypatch.setattr(index, "CHUNK", 2)
+    got: dict = {}
+    for r in plain.index("inverted").collect():
+        assert r.df == whole[r.term][0] and list(r.docs) == sorted(r.docs) and r.chunk < -(-r.df // 2)
+        got.setdefault(r.term, []).extend(r.docs)
+    assert {t: sorted(d) for t, d in got.items()} == {t: d for t, (_, d) in whole.items()}
+    assert len([r for r in plain.lookup("pages").collect()]) in (1, 2)
+    grams = plain.index("kgram").where("gram = '$r'").collect()
+    assert sorted(t for r in grams for t in r.terms) == ["rank", "ranked", "ranks", "recieve", "robert", "running", "rupert"]
+
+
+@pytest.mark.parametrize("norm", ["none", "stem"])
+def test_stored_collection(docs, tmp_path, norm):
+    c = Collection(docs, AnalyzerConfig(norm=norm))
+    kept = stored.build(c, str(tmp_path))
+    text = lambda df: sorted(map(str, df.collect()))
+    for query in ("search engines rank", "search engines", "pages", "the of", "no such words", "engines rank pages"):
+        for method in ("positional", "biword", "false_positives"):
+            assert text(kept.phrase(query, method)) == text(c.phrase(query, method)), (query, method)
+    assert text(kept.lookup("pages, Geese wolves, missing")) == text(c.lookup("pages, Geese wolves, missing"))
+    assert text(kept.lookup()) == text(c.lookup())
+    assert text(kept.wildcard("r*k*")) == text(c.wildcard("r*k*")) and text(kept.spell("rnak")) == text(c.spell("rnak"))
+    assert text(kept.phonetic("Robart")) == text(c.phonetic("Robart"))
+    times = {r.query_term: r for r in kept.lookup_latency("pages, missing", iterations=50).collect()}
+    assert times["pages"].in_corpus and not times["missing"].in_corpus and min(min(r.search_us, r.retrieval_us) for r in times.values()) > 0
+    plan = kept.phrase("search engines")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(term" in plan
+
+
+def test_evaluation_reports(docs, spark):
+    c = Collection(docs)
+    summary = {r.method: r for r in c.summary().collect()}
+    nested = json.loads(c.summary_json().first().summary)
+    assert set(nested) == {"stemming", "lemmatization"}
+    assert nested["stemming"]["vocab_size"] == summary["stem"].vocab_size and nested["lemmatization"]["lexical_validity"] == f"{summary['lemma'].lexical_validity}%"
+    why = c.justification().first()
+    higher = lambda a, b: "stem" if a > b else "lemma" if b > a else "tie"
+    assert why.winner == higher(why.stem_score, why.lemma_score) and why.higher_compression == higher(why.stem_compression_rate, why.lemma_compression_rate)
+    assert why.higher_validity == higher(why.stem_lexical_validity, why.lemma_lexical_validity)
+
+
+def test_defaults(docs, spark):
+    c = Collection(docs, PLAIN)
+    assert c.defaults() == {"phrase": "web scale", "lookup": "42, boxes, children, missingword", "wildcard": "b*s", "spelling": "boxe", "phonetic": "boxes"}
+    assert [r.doc_id for r in c.phrase().collect()] == [0]
+    grams = c.wildcard_grams("ra*ed").first()
+    assert list(grams.grams) == ["$r", "ra", "ed", "d$"] and grams.n_candidates == 1
+    assert {r.kind for r in c.samples().collect()} == {"biword", "positional", "kgram"}
+    tiny = Collection(spark.createDataFrame([(0, "zz")], "doc_id long, text string"), PLAIN)
+    assert tiny.lookup().count() == 1 and tiny.defaults()["spelling"] == "word" and tiny.phrase().count() == 0
+
+
+def test_stems_in_sql_are_stems():
+    """The oracle's rules and the stemmer's, written apart, agree."""
+    rnd = random.Random(5)
+    ends = ["s", "ed", "ing", "ies", "ied", "eed", "ational", "alli", "ally", "logi", "bli", "fulli", "ness", "ement", "ion", "sion", "e", "ll", "y", "ous", "izer", "iviti", "ical", ""]
+    words = {"".join(rnd.choice("aeiouybcdlnstxyz") for _ in range(rnd.randint(1, 7))) + rnd.choice(ends) + rnd.choice(ends) for _ in range(20_000)} | set(porter.IRREGULAR)
+    words |= {"éclairs", "straßen", "überly", "naïveness"}
+    con = duckdb.connect()
+    con.execute("create table words (term varchar)")
+    con.executemany("insert into words values (?)", [(w,) for w in sorted(words)][:8000])
+    got = dict(con.execute(f"with {oracle.stems('select term from words', 'stems')} select term, stem from stems").fetchall())
+    assert got == {w: porter.stem(w) for w in got} and len(got) == 8000

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from lexiloom.llm import decontaminate, language_id, license_scan, lm_score, media, mixing, near_dedup, quality, secret_scan, suffix_dedup
 from lexiloom.llm.common import table
 
@@ -48,5 +47,4 @@ def op10_near_dedup(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_suffix_dedup, op4_license_scan, op5_mixing, op6_lm_score, op7_language_id, op8_media, op9_secret_scan, op10_near_dedup)}
-QUERIES["pipeline"] = corpus_pipeline.run
 ORACLE_SQL = {"op1_decontaminate": decontaminate.ORACLE, "op5_mixing": mixing.ORACLE}

@@ -3,12 +3,15 @@
 For each language a suffix automaton is built of a bounded sample of its labelled text. A text is
 parsed into phrases, each the longest match of what remains in the language's sample; the language
 whose phrases cost least (phrase count times the log of the sample's size, per symbol) wins. Since a
-parse only walks forward and restarts at a mismatch, the automata become one dense table, and all
-pieces of all texts of a batch advance together, one symbol a step, in numpy. Texts are parsed whole,
-in pieces of PIECE symbols.
+parse only walks forward and restarts at a mismatch, the automata become one dense table (at most about 140 MB
+in a process, whatever the input), and all
+texts of a batch advance together, one symbol a step, in numpy. For that, texts are cut into pieces of
+PIECE symbols, each parsed from the start first; then every piece is parsed again from where its
+predecessor really ended, until both parses are in one state. So the result is that of the whole text.
 
-Symbols are the sample's most frequent lower-case letters, one for all other letters and one for a
-run of anything else.
+Symbols are the samples' most frequent lower-case letters and one for a run of anything that is no
+letter. All other letters are written as hexadecimal digits, with 16 symbols of their own, so
+that no two letters are ever confused, whatever the scripts.
 
 Edge cases: a text that is null or has no letter gives `und` with score 0, as does any text if no
 language was learned; ties go to the language first in order; null languages are not learned from;
@@ -17,6 +20,7 @@ repeated rows and extra columns pass through.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -31,11 +35,12 @@ from lexiloom.llm.hashing import mix
 #: The sample: at most one document for each language and each of SLOTS hash slots; of their texts, cut whole into
 #: pieces of at most SAMPLE_CHARS characters, those with the least hashes, so that they come from all parts.
 SLOTS, SAMPLE_CHARS = 64, 640
-#: Characters of sample over all languages, which bounds the table to about 130 MB, but that each language has a piece.
+#: Symbols of sample over all languages, which bounds the table to about 140 MB, but that each language has a piece.
 TOTAL_CHARS = 400_000
 #: The length of pieces where many languages share TOTAL_CHARS.
 LEAST_CHARS = 64
-ALPHABET = 62
+#: Letters with a symbol of their own; of others, digits with 4 bits each, 4 digits up to U+FFFF and 6 beyond.
+ALPHABET, DIGITS = 46, 16
 PIECE = 256
 #: Symbols parsed together.
 BATCH = 4 << 20
@@ -90,24 +95,33 @@ class CrossParser:
         gap = found == 0
         gap[1:] &= gap[:-1].copy()
         gap[:1] = False
-        return found[~gap]
+        found, points = found[~gap], points[~gap]
+        if not (found < 0).any():
+            return found
+        sizes = np.where(found < 0, np.where(points > 0xFFFF, 6, 4), 1)
+        left = np.cumsum(sizes).repeat(sizes) - np.arange(sizes.sum()) - 1  # digits that follow
+        digits = self.width - DIGITS + (points.repeat(sizes) >> (4 * left).astype(np.uint32) & np.uint32(15)).astype(np.int32)
+        found = found.repeat(sizes)
+        return np.where(found < 0, digits, found)
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases of each text for each language."""
         pieces = [max(1, -(-len(t) // PIECE)) for t in texts]
-        grid = np.zeros((sum(pieces), PIECE), np.int32)
-        sizes = np.zeros(sum(pieces), np.int64)
+        total = sum(pieces)
+        grid = np.zeros((total, PIECE), np.int32)
+        sizes, first = np.zeros(total, np.int64), np.zeros(total, bool)
         at = 0
         for t, n in zip(texts, pieces):
             grid[at : at + n].reshape(-1)[: len(t)] = t
             sizes[at : at + n] = np.clip(len(t) - PIECE * np.arange(n), 0, PIECE)
+            first[at] = True
             at += n
         order = np.argsort(-sizes, kind="stable")
         columns = np.ascontiguousarray(grid[order].T)
         alive = np.searchsorted(-sizes[order], -np.arange(PIECE), "left")
-        counts = np.ones((len(self.languages), len(sizes)), np.int32)
+        counts = np.zeros((len(self.languages), total), np.int32)
         for k, start in enumerate(self.starts):
-            state, count = np.full(len(sizes), start, np.int32), counts[k]
+            state, count = np.full(total, start, np.int32), np.zeros(total, np.int32)
             for c in range(PIECE):
                 n = alive[c]
                 if not n:
@@ -115,9 +129,37 @@ class CrossParser:
                 step = self.table[state[:n] + columns[c, :n]]
                 count[:n] += step & 1
                 state[:n] = step >> 1
-        back = np.empty_like(counts)
-        back[:, order] = counts
-        return np.add.reduceat(back, np.concatenate([[0], np.cumsum(pieces)[:-1]]), axis=1).T
+            counts[k, order] = count
+            ends = np.empty(total, np.int32)
+            ends[order] = state
+            self._join(grid, sizes, first, start, ends, counts[k])
+        return np.add.reduceat(counts, np.concatenate([[0], np.cumsum(pieces)[:-1]]), axis=1).T + 1
+
+    def _join(self, grid: np.ndarray, sizes: np.ndarray, first: np.ndarray, start: int, ends: np.ndarray, counts: np.ndarray) -> None:
+        """Corrects the counts and end states of pieces that were parsed from the start to those of a parse from their predecessors' ends."""
+        entry = np.full(len(ends), start, np.int32)
+        while True:
+            true = np.concatenate([[start], ends[:-1]]).astype(np.int32)
+            true[first] = start
+            piece = np.flatnonzero(true != entry)
+            if not len(piece):
+                return
+            old, new = entry[piece], true[piece]
+            entry[piece] = new
+            for c in range(PIECE):
+                # The shorter pieces end here: their last state is the new parse's.
+                over = sizes[piece] == c
+                ends[piece[over]] = new[over]
+                piece, old, new = piece[~over], old[~over], new[~over]
+                if not len(piece):
+                    break
+                symbol = grid[piece, c]
+                a, b = self.table[old + symbol], self.table[new + symbol]
+                counts[piece] += (b & 1) - (a & 1)
+                old, new = a >> 1, b >> 1
+                apart = old != new
+                piece, old, new = piece[apart], old[apart], new[apart]
+            ends[piece] = new
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
@@ -147,23 +189,28 @@ class CrossParser:
         return out
 
 
-def build(samples: dict[str, str]) -> CrossParser:
-    """The parser for samples of text by language."""
+def build(samples: dict[str, list[str]]) -> CrossParser:
+    """The parser for samples of text by language: pieces in order, of which the first is used, and more while they fit the language's share."""
     languages = sorted(samples)
     letters: dict[str, int] = {}
-    for text in samples.values():
-        for c in text.lower():
+    for parts in samples.values():
+        for c in "".join(parts).lower():
             if c.isalpha():
                 letters[c] = letters.get(c, 0) + 1
     alphabet = sorted(letters, key=lambda c: (-letters[c], c))[:ALPHABET]
-    width = len(alphabet) + 2
-    symbols = np.fromiter((width - 1 if chr(i).isalpha() else 0 for i in range(0x110000)), np.int32, 0x110000)
+    width = len(alphabet) + 1 + DIGITS
+    symbols = np.fromiter((-1 if chr(i).isalpha() else 0 for i in range(0x110000)), np.int32, 0x110000)
     for i, c in enumerate(alphabet):
         symbols[ord(c)] = i + 1
     parser = CrossParser(languages, symbols, width, np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0))
     tables, starts, costs, base = [], [], [], 0
     for name in languages:
-        sample = parser.read(samples[name]).tolist()
+        sample: list[int] = []
+        for i, part in enumerate(samples[name]):
+            part = [0, *parser.read(part).tolist()]
+            if i and len(sample) + len(part) > TOTAL_CHARS // len(languages):
+                break
+            sample += part
         nexts = suffix_automaton(sample)
         first = nexts[0]
         # A mismatch ends the phrase; the next begins with the same symbol, or after it if the sample lacks it.
@@ -181,6 +228,21 @@ def build(samples: dict[str, str]) -> CrossParser:
     return parser
 
 
+@dataclass(frozen=True)
+class LanguageModel:
+    """Languages and their pieces of sample. Only these are sent to executors; each Python process builds the parser of them once."""
+
+    samples: tuple[tuple[str, tuple[str, ...]], ...]
+
+    def parser(self) -> CrossParser:
+        return _built(self.samples)
+
+
+@functools.lru_cache(maxsize=1)
+def _built(samples: tuple[tuple[str, tuple[str, ...]], ...]) -> CrossParser:
+    return build({name: list(parts) for name, parts in samples})
+
+
 def piece_size(languages: int) -> tuple[int, int]:
     """The length of a piece of sample and the number of pieces of each language."""
     share = TOTAL_CHARS // max(1, languages)
@@ -204,8 +266,8 @@ def _pieces(size: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     return cut
 
 
-def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 4, held_out: int = 2) -> CrossParser:
-    """Builds the parser from a bounded sample of labelled rows outside the held-out fold of crc32(id)."""
+def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 4, held_out: int = 2) -> LanguageModel:
+    """Learns from a bounded sample of labelled rows outside the held-out fold of crc32(id)."""
     rows = docs.select(F.col(doc_id).cast("long").alias("k"), F.col(lang).cast("string").alias("l"), docs[text].alias("t"))
     rows = rows.where(F.col("l").isNotNull() & F.col("t").isNotNull() & (crc_mod(F.col("k"), folds) != held_out)).withColumn("h", F.xxhash64("k"))
     chosen = rows.groupBy("l", F.pmod("h", F.lit(SLOTS)).alias("slot")).agg(F.min("h").alias("h")).select("l", "h")
@@ -218,16 +280,16 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     samples: dict[str, list[str]] = {}
     for r in sorted(best, key=lambda r: (r.l, r.n)):
         samples.setdefault(r.l, []).append(r.t)
-    return build({name: "\n".join(parts) for name, parts in samples.items()})
+    return LanguageModel(tuple((name, tuple(parts)) for name, parts in sorted(samples.items())))
 
 
-def identify(docs: DataFrame, parser: CrossParser, text: str = "text", out: str = "language") -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, text: str = "text", out: str = "language") -> DataFrame:
     """Adds a struct of the predicted language and a score, 0 to 1."""
-    shared = docs.sparkSession.sparkContext.broadcast(parser)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang:string,score:double>")
     def identified(texts: pa.Array) -> pa.Array:
-        found = shared.value.predict([None if not x.is_valid else x.as_py().decode("utf-8", "replace") for x in texts])
+        found = shared.value.parser().predict([None if not x.is_valid else x.as_py().decode("utf-8", "replace") for x in texts])
         return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["lang", "score"])
 
     return docs.withColumn(out, identified.asNondeterministic()(utf8(docs[text])))

@@ -5,8 +5,10 @@ Symbols are words. For each class of lengths, a shift table over blocks of two w
 the search may jump; where the shift is zero, a bucket chosen by the suffix block, then by the
 prefix block, lists the test strings to compare word by word.
 
-Items are collected in blocks of bounded size; each block is broadcast and searched over all rows in
-turn, every pass extending the marks of the row, so nothing is shuffled however many items there are.
+Items are collected in blocks of bounded size. One block is broadcast and searched in the projection that
+returns the rows. Of several, each is searched over all texts in a job of its own, which keeps the texts with
+hits alone, by a digest; its broadcast goes before the next begins, so that no process ever holds two.
+The hits of all blocks then join the rows.
 
 Edge cases: null and empty texts have no words and are clean; null or wordless items have no
 windows; an item with a null id still marks words but is not listed; repeated items count once by
@@ -15,14 +17,16 @@ id; repeated rows are judged one by one; an empty table on either side gives cle
 
 from __future__ import annotations
 
+import functools
 import math
 from collections import defaultdict
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import utf8, words
+from lexiloom.llm.common import fresh, utf8, words, write_shared
 
 WINDOW = 13
 #: Bytes of item text that one pass over the documents holds in memory.
@@ -85,14 +89,13 @@ def merged(spans: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-def item_blocks(items: DataFrame, item_id: str, text: str, block_bytes: int):
-    """Yields lists of (id, bytes), each of about block_bytes at most, spread by hash."""
+def item_blocks(items: DataFrame, item_id: str, text: str, block_bytes: int) -> tuple[int, Iterator[list[tuple[int | None, bytes]]]]:
+    """The number of blocks, and an iterator of them: lists of (id, bytes), each of about block_bytes at most, spread by hash."""
     rows = items.select(items[item_id].cast("long").alias("i"), utf8(items[text]).alias("t")).where("t is not null").distinct()
     total = rows.agg(F.sum(F.length("t") + 64)).first()[0] or 0
     n = max(1, math.ceil(total / block_bytes))
-    for k in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
-        yield [(r.i, bytes(r.t)) for r in part.collect()]
+    parts = (rows if n == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) for k in range(n))
+    return n, ([(r.i, bytes(r.t)) for r in part.collect()] for part in parts)
 
 
 def mark_contamination(
@@ -100,15 +103,51 @@ def mark_contamination(
     out: str = "marks", window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Adds a struct: the number of words, the disjoint hit spans [start, end, ...] in words, the ids of the items found."""
-    marked = docs.withColumn(out, F.lit(None).cast(MARKS))
-    for block in item_blocks(items, item_id, item_text, block_bytes):
-        search = _searching(docs.sparkSession.sparkContext.broadcast(compile_items(block, window)))
-        marked = marked.withColumn(out, search(utf8(F.col(text)), F.col(out)))
-    return marked
+    context = docs.sparkSession.sparkContext
+    n, blocks = item_blocks(items, item_id, item_text, block_bytes)
+    if n == 1:
+        search = _searching(context.broadcast(compile_items(next(blocks), window)))
+        return docs.withColumn(out, search(utf8(docs[text]), F.lit(None).cast(MARKS)))
+    key, found = fresh(docs, "text_digest", "text_hits")
+    texts = docs.select(F.md5(utf8(docs[text])).alias("k"), utf8(docs[text]).alias("t")).where("t is not null")
+    tables = []
+    for block in blocks:
+        shared = context.broadcast(compile_items(block, window))
+        # Of equal texts one hit is enough.
+        tables.append(write_shared(texts.mapInArrow(_finding(shared), _HITS).dropDuplicates(["k"]).hint("rebalance"), "hits")[0])
+        shared.destroy()
+    # At most one row for each text and block.
+    hits = functools.reduce(DataFrame.union, tables).groupBy("k").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    hits = hits.select(F.col("k").alias(key), F.struct(F.lit(0).cast("long").alias("n_words"), "spans", "items").alias(found))
+    joined = docs.join(hits, F.md5(utf8(docs[text])) == F.col(key), "left")
+    return joined.withColumn(out, _searching(context.broadcast([]))(utf8(docs[text]), F.col(found))).drop(key, found)
+
+
+_HITS = "k string, spans array<int>, items array<long>"
+
+
+def _finding(shared):
+    """Texts (k, t) to the hits of those that have any."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, all_spans, all_items = [], [], []
+            for k, raw in zip(*batch.columns):
+                spans, items = [], set()
+                tokens = words(raw.as_py())
+                for searcher in shared.value:
+                    searcher.search(tokens, spans, items)
+                if spans:
+                    keys.append(k.as_py())
+                    all_spans.append(merged(spans))
+                    all_items.append(sorted(items))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(all_spans, pa.list_(pa.int32())), pa.array(all_items, pa.list_(pa.int64()))], ["k", "spans", "items"])
+
+    return find
 
 
 def _searching(shared):
-    """The function that searches for one broadcast block of items and extends a row's marks."""
+    """The function that counts a text's words, searches for one broadcast block of items and adds hits found before."""
     kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.int32())), ("items", pa.list_(pa.int64()))])
 
     @F.arrow_udf(MARKS)

@@ -9,8 +9,9 @@ Rates above 32 are split into equal pieces, each inverted by itself; a sum of Po
 Poisson, and no table of probabilities underflows.
 
 Edge cases: null text has no bytes; null sources are a source of their own; a source without bytes
-has rate 1; null ids hash as the text "null"; repeated rows get equal counts; extra columns pass
-through; an empty table gives an empty result.
+has rate 1; rows without an id are named by a digest of their text, so that they are not dealt to one
+partition; repeated rows get equal counts; extra columns pass through, and a result column whose name
+one of them has gets an underscore after it; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -52,12 +53,14 @@ def mix_sources(
     docs: DataFrame, weights: Mapping[str, float] | None = None, default: float = 1.0, ratio: float = 1.0, seed: str = SEED,
     doc_id: str = "doc_id", text: str = "text", source: str = "source",
 ) -> DataFrame:
-    """The documents' columns for every copy, and copy, n_copies, rate and shuffle_key; in shuffled order.
+    """The documents' columns for every copy, and rate, n_copies, copy and shuffle_key (with underscores where taken); in shuffled order.
 
     weights: target weights by source; sources not named have the default weight. ratio: bytes out over bytes in.
     """
     rates, count = source_rates(docs, weights, default, ratio, text, source)
-    key, salt, info, drawn = fresh(docs, "mix_source", "mix_salt", "mix_rate", "mix_count")
+    key, salt, info, drawn, named, rate, n_copies, copy, shuffle = fresh(
+        docs, "mix_source", "mix_salt", "mix_rate", "mix_count", "mix_name", "rate", "n_copies", "copy", "shuffle_key"
+    )
     rates = rates.select(F.col("source").alias(key), F.struct("rate", "pieces", "cdf").alias(info))
     if count <= BROADCAST_SOURCES:
         joined = docs.join(F.broadcast(rates), docs[source].eqNullSafe(rates[key]))
@@ -65,22 +68,24 @@ def mix_sources(
         spread = rates.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         salted = docs.withColumn(salt, F.pmod(F.xxhash64(docs[doc_id]), F.lit(SALTS)).cast("int"))
         joined = salted.join(spread, (salted[salt] == spread[salt]) & salted[source].eqNullSafe(spread[key])).drop(salt)
-    name = F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))
+    name = F.col(named)
     unit = lambda i: (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), name, i.cast("string"))), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
     inverse = lambda u: F.size(F.filter(F.col(info)["cdf"], lambda c: c < u))
     counts = F.aggregate(
         F.transform(F.sequence(F.lit(0), F.col(info)["pieces"] - 1), lambda i: inverse(unit(i))), F.lit(0), lambda a, n: a + n
     )
+    untold = F.concat(F.lit("null:"), F.md5(F.coalesce(docs[text].cast("string"), F.lit("")).cast("binary")))
     copies = (
-        joined.withColumn(drawn, counts).where(F.col(drawn) > 0)
+        joined.withColumn(named, F.coalesce(F.col(f"`{doc_id}`").cast("string"), untold)).withColumn(drawn, counts).where(F.col(drawn) > 0)
         .select(
-            *[F.col(f"`{c}`") for c in docs.columns],
-            F.col(info)["rate"].alias("rate"), F.col(drawn).alias("n_copies"),
-            F.explode(F.sequence(F.lit(0), F.col(drawn) - 1)).alias("copy"),
+            *[F.col(f"`{c}`") for c in docs.columns], named,
+            F.col(info)["rate"].alias(rate), F.col(drawn).alias(n_copies),
+            F.explode(F.sequence(F.lit(0), F.col(drawn) - 1)).alias(copy),
         )
-        .withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("shuffle"), name, F.col("copy").cast("string"))))
+        .withColumn(shuffle, F.md5(F.concat_ws(":", F.lit(seed), F.lit("shuffle"), name, F.col(copy).cast("string"))))
+        .drop(named)
     )
-    return copies.repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key")
+    return copies.repartition(F.col(shuffle)).sortWithinPartitions(shuffle)
 
 
 ORACLE = f"""
@@ -96,13 +101,13 @@ cdf as (
   union all select source, lam, k + 1, p * lam / (k + 1), c + p * lam / (k + 1) from cdf where k < {TERMS}),
 tables as (select source, list(c order by k) as cdf from cdf group by source),
 draws as (
-  select d.doc_id, d.text, d.lang, d.source, d.n_chars, p.rate, t.cdf, unnest(generate_series(0, p.pieces - 1)) as i
+  select d.doc_id, d.text, d.lang, d.source, d.n_chars, coalesce(d.doc_id::varchar, 'null:' || md5(coalesce(d.text, ''))) as name, p.rate, t.cdf, unnest(generate_series(0, p.pieces - 1)) as i
   from documents d join pieces p on d.source is not distinct from p.source join tables t on d.source is not distinct from t.source),
 units as (
-  select *, (('0x' || substr(md5('{SEED}:' || coalesce(doc_id::varchar, 'null') || ':' || i::varchar), 1, 12))::bigint + 0.5) / 281474976710656.0 as u from draws),
+  select *, (('0x' || substr(md5('{SEED}:' || name || ':' || i::varchar), 1, 12))::bigint + 0.5) / 281474976710656.0 as u from draws),
 counts as (
-  select doc_id, text, lang, source, n_chars, rate, sum(len(list_filter(cdf, lambda c: c < u)))::int as n_copies
+  select doc_id, text, lang, source, n_chars, name, rate, sum(len(list_filter(cdf, lambda c: c < u)))::int as n_copies
   from units group by all)
-select *, md5('{SEED}:shuffle:' || coalesce(doc_id::varchar, 'null') || ':' || copy::varchar) as shuffle_key from (
+select * exclude (name), md5('{SEED}:shuffle:' || name || ':' || copy::varchar) as shuffle_key from (
   select *, unnest(generate_series(0, n_copies - 1))::int as copy from counts where n_copies > 0)
 """

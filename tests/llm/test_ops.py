@@ -1,8 +1,10 @@
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -50,7 +52,7 @@ def brute_hits(text, items, window=13):
     return len(tokens), len(hit), sorted(str(x) for x in found if x is not None)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 200])
+@pytest.mark.parametrize("block_bytes", [1 << 20, 200, 20])
 def test_decontaminate_against_brute_force(spark, block_bytes):
     rnd = random.Random(1)
     word = lambda: rnd.choice(["Alpha", "beta", "gämma", "d9", "e"])
@@ -67,6 +69,32 @@ def test_decontaminate_against_brute_force(spark, block_bytes):
         assert r.contaminated == (hit > 0 and 20 * hit >= n)
 
 
+def test_decontaminate_holds_one_block_at_a_time(spark, monkeypatch):
+    """Fifty blocks: none is broadcast before the one before it is gone."""
+    rnd = random.Random(16)
+    line = lambda: " ".join(rnd.choice("abcdefgh") * 3 for _ in range(14))
+    items = [(i, line()) for i in range(150)]
+    texts = [f"x {items[i % 150][1]} y {items[(7 * i) % 150][1]}" for i in range(40)] + ["clean text", None]
+    alive, most = [], []
+    broadcast = type(spark.sparkContext).broadcast
+
+    def counted(context, value):
+        made = broadcast(context, value)
+        if value:
+            alive.append(sum(len(p) for w in value for b in w.buckets.values() for p in b.values()))
+            most.append(len(alive))
+            destroy = made.destroy
+            monkeypatch.setattr(made, "destroy", lambda *a, **k: (alive.pop(), destroy(*a, **k)), raising=False)
+        return made
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", counted)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = rows(decontaminate.digest(frame(spark, texts), bench, block_bytes=350))
+    assert len(most) >= 50 and max(most) == 1 and not alive
+    for i, t in enumerate(texts):
+        assert (got[i].n_words, got[i].n_hit, got[i].n_items) == (lambda n, h, f: (n, h, len(f)))(*brute_hits(t, items))
+
+
 def test_decontaminate_empty_tables(spark, nothing):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.digest(nothing, none).count() == 0
@@ -142,29 +170,95 @@ def test_suffix_dedup_against_brute_force(spark, nothing, monkeypatch):
     assert all(len(r.kept) == r.n_bytes - r.n_removed and len(r.spans) == 2 * r.n_spans for r in whole.collect())
 
 
+def test_suffix_dedup_of_a_hot_string(spark, monkeypatch):
+    """A string of 30 bytes in 4000 surroundings: no bucket gets them all, and nothing is lost."""
+    rnd = random.Random(14)
+    noise = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
+    hot = "one very common string, thirty"
+    assert len(hot) == 30
+    texts = [f"{noise(60)}{hot}{noise(60)}" for _ in range(4000)]
+    for i in range(0, 400, 4):  # repeated strings across the hot one: 50 bytes and more around it, before it, after it; and 49, which are none
+        cut = ((40, 110), (15, 90), (75, 140), (50, 99))[i // 4 % 4]
+        texts[i + 2] = noise(20) + texts[i][cut[0] : cut[1]] + noise(20)
+    docs = [(i, t) for i, t in enumerate(texts)]
+
+    def largest(n=64):
+        """The most bytes that a bucket indexes; all steps run in this process."""
+        rows = [(i, 0, t.encode()) for i, t in docs]
+        cut = suffix_dedup._cut(n)(iter([pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows]) for k in range(3)], ["id", "tag", "raw"])]))
+
+        def dealt(found, kind):
+            parts: dict = {}
+            for r in found:
+                if r["kind"] == kind:
+                    parts.setdefault(r["place"], []).append(r)
+            return parts
+
+        def packed(part, place):
+            return pa.Table.from_pylist([r | {"bucket": place} for r in part])
+
+        settled = [r for p, part in dealt([r for b in cut for r in b.to_pylist()], suffix_dedup.SEGMENTS).items() for r in suffix_dedup._settle(n)(packed(part, p)).to_pylist()]
+        found = []
+        for p, part in dealt(settled, suffix_dedup.NEEDS).items():
+            held = pa.Table.from_pylist([{"id": r[0], "tag": r[1], "raw": r[2]} for r in rows if (r[0] ^ r[1]) % n == p])
+            found += suffix_dedup._fetch(n)(held, packed(part, p)).to_pylist()
+        return max(sum(sum(map(len, suffix_dedup._unpack([r["data"]])["bytes"].to_pylist())) for r in part) for part in dealt(found, suffix_dedup.TEXTS).values())
+
+    split = largest()
+    monkeypatch.setattr(suffix_dedup, "HOT", 1 << 30)
+    assert split < largest() / 4
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 1 << 13)
+    got = suffix_dedup.digest(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=repr) == brute_removed(docs)
+
+
 # ---- licences
 
 
-def test_license_scan(spark, nothing):
+def license_paragraphs(text):
+    """Paragraphs as the operator defines them."""
+    plain = re.sub(r"[A-Z]", lambda m: m[0].lower(), text or "")
+    return re.split(r"(?:\r\n?|\n)[ \t]*(?:\r\n?|\n)\s*", plain)
+
+
+def test_license_scan_against_brute_force(spark, nothing):
     model = license_scan.default_model()
     lines = {
         "Licensed under the Apache License, Version 2.0.": "apache-2.0", "Released under the MIT License.": "mit", "Licensed under CC BY-NC 4.0.": "cc-by-nc",
         "This work is licensed under the GNU General Public License, version 3.": "gpl", "Nothing of the kind.": None, "Er kam mit dem Zug.": None,
     }
     texts = odd([f"ere thanedble.\n{t}\nof the ea" for t in lines])
-    got = rows(license_scan.digest(frame(spark, texts)))
+    wrapped = "\n * ".join(re.findall(r".{1,40}(?: |$)", license_scan.FAMILIES["mit"][2][0]))
+    both = "Licensed under the MIT License. Documentation is licensed under CC BY 4.0."
+    unseen = "This work is licensed under the European Union Public Licence; redistribution of this software requires that copyright notices and this license are retained."
+    texts += [wrapped, both, unseen, f"prose before\r\n\r\n{both}\n \t\n{unseen}\n\n\nthe end", "\n\n".join(license_scan.FAMILIES["bsd"][2]), *license_scan.ORDINARY]
+    docs = frame(spark, texts)
+    got = rows(license_scan.digest(docs))
+    found = rows(license_scan.scan_licenses(docs))
     for i, t in enumerate(texts):
-        want = sorted({f for line, f in lines.items() if f and t and line in t})
-        assert got[i].families == ",".join(want), t
-        assert got[i].n_licenses == len(want) and got[i].n_unknown == 0
-    found = license_scan.scan_licenses(frame(spark, list(lines))).collect()
-    for r in found:
-        p = model.probabilities(r.text)
-        for x in r.licenses:
-            assert abs(x.probability - p[:-1].max()) < 1e-9
+        want = [(k, *f) for k, p in enumerate(license_paragraphs(t)) for f in model.findings(p)]
+        assert [(x.paragraph, x.family) for x in found[i].licenses] == [w[:2] for w in want], t
+        assert all(abs(x.probability - w[2]) < 1e-9 for x, w in zip(found[i].licenses, want))
+        named = sorted({f for line, f in lines.items() if f and line in (t or "")})
+        if i < texts.index(wrapped):
+            assert got[i].families == ",".join(named) and got[i].n_licenses == len(named) and got[i].n_unknown == 0
+    at = texts.index(wrapped)
+    assert [got[at + k].families for k in range(5)] == ["mit", "cc-by,mit", "", "cc-by,mit", "bsd"]
+    assert [got[at + k].n_unknown for k in range(5)] == [0, 0, 1, 1, 0]
+    assert not any(got[at + 5 + k].findings for k in range(len(license_scan.ORDINARY)))
     assert license_scan.digest(nothing).count() == 0
 
 
+def test_license_model_of_unseen_families():
+    model = license_scan.default_model()
+    for family, texts in license_scan.templates().items():
+        for t in texts:
+            assert license_scan.gated(t) and [f for f, _ in model.findings(t)] == [family], t
+    unseen, ordinary = (model.calibration["large"][model.calibration["is_licence"] == x] for x in (True, False))
+    assert (unseen >= model.licence_threshold).mean() > 0.9 and (ordinary < model.licence_threshold).mean() > 0.9
+    assert (model.calibration["best"][model.calibration["is_licence"]] >= model.threshold).mean() <= 0.06
+
+
 # ---- mixing
 
 
@@ -182,6 +276,17 @@ def test_mixing_rates_and_edges(spark, nothing):
     assert len(same) % 2 == 0
 
 
+def test_mixing_with_clashing_columns_and_null_ids(spark):
+    docs = spark.createDataFrame([(None, f"text {i}", "s", "kept") for i in range(400)], "doc_id long, text string, source string, copy string")
+    for c in ("rate", "n_copies", "SHUFFLE_KEY"):
+        docs = docs.withColumn(c, docs["copy"])
+    out = mixing.mix_sources(docs)
+    assert out.columns[:4] == ["doc_id", "text", "source", "copy"] and out.columns[-4:] == ["rate_", "n_copies_", "copy_", "shuffle_key_"]
+    found = out.collect()
+    assert {(r["copy"], r["rate"], r["rate_"]) for r in found} == {("kept", "kept", 1.0)}
+    assert 300 < len(found) < 500 and len({r["shuffle_key_"] for r in found}) == len(found)
+
+
 def test_mixing_large_rates_and_many_sources(spark, monkeypatch):
     docs = spark.createDataFrame([(0, "x", "s"), (1, "y" * 999, "t")], "doc_id long, text string, source string")
     few = mixing.mix_sources(docs).where("source = 's'").count()
@@ -258,25 +363,40 @@ def test_lm_counts_from_many_chunks_and_ranges(spark, monkeypatch):
 
 def test_language_parse_against_brute_force():
     rnd = random.Random(4)
-    samples = {"x": "".join(rnd.choice("ab cé") for _ in range(300)), "y": "".join(rnd.choice("bcd ") for _ in range(200))}
-    parser = language_id.build(samples)
-    texts = ["".join(rnd.choice("abcdé z.") for _ in range(n)) for n in (1, 5, 40, 255, 256, 257, 900)]
+    samples = {"x": "".join(rnd.choice("ab cé") for _ in range(1500)), "y": "".join(rnd.choice("bcd 中𐌰") for _ in range(200)), "z": "ab"}
+    parser = language_id.build({k: [v] for k, v in samples.items()})
+    texts = ["".join(rnd.choice("abcdé z.中國") for _ in range(n)) for n in (1, 5, 40, 255, 256, 257, 900, 3000)]
+    # Long copies of a sample: parses that do not meet for several pieces.
+    texts += [samples["x"], "b" + samples["x"][7:] * 2, "z" * 255 + samples["x"], samples["y"] * 9]
     got = parser.phrases([parser.read(t) for t in texts])
     for t, counts in zip(texts, got):
-        read = parser.read(t).tolist()
+        read = bytes(parser.read(t).tolist())
         for k, name in enumerate(parser.languages):
-            sample = bytes(parser.read(samples[name]).tolist())
-            total = 0
-            for a in range(0, max(1, len(read)), language_id.PIECE):
-                piece, at, total = bytes(read[a : a + language_id.PIECE]), 0, total + 1
-                begin = 0
-                for at in range(len(piece)):
-                    if piece[begin : at + 1] not in sample:
-                        total += 1
-                        begin = at if piece[at : at + 1] in sample else at + 1
+            sample = bytes([0, *parser.read(samples[name]).tolist()])
+            total, begin = 1, 0
+            for at in range(len(read)):
+                if read[begin : at + 1] not in sample:
+                    total += 1
+                    begin = at if read[at : at + 1] in sample else at + 1
             assert counts[k] == total
 
 
+def test_language_symbols_keep_letters_apart():
+    parser = language_id.build({"a": ["".join(map(chr, range(0x4E00, 0x4E80)))], "b": ["abc" * 9 + "𐌰𐌸"]})
+    for x, y in (("中", "國"), ("𐌰", "𐌸"), ("é", "中"), ("a", "b")):
+        assert parser.read(x).tolist() != parser.read(y).tolist()
+    assert len(parser.read("中")) == 4 and len(parser.read("𐌰𐌸")) in (2, 12) and parser.read("a中 b").tolist().count(0) == 1
+
+
+def test_language_of_four_scripts(spark):
+    rnd = random.Random(15)
+    letters = {"en": "abcdefghijklmnopqrstuvwxyz", "ru": "".join(map(chr, range(0x430, 0x450))), "h1": "".join(map(chr, range(0x4E00, 0x4F00))), "h2": "".join(map(chr, range(0x6000, 0x6100)))}
+    words = {k: ["".join(rnd.choice(v) for _ in range(rnd.randint(1, 5))) for _ in range(80)] for k, v in letters.items()}
+    data = [(i, " ".join(rnd.choice(words[k]) for _ in range(25)), k) for i, k in enumerate(rnd.choices(list(letters), k=200))]
+    got = rows(language_id.digest(spark.createDataFrame(data, "doc_id long, text string, lang string")))
+    assert all(got[i].lang_pred == k for i, _, k in data)
+
+
 def test_language_id(spark, nothing):
     rnd = random.Random(5)
     make = {"en": ["the", "thing", "other"], "fr": ["le", "été", "que"]}
@@ -291,7 +411,7 @@ def test_language_id(spark, nothing):
 
 
 def test_language_of_high_code_points():
-    parser = language_id.build({"en": "the thing other", "got": "𐌰𐌽𐌰 𐌸𐌰𐌽𐌰"})
+    parser = language_id.build({"en": ["the thing other"], "got": ["𐌰𐌽𐌰 𐌸𐌰𐌽𐌰"]})
     assert parser.predict(["😀 12 🚀", "𝄞"]) == [("und", 0.0)] * 2
     assert parser.predict(["𐌸𐌰𐌽𐌰 😀"])[0][0] == "got"
 
@@ -308,7 +428,7 @@ def test_language_samples_are_no_prefixes(spark, monkeypatch):
     assert [got[100 + i].lang_pred for i in range(20)] == right
     assert [language_id.piece_size(n) for n in (1, 10, 1000, 10**6)] == [(640, 625), (640, 62), (64, 6), (64, 1)]
     monkeypatch.setattr(language_id, "TOTAL_CHARS", 1)
-    assert all(cost > 1 for cost in language_id.train(docs).costs)
+    assert all(cost > 1 for cost in language_id.train(docs).parser().costs)
 
 
 # ---- media
@@ -502,36 +622,53 @@ def crowded_texts():
     return texts
 
 
-def test_near_duplicates_in_large_buckets(spark):
-    texts = crowded_texts()
+def brute_classes(texts):
+    """Classes by comparing all pairs of texts in which every shingle occurs once; also the pairs at 0.75 to 0.8, and those at 0.8."""
     hashes, offsets = hashing.word_hashes([t.encode() for t in texts])
-    bags = [near_dedup.multiset(hashes[s:e]) for s, e in zip(offsets, offsets[1:])]
-    # Every shingle occurs once in its text, so sets do.
-    sets = [set(b[0].tolist()) for b in bags]
-    root = list(range(len(texts)))
-    close = 0
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in range(len(texts)):
-        for j in range(i):
-            both = len(sets[i] & sets[j])
-            s = both / (len(sets[i]) + len(sets[j]) - both)
-            close += 0.75 <= s < 0.8
-            if s >= 0.8:
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
+    sets = [near_dedup.multiset(hashes[s:e])[0] for s, e in zip(offsets, offsets[1:])]
+    items, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    sizes = np.array([len(x) for x in sets])
+    table = np.zeros((len(sets), len(items)), np.float32)
+    table[np.repeat(np.arange(len(sets)), sizes), flat] = 1
+    both = table @ table.T
+    s = both / (sizes[:, None] + sizes - both)
+    root = np.arange(len(texts))
+    for i, j in zip(*np.nonzero(np.tril(s >= 0.8 - 1e-6, -1))):
+        a, b = sorted((root[i], root[j]))
+        root[root == b] = a
+    return root, int((np.tril(s >= 0.75, -1) & (s < 0.8 - 1e-6)).sum()), np.argwhere(np.tril(s >= 0.8 - 1e-6, -1))
+
+
+@pytest.mark.parametrize("block", [near_dedup.BLOCK, 50])
+def test_near_duplicates_in_large_buckets(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    texts = crowded_texts()
+    root, close, _ = brute_classes(texts)
     got = rows(near_dedup.digest(frame(spark, texts)))
     assert close > 50_000
-    assert {i: got[i].class_id for i in got} == {i: find(i) for i in range(len(texts))}
+    assert {i: got[i].class_id for i in got} == dict(enumerate(root))
+
+
+def test_near_duplicates_among_thousands(spark):
+    """A template below 0.8 in 2500 texts, with pairs just above 0.8 and a chain of copies among them."""
+    rnd = random.Random(13)
+    shared = [f"s{i}" for i in range(48)]
+    own = lambda k: [f"v{k}x{i}" for i in range(7)]
+    texts = [" ".join(shared + own(k)) for k in range(2500)]
+    texts += [" ".join(shared + own(k)[:4] + own(k + 9000)[4:]) for k in rnd.sample(range(2500), 200)]
+    chain = [f"c{i}" for i in range(80)]
+    texts += [" ".join(chain[:k] + [f"d{i}" for i in range(k)] + chain[k:]) for k in range(40)]
+    rnd.shuffle(texts)
+    root, close, pairs = brute_classes(texts)
+    got = rows(near_dedup.digest(frame(spark, texts)))
+    assert close > 2_000_000 and len(pairs) >= 200
+    assert sum(got[i].class_id == got[j].class_id for i, j in pairs.tolist()) == len(pairs)
+    assert {i: got[i].class_id for i in got} == dict(enumerate(root))
 
 
 def test_second_pass_without_first_links(spark, monkeypatch):
-    first = near_dedup._first_pairs
-    monkeypatch.setattr(near_dedup, "_first_pairs", lambda bands: (first(bands)[0].where("false"), first(bands)[1]))
+    first = near_dedup._first_pass
+    monkeypatch.setattr(near_dedup, "_first_pass", lambda shared: first(shared).where("false"))
     line = " ".join(f"w{i}" for i in range(60))
     got = rows(near_dedup.digest(frame(spark, [line, line + " x", "other words"])))
     assert [got[i].class_id for i in range(3)] == [0, 0, 2]

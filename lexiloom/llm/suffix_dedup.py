@@ -6,7 +6,10 @@ A byte goes if some string of LENGTH bytes over it also starts in a document wit
    windows name equal anchors. Consecutive windows with one anchor are a segment (about 65 bytes).
    Segments are dealt to buckets by anchor, so all places of a string meet, as packed columns.
 2. In a bucket, segments equal to one of a smaller document go whole (pre-aggregation of copies).
-   Of anchors with different segments, one copy of each segment is fetched from its document.
+   Of anchors with different segments, one copy of each segment is fetched from its document. An anchor
+   of more than HOT different segments (a common string in many surroundings) does not stay together:
+   its windows are dealt anew by the anchor and CONTEXT bytes after it, or before it where a window has
+   fewer after it, so that equal windows still meet, but not all surroundings.
 3. Those segments are joined to one text and indexed: suffixes are sorted to a depth of 64 by
    doubling, which gives the Burrows-Wheeler transform. Common prefixes follow by increasing value:
    starting from the boundaries between first letters, each step extends all intervals backwards by
@@ -16,9 +19,11 @@ A byte goes if some string of LENGTH bytes over it also starts in a document wit
 4. Each document's spans are merged and cut from its bytes.
 
 Texts travel once, dealt by document; both steps that need them share that exchange. A hot anchor
-costs a bucket one row per task and distinct segment, not one per document, as tasks drop copies of
+costs a bucket one row (some 30 bytes) per task and distinct segment, not one per document, as tasks drop copies of
 a segment before sending. Numbers of buckets follow the input's size.
 
+Segments count as equal if 96 bits of hash of their bytes and anchor agree.
+
 Edge cases: null text counts as empty; texts shorter than LENGTH keep all bytes; rows with a null
 id remove nothing and lose nothing; rows with one id do not remove each other's bytes, whether their
 texts are equal or not; an empty table gives an empty result; extra columns are not read.
@@ -40,6 +45,8 @@ from lexiloom.llm.hashing import Rolling, sliding_least, window_hashes
 
 LENGTH, ANCHOR = 50, 20
 DEPTH = 64
+#: Different segments of an anchor that are indexed together, and the bytes by which those of others are dealt.
+HOT, CONTEXT = 512, 15
 #: Bytes of text for each bucket up to 1 GB of input; beyond, buckets grow with its cube root, so that pieces stay of useful size.
 BUCKET_BYTES = 4 << 20
 #: Bytes hashed at once (a longer text is cut into overlapping pieces), and bytes whose segments are sent together.
@@ -218,18 +225,48 @@ def _settle(n: int):
             starts = np.flatnonzero(by_anchor)
             shared = np.minimum.reduceat(rows["id"], starts) < np.maximum.reduceat(rows["id"], starts)
             index = ~known & ((contents > 1) & shared)[group]
+            hot = (contents > HOT)[group]
             spans = _spans_of({k: v[known] for k, v in rows.items()})
             out += _dealt(SPANS, _place(spans["id"], spans["tag"], n), spans)
             needs = {k: rows[k][index] for k in ("id", "tag", "start", "windows")}
-            needs["bucket"] = np.full(int(index.sum()), table.column("bucket")[0].as_py(), np.int64)
+            needs["bucket"] = np.where(hot[index], -1, table.column("bucket")[0].as_py()).astype(np.int64)
             out += _dealt(NEEDS, _place(needs["id"], needs["tag"], n), needs)
         return _table(out)
 
     return run
 
 
-def _fetch(texts: pa.Table, needs: pa.Table) -> pa.Table:
+def _halves(rows: dict[str, np.ndarray], n: int) -> dict[str, np.ndarray]:
+    """Deals the segments of hot anchors by what surrounds the anchor: their windows with CONTEXT bytes after it, and the others."""
+    hot = np.flatnonzero(rows["bucket"] < 0)
+    if not len(hot):
+        return rows
+    parts: dict[str, list] = {k: [] for k in rows}
+    for i in hot.tolist():
+        raw, windows = rows["bytes"][i], int(rows["windows"][i])
+        hashes = window_hashes(Rolling(np.frombuffer(raw, np.uint8)), ANCHOR)
+        at = int((hashes >> np.uint64(24)).argmin())  # as segments() chose it
+        cut = min(max(0, at - CONTEXT), windows)
+        for side, first, last in ((b"before", 0, cut), (b"after", cut, windows)):
+            if first < last:
+                near = raw[at - CONTEXT : at + ANCHOR] if side == b"before" else raw[at : at + ANCHOR + CONTEXT]
+                bucket = int.from_bytes(hashlib.blake2b(near, digest_size=7, person=side).digest(), "little") % n
+                for k, x in (("id", rows["id"][i]), ("tag", rows["tag"][i]), ("start", rows["start"][i] + first), ("windows", last - first), ("bucket", bucket), ("bytes", raw[first : last + LENGTH - 1])):
+                    parts[k].append(x)
+    cold = np.flatnonzero(rows["bucket"] >= 0)
+    return {k: np.concatenate([v[cold], np.array(parts[k], v.dtype)]) for k, v in rows.items()}
+
+
+def _fetch(n: int):
     """Takes the needed segments' bytes from the texts of one place."""
+
+    def run(texts: pa.Table, needs: pa.Table) -> pa.Table:
+        return _fetched(texts, needs, n)
+
+    return run
+
+
+def _fetched(texts: pa.Table, needs: pa.Table, n: int) -> pa.Table:
     if not texts.num_rows or not needs.num_rows:
         return _table([])
     rows = _unpack(x.as_py() for x in needs.column("data"))
@@ -248,7 +285,9 @@ def _fetch(texts: pa.Table, needs: pa.Table) -> pa.Table:
     if not chosen:
         return _table([])
     chosen = np.concatenate(chosen)
-    rows = {k: v[chosen] for k, v in rows.items()} | {"bytes": np.array(parts, object)}
+    held = np.empty(len(parts), object)
+    held[:] = parts
+    rows = _halves({k: v[chosen] for k, v in rows.items()} | {"bytes": held}, n)
     bucket = rows.pop("bucket")
     return _table(list(_dealt(TEXTS, bucket, rows)))
 
@@ -398,7 +437,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ours = raw.where(F.col("id").isNotNull())
     texts = ours.select("id", "tag", "raw", F.pmod(F.col("id").bitwiseXOR(F.col("tag")), F.lit(n)).alias("place"))  # as in _place()
     grouped = texts.groupBy("place")
-    fetched = grouped.cogroup(settled.where(F.col("kind") == NEEDS).groupBy("place")).applyInArrow(_fetch, _BLOB)
+    fetched = grouped.cogroup(settled.where(F.col("kind") == NEEDS).groupBy("place")).applyInArrow(_fetch(n), _BLOB)
     indexed = fetched.groupBy("place").applyInArrow(_index(n), _BLOB)
     spans = settled.where(F.col("kind") == SPANS).unionByName(indexed)
     done = grouped.cogroup(spans.groupBy("place")).applyInArrow(_apply(whole), RESULT)

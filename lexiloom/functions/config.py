@@ -9,12 +9,16 @@ NORMS = ("none", "stem", "lemma", "both")
 
 @dataclass(frozen=True)
 class AnalyzerConfig:
-    """Options of the analyzer; a plan-time constant. norm: none, stem, lemma, or both (lemma, then stem)."""
+    """Options of the analyzer; a plan-time constant. norm: none, stem, lemma, or both (lemma, then stem).
+
+    abbreviations: words, in lower case, that keep a period after them, so that they are no tokens, unless they end the text.
+    """
 
     hyphens: bool = True
     lowercase: bool = True
     stopwords: bool = True
     norm: str = "stem"
+    abbreviations: tuple[str, ...] = ()
 
     def __post_init__(self) -> None:
         if self.norm not in NORMS:

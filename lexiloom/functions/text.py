@@ -10,6 +10,7 @@ text in one pass of one expression, TOKEN; rules for rare words apply only to te
 from __future__ import annotations
 
 import functools
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -58,6 +59,14 @@ def _any(text: Column, words) -> Column:
     return functools.reduce(lambda a, b: a | b, [text.contains(w) for w in words])
 
 
+def abbreviated(text: Column, words: tuple[str, ...]) -> Column:
+    """The text with a period after each of these words, but at the end, made part of it."""
+    if not words:
+        return text
+    listed = "|".join(re.escape(w) for w in sorted(words, key=len, reverse=True))
+    return F.regexp_replace(text, rf"(?i)(?<![^\s(\"'\[])({listed})\.(?=[\s,;:)\]]+\S)", "$1_.")
+
+
 def _split_words(tokens: Column) -> Column:
     def parts(w: Column) -> Column:
         out = F.array(w)
@@ -94,7 +103,7 @@ def plain_tokens(text: Column, cfg: AnalyzerConfig) -> Column:
     """Tokens after hyphens, case and stop words, before normalisation."""
     text = hyphen_spaced(text) if cfg.hyphens else text
     text = F.lower(text) if cfg.lowercase else text
-    tokens = word_tokens(text, cfg.lowercase)
+    tokens = word_tokens(abbreviated(text, cfg.abbreviations), cfg.lowercase)
     return without_stop_words(tokens, cfg.lowercase) if cfg.stopwords else tokens
 
 

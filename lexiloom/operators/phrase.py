@@ -60,6 +60,15 @@ def phrase_false_positives(arrays: DataFrame, terms: list[str]) -> DataFrame:
     return arrays.where(has_biwords(F.col("tokens"), terms) & phrase_start(F.col("tokens"), terms).isNull()).select("doc_id")
 
 
+def phrase_report(arrays: DataFrame, terms: list[str]) -> DataFrame:
+    """One row: the query's tokens, its pairs (the token itself if there is one), and the numbers of documents by either index and of false positives."""
+    both = arrays.select(has_biwords(F.col("tokens"), terms).alias("b"), phrase_start(F.col("tokens"), terms).isNotNull().alias("p"))
+    wrong = F.col("b") & ~F.col("p") & F.lit(len(terms) >= 3)
+    counts = both.agg(*[F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(n) for n, c in (("n_biword", F.col("b")), ("n_positional", F.col("p")), ("n_false_positives", wrong))])
+    pairs = _pairs(terms) if len(terms) != 1 else terms
+    return counts.select(*[_literals(x).cast("array<string>").alias(n) for n, x in (("tokens", terms), ("pairs", pairs))], *counts.columns)
+
+
 def default_phrase(arrays: DataFrame) -> str:
     """The first two tokens of the first document that has two; the empty string if none has."""
     first = arrays.where(F.size("tokens") >= 2).orderBy("doc_id").select(F.slice("tokens", 1, 2).alias("t")).first()

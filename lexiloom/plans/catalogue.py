@@ -141,6 +141,10 @@ def phrase_default(spark, sf_dir):
     return _listed(_plain(spark, sf_dir).phrase(), "positions")
 
 
+def phrase_report(spark, sf_dir):
+    return _listed(_plain(spark, sf_dir).phrase_report(FALSE_PHRASE), "tokens", "pairs")
+
+
 def wildcard_grams(spark, sf_dir):
     return _listed(_plain(spark, sf_dir).wildcard_grams(PATTERN), "grams")
 
@@ -389,13 +393,12 @@ def _samples_sql() -> str:
     return f"with {_PLAIN}, {oracle.pairs()}, {oracle.kgrams()} {' union all '.join(selects)}"
 
 
-def _false_sql() -> str:
+def _false_sql(result: str = "select doc_id from have where doc_id not in (select doc_id from exact)") -> str:
     terms = FALSE_PHRASE.split()
     pairs = ", ".join(oracle.quoted(f"{a} {b}") for a, b in zip(terms, terms[1:]))
     wanted = "[" + ", ".join(map(oracle.quoted, terms)) + "]"
     return f"""with {_PLAIN}, {oracle.pairs()}, have as (select doc_id from biwords where biword in ({pairs}) group by 1 having count(distinct biword) = {len(set(zip(terms, terms[1:])))}),
-exact as (select distinct doc_id from (select doc_id, tokens, unnest(generate_series(1, len(tokens) - {len(terms) - 1})) as i from arrays) where tokens[i : i + {len(terms) - 1}] = {wanted})
-select doc_id from have where doc_id not in (select doc_id from exact)"""
+exact as (select distinct doc_id from (select doc_id, tokens, unnest(generate_series(1, len(tokens) - {len(terms) - 1})) as i from arrays) where tokens[i : i + {len(terms) - 1}] = {wanted}) {result}"""
 
 
 QUERIES = {
@@ -410,7 +413,7 @@ QUERIES = {
     "spell_join": spell_join, "phonetic": phonetic, "ground_truth": ground_truth, "test_queries": test_queries,
     "compare_normalizers": compare_normalizers, "compare_summary": compare_summary, "compression": compression, "lemmas": lemmas,
     "collection_view": collection_view, "benchmark_phrases": benchmark_phrases, "test_queries_short": test_queries_short, "defaults": defaults,
-    "last_duplicates": last_duplicates, "chosen_document": chosen_document, "phrase_default": phrase_default, "wildcard_grams": wildcard_grams,
+    "last_duplicates": last_duplicates, "chosen_document": chosen_document, "phrase_default": phrase_default, "phrase_report": phrase_report, "wildcard_grams": wildcard_grams,
     "summary_json": summary_json, "justification": justification, "valid_terms": valid_terms,
     "stored_vocabulary": stored_vocabulary, "stored_phrase_positional": partial(stored_phrase, method="positional"), "stored_phrase_biword": partial(stored_phrase, method="biword"),
     "stored_phrase_false_positives": partial(stored_phrase, method="false_positives", text=FALSE_PHRASE), "stored_lookup": stored_lookup,
@@ -441,6 +444,8 @@ array_to_string({_WORDLIST}, ',') as stage5_norm from documents where doc_id = 0
     "select doc_id, pos, stem as term from tokens t join lemmas l on l.term = t.term join stems s on s.term = l.lemma",
     "phrase_positional_stemmed": f"{_STEMMED} select doc_id, array_to_string(generate_series(start, start + {len(TERMS) - 1}), ',') as positions from starts",
     "phrase_biword_stemmed": f"{_STEMMED} select doc_id from have",
+    "phrase_report": _false_sql(f"""select '{','.join(FALSE_PHRASE.split())}' as tokens, '{','.join(phrase._pairs(FALSE_PHRASE.split()))}' as pairs, (select count(*) from have) as n_biword,
+(select count(*) from exact) as n_positional, (select count(*) from have where doc_id not in (select doc_id from exact)) as n_false_positives"""),
     "index_samples": _samples_sql(),
     "phrase_default": f"""{_LONG}, first as (select tokens[1] as a, tokens[2] as b from arrays where len(tokens) >= 2 order by doc_id limit 1)
 select x.doc_id, min(x.pos) || ',' || (min(x.pos) + 1) as positions from tokens x join tokens y on y.doc_id = x.doc_id and y.pos = x.pos + 1 join first on x.term = a and y.term = b group by 1""",

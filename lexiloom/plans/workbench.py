@@ -64,6 +64,9 @@ class Collection:
         ask = {"positional": phrase.phrase_positional, "biword": phrase.phrase_biword, "false_positives": phrase.phrase_false_positives}[method]
         return ask(self.arrays, self._phrase(text))
 
+    def phrase_report(self, text: str) -> DataFrame:
+        return phrase.phrase_report(self.arrays, self._phrase(text))
+
     def lookup(self, entries: str | None = None) -> DataFrame:
         return dictionary.dictionary_lookup(self.tokens, dictionary.default_entries(self.terms) if entries is None else entries, self.cfg, **self.lexical)
 

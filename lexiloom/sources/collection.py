@@ -29,9 +29,22 @@ def last_of_each(rows: DataFrame, order: str) -> DataFrame:
     return rows.withColumn("rank_of_row", F.row_number().over(w)).where("rank_of_row = 1").drop("rank_of_row")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of a few splits, of which fewer than there are cores hold rows, dealt to all cores; any other as it is.
+
+    One row group cannot be split, so a small file would leave all work on its text to one task. Rows are
+    counted by split from the files' footers, and only if there are few splits: a large table is never dealt anew.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() > 4 * cores:
+        return scan
+    filled = scan.groupBy(F.spark_partition_id()).count().count()
+    return scan.repartition(cores) if filled < cores else scan
+
+
 def read_table(spark: SparkSession, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Documents from Parquet; only the two columns are read."""
-    return spark.read.parquet(path).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return spread(spark.read.parquet(path).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
 
 
 def store(docs: DataFrame, path: str) -> None:

@@ -62,6 +62,13 @@ def test_analyzer_options(spark):
         AnalyzerConfig(norm="snowball")
 
 
+def test_abbreviations(spark):
+    cfg = AnalyzerConfig(norm="none", abbreviations=("dr", "e.g"))
+    got = column(spark, ["See Dr. Who, e.g. today. Ask the dr.", "(dr.) cadr. x"], lambda c: text.plain_tokens(c, cfg))
+    assert got == [["see", "today", "ask", "dr"], ["cadr", "x"]]
+    assert column(spark, ["See Dr. Who"], lambda c: text.plain_tokens(c, AnalyzerConfig(norm="none"))) == [["see", "dr"]]
+
+
 def test_soundex_contract(spark):
     cases = {"Ashcraft": "A226", "Robert": "R163", "Rupert": "R163", "Pfister": "P236", "Tymczak": "T522", "Honeyman": "H555", "straße": "S362",
              "éclair": "É246", "1abc": "", "": "", "a": "A000"}

@@ -11,6 +11,7 @@ from lexiloom.operators import dictionary, evaluate, index, phrase, tolerant
 from lexiloom.plans import catalogue, oracle, stored
 from lexiloom.plans.workbench import Collection
 from lexiloom.sources import collection as sources
+from lexiloom.sources import lexicon as sources_lexicon
 from lexiloom.streaming import ingest
 
 PLAIN = AnalyzerConfig(norm="none")
@@ -307,6 +308,35 @@ def test_evaluation_reports(docs, spark):
     assert why.higher_validity == higher(why.stem_lexical_validity, why.lemma_lexical_validity)
 
 
+def test_phrase_report(plain):
+    row = plain.phrase_report("search engines rank").first()
+    assert list(row.tokens) == ["search", "engines", "rank"] and list(row.pairs) == ["search engines", "engines rank"]
+    assert (row.n_biword, row.n_positional, row.n_false_positives) == (2, 1, 1)
+    one, none = plain.phrase_report("pages").first(), plain.phrase_report("the").first()
+    assert list(one.pairs) == ["pages"] and (one.n_biword, one.n_positional, one.n_false_positives) == (3, 3, 0)
+    assert (list(none.tokens), list(none.pairs), none.n_biword) == ([], [], 0)
+
+
+def test_lexicon_files(spark, tmp_path):
+    (tmp_path / "index.noun").write_text("  1 preamble\ngoose n 4 3 @ ~ #m 4 1 02\nice_cream n 1 1 @ 1 0 03\n")
+    (tmp_path / "index.verb").write_text("run v 41 6 @ 41 30 01\n")
+    (tmp_path / "noun.exc").write_text("geese goose\noxen ox\nbrethren brother brethren\n")
+    lexicon, exceptions = sources_lexicon.read_lexicon(spark, str(tmp_path))
+    assert {tuple(r) for r in lexicon.collect()} == {("goose", "noun"), ("ice cream", "noun"), ("run", "verb")}
+    assert {tuple(r) for r in exceptions.collect()} == {("geese", "goose"), ("oxen", "ox"), ("brethren", "brother"), ("brethren", "brethren")}
+    docs = spark.createDataFrame([(0, "geese oxen")], "doc_id long, text string")
+    assert list(Collection(docs, AnalyzerConfig(norm="lemma"), lexicon, exceptions).arrays.first().tokens) == ["goose", "ox"]
+
+
+def test_small_tables_are_dealt_to_all_cores(spark, tmp_path):
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(100).selectExpr("id as doc_id", "'a b' as text").coalesce(1).write.parquet(f"{tmp_path}/one")
+    spark.range(100).selectExpr("id as doc_id", "'a b' as text").repartition(8 * cores).write.option("maxRecordsPerFile", 1).parquet(f"{tmp_path}/many")
+    assert sources.read_table(spark, f"{tmp_path}/one").rdd.getNumPartitions() == cores
+    many = spark.read.parquet(f"{tmp_path}/many")
+    assert sources.spread(many).rdd.getNumPartitions() == many.rdd.getNumPartitions() and sources.read_table(spark, f"{tmp_path}/many").count() == 100
+
+
 def test_defaults(docs, spark):
     c = Collection(docs, PLAIN)
     assert c.defaults() == {"phrase": "web scale", "lookup": "42, boxes, children, missingword", "wildcard": "b*s", "spelling": "boxe", "phonetic": "boxes"}

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiloom.sources.collection import spread
+
 #: Maps A-Z to a-z and every ASCII byte that is no digit or letter to a space.
 WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
@@ -19,7 +21,8 @@ def words(raw: bytes) -> list[bytes]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table, dealt to all cores if it is one of a few splits."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def utf8(column: Column) -> Column:

@@ -48,6 +48,16 @@ def analyzed(docs: DataFrame, cfg: AnalyzerConfig = AnalyzerConfig(), lexicon: D
     return normalised(base, "tokens", cfg, lexicon, exceptions)
 
 
+#: Documents that are looked at before the whole collection, when a few of its first are asked for.
+LEADING = 64
+
+
+def leading(docs: DataFrame, rows: Callable[[DataFrame], DataFrame], n: int) -> list:
+    """The first n, by doc_id, of the rows that a function makes of documents; most often those of the first documents."""
+    found = rows(docs.orderBy("doc_id").limit(LEADING)).orderBy("doc_id").limit(n).collect()
+    return found if len(found) == n else rows(docs).orderBy("doc_id").limit(n).collect()
+
+
 def token_table(docs: DataFrame, cfg: AnalyzerConfig = AnalyzerConfig(), **lexical: DataFrame) -> DataFrame:
     """(doc_id, pos, term); pos counts what is left after every step, from 0."""
     return analyzed(docs, cfg, **lexical).select("doc_id", F.posexplode("tokens").alias("pos", "term"))

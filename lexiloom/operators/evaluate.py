@@ -9,7 +9,7 @@ from lexiloom.functions.config import AnalyzerConfig
 from lexiloom.functions.lemma import lemma_forms, lemma_map, lemma_terms, seed_exceptions, seed_lexicon
 from lexiloom.functions.porter import stem_terms
 from lexiloom.functions.text import ALPHA, hyphen_spaced, plain_tokens, without_stop_words, word_tokens
-from lexiloom.operators.analyze import normalised
+from lexiloom.operators.analyze import leading, normalised
 
 # Queries that stand in where too few documents yield one.
 FALLBACK_QUERIES = ("fox jumps", "Stanford university", "lung cancer")
@@ -19,7 +19,7 @@ METHODS = ("stem", "lemma")
 def test_queries(docs: DataFrame) -> list[str]:
     """The first two all-letter words, without stop words, of the first three documents that have two."""
     words = F.filter(without_stop_words(word_tokens(F.lower(hyphen_spaced(F.col("text"))))), lambda w: w.rlike(ALPHA))
-    rows = docs.select("doc_id", F.slice(words, 1, 2).alias("w")).where(F.size("w") >= 2).orderBy("doc_id").limit(3).collect()
+    rows = leading(docs, lambda d: d.select("doc_id", F.slice(words, 1, 2).alias("w")).where(F.size("w") >= 2), 3)
     found = [" ".join(r.w) for r in rows]
     return found + list(FALLBACK_QUERIES[len(found) :])
 

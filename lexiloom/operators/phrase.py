@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.functions.config import AnalyzerConfig
 from lexiloom.functions.text import biwords
+from lexiloom.operators.analyze import analyzed, leading
 
 
 def _pairs(terms: list[str]) -> list[str]:
@@ -69,10 +71,10 @@ def phrase_report(arrays: DataFrame, terms: list[str]) -> DataFrame:
     return counts.select(*[_literals(x).cast("array<string>").alias(n) for n, x in (("tokens", terms), ("pairs", pairs))], *counts.columns)
 
 
-def default_phrase(arrays: DataFrame) -> str:
+def default_phrase(docs: DataFrame, cfg: AnalyzerConfig = AnalyzerConfig(), **lexical: DataFrame) -> str:
     """The first two tokens of the first document that has two; the empty string if none has."""
-    first = arrays.where(F.size("tokens") >= 2).orderBy("doc_id").select(F.slice("tokens", 1, 2).alias("t")).first()
-    return " ".join(first.t) if first else ""
+    first = leading(docs, lambda d: analyzed(d, cfg, **lexical).where(F.size("tokens") >= 2).select("doc_id", F.slice("tokens", 1, 2).alias("t")), 1)
+    return " ".join(first[0].t) if first else ""
 
 
 def biword_lookup(pairs: DataFrame, terms: list[str]) -> DataFrame:

@@ -54,7 +54,7 @@ def _spell_keys(word: Column, query: bool, max_dist: int) -> Column:
             for move in [0] if query else range(-max_dist, max_dist + 1):
                 if abs(move) + abs(longer - move) <= max_dist:
                     at = start + move
-                    key = F.concat_ws(":", m, F.lit(k), F.substring(word, at + 1, end - start))
+                    key = F.xxhash64(m, F.lit(k), F.substring(word, at + 1, end - start))
                     keys.append(F.when((m >= 0) & (at >= 0) & (at + end - start <= size), key))
     return F.array_distinct(F.array_compact(F.array(*keys)))
 
@@ -62,8 +62,8 @@ def _spell_keys(word: Column, query: bool, max_dist: int) -> Column:
 def spell_join(terms: DataFrame, queries: DataFrame, max_dist: int = 2) -> DataFrame:
     """(query, term, distance) for a table of queries; only words that share a key are compared."""
     asked = queries.select("query").distinct().where("query is not null")
-    longest = asked.agg(F.max(F.length("query"))).first()[0]
-    near = terms.select("term").distinct().where(F.length("term") <= (longest or 0) + max_dist)
+    shortest, longest = asked.agg(F.min(F.length("query")), F.max(F.length("query"))).first()
+    near = terms.select("term").distinct().where(F.length("term").between((shortest or 0) - max_dist, (longest or 0) + max_dist))
     left = near.select("term", F.explode(_spell_keys(F.col("term"), False, max_dist)).alias("key"))
     right = asked.select("query", F.explode(_spell_keys(F.col("query"), True, max_dist)).alias("key"))
     pairs = left.join(right, "key").select("query", "term").distinct()

@@ -15,20 +15,23 @@ from lexiloom.plans.workbench import Collection
 from lexiloom.sources.collection import store_index
 
 #: Tables and their keys.
-TABLES = {"tokens": "term", "biwords": "biword", "terms": "term", "grams": "gram", "codes": "code"}
+TABLES = {"tokens": ("term", "doc_id", "pos"), "biwords": ("biword", "doc_id"), "terms": ("term",), "grams": ("gram", "term"), "codes": ("code", "term")}
 
 
 def build(collection: Collection, path: str) -> StoredCollection:
     """Writes all tables under a path; what hangs on terms alone is made from the stored terms."""
     spark, cfg = collection.docs.sparkSession, collection.cfg
-    store_index(collection.tokens, f"{path}/tokens", "term")
-    tokens = spark.read.parquet(f"{path}/tokens")
+
+    def store(name: str, table: DataFrame) -> DataFrame:
+        store_index(table, f"{path}/{name}", *TABLES[name])
+        return spark.read.parquet(f"{path}/{name}")
+
+    tokens = store("tokens", collection.tokens)
     # Analysing again costs less than joining every token with the next.
-    store_index(index.biword_postings(collection.arrays), f"{path}/biwords", "biword")
-    store_index(index.vocabulary(tokens), f"{path}/terms", "term")
-    terms = spark.read.parquet(f"{path}/terms")
-    store_index(index.kgram_pairs(terms), f"{path}/grams", "gram")
-    store_index(index.soundex_pairs(terms), f"{path}/codes", "code")
+    store("biwords", index.biword_postings(collection.arrays))
+    terms = store("terms", index.vocabulary(tokens))
+    store("grams", index.kgram_pairs(terms))
+    store("codes", index.soundex_pairs(terms))
     return StoredCollection(spark, path, cfg, **collection.lexical)
 
 

@@ -60,7 +60,7 @@ class Collection:
 
     def phrase(self, text: str | None = None, method: str = "positional") -> DataFrame:
         """method: positional, biword, or false_positives. Without a text, the first document's first two tokens are asked for."""
-        text = phrase.default_phrase(self.arrays) if text is None else text
+        text = phrase.default_phrase(self.docs, self.cfg, **self.lexical) if text is None else text
         ask = {"positional": phrase.phrase_positional, "biword": phrase.phrase_biword, "false_positives": phrase.phrase_false_positives}[method]
         return ask(self.arrays, self._phrase(text))
 
@@ -87,7 +87,7 @@ class Collection:
 
     def defaults(self) -> dict[str, str]:
         """What a user is offered for each kind of query."""
-        return {"phrase": phrase.default_phrase(self.arrays), "lookup": dictionary.default_entries(self.terms), **tolerant.default_queries(self.terms)}
+        return {"phrase": phrase.default_phrase(self.docs, self.cfg, **self.lexical), "lookup": dictionary.default_entries(self.terms), **tolerant.default_queries(self.terms)}
 
     def samples(self) -> DataFrame:
         """The first entries of the biword (8), positional (5) and k-gram (10) index, as JSON."""

@@ -62,9 +62,12 @@ def select_document(docs: DataFrame, doc_id) -> DataFrame:
     return docs.where(F.col("doc_id") == F.lit(doc_id)).select("doc_id", "text")
 
 
-def store_index(index: DataFrame, path: str, key: str) -> None:
-    """Writes an index sorted by its key within files of key ranges, so that scans skip row groups."""
-    index.repartitionByRange(F.col(key)).sortWithinPartitions(key).write.mode("overwrite").parquet(path)
+def store_index(index: DataFrame, path: str, *keys: str) -> None:
+    """Writes an index sorted by its keys within files of key ranges, so that scans skip files and row groups.
+
+    Further keys than the first let the ranges cut through a frequent one.
+    """
+    index.repartitionByRange(*[F.col(k) for k in keys]).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

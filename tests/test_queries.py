@@ -308,6 +308,13 @@ def test_evaluation_reports(docs, spark):
     assert why.higher_validity == higher(why.stem_lexical_validity, why.lemma_lexical_validity)
 
 
+def test_leading_documents(spark):
+    texts = [(i, "a the") for i in range(90)] + [(90, "web search pages"), (91, "x"), (92, "two words")]
+    late = spark.createDataFrame(texts, "doc_id long, text string")
+    assert evaluate.test_queries(late) == ["web search", "two words", "lung cancer"]
+    assert Collection(late, PLAIN).defaults()["phrase"] == "web search"
+
+
 def test_phrase_report(plain):
     row = plain.phrase_report("search engines rank").first()
     assert list(row.tokens) == ["search", "engines", "rank"] and list(row.pairs) == ["search engines", "engines rank"]

@@ -3,7 +3,8 @@
 Two bigram models, of a target corpus and of all documents as background, share one vocabulary, one
 smoothing and one mass: background counts are scaled to the target's size, so that losses differ by
 content and not by corpus size. A document's score is its mean loss per token (in bits) under the
-target less that under the background; lower is more like the target.
+target less that under the background; lower is more like the target. A document's own counts are left out of both
+models when it is scored: else every document would be known to the background, and those of the target to both.
 
 Counts come from every document and are kept for each word and each pair of words (by 62 bits of
 hash), in tables that grow with the input:
@@ -16,7 +17,7 @@ hash), in tables that grow with the input:
 
 Edge cases: null and empty texts have no tokens, losses and score 0; without target documents the
 target model is the smoothed background vocabulary alone; repeated rows count as often as they
-occur; null labels are no target; extra columns pass through.
+occur, and each leaves out its own counts alone; null labels are no target; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from lexiloom.llm.hashing import mix, word_hashes
 
 #: The smoothing's vocabulary, as a power of 2; that of the documents, if it is larger.
 WORD_BITS = 20
-CHUNK_BYTES, RANGE_BYTES = 8 << 20, 16 << 20
+CHUNK_BYTES, RANGE_BYTES = 4 << 20, 16 << 20
 #: Bits of a key.
 KEY_BITS = 63
 #: The weight of the unigram model in each context.
@@ -87,7 +88,7 @@ def _raws(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
 _PACKED = "chunk long, size long, packed binary"
 
 
-def _packer(text: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _packer(text: str, chunk_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows to chunks of rows."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,10 +103,10 @@ def _packer(text: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
 
         for batch in batches:
             raws = _raws(batch.column(text))
-            for a, b in slices(raws, CHUNK_BYTES // 8):
+            for a, b in slices(raws, chunk_bytes // 8):
                 held.append(batch.slice(a, b - a))
                 size += sum(map(len, raws[a:b]))
-                if size >= CHUNK_BYTES or sum(len(x) for x in held) >= 1 << 16:
+                if size >= chunk_bytes or sum(len(x) for x in held) >= 1 << 16:
                     yield packed()
                     held, size, chunk = [], 0, chunk + 1
         if held:
@@ -174,11 +175,23 @@ def _sum(rows: pa.Table) -> pa.Table:
     )
 
 
-def losses(counts: np.ndarray, tokens: int, vocabulary: int, scale: float, word: np.ndarray, context: np.ndarray, pair: np.ndarray) -> np.ndarray:
-    """Bits for each token, from a model's counts by place."""
-    unigram = (scale * counts[word] + 1) / (scale * tokens + vocabulary)
-    seen = counts[context]
-    return -np.log2((scale * counts[pair] + KAPPA * unigram) / (scale * seen + KAPPA))
+def losses(counts: np.ndarray, own: tuple[np.ndarray, ...], tokens: np.ndarray, vocabulary: int, scale: float, word: np.ndarray, context: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """Bits for each token, from a model's counts by place less a document's own of word, context and pair; tokens: all others'."""
+    unigram = (scale * (counts[word] - own[0]) + 1) / (scale * tokens + vocabulary)
+    seen = counts[context] - own[1]
+    return -np.log2((scale * (counts[pair] - own[2]) + KAPPA * unigram) / (scale * seen + KAPPA))
+
+
+def _own(word: np.ndarray, context: np.ndarray, pair: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each token, how often its word, its context and its pair occur in its text."""
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    out = []
+    for key in (word, pair):
+        _, place, n = np.unique(text * (np.int64(key.max(initial=0)) + 1) + key, return_inverse=True, return_counts=True)
+        out.append(n[place])
+    # A context is the word before it; the start of a text occurs once in it.
+    before = np.concatenate([[1], out[0][:-1]]) if len(word) else out[0]
+    return out[0], np.where(context == 0, 1, before), out[1]
 
 
 def _scorer(text: str, flag: str, name: str, sums: tuple[int, int], vocabulary: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -190,11 +203,14 @@ def _scorer(text: str, flag: str, name: str, sums: tuple[int, int], vocabulary:
         _, word, context, pair, offsets = _keys(_raws(rows.column(text)))
         sizes = np.diff(offsets)
         counts, some, means = counts.sort_by("part"), sizes > 0, []
-        for model, tokens, by in (("target", sums[0], 1.0), ("both", sums[1], scale)):
+        own = _own(word, context, pair, sizes)
+        chosen = np.asarray(rows.column(flag).to_pylist(), bool)
+        for model, tokens, by, texts in (("target", sums[0], 1.0, chosen), ("both", sums[1], scale, np.ones(len(sizes), bool))):
             mean = np.zeros(len(sizes))
             if some.any():
                 found = np.concatenate([_expand(x.as_py()) for x in counts.column(model)])
-                bits = losses(found, tokens, vocabulary, by, word, context, pair)
+                mine = np.repeat(texts, sizes)
+                bits = losses(found, tuple(x * mine for x in own), tokens - np.repeat(texts * sizes, sizes), vocabulary, by, word, context, pair)
                 mean[some] = np.add.reduceat(bits, offsets[:-1][some]) / sizes[some]
             means.append(mean)
         columns = [pa.array(sizes.astype(np.int64)), *(pa.array(x) for x in (*means, means[0] - means[1]))]
@@ -203,20 +219,25 @@ def _scorer(text: str, flag: str, name: str, sums: tuple[int, int], vocabulary:
     return scored
 
 
-def score(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", out: str = "lm") -> tuple[DataFrame, list[str]]:
+def score(
+    docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", out: str = "lm", chunk_bytes: int | None = None, range_bytes: int | None = None
+) -> tuple[DataFrame, list[str]]:
     """Adds a struct of tokens, both losses and their difference; the target is the documents whose id is in targets' one column.
 
-    Also returns the paths of the shared tables that the result reads.
+    Also returns the paths of the shared tables that the result reads. chunk_bytes and range_bytes (CHUNK_BYTES and
+    RANGE_BYTES if not given) take memory in proportion, but a chunk sends a row to every range that has one of its
+    keys: on inputs above some TB, where such a row holds few keys, larger ones move less.
     """
+    chunk_bytes, range_bytes = chunk_bytes or CHUNK_BYTES, range_bytes or RANGE_BYTES
     key, own, flag = fresh(docs, "target_id", "own_id", "is_target")
     ids = targets.select(F.col(targets.columns[0]).cast("long").alias(key)).where(F.col(key).isNotNull()).distinct().withColumn(flag, F.lit(True))
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     rows = docs.withColumn(own, F.col(doc_id).cast("long")).join(ids, F.col(own) == F.col(key), "left")
     rows = rows.select(*docs.columns, F.coalesce(F.col(flag), F.lit(False)).alias(flag))
-    chunks, packed_path = write_shared(rows.mapInArrow(_packer(text), _PACKED), "chunks")
+    chunks, packed_path = write_shared(rows.mapInArrow(_packer(text, chunk_bytes), _PACKED), "chunks")
     size = chunks.agg(F.sum("size")).first()[0] or 0
-    bits = max(5, (size // RANGE_BYTES).bit_length())
+    bits = max(5, (size // range_bytes).bit_length())
     counts = chunks.select("chunk", "packed").mapInArrow(_counter(text, flag, bits), _COUNTS)
     sums, sums_path = write_shared(counts.groupBy("part").applyInArrow(_sum, _SUMS), "sums")
     words, target, both = (x or 0 for x in sums.agg(F.sum("words"), F.sum("target_tokens"), F.sum("tokens")).first())

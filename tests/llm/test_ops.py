@@ -299,35 +299,30 @@ def test_mixing_large_rates_and_many_sources(spark, monkeypatch):
 
 
 def test_lm_scores_against_definition(spark, nothing):
-    texts = odd(["good plain text about rivers", "good plain words about rivers and hills", "zip zap zop", "zip zop"])
-    ids = list(range(len(texts)))
+    """Words and pairs are counted here by themselves, for each document over all others."""
+    texts = odd(["good plain text about rivers", "good plain words about rivers and rivers, rivers and hills", "zip zap zop", "zip zop"])
     targets = [i for i, t in enumerate(texts) if t and "good" in t]
     labels = spark.createDataFrame([(i, 1) for i in targets] + [(None, 1), (6, 0)], "doc_id long, quality int")
     got = rows(lm_score.digest(frame(spark, texts), labels))
-    counts = [({}, {}, [0, 0]), ({}, {}, [0, 0])]
-    slots = [lm_score.token_slots([(t or "").encode()]) for t in texts]
-    for i in ids:
-        for which in ([0, 1] if i in targets else [1]):
-            w, p, n = counts[which]
-            for a in slots[i][0].tolist():
-                w[a] = w.get(a, 0) + 1
-            for a in slots[i][2].tolist():
-                p[a] = p.get(a, 0) + 1
-            n[0] += len(slots[i][0])
-            n[1] += len(slots[i][0]) > 0
-    scale = counts[0][2][0] / counts[1][2][0]
-    for i in ids:
-        word, context, pair, _ = slots[i]
-        losses = []
-        for (w, p, n), s in ((counts[0], 1.0), (counts[1], scale)):
+    words = [common.words((t or "").encode()) for t in texts]
+    scale = sum(len(words[i]) for i in targets) / sum(map(len, words))
+    for i, own in enumerate(words):
+        bits = []
+        for members, s in ((targets, 1.0), (range(len(texts)), scale)):
+            others = [words[j] for j in members if j != i]
+            singles, pairs, starts = {}, {}, sum(len(w) > 0 for w in others)
+            for w in others:
+                for a, b in zip([None, *w], w):
+                    singles[b] = singles.get(b, 0) + 1
+                    pairs[a, b] = pairs.get((a, b), 0) + 1
             total = 0.0
-            for a, c, b in zip(word.tolist(), context.tolist(), pair.tolist()):
-                unigram = (s * w.get(a, 0) + 1) / (s * n[0] + 2**lm_score.WORD_BITS)
-                seen = n[1] if c < 0 else w.get(c, 0)
-                total -= np.log2((s * min(p.get(b, 0), seen) + lm_score.KAPPA * unigram) / (s * seen + lm_score.KAPPA))
-            losses.append(total / max(1, len(word)))
-        assert got[i].n_tokens == len(word)
-        assert np.allclose([got[i].target_loss, got[i].background_loss, got[i].ce_diff], [*losses, losses[0] - losses[1]], atol=1e-6)
+            for a, b in zip([None, *own], own):
+                unigram = (s * singles.get(b, 0) + 1) / (s * sum(map(len, others)) + 2**lm_score.WORD_BITS)
+                seen = starts if a is None else singles.get(a, 0)
+                total -= np.log2((s * pairs.get((a, b), 0) + lm_score.KAPPA * unigram) / (s * seen + lm_score.KAPPA))
+            bits.append(total / max(1, len(own)))
+        assert got[i].n_tokens == len(own)
+        assert np.allclose([got[i].target_loss, got[i].background_loss, got[i].ce_diff], [*bits, bits[0] - bits[1]], atol=1e-6)
     assert got[4].ce_diff < got[6].ce_diff
     assert lm_score.digest(nothing, labels).count() == 0
 
@@ -347,6 +342,17 @@ def test_lm_scores_keep_words_apart(spark):
     assert got[50].target_loss == got[51].target_loss and got[0].target_loss < got[50].target_loss - 5
 
 
+def test_lm_scores_tell_texts_that_occur_again(spark):
+    rnd = random.Random(17)
+    texts = [" ".join(f"w{int(rnd.random() ** 2 * 3000)}" for _ in range(60)) for _ in range(300)]
+    texts += texts[280:]
+    labels = spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, quality int")
+    got = rows(lm_score.digest(frame(spark, texts), labels))
+    once = [got[i].ce_diff for i in range(60, 280)]
+    assert min(got[i].ce_diff for i in range(280, 320)) > max(once) + 1
+    assert abs(np.mean([got[i].ce_diff for i in range(60)]) - np.mean(once)) < 0.2
+
+
 def test_lm_counts_from_many_chunks_and_ranges(spark, monkeypatch):
     rnd = random.Random(9)
     texts = [" ".join(f"w{int(rnd.random() ** 3 * 500)}" for _ in range(rnd.randint(0, 60))) for _ in range(200)]

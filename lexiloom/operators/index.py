@@ -17,33 +17,52 @@ from lexiloom.functions.text import ALPHA, biwords, kgrams, soundex_code
 CHUNK = 1 << 16
 
 
-def _in_chunks(pairs: DataFrame, key: str, by: str, members: Column, names: tuple[str, str]) -> DataFrame:
-    """(key, chunk, number of members, members) of distinct pairs; only keys of more than CHUNK members are dealt."""
+def _in_chunks(pairs: DataFrame, key: str, by: str, members: Column, names: tuple[str, str], most: int | None = None) -> DataFrame:
+    """(key, chunk, number of members, members) of pairs; only keys of more than CHUNK members are dealt.
+
+    most: what no key has more members than, if that is known. Up to CHUNK, one exchange does.
+    """
     n, name = names
+    if most is not None and most <= CHUNK:
+        grouped = pairs.groupBy(key).agg(F.array_sort(F.collect_set(members)).alias(name))
+        return grouped.select(key, F.lit(0).alias("chunk"), F.size(name).cast("long").alias(n), name)
+    pairs = pairs.distinct()
     heavy = pairs.groupBy(key).agg(F.count("*").alias("all")).where(F.col("all") > CHUNK)
     chunk = F.coalesce(F.pmod(F.xxhash64(by), F.ceil(F.col("all") / CHUNK)), F.lit(0)).cast("int")
     dealt = pairs.join(heavy, key, "left").withColumn("chunk", chunk)
     return dealt.groupBy(key, "chunk").agg(F.coalesce(F.max("all"), F.count("*")).alias(n), F.array_sort(F.collect_list(members)).alias(name))
 
 
-def postings(tokens: DataFrame) -> DataFrame:
-    """(term, doc_id), distinct."""
-    return tokens.select("term", "doc_id").distinct()
+def _term_pairs(frame: DataFrame) -> DataFrame:
+    """(term, doc_id) of a token table or of token arrays; of arrays, each once a row."""
+    if "tokens" in frame.columns:
+        frame = frame.select("doc_id", F.explode(F.array_distinct("tokens")).alias("term"))
+    return frame.select("term", "doc_id")
+
+
+def postings(frame: DataFrame) -> DataFrame:
+    """(term, doc_id), distinct, of a token table or of token arrays."""
+    return _term_pairs(frame).distinct()
+
+
+def inverted_index(frame: DataFrame, most: int | None = None) -> DataFrame:
+    """(term, chunk, df, docs): documents of each term, ascending in a chunk; df is the term's. most: the number of documents, if known."""
+    return _in_chunks(_term_pairs(frame), "term", "doc_id", F.col("doc_id"), ("df", "docs"), most)
 
 
-def inverted_index(tokens: DataFrame) -> DataFrame:
-    """(term, chunk, df, docs): documents of each term, ascending in a chunk; df is the term's."""
-    return _in_chunks(postings(tokens), "term", "doc_id", F.col("doc_id"), ("df", "docs"))
+def _biword_pairs(arrays: DataFrame) -> DataFrame:
+    """(biword, doc_id), each once a row; from token arrays, so pairs need no window."""
+    return arrays.select("doc_id", F.explode(F.array_distinct(biwords(F.col("tokens")))).alias("biword")).select("biword", "doc_id")
 
 
 def biword_postings(arrays: DataFrame) -> DataFrame:
-    """(biword, doc_id), distinct; from token arrays, so pairs need no window."""
-    return arrays.select("doc_id", F.explode(F.array_distinct(biwords(F.col("tokens")))).alias("biword")).select("biword", "doc_id").distinct()
+    """(biword, doc_id), distinct."""
+    return _biword_pairs(arrays).distinct()
 
 
-def biword_index(arrays: DataFrame) -> DataFrame:
-    """(biword, chunk, df, docs)."""
-    return _in_chunks(biword_postings(arrays), "biword", "doc_id", F.col("doc_id"), ("df", "docs"))
+def biword_index(arrays: DataFrame, most: int | None = None) -> DataFrame:
+    """(biword, chunk, df, docs). most: the number of documents, if known."""
+    return _in_chunks(_biword_pairs(arrays), "biword", "doc_id", F.col("doc_id"), ("df", "docs"), most)
 
 
 def positional_index(tokens: DataFrame) -> DataFrame:

@@ -49,11 +49,13 @@ class Collection:
         return analyze.pipeline_stages(self.docs, doc_id, self.cfg, **self.lexical)
 
     def index(self, kind: str, **options) -> DataFrame:
-        """inverted, biword, positional, kgram or soundex."""
-        build = {"inverted": (index.inverted_index, self.tokens), "biword": (index.biword_index, self.arrays), "positional": (index.positional_index, self.tokens),
-                 "kgram": (index.kgram_index, self.terms), "soundex": (index.soundex_index, self.terms)}
+        """inverted, biword, positional, kgram or soundex. For the first two the documents are counted, so that small collections need no chunks."""
+        build = {"inverted": (index.inverted_index, "arrays"), "biword": (index.biword_index, "arrays"), "positional": (index.positional_index, "tokens"),
+                 "kgram": (index.kgram_index, "terms"), "soundex": (index.soundex_index, "terms")}
         function, frame = build[kind]
-        return function(frame, **options)
+        if kind in ("inverted", "biword"):
+            options.setdefault("most", self.docs.count())
+        return function(getattr(self, frame), **options)
 
     def vocabulary(self) -> DataFrame:
         return self.terms.orderBy("term")
@@ -91,7 +93,7 @@ class Collection:
 
     def samples(self) -> DataFrame:
         """The first entries of the biword (8), positional (5) and k-gram (10) index, as JSON."""
-        kinds = (("biword", index.biword_index(self.arrays), "biword", 8), ("positional", index.positional_map(self.tokens), "term", 5), ("kgram", index.kgram_index(self.terms), "gram", 10))
+        kinds = (("biword", self.index("biword"), "biword", 8), ("positional", index.positional_map(self.tokens), "term", 5), ("kgram", index.kgram_index(self.terms), "gram", 10))
         parts = [index.index_sample(frame, key, n).select(F.lit(kind).alias("kind"), "key", "entry") for kind, frame, key, n in kinds]
         return functools.reduce(DataFrame.union, parts)
 

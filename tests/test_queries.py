@@ -267,6 +267,9 @@ def test_spelling_in_bulk_against_brute_force(spark):
 
 def test_indexes_in_chunks(spark, plain, monkeypatch):
     whole = {r.term: (r.df, list(r.docs)) for r in plain.index("inverted").collect()}
+    assert {r.term: (r.df, list(r.docs)) for r in index.inverted_index(plain.tokens).collect()} == whole
+    twice = Collection(plain.docs.union(plain.docs), PLAIN)
+    assert {r.term: (r.df, list(r.docs)) for r in twice.index("inverted").collect()} == whole
     monkeypatch.setattr(index, "CHUNK", 2)
     got: dict = {}
     for r in plain.index("inverted").collect():

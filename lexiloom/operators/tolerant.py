@@ -38,25 +38,21 @@ def spell_suggest(terms: DataFrame, word: str, max_dist: int = 2) -> DataFrame:
     return scored.where(F.col("distance").between(0, max_dist)).orderBy("distance", "term")
 
 
-def _spell_keys(word: Column, query: bool, max_dist: int) -> Column:
-    """What words within max_dist of each other have in common.
+def _spell_keys(words: DataFrame, name: str, query: bool, max_dist: int) -> DataFrame:
+    """(word, key): what words within max_dist of each other have in common.
 
     Cut a query into max_dist + 1 pieces: one of them stands unchanged in any word so near, moved by at most as many
     places as there are edits before it, and edits behind it make up for the rest of the difference in length. A
     query has a key for each piece; a term one for each piece of each length a query may have and each move. Their number
     depends on max_dist alone (39 for 2), however long the word.
     """
-    size, parts, keys = F.length(word), max_dist + 1, []
-    for longer in [0] if query else range(-max_dist, max_dist + 1):
-        m = size - longer
-        for k in range(parts):
-            start, end = F.floor(m * k / parts).cast("int"), F.floor(m * (k + 1) / parts).cast("int")
-            for move in [0] if query else range(-max_dist, max_dist + 1):
-                if abs(move) + abs(longer - move) <= max_dist:
-                    at = start + move
-                    key = F.xxhash64(m, F.lit(k), F.substring(word, at + 1, end - start))
-                    keys.append(F.when((m >= 0) & (at >= 0) & (at + end - start <= size), key))
-    return F.array_distinct(F.array_compact(F.array(*keys)))
+    parts, near = max_dist + 1, range(-max_dist, max_dist + 1)
+    ways = [(0, k, 0) for k in range(parts)] if query else [(d, k, m) for d in near for k in range(parts) for m in near if abs(m) + abs(d - m) <= max_dist]
+    way = F.explode(F.array(*[F.struct(*[F.lit(x).alias(c) for x, c in zip(w, ("longer", "k", "move"))]) for w in ways])).alias("way")
+    rows = words.select(name, way).withColumn("m", F.length(name) - F.col("way.longer")).where("m >= 0")
+    rows = rows.withColumn("start", F.floor(F.col("m") * F.col("way.k") / parts).cast("int")).withColumn("end", F.floor(F.col("m") * (F.col("way.k") + 1) / parts).cast("int"))
+    rows = rows.withColumn("at", F.col("start") + F.col("way.move")).where((F.col("at") >= 0) & (F.col("at") + F.col("end") - F.col("start") <= F.length(name)))
+    return rows.select(name, F.xxhash64("m", "way.k", F.substring(name, F.col("at") + 1, F.col("end") - F.col("start"))).alias("key"))
 
 
 def spell_join(terms: DataFrame, queries: DataFrame, max_dist: int = 2) -> DataFrame:
@@ -64,9 +60,7 @@ def spell_join(terms: DataFrame, queries: DataFrame, max_dist: int = 2) -> DataF
     asked = queries.select("query").distinct().where("query is not null")
     shortest, longest = asked.agg(F.min(F.length("query")), F.max(F.length("query"))).first()
     near = terms.select("term").distinct().where(F.length("term").between((shortest or 0) - max_dist, (longest or 0) + max_dist))
-    left = near.select("term", F.explode(_spell_keys(F.col("term"), False, max_dist)).alias("key"))
-    right = asked.select("query", F.explode(_spell_keys(F.col("query"), True, max_dist)).alias("key"))
-    pairs = left.join(right, "key").select("query", "term").distinct()
+    pairs = _spell_keys(near, "term", False, max_dist).join(_spell_keys(asked, "query", True, max_dist), "key").select("query", "term").distinct()
     return pairs.select("query", "term", F.levenshtein("term", "query", max_dist).alias("distance")).where(F.col("distance").between(0, max_dist))
 
 

@@ -16,11 +16,11 @@ def text_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) ->
     return stream.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("doc_id"), F.col("value").alias("text"))
 
 
-def index_stream(docs: DataFrame, path: str, checkpoint: str, cfg: AnalyzerConfig = AnalyzerConfig(), once: bool = True) -> StreamingQuery:
+def index_stream(docs: DataFrame, path: str, checkpoint: str, cfg: AnalyzerConfig = AnalyzerConfig(), once: bool = True, **lexical: DataFrame) -> StreamingQuery:
     """Writes every batch's tokens to its own folder of a token table; a batch that runs again replaces its folder."""
 
     def write(batch: DataFrame, number: int) -> None:
-        token_table(batch, cfg).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        token_table(batch, cfg, **lexical).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     writer = docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -175,6 +175,12 @@ def test_sources(spark, tmp_path):
     for strict in (True, False):
         got = {r.doc_id: r.text for r in sources.read_text(spark, str(tmp_path), strict).collect()}
         assert got == {"a.txt": "line one\nline two\n", "b.txt": "Über alles"}
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "a.txt").write_text("the later a")
+    both = sources.read_text(spark, [str(tmp_path), str(tmp_path / "sub")])
+    assert {r.doc_id: r.text for r in both.collect()} == {"a.txt": "the later a", "b.txt": "Über alles"}
+    versions = spark.createDataFrame([(1, 2, "new"), (1, 1, "old"), (1, None, "no order"), (None, 1, "x"), (2, None, "only")], "doc_id int, v int, text string")
+    assert {(r.doc_id, r.text) for r in sources.last_of_each(versions, "v").collect()} == {(1, "new"), (None, "x"), (2, "only")}
     docs = sources.read_text(spark, str(tmp_path))
     sources.store(docs, str(tmp_path / "store"))
     assert sources.read_table(spark, str(tmp_path / "store")).count() == 2

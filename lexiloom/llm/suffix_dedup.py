@@ -355,6 +355,10 @@ def _index(n: int):
         sizes = np.array([len(x) for x in parts])
         ids = np.full(len(parts), np.iinfo(np.int64).max)
         np.minimum.at(ids, content, rows["id"])
+        # Parts of segments that differ may be equal: all but the smallest document's go whole.
+        again = rows["id"] > ids[content]
+        whole = {k: rows[k][again] for k in ("id", "tag", "start")} | {"end": (rows["start"] + sizes[content])[again]}
+        rows, content = {k: v[~again] for k, v in rows.items()}, content[~again]
         text = np.frombuffer(b"\0".join(parts), np.uint8)
         starts = np.cumsum(sizes + 1) - sizes - 1
         order, interval = equal_windows(text)
@@ -376,6 +380,7 @@ def _index(n: int):
         k = np.repeat(begins[content], repeat) + np.arange(len(row)) - np.repeat(np.cumsum(repeat) - repeat, repeat)
         shift = rows["start"][row] - starts[content[row]]
         spans = {"id": rows["id"][row], "tag": rows["tag"][row], "start": first[k] + shift, "end": last[k] + shift + LENGTH - 1}
+        spans = {k: np.concatenate([whole[k], v]) for k, v in spans.items()}
         return _table(list(_dealt(SPANS, _place(spans["id"], spans["tag"], n), spans)))
 
     return run

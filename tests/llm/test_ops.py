@@ -170,6 +170,26 @@ def test_suffix_dedup_against_brute_force(spark, nothing, monkeypatch):
     assert all(len(r.kept) == r.n_bytes - r.n_removed and len(r.spans) == 2 * r.n_spans for r in whole.collect())
 
 
+def test_suffix_dedup_of_cut_and_changed_copies(spark, monkeypatch):
+    """Pieces of a few strings, cut anywhere and changed here and there, around the least length."""
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 2000)
+    rnd = random.Random(18)
+    base = ["".join(rnd.choice(letters) for _ in range(300)) for letters in ("ab", "abcdefgh", "xyz é", "0123456789abcdef")]
+
+    def piece():
+        text = rnd.choice(base)
+        at = rnd.randrange(len(text) - 40)
+        part = text[at : at + rnd.choice([30, 48, 49, 50, 51, 52, 65, 80, 120])]
+        if rnd.random() < 0.4:
+            k = rnd.randrange(len(part))
+            part = part[:k] + rnd.choice("ab#") + part[k + 1 :]
+        return part
+
+    docs = [(rnd.randrange(400), "".join(piece() for _ in range(rnd.randint(1, 5)))) for _ in range(300)]
+    got = suffix_dedup.digest(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=repr) == brute_removed(docs)
+
+
 def test_suffix_dedup_of_a_hot_string(spark, monkeypatch):
     """A string of 30 bytes in 4000 surroundings: no bucket gets them all, and nothing is lost."""
     rnd = random.Random(14)
@@ -205,8 +225,9 @@ def test_suffix_dedup_of_a_hot_string(spark, monkeypatch):
         return max(sum(sum(map(len, suffix_dedup._unpack([r["data"]])["bytes"].to_pylist())) for r in part) for part in dealt(found, suffix_dedup.TEXTS).values())
 
     split = largest()
-    monkeypatch.setattr(suffix_dedup, "HOT", 1 << 30)
-    assert split < largest() / 4
+    with monkeypatch.context() as together:
+        together.setattr(suffix_dedup, "HOT", 1 << 30)
+        assert split < largest() / 4
     monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 1 << 13)
     got = suffix_dedup.digest(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=repr) == brute_removed(docs)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.llm import decontaminate, mixing, near_dedup, quality, secret_scan
-from lexiloom.llm.common import fresh, table, write_shared
+from lexiloom.llm.common import delete_shared, fresh, table, write_shared
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,8 +62,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents. A stage's table goes once the next is written; the last stays until the driver ends."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
-        docs, _ = write_shared(stage(spark, docs, sf_dir), f"stage{i + 1}")
+        docs, path = write_shared(stage(spark, docs, sf_dir), f"stage{i + 1}")
+        if before:
+            delete_shared(spark, before)
+        before = path
     return docs

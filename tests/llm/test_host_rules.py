@@ -49,7 +49,7 @@ def corpus():
 
 def test_measures_and_verdicts_against_brute_force(spark, monkeypatch):
     rows = corpus() + [(1000 + i, "junk", "bad.example", "x", "x") for i in range(40)] + [(2000, " ".join(map(str, range(50))), "bad.example", "x", "x")]
-    rows += [rows[20], rows[20]]
+    rows += [rows[20], rows[20], *[(3000 + i, f"{i} " + " ".join(map(str, range(50))), f"host{i % 5}", "x", "x") for i in range(400)]]
     docs = spark.createDataFrame(rows, COLUMNS)
     counts = defaultdict(lambda: [0, 0])
     for _, text, source, *_ in rows:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import decontaminate, host_rules, language_id, license_scan, lm_score, media, mixing, near_dedup, quality, secret_scan, suffix_dedup, upsert
+from lexiloom.llm import alignment, decontaminate, host_rules, language_id, license_scan, lm_score, media, mixing, near_dedup, quality, secret_scan, suffix_dedup, upsert
 from lexiloom.llm.common import table
 
 
@@ -50,13 +50,17 @@ def op11_upsert(spark, sf_dir):
     return upsert.digest(table(spark, sf_dir, "clients"), table(spark, sf_dir, "client_changes"))
 
 
+def op12_alignment(spark, sf_dir):
+    return alignment.digest(table(spark, sf_dir, "documents"))
+
+
 def op13_host_rules(spark, sf_dir):
     return host_rules.digest(table(spark, sf_dir, "documents"))
 
 
 OPERATORS = (
     op1_decontaminate, op2_quality, op3_suffix_dedup, op4_license_scan, op5_mixing, op6_lm_score, op7_language_id, op8_media, op9_secret_scan,
-    op10_near_dedup, op11_upsert, op13_host_rules,
+    op10_near_dedup, op11_upsert, op12_alignment, op13_host_rules,
 )
 QUERIES = {f.__name__: f for f in OPERATORS}
 ORACLE_SQL = {"op1_decontaminate": decontaminate.ORACLE, "op5_mixing": mixing.ORACLE, "op13_host_rules": host_rules.ORACLE}

@@ -281,7 +281,7 @@ SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 def gathered(coded: DataFrame, stretches: DataFrame, as_text: bool) -> DataFrame:
     """A row for each document of the chunks, from the scores of their stretches."""
     of_id = coded.schema["ids"].dataType.elementType
-    used = coded.select("chunk", F.posexplode("stretches").alias("code", "stretch")).join(stretches, "stretch").drop("stretch")
+    used = coded.select(F.col("chunk").alias("of_chunk"), F.posexplode("stretches").alias("code", "stretch")).join(stretches, "stretch").drop("stretch")
     schema = f"doc_id {of_id.simpleString()}, {', '.join(f'{c} long' for c in SUMS)}, groups string"
 
     def merge(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -306,7 +306,7 @@ def gathered(coded: DataFrame, stretches: DataFrame, as_text: bool) -> DataFrame
         return pa.concat_tables(tables) if tables else pa.table([pa.array([], ids.type.value_type), *[pa.array([], pa.int64())] * len(SUMS), pa.array([], pa.string())], names=names)
 
     rows = coded.select("chunk", "ids", "sizes", "codes", "n_codes")
-    return rows.groupBy("chunk").cogroup(used.groupBy("chunk")).applyInArrow(merge, schema)
+    return rows.groupBy("chunk").cogroup(used.groupBy("of_chunk")).applyInArrow(merge, schema)
 
 
 @contextlib.contextmanager

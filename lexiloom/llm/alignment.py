@@ -203,10 +203,10 @@ def chunks(docs: DataFrame, files, chunk_bytes: int = CHUNK_BYTES, doc_id: str =
 
 def tokenized(stretches: DataFrame, files) -> DataFrame:
     """stretch, n and its tokens (kind, pos, id, bytes), one row each; kind 0 is A and 1 is B."""
-    listed = pa.list_(pa.int32())
-    kind = pa.struct([("a", listed), ("a_len", listed), ("b", listed), ("b_len", listed)])
+    listed, short = pa.list_(pa.int32()), pa.list_(pa.int16())
+    kind = pa.struct([("a", listed), ("a_len", short), ("b", listed), ("b_len", short)])
 
-    @F.arrow_udf("struct<a: array<int>, a_len: array<int>, b: array<int>, b_len: array<int>>")
+    @F.arrow_udf("struct<a: array<int>, a_len: array<short>, b: array<int>, b_len: array<short>>")
     def tokens(texts: pa.Array) -> pa.Array:
         pair, plain = _pair(files), texts.to_pylist()
         fields = []
@@ -215,13 +215,14 @@ def tokenized(stretches: DataFrame, files) -> DataFrame:
             if not pair.restored(t.encode(), a, b):
                 raise ValueError(f"a tokenizer does not give back the text {t[:80]!r}")
         for ids, spelled in zip(both, (pair.a_bytes, pair.b_bytes)):
-            sizes = np.array([len(x) for x in spelled], np.int32)
+            sizes = np.array([len(x) for x in spelled], np.int16)
             flat = np.fromiter((i for x in ids for i in x), np.int32)
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32), pa.int32())
-            fields += [pa.ListArray.from_arrays(offsets, pa.array(v, pa.int32())) for v in (flat, sizes[flat])]
+            fields += [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (flat, sizes[flat])]
         return pa.StructArray.from_arrays(fields, fields=list(kind))
 
-    told = stretches.select("stretch", "n", F.xxhash64("stretch").alias("h"), tokens("stretch").alias("t"))
+    # Dealt by stretch while its tokens are one row: all that is keyed by stretch and more, from here on, needs no other exchange.
+    told = stretches.select("stretch", "n", tokens("stretch").alias("t")).repartition("stretch").withColumn("h", F.xxhash64("stretch"))
     kinds = F.array(*[F.struct(F.lit(i).alias("kind"), F.col(f"t.{k}").alias("ids"), F.col(f"t.{k}_len").alias("lens")) for i, k in enumerate("ab")])
     by_kind = told.select("stretch", "n", "h", F.explode(kinds).alias("k"))
     zipped = by_kind.select("stretch", "n", "h", F.col("k.kind").alias("kind"), F.posexplode(F.arrays_zip("k.ids", "k.lens")).alias("pos", "x"))
@@ -234,7 +235,8 @@ def aligned(tokens: DataFrame) -> DataFrame:
     h is a hash of the stretch, for cheaper sorting.
     """
     key = ["h", "stretch"]
-    ends = tokens.withColumn("end", F.sum("bytes").over(Window.partitionBy(*key, "kind").orderBy("pos")))
+    before = Window.partitionBy(*key, "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    ends = tokens.withColumn("end", F.sum("bytes").over(before))
     met = ends.groupBy(*key, "end").agg(*[F.max(F.when(F.col("kind") == i, F.col("id"))).alias(k) for i, k in enumerate("ab")], F.max("n").alias("n"))
     back = Window.partitionBy(*key).orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
     cut = F.col("a").isNotNull() & F.col("b").isNotNull()

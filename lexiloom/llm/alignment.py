@@ -11,11 +11,11 @@ stretches are aligned once, with their number in the corpus. Tokens are exploded
 of A and B with one stretch and end meet in a group-by (a full outer equi-join that needs no second shuffle), groups are numbered by a running count of cuts, and
 links come from the same window: every distinct end closes exactly one link, that of the next token of A and of B that ends there or behind. So
 links are never paired up within a group, and a group of any length takes linear work. Pairs are counted over all links, weighted by
-the stretches' numbers, and joined back.
+the stretches' numbers, and joined back. A sorted aggregate keeps the windows' order instead of hashing, which would sort anew.
 
 How it scales. Texts are coded in chunks of about CHUNK_BYTES: a chunk sends each of its distinct stretches once, with a count, however often it
-occurs, and gets their alignments back by stretch; a chunk's codes and its stretches meet in one group of bounded size. Joins by pair are salted, as a few
-pairs stand in many stretches. Nothing goes through the driver but the tokenizers' files, which it sends to all executors (about 3 MB).
+occurs, and gets their alignments back by stretch; a chunk's codes and its stretches meet in one group of bounded size. Up to BROADCAST_PAIRS pairs are sent to all
+executors; joins by more are salted, as a few pairs stand in many stretches. Nothing goes through the driver but the tokenizers' files, which it sends to all executors (about 3 MB).
 
 Edge cases: texts that are null, empty, not UTF-8, or that a tokenizer does not give back byte by byte (with these files: those
 with U+2581) have no tokens and no part in counts: zeros, and an empty string for groups. Special tokens' strings are text. Repeated rows count each; null ids stay null;
@@ -32,15 +32,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.llm.common import delete_shared, write_shared
 
 #: Folder of the tokenizers' files, and their names.
 TOKENIZERS, A_FILE, B_FILE = "/opt/tokenizers", "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Bytes of text in a chunk, and copies of a pair's count among which its links are dealt.
-CHUNK_BYTES, SALTS = 32 << 20, 8
+#: Bytes of text in a chunk; and how many pairs with their counts (24 bytes each) are sent to all executors; of more, each is copied SALTS times and its links are dealt among the copies.
+CHUNK_BYTES, BROADCAST_PAIRS, SALTS = 12 << 20, 1 << 19, 8
+#: Codes of documents that are looked at together.
+BLOCK_CODES = 1 << 20
 #: A pair of ids is one number, with B's id in the lower bits.
 B_BITS = 24
 MARK = "▁"
@@ -144,8 +146,8 @@ def code_chunk(ids: pa.Array, texts: list[bytes | None], pair: Pair, number: int
         codes, distinct, counts, per_doc = np.zeros(0, np.int32), [], [], np.zeros(len(kept), np.int32)
     else:
         starts = stretch_starts(data, (ends - sizes)[sizes > 0])
-        bounds = np.append(starts, len(data))
-        pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data)])
+        bounds = np.append(starts, len(data)).astype(np.int64)
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data)])
         coded = pieces.dictionary_encode()
         raw = coded.indices.to_numpy(zero_copy_only=False)
         counts = np.bincount(raw)
@@ -244,15 +246,24 @@ def aligned(tokens: DataFrame) -> DataFrame:
         *key, "end", "a", "b", "n", F.sum(cut.cast("int")).over(back).alias("group"),
         (F.last("a", True).over(back).cast("long") * (1 << B_BITS) + F.last("b", True).over(back)).alias("link"),
     )
-    ids = lambda k: F.array_sort(F.collect_list(F.when(F.col(k).isNotNull(), F.struct("end", k))))
-    joined = lambda k: F.array_join(F.transform(k, lambda x: x[k].cast("string")), ",")
-    groups = linked.groupBy(*key, "group").agg(F.max("n").alias("n"), F.max("end").alias("end"), ids("a").alias("a"), ids("b").alias("b"), F.collect_list("link").alias("links"))
-    texts = groups.select(*key, "n", "end", "links", F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.concat(joined("a"), F.lit("|"), joined("b")).alias("text"))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("end", "text"))), lambda x: x["text"])
-    return texts.groupBy(*key).agg(
-        F.max("n").alias("n"), *[F.sum(c).alias(c) for c in ("n_a", "n_b")], F.count("*").alias("n_groups"),
-        F.array_join(listed, ";").alias("groups"), F.flatten(F.collect_list("links")).alias("links"),
-    ).drop("h")
+    # Groups are numbered from the end; ids of a group are written A first, and within A and B in the order of their ends.
+    item = lambda r, i, k: F.struct((-r["group"]).alias("group"), F.lit(i).alias("kind"), r["end"].alias("end"), r[k].alias("id"))
+    items = lambda rows: F.array_sort(F.filter(F.flatten(F.transform(rows, lambda r: F.array(item(r, 0, "a"), item(r, 1, "b")))), lambda x: x["id"].isNotNull()))
+
+    def written(order: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            last = F.get(order, i - 1)
+            mark = F.when(i == 0, "").when(last["group"] != x["group"], ";").when(last["kind"] != x["kind"], "|").otherwise(",")
+            return F.concat(mark, x["id"].cast("string"))
+
+        return F.array_join(F.transform(order, one), "")
+
+    gathered_ = linked.groupBy(*key).agg(
+        F.max("n").alias("n"), F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.max("group").alias("n_groups"),
+        F.collect_list(F.struct("group", "end", "a", "b", "link")).alias("rows"),
+    )
+    text = F.get(F.transform(F.array(items(F.col("rows"))), written), F.lit(0))
+    return gathered_.select("stretch", "n", "n_a", "n_b", "n_groups", text.alias("groups"), F.transform("rows", lambda r: r["link"]).alias("links"))
 
 
 def pair_counts(stretches: DataFrame) -> DataFrame:
@@ -265,12 +276,17 @@ def pair_counts(stretches: DataFrame) -> DataFrame:
 
 def scored(stretches: DataFrame, pairs: DataFrame) -> DataFrame:
     """Aligned stretches (with their number, sid) and, of their links, how many are the best of their b, and the sum of their counts."""
-    salted = pairs.select("pair", "count", "best", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     whole = F.struct("stretch", "n_a", "n_b", "n_groups", "groups")
     # A stretch's first link carries what else is known of it, so that it needs no join of its own.
     links = stretches.select("sid", whole.alias("whole"), F.posexplode("links").alias("at", "pair"))
-    links = links.select("sid", F.when(F.col("at") == 0, F.col("whole")).alias("whole"), "pair", F.pmod("sid", F.lit(SALTS)).cast("int").alias("salt"))
-    sums = links.join(salted, ["pair", "salt"]).groupBy("sid").agg(
+    links = links.select("sid", F.when(F.col("at") == 0, F.col("whole")).alias("whole"), "pair")
+    told = pairs.select("pair", "count", "best")
+    if pairs.count() <= BROADCAST_PAIRS:
+        joined = links.join(F.broadcast(told), "pair")
+    else:
+        salted = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = links.withColumn("salt", F.pmod("sid", F.lit(SALTS)).cast("int")).join(salted, ["pair", "salt"])
+    sums = joined.groupBy("sid").agg(
         F.max("whole").alias("whole"), F.count("*").alias("n_links"), F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum")
     )
     return sums.select("whole.*", "n_links", "n_best", "count_sum")
@@ -293,14 +309,18 @@ def gathered(coded: DataFrame, stretches: DataFrame, as_text: bool) -> DataFrame
         for row in left.select(["sizes", "codes", "n_codes"]).to_pylist():
             codes = np.frombuffer(pa.decompress(row["codes"], 4 * row["n_codes"], codec="zstd", asbytes=True), np.int32) if row["n_codes"] else np.zeros(0, np.int32)
             ends = np.concatenate([[0], np.cumsum(np.frombuffer(row["sizes"], np.int32).astype(np.int64))])
-            columns = []
-            for c in SUMS:
-                sums = np.concatenate([[0], np.cumsum(values[c][codes])]) if len(codes) else np.zeros(1, np.int64)
-                columns.append(pa.array(sums[ends[1:]] - sums[ends[:-1]], pa.int64()))
-            groups = []
-            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
-                text = ";".join([texts[i] for i in codes[a:b].tolist()])
-                groups.append(text if as_text or not text else hashlib.sha256(text.encode()).hexdigest())
+            sums, groups, at = {c: [] for c in SUMS}, [], 0
+            while at < len(ends) - 1:
+                upto = max(at + 1, int(np.searchsorted(ends, ends[at] + BLOCK_CODES, "right")) - 1)
+                block, cuts = codes[ends[at] : ends[upto]], ends[at : upto + 1] - ends[at]
+                for c in SUMS:
+                    total = np.concatenate([[0], np.cumsum(values[c][block])])
+                    sums[c].append(total[cuts[1:]] - total[cuts[:-1]])
+                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                    text = ";".join([texts[i] for i in block[a:b].tolist()])
+                    groups.append(text if as_text or not text else hashlib.sha256(text.encode()).hexdigest())
+                at = upto
+            columns = [pa.array(np.concatenate([[], *sums[c]]).astype(np.int64), pa.int64()) for c in SUMS]
             out.append((columns, pa.array(groups, pa.string())))
         ids = left.column("ids").combine_chunks()
         names = ["doc_id", *SUMS, "groups"]
@@ -311,16 +331,23 @@ def gathered(coded: DataFrame, stretches: DataFrame, as_text: bool) -> DataFrame
     return rows.groupBy("chunk").cogroup(used.groupBy("of_chunk")).applyInArrow(merge, schema)
 
 
+#: While tables are written, shuffle files go when a write ends, and what windows have sorted is aggregated in that order.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.useObjectHashAggregateExec": "false"}
+
+
 @contextlib.contextmanager
-def _files_go(spark):
-    """While tables are written, shuffle files go when a write ends."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
+def _writing(spark):
+    before = {name: spark.conf.get(name, None) for name in WRITING}
+    for name, value in WRITING.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def align(
@@ -330,7 +357,7 @@ def align(
     """For each document doc_id, SUMS and groups (`a1,a2|b1;a3|b2,b3`, or the text's SHA-256 in hex); and the counts of pairs (pair, a, b, count, best)."""
     spark = docs.sparkSession
     files = spark.sparkContext.broadcast(read_files(a_path, b_path))
-    with _files_go(spark):
+    with _writing(spark):
         coded, _ = write_shared(chunks(docs, files, chunk_bytes, doc_id, text), "chunks")
         distinct = coded.select(F.explode(F.arrays_zip("stretches", "counts")).alias("x")).groupBy(F.col("x.stretches").alias("stretch")).agg(F.sum("x.counts").alias("n"))
         known, path = write_shared(aligned(tokenized(distinct, files)).withColumn("sid", F.monotonically_increasing_id()), "stretches")

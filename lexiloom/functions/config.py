@@ -11,7 +11,8 @@ NORMS = ("none", "stem", "lemma", "both")
 class AnalyzerConfig:
     """Options of the analyzer; a plan-time constant. norm: none, stem, lemma, or both (lemma, then stem).
 
-    abbreviations: words, in lower case, that keep a period after them, so that they are no tokens, unless they end the text.
+    abbreviations: words, in lower case, that keep a period after them, so that they are no tokens, unless they end the text;
+    operators.abbreviations finds those of a collection. ordinals: numbers before a period and a word in lower case are treated alike.
     """
 
     hyphens: bool = True
@@ -19,6 +20,7 @@ class AnalyzerConfig:
     stopwords: bool = True
     norm: str = "stem"
     abbreviations: tuple[str, ...] = ()
+    ordinals: bool = False
 
     def __post_init__(self) -> None:
         if self.norm not in NORMS:

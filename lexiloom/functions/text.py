@@ -3,7 +3,7 @@
 STEPS define the tokeniser: a chain of regular expressions that Java and RE2 read alike, which is what the
 DuckDB oracle runs. It follows the published word rules of treebank tokenisation as far as they matter
 once tokens that are not wholly letters and digits have been dropped. A period that ends a word always
-splits off; a list of abbreviations is not consulted. The column form takes the same tokens out of a
+splits off, unless the configuration names the word as an abbreviation. The column form takes the same tokens out of a
 text in one pass of one expression, TOKEN; rules for rare words apply only to texts that may hold one.
 """
 
@@ -59,12 +59,22 @@ def _any(text: Column, words) -> Column:
     return functools.reduce(lambda a, b: a | b, [text.contains(w) for w in words])
 
 
-def abbreviated(text: Column, words: tuple[str, ...]) -> Column:
-    """The text with a period after each of these words, but at the end, made part of it."""
-    if not words:
-        return text
-    listed = "|".join(re.escape(w) for w in sorted(words, key=len, reverse=True))
-    return F.regexp_replace(text, rf"(?i)(?<![^\s(\"'\[])({listed})\.(?=[\s,;:)\]]+\S)", "$1_.")
+def _kept_periods(ordinals: bool) -> str:
+    """TOKEN, of which a group also takes the period behind a word that may be an abbreviation; or, of digits, an ordinal."""
+    period = r"\.(?=[\s,;:)\]]+\S)"
+    if ordinals:
+        period = rf"(?:(?<!\p{{N}}){period}|(?<=\p{{N}})\.(?=\s+\p{{Ll}}))"
+    return TOKEN.replace(r"([\p{L}\p{N}]++)", rf"([\p{{L}}\p{{N}}]++(?:{period})?)")
+
+
+def _without_abbreviations(tokens: Column, words: tuple[str, ...], ordinals: bool) -> Column:
+    """Tokens of _kept_periods, less those that keep their period; the others lose it."""
+
+    def kept(w: Column) -> Column:
+        known = F.lower(F.replace(w, F.lit("."), F.lit(""))).isin(*words) if words else F.lit(False)
+        return ~w.endswith(".") | ~(known | w.rlike(r"^\p{N}+\.$") if ordinals else known)
+
+    return F.transform(F.filter(tokens, kept), lambda w: F.replace(w, F.lit("."), F.lit("")))
 
 
 def _split_words(tokens: Column) -> Column:
@@ -77,15 +87,22 @@ def _split_words(tokens: Column) -> Column:
     return F.flatten(F.transform(tokens, parts))
 
 
-def word_tokens(text: Column, lowered: bool = False) -> Column:
-    """All tokens that are wholly letters and digits. lowered: the text is in lower case already."""
+def word_tokens(text: Column, lowered: bool = False, abbreviations: tuple[str, ...] = (), ordinals: bool = False) -> Column:
+    """All tokens that are wholly letters and digits. lowered: the text is in lower case already.
+
+    abbreviations: words, in lower case, that keep a period behind them and are no tokens then, unless it ends the text; ordinals: so do
+    numbers before a word in lower case.
+    """
 
     def tokens(t: Column) -> Column:
         plain = t
         for pattern, replacement in CONTRACTIONS:
             plain = F.regexp_replace(plain, pattern, replacement)
         plain = F.when(t.contains("'"), plain).otherwise(t)
-        return F.array_remove(F.regexp_extract_all(plain, F.lit(TOKEN), F.lit(1)), "")
+        if not abbreviations and not ordinals:
+            return F.array_remove(F.regexp_extract_all(plain, F.lit(TOKEN), F.lit(1)), "")
+        found = F.array_remove(F.regexp_extract_all(plain, F.lit(_kept_periods(ordinals)), F.lit(1)), "")
+        return _without_abbreviations(found, abbreviations, ordinals)
 
     def whole(t: Column) -> Column:
         rare = _any(t, SPLIT_WORDS) if lowered else _once(F.lower(t), lambda x: _any(x, SPLIT_WORDS))
@@ -103,7 +120,7 @@ def plain_tokens(text: Column, cfg: AnalyzerConfig) -> Column:
     """Tokens after hyphens, case and stop words, before normalisation."""
     text = hyphen_spaced(text) if cfg.hyphens else text
     text = F.lower(text) if cfg.lowercase else text
-    tokens = word_tokens(abbreviated(text, cfg.abbreviations), cfg.lowercase)
+    tokens = word_tokens(text, cfg.lowercase, cfg.abbreviations, cfg.ordinals)
     return without_stop_words(tokens, cfg.lowercase) if cfg.stopwords else tokens
 
 

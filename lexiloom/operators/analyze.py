@@ -68,7 +68,7 @@ def pipeline_stages(docs: DataFrame, doc_id, cfg: AnalyzerConfig = AnalyzerConfi
     text = F.col("text")
     one = docs.where(F.col("doc_id").eqNullSafe(F.lit(doc_id))).select("doc_id", text.alias("stage0_raw"), (hyphen_spaced(text) if cfg.hyphens else text).alias("stage1_hyphen"))
     one = one.withColumn("stage2_lower", F.lower("stage1_hyphen") if cfg.lowercase else F.col("stage1_hyphen"))
-    one = one.select("*", F.explode(F.array(word_tokens(F.col("stage2_lower")))).alias("stage3_tokens"))
+    one = one.select("*", F.explode(F.array(word_tokens(F.col("stage2_lower"), cfg.lowercase, cfg.abbreviations, cfg.ordinals))).alias("stage3_tokens"))
     one = one.withColumn("stage4_stop", without_stop_words(F.col("stage3_tokens")) if cfg.stopwords else F.col("stage3_tokens"))
     return normalised(one.withColumn("stage5_norm", F.col("stage4_stop")), "stage5_norm", cfg, **lexical)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +49,7 @@ def ground_truth(docs: DataFrame, queries: list[str]) -> DataFrame:
 
 def _raw(cfg: AnalyzerConfig, norm: str = "none") -> AnalyzerConfig:
     """The evaluation's analyzer: always in lower case, with one norm."""
-    return AnalyzerConfig(cfg.hyphens, True, cfg.stopwords, norm)
+    return replace(cfg, lowercase=True, norm=norm)
 
 
 def normal_forms(docs: DataFrame, cfg: AnalyzerConfig = AnalyzerConfig(), lexicon: DataFrame | None = None, exceptions: DataFrame | None = None) -> DataFrame:

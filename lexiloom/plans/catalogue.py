@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import lemma, text
 from lexiloom.functions.config import AnalyzerConfig
+from lexiloom.operators import abbreviations as abbreviation_model
 from lexiloom.operators import analyze, dictionary, evaluate, index, phrase, tolerant
 from lexiloom.plans import oracle, stored
 from lexiloom.plans.workbench import Collection
@@ -268,6 +269,16 @@ def benchmark_phrases(spark, sf_dir):
     return _listed(analyze.analyzed(items, PLAIN), "tokens")
 
 
+def abbreviations(spark, sf_dir):
+    """Abbreviations of the documents, their scores to four places."""
+    return abbreviation_model.abbreviations(_docs(spark, sf_dir)).withColumn("score", F.round("score", 4))
+
+
+def tokens_abbreviated(spark, sf_dir):
+    """Tokens by a tokeniser that has learned the collection's abbreviations, and that knows ordinals."""
+    return Collection(_docs(spark, sf_dir), PLAIN).with_abbreviations(ordinals=True).tokens
+
+
 _PLAIN = oracle.tokens(PLAIN)
 _LONG = f"with {_PLAIN} "
 _PAIRS = f"with {oracle.arrays(PLAIN)}, {oracle.pairs()} "
@@ -414,7 +425,7 @@ QUERIES = {
     "compare_normalizers": compare_normalizers, "compare_summary": compare_summary, "compression": compression, "lemmas": lemmas,
     "collection_view": collection_view, "benchmark_phrases": benchmark_phrases, "test_queries_short": test_queries_short, "defaults": defaults,
     "last_duplicates": last_duplicates, "chosen_document": chosen_document, "phrase_default": phrase_default, "phrase_report": phrase_report, "wildcard_grams": wildcard_grams,
-    "summary_json": summary_json, "justification": justification, "valid_terms": valid_terms,
+    "abbreviations": abbreviations, "tokens_abbreviated": tokens_abbreviated, "summary_json": summary_json, "justification": justification, "valid_terms": valid_terms,
     "stored_vocabulary": stored_vocabulary, "stored_phrase_positional": partial(stored_phrase, method="positional"), "stored_phrase_biword": partial(stored_phrase, method="biword"),
     "stored_phrase_false_positives": partial(stored_phrase, method="false_positives", text=FALSE_PHRASE), "stored_lookup": stored_lookup,
     "stored_wildcard": stored_wildcard, "stored_spell": stored_spell, "stored_phonetic": stored_phonetic, "lookup_latency": lookup_latency,
@@ -478,6 +489,8 @@ select query, term, distance from near where distance <= 2""",
 x as (select count(distinct t) as n from (select unnest(tokens) as t from a)), y as (select count(distinct t) as n from (select unnest(tokens) as t from b))
 select x.n as n_raw, y.n as n_norm, round((1 - y.n / greatest(x.n, 1)) * 100, 2) as compression_rate from x, y""",
     "lemmas": _lemma_sql(),
+    "abbreviations": f"with {oracle.abbreviations()} select word, n_with, n_without, round(score, 4) as score from abbreviations",
+    "tokens_abbreviated": f"with {oracle.abbreviations()}, {oracle.tokens(PLAIN, abbreviations='abbreviations', ordinals=True)} select doc_id, pos, term from tokens",
     "collection_view": "select doc_id, text from documents",
     "benchmark_phrases": f"select item_id as doc_id, array_to_string({oracle.without_stop_words(oracle.word_tokens(_TEXT))}, ',') as tokens from benchmark",
 }

@@ -22,17 +22,44 @@ def without_stop_words(tokens: str) -> str:
     return f"list_filter({tokens}, lambda w: lower(w) not in ({', '.join(map(quoted, STOP_WORDS))}))"
 
 
-def arrays(cfg: AnalyzerConfig, name: str = "arrays") -> str:
-    """A common table (doc_id, tokens)."""
+def arrays(cfg: AnalyzerConfig, name: str = "arrays", abbreviations: str = "", ordinals: bool = False) -> str:
+    """A common table (doc_id, tokens). abbreviations: a common table of words that keep their period; with ordinals, numbers before a word in lower case do, too."""
     text = "replace(text, '-', ' ')" if cfg.hyphens else "text"
     text = f"lower({text})" if cfg.lowercase else text
+    if abbreviations:
+        text = _with_periods_kept(text, abbreviations, ordinals)
     tokens = without_stop_words(word_tokens(text)) if cfg.stopwords else word_tokens(text)
     return f"{name} as (select doc_id, {tokens} as tokens from documents)"
 
 
-def tokens(cfg: AnalyzerConfig) -> str:
+def _with_periods_kept(text: str, abbreviations: str, ordinals: bool) -> str:
+    """The text with an underscore before the period of every abbreviation and ordinal, so that it is no token; word by word, for there is no looking ahead or behind."""
+    pieces = f"regexp_extract_all({text}, '\\s+|[^\\s]+')"
+    # A piece of white space stands between two others; the last piece has nothing behind it.
+    known = rf"regexp_extract(x, '^(?:.*[\s;@#$%&?!\"()\[\]{{}}<>«»“”„‘’`])?([\p{{L}}\p{{N}}]+)\.[,;:)\]]*$', 1)"
+    marked = rf"regexp_replace(x, '\.([,;:)\]]*)$', '_.\1')"
+    number = rf"regexp_full_match({known}, '.*\p{{N}}')"
+    listed = f"{known} in (select word from {abbreviations})" + (f" and not {number}" if ordinals else "")
+    ordinal = rf" or (regexp_full_match({known}, '\p{{N}}+') and suffix(x, '.') and regexp_matches(coalesce(p[i + 2], ''), '^\p{{Ll}}'))" if ordinals else ""
+    return f"(select string_agg(case when i < len(p) - 1 and {known} <> '' and ({listed}{ordinal}) then {marked} else x end, '' order by i) from (select p, unnest(p) as x, unnest(generate_series(1, len(p))) as i from (select {pieces} as p)))"
+
+
+def abbreviations() -> str:
+    """Common tables that end in abbreviations (word, n_with, n_without, score)."""
+    from lexiloom.operators.abbreviations import RATE, RUN, THRESHOLD
+
+    letters, inner = "length(replace(word, '.', ''))::double", "(length(word) - length(replace(word, '.', '')))"
+    return f"""runs as (select unnest(regexp_extract_all(lower(replace(coalesce(text, ''), '-', ' ')), {quoted(RUN)})) as run from documents),
+marked as (select run, suffix(run, '.') and not suffix(run, '..') and run <> '.' as ends from runs),
+counts as (select case when ends then left(run, length(run) - 1) else run end as word, sum(ends::int)::bigint as n_with, sum((not ends)::int)::bigint as n_without from marked group by 1),
+scored as (select *, 2 * (n_with * (ln({RATE}::double) - ln(p)) + n_without * (ln((1 - {RATE})::double) - ln(1 - p))) * exp(-{letters}) * ({inner} + 1) * pow({letters}, -n_without) as score
+from counts, (select least(sum(n_with) / sum(n_with + n_without), 1 - 1e-9) as p from counts) where n_with > 0 and regexp_matches(word, '\\p{{L}}')),
+abbreviations as (select word, n_with, n_without, score from scored where score >= {THRESHOLD})"""
+
+
+def tokens(cfg: AnalyzerConfig, **options) -> str:
     """Common tables (doc_id, tokens) and (doc_id, pos, term)."""
-    return arrays(cfg) + ", tokens as (select doc_id, unnest(generate_series(0, len(tokens) - 1))::int as pos, unnest(tokens) as term from arrays)"
+    return arrays(cfg, **options) + ", tokens as (select doc_id, unnest(generate_series(0, len(tokens) - 1))::int as pos, unnest(tokens) as term from arrays)"
 
 
 def pairs() -> str:

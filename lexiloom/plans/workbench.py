@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import functools
+from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.functions.config import AnalyzerConfig
-from lexiloom.operators import analyze, dictionary, evaluate, index, phrase, tolerant
+from lexiloom.operators import abbreviations, analyze, dictionary, evaluate, index, phrase, tolerant
 
 
 class Collection:
@@ -45,6 +46,15 @@ class Collection:
     def _phrase(self, text: str) -> list[str]:
         return analyze.query_tokens(self.docs, text, self.cfg, **self.lexical)
 
+    def abbreviations(self) -> DataFrame:
+        """(word, n_with, n_without, score) of words that the collection uses as abbreviations."""
+        return abbreviations.abbreviations(self.docs)
+
+    def with_abbreviations(self, ordinals: bool = False) -> Collection:
+        """The collection under a tokeniser that knows the abbreviations it uses."""
+        words = tuple(sorted({*self.cfg.abbreviations, *abbreviations.abbreviation_words(self.docs)}))
+        return Collection(self.docs, replace(self.cfg, abbreviations=words, ordinals=ordinals), **self.lexical)
+
     def stages(self, doc_id) -> DataFrame:
         return analyze.pipeline_stages(self.docs, doc_id, self.cfg, **self.lexical)
 

@@ -73,6 +73,7 @@ class Pair:
         if any(MARK in p.lstrip(MARK) for p in pieces):
             raise ValueError("a piece has a space inside, so that texts cannot be cut at spaces")
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
+        self.sizes = tuple(np.array([len(x) for x in spelled], np.int64) for spelled in (self.a_bytes, self.b_bytes))
         self.blank = self.b.piece_to_id(MARK)
 
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
@@ -203,47 +204,82 @@ def chunks(docs: DataFrame, files, chunk_bytes: int = CHUNK_BYTES, doc_id: str =
     return rows.mapInArrow(coded, fields)
 
 
+def encode_stretches(pair: Pair, stretches: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For A and B: all ids of these stretches, and how many tokens each has. Stretches are encoded as one text, apart from those behind which none may begin."""
+    data = np.frombuffer(b"".join(stretches), np.uint8)
+    ends = np.cumsum([len(x) for x in stretches])
+    begins = np.zeros(len(data) + 1, bool)
+    begins[stretch_starts(data, np.zeros(1, np.int64))] = True
+    begins[-1] = True
+    alone = np.flatnonzero(~begins[ends])
+    alone = np.append(alone, len(stretches) - 1) if len(alone) and alone[-1] < len(stretches) - 1 else alone
+    joined = np.setdiff1d(np.arange(len(stretches)), alone)
+    texts = [b"".join([stretches[i] for i in joined])] * bool(len(joined)) + [stretches[i] for i in alone]
+    coded = pair.encode([t.decode() for t in texts])
+    if not all(pair.restored(t, a, b) for t, a, b in zip(texts, *coded)):
+        raise ValueError("a tokenizer does not give a text back")
+    sizes = np.array([len(x) for x in stretches], np.int64)
+    out_ids, out_counts = [], []
+    for ids, spelled in zip(coded, pair.sizes):
+        counts, parts = np.zeros(len(stretches), np.int64), [None] * len(stretches)
+        if len(joined):
+            flat = np.array(ids[0], np.int32)
+            at = np.concatenate([[0], np.searchsorted(np.cumsum(spelled[flat]), np.cumsum(sizes[joined]), "left") + 1])
+            counts[joined] = np.diff(at)
+        if not len(alone):
+            out_ids.append(flat)
+        else:
+            for k, i in enumerate(joined):
+                parts[i] = flat[at[k] : at[k + 1]]
+            for k, i in enumerate(alone):
+                parts[i] = np.array(ids[k + bool(len(joined))], np.int32)
+                counts[i] = len(parts[i])
+            out_ids.append(np.concatenate(parts))
+        out_counts.append(counts)
+    return out_ids, out_counts
+
+
 def tokenized(stretches: DataFrame, files) -> DataFrame:
-    """stretch, n and its tokens (kind, pos, id, bytes), one row each; kind 0 is A and 1 is B."""
+    """(sid, stretch, n, t) of (stretch, n): sid is a number, to be stored, and t has the ids of A and B and their bytes (a, a_len, b, b_len)."""
     listed, short = pa.list_(pa.int32()), pa.list_(pa.int16())
     kind = pa.struct([("a", listed), ("a_len", short), ("b", listed), ("b_len", short)])
 
     @F.arrow_udf("struct<a: array<int>, a_len: array<short>, b: array<int>, b_len: array<short>>")
     def tokens(texts: pa.Array) -> pa.Array:
-        pair, plain = _pair(files), texts.to_pylist()
-        fields = []
-        both = pair.encode(plain) if plain else ([], [])
-        for t, a, b in zip(plain, *both):
-            if not pair.restored(t.encode(), a, b):
-                raise ValueError(f"a tokenizer does not give back the text {t[:80]!r}")
-        for ids, spelled in zip(both, (pair.a_bytes, pair.b_bytes)):
-            sizes = np.array([len(x) for x in spelled], np.int16)
-            flat = np.fromiter((i for x in ids for i in x), np.int32)
-            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32), pa.int32())
-            fields += [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (flat, sizes[flat])]
+        if not len(texts):
+            return pa.array([], kind)
+        pair, fields = _pair(files), []
+        for flat, counts, spelled in zip(*encode_stretches(pair, texts.cast(pa.binary()).to_pylist()), pair.sizes):
+            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+            fields += [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (flat, spelled[flat].astype(np.int16))]
         return pa.StructArray.from_arrays(fields, fields=list(kind))
 
-    # Dealt by stretch while its tokens are one row: all that is keyed by stretch and more, from here on, needs no other exchange.
-    told = stretches.select("stretch", "n", tokens("stretch").alias("t")).repartition("stretch").withColumn("h", F.xxhash64("stretch"))
-    kinds = F.array(*[F.struct(F.lit(i).alias("kind"), F.col(f"t.{k}").alias("ids"), F.col(f"t.{k}_len").alias("lens")) for i, k in enumerate("ab")])
-    by_kind = told.select("stretch", "n", "h", F.explode(kinds).alias("k"))
-    zipped = by_kind.select("stretch", "n", "h", F.col("k.kind").alias("kind"), F.posexplode(F.arrays_zip("k.ids", "k.lens")).alias("pos", "x"))
-    return zipped.select("stretch", "n", "h", "kind", "pos", F.col("x.ids").alias("id"), F.col("x.lens").alias("bytes"))
+    return stretches.select(F.monotonically_increasing_id().alias("sid"), "stretch", "n", tokens("stretch").alias("t"))
 
 
-def aligned(tokens: DataFrame) -> DataFrame:
-    """(stretch, n, n_a, n_b, n_groups, groups, links) of tokens as above; groups as text, links as pairs of ids. What is keyed by stretch stays where its tokens are.
+def exploded(stored: DataFrame) -> DataFrame:
+    """(sid, kind, pos, id, bytes, stretch, n): the tokens of every stretch, kind 0 of A and 1 of B; and a row of kind 2 with the stretch and its number, which no other row has.
 
-    h is a hash of the stretch, for cheaper sorting.
+    Stretches are dealt by sid while their tokens are one row: all that is keyed by sid and more, from here on, needs no other exchange.
     """
-    key = ["h", "stretch"]
+    no_text = (F.lit(None).cast("string").alias("stretch"), F.lit(None).cast("long").alias("n"))
+    kinds = [F.struct(F.lit(i).alias("kind"), F.col(f"t.{k}").alias("ids"), F.col(f"t.{k}_len").alias("lens"), *no_text) for i, k in enumerate("ab")]
+    own = F.struct(F.lit(2).alias("kind"), F.array().cast("array<int>").alias("ids"), F.array().cast("array<short>").alias("lens"), F.col("stretch"), F.col("n"))
+    by_kind = stored.repartition("sid").select("sid", F.explode(F.array(*kinds, own)).alias("k"))
+    rows = by_kind.select("sid", "k.kind", "k.stretch", "k.n", F.posexplode_outer(F.arrays_zip("k.ids", "k.lens")).alias("pos", "x"))
+    return rows.select("sid", "kind", "pos", F.col("x.ids").alias("id"), F.col("x.lens").alias("bytes"), "stretch", "n")
+
+
+def aligned(tokens: DataFrame) -> DataFrame:
+    """(sid, stretch, n, n_a, n_b, n_groups, groups, links) of tokens as above; groups as text, links as pairs of ids."""
+    key = ["sid"]
     before = Window.partitionBy(*key, "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    ends = tokens.withColumn("end", F.sum("bytes").over(before))
-    met = ends.groupBy(*key, "end").agg(*[F.max(F.when(F.col("kind") == i, F.col("id"))).alias(k) for i, k in enumerate("ab")], F.max("n").alias("n"))
+    ends = tokens.withColumn("end", F.when(F.col("kind") < 2, F.sum("bytes").over(before)).otherwise(-1))
+    met = ends.groupBy(*key, "end", "stretch").agg(*[F.max(F.when(F.col("kind") == i, F.col("id"))).alias(k) for i, k in enumerate("ab")], F.max("n").alias("n"))
     back = Window.partitionBy(*key).orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
     cut = F.col("a").isNotNull() & F.col("b").isNotNull()
     linked = met.select(
-        *key, "end", "a", "b", "n", F.sum(cut.cast("int")).over(back).alias("group"),
+        *key, "end", "a", "b", "stretch", "n", F.sum(cut.cast("int")).over(back).alias("group"),
         (F.last("a", True).over(back).cast("long") * (1 << B_BITS) + F.last("b", True).over(back)).alias("link"),
     )
     # Groups are numbered from the end; ids of a group are written A first, and within A and B in the order of their ends.
@@ -258,12 +294,12 @@ def aligned(tokens: DataFrame) -> DataFrame:
 
         return F.array_join(F.transform(order, one), "")
 
-    gathered_ = linked.groupBy(*key).agg(
-        F.max("n").alias("n"), F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.max("group").alias("n_groups"),
-        F.collect_list(F.struct("group", "end", "a", "b", "link")).alias("rows"),
-    )
+    row = F.when(F.col("end") >= 0, F.struct("group", "end", "a", "b", "link"))
+    whole = linked.groupBy(*key).agg(
+        F.max("stretch").alias("stretch"), F.max("n").alias("n"), F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.max("group").alias("n_groups"), F.collect_list(row).alias("rows")
+    )
     text = F.get(F.transform(F.array(items(F.col("rows"))), written), F.lit(0))
-    return gathered_.select("stretch", "n", "n_a", "n_b", "n_groups", text.alias("groups"), F.transform("rows", lambda r: r["link"]).alias("links"))
+    return whole.select("sid", "stretch", "n", "n_a", "n_b", "n_groups", text.alias("groups"), F.transform("rows", lambda r: r["link"]).alias("links"))
 
 
 def pair_counts(stretches: DataFrame) -> DataFrame:
@@ -276,7 +312,7 @@ def pair_counts(stretches: DataFrame) -> DataFrame:
 
 def scored(stretches: DataFrame, pairs: DataFrame) -> DataFrame:
     """Aligned stretches (with their number, sid) and, of their links, how many are the best of their b, and the sum of their counts."""
-    whole = F.struct("stretch", "n_a", "n_b", "n_groups", "groups")
+    whole = F.struct("stretch", "n_a", "n_b", "n_groups", "groups")  # of its links, n_a + n_b - n_groups, the number is known
     # A stretch's first link carries what else is known of it, so that it needs no join of its own.
     links = stretches.select("sid", whole.alias("whole"), F.posexplode("links").alias("at", "pair"))
     links = links.select("sid", F.when(F.col("at") == 0, F.col("whole")).alias("whole"), "pair")
@@ -287,19 +323,23 @@ def scored(stretches: DataFrame, pairs: DataFrame) -> DataFrame:
         salted = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = links.withColumn("salt", F.pmod("sid", F.lit(SALTS)).cast("int")).join(salted, ["pair", "salt"])
     sums = joined.groupBy("sid").agg(
-        F.max("whole").alias("whole"), F.count("*").alias("n_links"), F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum")
+        F.max("whole").alias("whole"), F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum")
     )
-    return sums.select("whole.*", "n_links", "n_best", "count_sum")
+    return sums.select("whole.*", "n_best", "count_sum")
 
 
 #: What is added up over a document's stretches.
-SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+SUMS = ("n_a", "n_b", "n_groups", "n_best", "count_sum")
+
+
+def used_stretches(coded: DataFrame, stretches: DataFrame) -> DataFrame:
+    """(of_chunk, code) and the scores of every chunk's stretches."""
+    return coded.select(F.col("chunk").alias("of_chunk"), F.posexplode("stretches").alias("code", "stretch")).join(stretches, "stretch").drop("stretch")
 
 
-def gathered(coded: DataFrame, stretches: DataFrame, as_text: bool) -> DataFrame:
+def gathered(coded: DataFrame, used: DataFrame, as_text: bool) -> DataFrame:
     """A row for each document of the chunks, from the scores of their stretches."""
     of_id = coded.schema["ids"].dataType.elementType
-    used = coded.select(F.col("chunk").alias("of_chunk"), F.posexplode("stretches").alias("code", "stretch")).join(stretches, "stretch").drop("stretch")
     schema = f"doc_id {of_id.simpleString()}, {', '.join(f'{c} long' for c in SUMS)}, groups string"
 
     def merge(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -320,7 +360,7 @@ def gathered(coded: DataFrame, stretches: DataFrame, as_text: bool) -> DataFrame
                     text = ";".join([texts[i] for i in block[a:b].tolist()])
                     groups.append(text if as_text or not text else hashlib.sha256(text.encode()).hexdigest())
                 at = upto
-            columns = [pa.array(np.concatenate([[], *sums[c]]).astype(np.int64), pa.int64()) for c in SUMS]
+            columns = [pa.array(np.concatenate([np.zeros(0, np.int64), *sums[c]]), pa.int64()) for c in SUMS]
             out.append((columns, pa.array(groups, pa.string())))
         ids = left.column("ids").combine_chunks()
         names = ["doc_id", *SUMS, "groups"]
@@ -328,7 +368,10 @@ def gathered(coded: DataFrame, stretches: DataFrame, as_text: bool) -> DataFrame
         return pa.concat_tables(tables) if tables else pa.table([pa.array([], ids.type.value_type), *[pa.array([], pa.int64())] * len(SUMS), pa.array([], pa.string())], names=names)
 
     rows = coded.select("chunk", "ids", "sizes", "codes", "n_codes")
-    return rows.groupBy("chunk").cogroup(used.groupBy("of_chunk")).applyInArrow(merge, schema)
+    told = rows.groupBy("chunk").cogroup(used.groupBy("of_chunk")).applyInArrow(merge, schema)
+    # Between two cuts, tokens of A and B that end overlap one by one: each but one of both closes a link of its own.
+    n_links = (F.col("n_a") + F.col("n_b") - F.col("n_groups")).alias("n_links")
+    return told.select("doc_id", "n_a", "n_b", "n_groups", n_links, "n_best", "count_sum", "groups")
 
 
 #: While tables are written, shuffle files go when a write ends, and what windows have sorted is aggregated in that order.
@@ -360,11 +403,15 @@ def align(
     with _writing(spark):
         coded, _ = write_shared(chunks(docs, files, chunk_bytes, doc_id, text), "chunks")
         distinct = coded.select(F.explode(F.arrays_zip("stretches", "counts")).alias("x")).groupBy(F.col("x.stretches").alias("stretch")).agg(F.sum("x.counts").alias("n"))
-        known, path = write_shared(aligned(tokenized(distinct, files)).withColumn("sid", F.monotonically_increasing_id()), "stretches")
+        stored, stored_path = write_shared(tokenized(distinct, files), "stretches")
+        known, known_path = write_shared(aligned(exploded(stored)), "aligned")
+        delete_shared(spark, stored_path)
         pairs, _ = write_shared(pair_counts(known), "pairs")
-        done, _ = write_shared(scored(known, pairs), "scored")
-        delete_shared(spark, path)
-    return gathered(coded, done, as_text), pairs
+        done, done_path = write_shared(scored(known, pairs), "scored")
+        delete_shared(spark, known_path)
+        used, _ = write_shared(used_stretches(coded, done), "used")
+        delete_shared(spark, done_path)
+    return gathered(coded, used, as_text), pairs
 
 
 def digest(docs: DataFrame) -> DataFrame:

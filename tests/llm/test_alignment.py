@@ -115,3 +115,14 @@ def test_stretches_are_encoded_as_in_the_text(text):
     a, b = pair.encode(parts)
     assert sum(a, []) == pair.a.encode(" " + text, add_special_tokens=False).ids
     assert sum(b, []) == pair.b.encode(text)
+
+
+def test_stretches_encoded_as_one_text(pair):
+    rnd = random.Random(7)
+    pool = [" the", "  x", " été", " señ\n", " \n", " a\t\t", " ", "  ", " b", " 日本", " c　", " ...", " <s>", " é"]
+    for n in (1, 2, 5, 50):
+        stretches = [rnd.choice(pool).encode() for _ in range(n)]
+        ids, counts = alignment.encode_stretches(pair, stretches)
+        want = pair.encode([x.decode() for x in stretches])
+        for flat, c, w in zip(ids, counts, want):
+            assert c.tolist() == [len(x) for x in w] and flat.tolist() == sum(w, [])

@@ -7,6 +7,8 @@ so no row grows with the collection; a key with at most CHUNK members has chunk
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,16 +19,16 @@ from lexiloom.functions.text import ALPHA, biwords, kgrams, soundex_code
 CHUNK = 1 << 16
 
 
-def _in_chunks(pairs: DataFrame, key: str, by: str, members: Column, names: tuple[str, str], most: int | None = None) -> DataFrame:
+def _in_chunks(pairs: DataFrame, key: str, by: str, members: Column, names: tuple[str, str], most: int | None = None, distinct: bool = False) -> DataFrame:
     """(key, chunk, number of members, members) of pairs; only keys of more than CHUNK members are dealt.
 
-    most: what no key has more members than, if that is known. Up to CHUNK, one exchange does.
+    most: what no key has more members than, if that is known. Up to CHUNK, one exchange does. distinct: whether the pairs are distinct already.
     """
     n, name = names
     if most is not None and most <= CHUNK:
         grouped = pairs.groupBy(key).agg(F.array_sort(F.collect_set(members)).alias(name))
         return grouped.select(key, F.lit(0).alias("chunk"), F.size(name).cast("long").alias(n), name)
-    pairs = pairs.distinct()
+    pairs = pairs if distinct else pairs.distinct()
     heavy = pairs.groupBy(key).agg(F.count("*").alias("all")).where(F.col("all") > CHUNK)
     chunk = F.coalesce(F.pmod(F.xxhash64(by), F.ceil(F.col("all") / CHUNK)), F.lit(0)).cast("int")
     dealt = pairs.join(heavy, key, "left").withColumn("chunk", chunk)
@@ -50,19 +52,20 @@ def inverted_index(frame: DataFrame, most: int | None = None) -> DataFrame:
     return _in_chunks(_term_pairs(frame), "term", "doc_id", F.col("doc_id"), ("df", "docs"), most)
 
 
-def _biword_pairs(arrays: DataFrame) -> DataFrame:
-    """(biword, doc_id), each once a row; from token arrays, so pairs need no window."""
-    return arrays.select("doc_id", F.explode(F.array_distinct(biwords(F.col("tokens")))).alias("biword")).select("biword", "doc_id")
+def biword_pairs(arrays: DataFrame, *by: str) -> DataFrame:
+    """(biword, doc_id), each once a row; from token arrays, so pairs need no window. by: other columns to keep than doc_id."""
+    by = by or ("doc_id",)
+    return arrays.select(*by, F.explode(F.array_distinct(biwords(F.col("tokens")))).alias("biword")).select("biword", *by)
 
 
 def biword_postings(arrays: DataFrame) -> DataFrame:
     """(biword, doc_id), distinct."""
-    return _biword_pairs(arrays).distinct()
+    return biword_pairs(arrays).distinct()
 
 
 def biword_index(arrays: DataFrame, most: int | None = None) -> DataFrame:
     """(biword, chunk, df, docs). most: the number of documents, if known."""
-    return _in_chunks(_biword_pairs(arrays), "biword", "doc_id", F.col("doc_id"), ("df", "docs"), most)
+    return _in_chunks(biword_pairs(arrays), "biword", "doc_id", F.col("doc_id"), ("df", "docs"), most)
 
 
 def positional_index(tokens: DataFrame) -> DataFrame:
@@ -71,8 +74,8 @@ def positional_index(tokens: DataFrame) -> DataFrame:
 
 
 def positional_map(tokens: DataFrame) -> DataFrame:
-    """(term, chunk, df, map of document to positions)."""
-    pairs = _in_chunks(positional_index(tokens), "term", "doc_id", F.struct("doc_id", "positions"), ("df", "docs"))
+    """(term, chunk, df, map of document to positions). A map has no null key: documents without an id are left out."""
+    pairs = _in_chunks(positional_index(tokens.where("doc_id is not null")), "term", "doc_id", F.struct("doc_id", "positions"), ("df", "docs"))
     return pairs.withColumn("docs", F.map_from_entries("docs"))
 
 
@@ -88,7 +91,7 @@ def kgram_pairs(terms: DataFrame, k: int = 2) -> DataFrame:
 
 def kgram_index(terms: DataFrame, k: int = 2) -> DataFrame:
     """(gram, chunk, n, terms), terms ascending in a chunk."""
-    return _in_chunks(kgram_pairs(terms, k), "gram", "term", F.col("term"), ("n", "terms"))
+    return _in_chunks(kgram_pairs(terms, k), "gram", "term", F.col("term"), ("n", "terms"), distinct=True)
 
 
 def soundex_pairs(terms: DataFrame) -> DataFrame:
@@ -99,10 +102,27 @@ def soundex_pairs(terms: DataFrame) -> DataFrame:
 
 def soundex_index(terms: DataFrame) -> DataFrame:
     """(code, chunk, n, terms), terms ascending in a chunk."""
-    return _in_chunks(soundex_pairs(terms), "code", "term", F.col("term"), ("n", "terms"))
+    return _in_chunks(soundex_pairs(terms), "code", "term", F.col("term"), ("n", "terms"), distinct=True)
 
 
 def index_sample(index: DataFrame, key: str, n: int) -> DataFrame:
     """The first n entries by key, as JSON text."""
     order = [key, *(c for c in ("chunk",) if c in index.columns)]
     return index.orderBy(*order).limit(n).select(F.col(key).alias("key"), F.to_json(F.struct(*index.columns)).alias("entry"))
+
+
+def _first_keys(pairs: DataFrame, key: str, n: int) -> DataFrame:
+    """The rows of the first n keys, which are known before any key's members are gathered."""
+    keys = [r[0] for r in pairs.select(key).where(F.col(key).isNotNull()).distinct().orderBy(key).limit(n).collect()]
+    return pairs.where(F.col(key).isin(*keys) if keys else F.lit(False))
+
+
+def samples(biword_pairs: DataFrame, tokens: DataFrame, grams: DataFrame) -> DataFrame:
+    """(kind, key, entry): the first entries by key of the biword (8), positional (5) and k-gram (10) index, as JSON, of (biword, doc_id), a token table and (gram, term)."""
+    kinds = (
+        ("biword", _in_chunks(_first_keys(biword_pairs, "biword", 8), "biword", "doc_id", F.col("doc_id"), ("df", "docs")), "biword", 8),
+        ("positional", positional_map(_first_keys(tokens.where("doc_id is not null"), "term", 5)), "term", 5),
+        ("kgram", _in_chunks(_first_keys(grams, "gram", 10), "gram", "term", F.col("term"), ("n", "terms"), distinct=True), "gram", 10),
+    )
+    parts = [index_sample(frame, key, n).select(F.lit(kind).alias("kind"), "key", "entry") for kind, frame, key, n in kinds]
+    return functools.reduce(DataFrame.union, parts)

@@ -77,20 +77,33 @@ def default_phrase(docs: DataFrame, cfg: AnalyzerConfig = AnalyzerConfig(), **le
     return " ".join(first[0].t) if first else ""
 
 
-def biword_lookup(pairs: DataFrame, terms: list[str]) -> DataFrame:
-    """phrase_biword over stored biwords (biword, doc_id), for two terms or more; for one over stored postings, renamed."""
+def default_phrase_of(arrays: DataFrame) -> str:
+    """default_phrase of stored token arrays."""
+    first = arrays.where(F.size("tokens") >= 2).orderBy("doc_id").select(F.slice("tokens", 1, 2).alias("t")).limit(1).collect()
+    return " ".join(first[0].t) if first else ""
+
+
+def biword_lookup(pairs: DataFrame, terms: list[str], *by: str) -> DataFrame:
+    """phrase_biword over stored biwords (biword, doc_id), for two terms or more; for one over stored postings, renamed.
+
+    by: what tells documents apart, if not their id alone; it is returned.
+    """
+    by = by or ("doc_id",)
     wanted = _pairs(terms) if len(terms) != 1 else terms
     found = pairs.where(F.col("biword").isin(*wanted) if wanted else F.lit(False))
-    return found.groupBy("doc_id").agg(F.count_distinct("biword").alias("n")).where(F.col("n") == len(wanted)).select("doc_id")
+    return found.groupBy(*by).agg(F.count_distinct("biword").alias("n")).where(F.col("n") == len(wanted)).select(*by)
 
 
-def positional_lookup(tokens: DataFrame, terms: list[str]) -> DataFrame:
-    """phrase_positional over a stored token table (doc_id, pos, term): one shuffle for any number of terms."""
-    n = len(terms)
+def positional_lookup(tokens: DataFrame, terms: list[str], *by: str) -> DataFrame:
+    """phrase_positional over a stored token table (doc_id, pos, term): one shuffle for any number of terms.
+
+    by: what tells documents apart, if not their id alone; it is returned.
+    """
+    by, n = by or ("doc_id",), len(terms)
     # A phrase without a term stands nowhere; its one place keeps the plan's types.
     places = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(t).alias("t")) for k, t in enumerate(terms or [""])])
     hits = tokens.where(F.col("term").isin(*terms) if terms else F.lit(False)).select(
-        "doc_id", F.explode(F.filter(places, lambda p: p["t"] == F.col("term"))).alias("p"), "pos"
+        *by, F.explode(F.filter(places, lambda p: p["t"] == F.col("term"))).alias("p"), "pos"
     )
-    starts = hits.groupBy("doc_id", (F.col("pos") - F.col("p.k")).alias("start")).agg(F.count_distinct("p.k").alias("n")).where(F.col("n") == n)
-    return starts.groupBy("doc_id").agg(F.min("start").alias("start")).select("doc_id", F.expr(f"sequence(start, start + {max(n, 1) - 1})").alias("positions"))
+    starts = hits.groupBy(*by, (F.col("pos") - F.col("p.k")).alias("start")).agg(F.count_distinct("p.k").alias("n")).where(F.col("n") == n)
+    return starts.groupBy(*by).agg(F.min("start").alias("start")).select(*by, F.expr(f"sequence(start, start + {max(n, 1) - 1})").alias("positions"))

@@ -11,10 +11,15 @@ from lexiloom.operators.index import kgram_pairs, soundex_pairs
 
 def wildcard_candidates(terms: DataFrame, pattern: str) -> DataFrame:
     """Terms with all bigrams of the lower-cased pattern; all terms if it has none."""
+    return gram_candidates(kgram_pairs(terms), terms, pattern)
+
+
+def gram_candidates(pairs: DataFrame, terms: DataFrame, pattern: str) -> DataFrame:
+    """wildcard_candidates over stored pairs (gram, term)."""
     grams = wildcard_grams(pattern)
     if not grams:
         return terms.select("term").distinct()
-    hits = kgram_pairs(terms).where(F.col("gram").isin(*grams))
+    hits = pairs.where(F.col("gram").isin(*grams))
     return hits.groupBy("term").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(grams)).select("term")
 
 
@@ -26,8 +31,12 @@ def wildcard(terms: DataFrame, pattern: str) -> DataFrame:
     """
     if "*" not in pattern:
         return terms.where(F.lit(False)).select("term")
-    found = terms.select("term").distinct() if pattern == pattern.lower() else wildcard_candidates(terms, pattern)
-    return found.where(F.col("term").like(wildcard_like(pattern))).orderBy("term")
+    return matching(terms.select("term").distinct() if pattern == pattern.lower() else wildcard_candidates(terms, pattern), pattern)
+
+
+def matching(candidates: DataFrame, pattern: str) -> DataFrame:
+    """Candidates that match the pattern, sorted."""
+    return candidates.where(F.col("term").like(wildcard_like(pattern))).orderBy("term")
 
 
 def spell_suggest(terms: DataFrame, word: str, max_dist: int = 2) -> DataFrame:
@@ -66,7 +75,12 @@ def spell_join(terms: DataFrame, queries: DataFrame, max_dist: int = 2) -> DataF
 
 def decomposed(terms: DataFrame, pattern: str) -> DataFrame:
     """One row: the pattern, its bigrams, and the number of terms that have them all."""
-    count = wildcard_candidates(terms, pattern).agg(F.count("*").alias("n_candidates"))
+    return decomposition(wildcard_candidates(terms, pattern), pattern)
+
+
+def decomposition(candidates: DataFrame, pattern: str) -> DataFrame:
+    """decomposed of candidates that are known."""
+    count = candidates.agg(F.count("*").alias("n_candidates"))
     return count.select(F.lit(pattern).alias("pattern"), F.array(*[F.lit(g) for g in wildcard_grams(pattern)]).cast("array<string>").alias("grams"), "n_candidates")
 
 

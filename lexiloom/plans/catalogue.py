@@ -23,6 +23,7 @@ PHRASE = "The and attion to thanedble the, anea"
 FALSE_PHRASE = "de de la"
 TERMS = ["attion", "thanedble", "anea"]
 WORDS = "attion, thanedble anea, missingword, The, eriner"
+INNER_PATTERN = "*anea*d*"
 PATTERN, WORD, NAME = "th*ble", "therhaen", "thanedble"
 SPELLED = [WORD, "attoin", "thanedbel", "schön", "señro", "été"]
 QUERIES_OF_TRUTH = ["attion anea", "therhean esndha", "stanford university"]
@@ -183,6 +184,23 @@ def stored_spell(spark, sf_dir):
     return _stored(spark, sf_dir).spell(WORD, 2)
 
 
+def stored_wildcard_inner(spark, sf_dir):
+    """A pattern whose longest part stands between two stars."""
+    return _stored(spark, sf_dir).wildcard(INNER_PATTERN)
+
+
+def stored_wildcard_grams(spark, sf_dir):
+    return _listed(_stored(spark, sf_dir).wildcard_grams(PATTERN), "grams")
+
+
+def stored_samples(spark, sf_dir):
+    return _stored(spark, sf_dir).samples()
+
+
+def stored_defaults(spark, sf_dir):
+    return spark.createDataFrame(list(_stored(spark, sf_dir).defaults().items()), "kind string, value string")
+
+
 def stored_phonetic(spark, sf_dir):
     return _stored(spark, sf_dir).phonetic(NAME)
 
@@ -428,7 +446,8 @@ QUERIES = {
     "abbreviations": abbreviations, "tokens_abbreviated": tokens_abbreviated, "summary_json": summary_json, "justification": justification, "valid_terms": valid_terms,
     "stored_vocabulary": stored_vocabulary, "stored_phrase_positional": partial(stored_phrase, method="positional"), "stored_phrase_biword": partial(stored_phrase, method="biword"),
     "stored_phrase_false_positives": partial(stored_phrase, method="false_positives", text=FALSE_PHRASE), "stored_lookup": stored_lookup,
-    "stored_wildcard": stored_wildcard, "stored_spell": stored_spell, "stored_phonetic": stored_phonetic, "lookup_latency": lookup_latency,
+    "stored_wildcard": stored_wildcard, "stored_spell": stored_spell, "stored_phonetic": stored_phonetic, "stored_wildcard_inner": stored_wildcard_inner,
+    "stored_wildcard_grams": stored_wildcard_grams, "stored_samples": stored_samples, "stored_defaults": stored_defaults, "lookup_latency": lookup_latency,
 }
 
 ORACLE_SQL = {
@@ -498,4 +517,6 @@ ORACLE_SQL |= {
     "stored_vocabulary": ORACLE_SQL["vocabulary"], "stored_phrase_positional": ORACLE_SQL["phrase_positional"], "stored_phrase_biword": ORACLE_SQL["phrase_biword"],
     "stored_phrase_false_positives": ORACLE_SQL["phrase_false_positives"], "stored_lookup": ORACLE_SQL["dictionary_lookup"], "stored_wildcard": ORACLE_SQL["wildcard"],
     "stored_spell": ORACLE_SQL["spell_suggest"], "stored_phonetic": ORACLE_SQL["phonetic"],
+    "stored_wildcard_inner": f"{_LONG} select distinct term from tokens where term like '{text.wildcard_like(INNER_PATTERN)}'", "stored_wildcard_grams": ORACLE_SQL["wildcard_grams"],
+    "stored_samples": ORACLE_SQL["index_samples"], "stored_defaults": ORACLE_SQL["defaults"],
 }

@@ -1,7 +1,8 @@
 """A collection whose indexes are stored, so that a query reads the few rows it asks for.
 
 Every table is sorted by its key within files of key ranges. A query's terms are known when its plan is built, and
-become filters that skip files and row groups.
+become filters that skip files and row groups. Rows of the collection are numbered when they are stored, so that documents
+with one id, or none, stay apart.
 """
 
 from __future__ import annotations
@@ -10,28 +11,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.functions.config import AnalyzerConfig
-from lexiloom.operators import analyze, dictionary, index, phrase, tolerant
+from lexiloom.operators import analyze, dictionary, index, permuterm, phrase, spelling, tolerant
 from lexiloom.plans.workbench import Collection
 from lexiloom.sources.collection import store_index
 
 #: Tables and their keys.
-TABLES = {"tokens": ("term", "doc_id", "pos"), "biwords": ("biword", "doc_id"), "terms": ("term",), "grams": ("gram", "term"), "codes": ("code", "term")}
+TABLES = {
+    "arrays": ("row",), "tokens": ("term", "row", "pos"), "biwords": ("biword", "row"), "terms": ("term",), "grams": ("gram", "term"),
+    "codes": ("code", "term"), "permuterm": ("rotation", "term"), "blocks": ("first",),
+}
 
 
 def build(collection: Collection, path: str) -> StoredCollection:
-    """Writes all tables under a path; what hangs on terms alone is made from the stored terms."""
+    """Writes all tables under a path. Texts are analyzed once; what hangs on terms alone is made from the stored terms."""
     spark, cfg = collection.docs.sparkSession, collection.cfg
 
-    def store(name: str, table: DataFrame) -> DataFrame:
-        store_index(table, f"{path}/{name}", *TABLES[name])
+    def store(name: str, table: DataFrame, ordered: bool = True) -> DataFrame:
+        if ordered:
+            store_index(table, f"{path}/{name}", *TABLES[name])
+        else:
+            table.write.mode("overwrite").parquet(f"{path}/{name}")
         return spark.read.parquet(f"{path}/{name}")
 
-    tokens = store("tokens", collection.tokens)
-    # Analysing again costs less than joining every token with the next.
-    store("biwords", index.biword_postings(collection.arrays))
+    # Numbers rise in the order in which rows are written.
+    arrays = store("arrays", collection.arrays.select(F.monotonically_increasing_id().alias("row"), "doc_id", "tokens"), ordered=False)
+    tokens = store("tokens", arrays.select("row", "doc_id", F.posexplode("tokens").alias("pos", "term")))
+    store("biwords", index.biword_pairs(arrays, "row", "doc_id"))
     terms = store("terms", index.vocabulary(tokens))
     store("grams", index.kgram_pairs(terms))
     store("codes", index.soundex_pairs(terms))
+    store("permuterm", permuterm.permuterm_pairs(terms))
+    store("blocks", spelling.term_blocks(terms))
     return StoredCollection(spark, path, cfg, **collection.lexical)
 
 
@@ -47,17 +57,25 @@ class StoredCollection:
     def _phrase(self, text: str) -> list[str]:
         return analyze.query_tokens(self.tokens, text, self.cfg, **self.lexical)
 
-    def phrase(self, text: str, method: str = "positional") -> DataFrame:
-        """method: positional, biword, or false_positives."""
-        terms = self._phrase(text)
-        positional = phrase.positional_lookup(self.tokens, terms)
+    def phrase(self, text: str | None = None, method: str = "positional") -> DataFrame:
+        """method: positional, biword, or false_positives. Without a text, the first document's first two tokens are asked for."""
+        terms = self._phrase(phrase.default_phrase_of(self.arrays) if text is None else text)
+        positional = phrase.positional_lookup(self.tokens, terms, "row", "doc_id")
         if method == "positional":
-            return positional
-        pairs = self.tokens.select(F.col("term").alias("biword"), "doc_id") if len(terms) == 1 else self.biwords
-        found = phrase.biword_lookup(pairs, terms)
-        if method == "biword":
-            return found
-        return found.join(positional, "doc_id", "left_anti") if len(terms) >= 3 else found.where(F.lit(False))
+            return positional.drop("row")
+        pairs = self.tokens.select(F.col("term").alias("biword"), "row", "doc_id") if len(terms) == 1 else self.biwords
+        found = phrase.biword_lookup(pairs, terms, "row", "doc_id")
+        if method == "false_positives":
+            found = found.join(positional, "row", "left_anti") if len(terms) >= 3 else found.where(F.lit(False))
+        return found.drop("row")
+
+    def samples(self) -> DataFrame:
+        """As of the collection, from the stored tables."""
+        return index.samples(self.biwords.select("biword", "doc_id"), self.tokens, self.grams)
+
+    def defaults(self) -> dict[str, str]:
+        """What a user is offered for each kind of query."""
+        return {"phrase": phrase.default_phrase_of(self.arrays), "lookup": dictionary.default_entries(self.terms), **tolerant.default_queries(self.terms)}
 
     def lookup(self, entries: str | None = None) -> DataFrame:
         return dictionary.dictionary_lookup(self.tokens, dictionary.default_entries(self.terms) if entries is None else entries, self.cfg, **self.lexical)
@@ -66,10 +84,20 @@ class StoredCollection:
         return dictionary.lookup_latency(self.tokens, dictionary.default_entries(self.terms) if entries is None else entries, self.cfg, iterations, **self.lexical)
 
     def wildcard(self, pattern: str) -> DataFrame:
-        return tolerant.wildcard(self.terms, pattern)
+        """One range of rotations; a pattern that is not its own lower case has its candidates among the bigrams, as on an unstored collection."""
+        if pattern == pattern.lower() or "*" not in pattern:
+            return permuterm.permuterm_lookup(self.permuterm, pattern)
+        return tolerant.matching(tolerant.gram_candidates(self.grams, self.terms, pattern), pattern)
+
+    def wildcard_grams(self, pattern: str) -> DataFrame:
+        return tolerant.decomposition(tolerant.gram_candidates(self.grams, self.terms, pattern), pattern)
 
     def spell(self, word: str, max_dist: int = 2) -> DataFrame:
-        return tolerant.spell_suggest(self.terms, word, max_dist)
+        return spelling.spell_lookup(self.blocks, word, max_dist)
+
+    def spell_blocks(self, word: str, max_dist: int = 2) -> DataFrame:
+        """How many blocks and terms a spelling query reads, of all."""
+        return spelling.spell_blocks(self.blocks, word, max_dist)
 
     def phonetic(self, word: str) -> DataFrame:
         """The word's code is a constant of the plan, so the filter reaches the scan."""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from dataclasses import replace
 from functools import cached_property
 
@@ -103,9 +102,7 @@ class Collection:
 
     def samples(self) -> DataFrame:
         """The first entries of the biword (8), positional (5) and k-gram (10) index, as JSON."""
-        kinds = (("biword", self.index("biword"), "biword", 8), ("positional", index.positional_map(self.tokens), "term", 5), ("kgram", index.kgram_index(self.terms), "gram", 10))
-        parts = [index.index_sample(frame, key, n).select(F.lit(kind).alias("kind"), "key", "entry") for kind, frame, key, n in kinds]
-        return functools.reduce(DataFrame.union, parts)
+        return index.samples(index.biword_pairs(self.arrays), self.tokens, index.kgram_pairs(self.terms))
 
     def summary_json(self, queries: list[str] | None = None) -> DataFrame:
         return evaluate.summary_json(self.summary(queries))

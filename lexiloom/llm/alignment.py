@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -330,11 +331,14 @@ def scored(stretches: DataFrame, pairs: DataFrame) -> DataFrame:
 
 #: What is added up over a document's stretches.
 SUMS = ("n_a", "n_b", "n_groups", "n_best", "count_sum")
+#: Of these, what is not told by the groups' text.
+SENT = ("n_a", "n_best", "count_sum")
 
 
 def used_stretches(coded: DataFrame, stretches: DataFrame) -> DataFrame:
     """(of_chunk, code) and the scores of every chunk's stretches."""
-    return coded.select(F.col("chunk").alias("of_chunk"), F.posexplode("stretches").alias("code", "stretch")).join(stretches, "stretch").drop("stretch")
+    held = coded.select(F.col("chunk").alias("of_chunk"), F.posexplode("stretches").alias("code", "stretch"))
+    return held.join(stretches, "stretch").select("of_chunk", "code", *SENT, "groups")
 
 
 def gathered(coded: DataFrame, used: DataFrame, as_text: bool) -> DataFrame:
@@ -344,8 +348,12 @@ def gathered(coded: DataFrame, used: DataFrame, as_text: bool) -> DataFrame:
 
     def merge(left: pa.Table, right: pa.Table) -> pa.Table:
         order = pa.array(np.argsort(right.column("code").to_numpy()))
-        values = {c: right.column(c).take(order).to_numpy() for c in SUMS}
-        texts, out = right.column("groups").take(order).to_pylist(), []
+        values = {c: right.column(c).take(order).to_numpy() for c in SENT}
+        written = right.column("groups").take(order)
+        groups_, commas = (pc.count_substring(written, x).to_numpy().astype(np.int64) for x in "|,")
+        # A group has a list of each, and a list has a comma less than ids.
+        values |= {"n_groups": groups_, "n_b": commas + 2 * groups_ - values["n_a"]}
+        texts, out = written.to_pylist(), []
         for row in left.select(["sizes", "codes", "n_codes"]).to_pylist():
             codes = np.frombuffer(pa.decompress(row["codes"], 4 * row["n_codes"], codec="zstd", asbytes=True), np.int32) if row["n_codes"] else np.zeros(0, np.int32)
             ends = np.concatenate([[0], np.cumsum(np.frombuffer(row["sizes"], np.int32).astype(np.int64))])
@@ -367,8 +375,7 @@ def gathered(coded: DataFrame, used: DataFrame, as_text: bool) -> DataFrame:
         tables = [pa.table([ids[i].values, *columns, groups], names=names) for i, (columns, groups) in enumerate(out)]
         return pa.concat_tables(tables) if tables else pa.table([pa.array([], ids.type.value_type), *[pa.array([], pa.int64())] * len(SUMS), pa.array([], pa.string())], names=names)
 
-    rows = coded.select("chunk", "ids", "sizes", "codes", "n_codes")
-    told = rows.groupBy("chunk").cogroup(used.groupBy("of_chunk")).applyInArrow(merge, schema)
+    told = coded.groupBy("chunk").cogroup(used.groupBy("of_chunk")).applyInArrow(merge, schema)
     # Between two cuts, tokens of A and B that end overlap one by one: each but one of both closes a link of its own.
     n_links = (F.col("n_a") + F.col("n_b") - F.col("n_groups")).alias("n_links")
     return told.select("doc_id", "n_a", "n_b", "n_groups", n_links, "n_best", "count_sum", "groups")
@@ -401,17 +408,18 @@ def align(
     spark = docs.sparkSession
     files = spark.sparkContext.broadcast(read_files(a_path, b_path))
     with _writing(spark):
-        coded, _ = write_shared(chunks(docs, files, chunk_bytes, doc_id, text), "chunks")
+        coded, coded_path = write_shared(chunks(docs, files, chunk_bytes, doc_id, text), "chunks", "zstd")
         distinct = coded.select(F.explode(F.arrays_zip("stretches", "counts")).alias("x")).groupBy(F.col("x.stretches").alias("stretch")).agg(F.sum("x.counts").alias("n"))
-        stored, stored_path = write_shared(tokenized(distinct, files), "stretches")
+        stored, stored_path = write_shared(tokenized(distinct, files), "stretches", "zstd")
         known, known_path = write_shared(aligned(exploded(stored)), "aligned")
         delete_shared(spark, stored_path)
         pairs, _ = write_shared(pair_counts(known), "pairs")
         done, done_path = write_shared(scored(known, pairs), "scored")
         delete_shared(spark, known_path)
-        used, _ = write_shared(used_stretches(coded, done), "used")
-        delete_shared(spark, done_path)
-    return gathered(coded, used, as_text), pairs
+        used, _ = write_shared(used_stretches(coded, done), "used", "zstd")
+        codes, _ = write_shared(coded.select("chunk", "ids", "sizes", "codes", "n_codes"), "codes")
+        delete_shared(spark, done_path, coded_path)
+    return gathered(codes, used, as_text), pairs
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -52,12 +52,12 @@ def _files(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
-def write_shared(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def write_shared(df: DataFrame, name: str, compression: str = "snappy") -> tuple[DataFrame, str]:
     """Writes a table to the shared folder, cutting lineage; returns its reader and its path. What is not deleted before goes with the driver."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lexiloom-{name}-{uuid.uuid4().hex}"
     files, where = _files(spark, path)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     files.deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -97,3 +97,10 @@ def slices(raws: list[bytes], limit: int = 4 << 20):
             start, size = i + 1, 0
     if start < len(raws):
         yield start, len(raws)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A result column's name, unless a column of the frame has it already, which is an error rather than a column lost."""
+    if name.lower() in {c.lower() for c in df.columns}:
+        raise ValueError(f"there is a column {name} already; give another name for the result")
+    return name

@@ -4,10 +4,11 @@ For each language a suffix automaton is built of a bounded sample of its labelle
 parsed into phrases, each the longest match of what remains in the language's sample; the language
 whose phrases cost least (phrase count times the log of the sample's size, per symbol) wins. Since a
 parse only walks forward and restarts at a mismatch, the automata become one dense table (at most about 140 MB
-in a process, whatever the input), and all
+in a process, whatever the input: of more than MOST_LANGUAGES labels those of the most documents are learned), and all
 texts of a batch advance together, one symbol a step, in numpy. For that, texts are cut into pieces of
 PIECE symbols, each parsed from the start first; then every piece is parsed again from where its
-predecessor really ended, until both parses are in one state. So the result is that of the whole text.
+predecessor really ended, until both parses are in one state, in ROUNDS rounds for all pieces at once. Where a text repeats so regularly that parses never meet,
+its pieces are parsed once more in order. So the result is that of the whole text, in time proportional to its length.
 
 Symbols are the samples' most frequent lower-case letters and one for a run of anything that is no
 letter. All other letters are written as hexadecimal digits, with 16 symbols of their own, so
@@ -41,7 +42,9 @@ TOTAL_CHARS = 400_000
 LEAST_CHARS = 64
 #: Letters with a symbol of their own; of others, digits with 4 bits each, 4 digits up to U+FFFF and 6 beyond.
 ALPHABET, DIGITS = 46, 16
-PIECE = 256
+PIECE, ROUNDS = 256, 3
+#: Labels that are learned: those of the most labelled documents, as each needs a piece of sample.
+MOST_LANGUAGES = TOTAL_CHARS // (LEAST_CHARS + 1)
 #: Symbols parsed together.
 BATCH = 4 << 20
 UNKNOWN = "und"
@@ -138,7 +141,7 @@ class CrossParser:
     def _join(self, grid: np.ndarray, sizes: np.ndarray, first: np.ndarray, start: int, ends: np.ndarray, counts: np.ndarray) -> None:
         """Corrects the counts and end states of pieces that were parsed from the start to those of a parse from their predecessors' ends."""
         entry = np.full(len(ends), start, np.int32)
-        while True:
+        for _ in range(ROUNDS):
             true = np.concatenate([[start], ends[:-1]]).astype(np.int32)
             true[first] = start
             piece = np.flatnonzero(true != entry)
@@ -160,6 +163,26 @@ class CrossParser:
                 apart = old != new
                 piece, old, new = piece[apart], old[apart], new[apart]
             ends[piece] = new
+        self._walk(grid, sizes, first, start, entry, ends, counts)
+
+    def _walk(self, grid: np.ndarray, sizes: np.ndarray, first: np.ndarray, start: int, entry: np.ndarray, ends: np.ndarray, counts: np.ndarray) -> None:
+        """What the rounds have not settled: piece by piece in order, each parsed once, from where its predecessor ends."""
+        true = np.concatenate([[start], ends[:-1]]).astype(np.int32)
+        true[first] = start
+        table, last = memoryview(self.table), len(ends) - 1
+        for at in np.flatnonzero(true != entry).tolist():
+            while entry[at] != (state := start if first[at] else int(ends[at - 1])):
+                entry[at], n = state, 0
+                for symbol in grid[at, : sizes[at]].tolist():
+                    step = table[state + symbol]
+                    n += step & 1
+                    state = step >> 1
+                counts[at] = n
+                if ends[at] == state or at == last:
+                    ends[at] = state
+                    break
+                ends[at] = state
+                at += 1
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
@@ -270,6 +293,9 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     """Learns from a bounded sample of labelled rows outside the held-out fold of crc32(id)."""
     rows = docs.select(F.col(doc_id).cast("long").alias("k"), F.col(lang).cast("string").alias("l"), docs[text].alias("t"))
     rows = rows.where(F.col("l").isNotNull() & F.col("t").isNotNull() & (crc_mod(F.col("k"), folds) != held_out)).withColumn("h", F.xxhash64("k"))
+    if rows.select("l").distinct().count() > MOST_LANGUAGES:
+        most = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MOST_LANGUAGES).select("l")
+        rows = rows.join(F.broadcast(most), "l", "left_semi")
     chosen = rows.groupBy("l", F.pmod("h", F.lit(SLOTS)).alias("slot")).agg(F.min("h").alias("h")).select("l", "h")
     # At most SLOTS rows for each language, so the broadcast is bounded by the number of languages.
     found = rows.join(F.broadcast(chosen), ["l", "h"]).select("l", "h", utf8(F.col("t")).alias("t")).dropDuplicates(["l", "h"])

@@ -715,3 +715,35 @@ def test_deduplicate_repeated_and_null_ids(spark):
     texts = ["one two three four five six"] * 4 + [None, None, "seven eight", "seven eight"]
     kept = near_dedup.deduplicate(frame(spark, texts, [3, 3, 5, None, 3, 9, None, None])).collect()
     assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([(3, texts[0]), (3, None), (9, None), (None, "seven eight")], key=repr)
+
+
+@pytest.mark.parametrize("unit", ["a", "ab", "abc d", "x" * 299 + "y"])
+def test_parses_of_regular_texts_are_whole_and_linear(unit):
+    """Texts that repeat so regularly that parses of their pieces never meet: equal to one walk, in time proportional to length."""
+    import time
+
+    parser = language_id.build({"x": ["the quick brown fox jumps aa over ab ab " * 20], "y": ["der schnelle braune fuchs aaaaa springt abc d" * 20, "x" * 200]})
+    long = unit * (1_000_000 // len(unit))
+    read = parser.read(long)
+    want = []
+    for start in parser.starts.tolist():
+        state, n, table = start, 1, memoryview(parser.table)
+        for symbol in read.tolist():
+            step = table[state + symbol]
+            n, state = n + (step & 1), step >> 1
+        want.append(n)
+    assert parser.phrases([read, parser.read("fox")])[0].tolist() == want
+    times = []
+    for k in (1, 4):
+        text = parser.read(long * k)
+        begin = time.perf_counter()
+        parser.phrases([text])
+        times.append(time.perf_counter() - begin)
+    assert times[1] < 12 * times[0] + 1
+
+
+def test_few_of_many_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 3)
+    rows = [(i, f"wort{i} satz", f"l{i % 9}") for i in range(90)] + [(1000 + i, "mehr text hier", f"l{7 + i % 2}") for i in range(40)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.samples) == 3 and {"l7", "l8"} <= {name for name, _ in model.samples}

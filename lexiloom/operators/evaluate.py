@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
 from dataclasses import replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +15,7 @@ from lexiloom.functions.lemma import lemma_forms, lemma_map, lemma_terms, seed_e
 from lexiloom.functions.porter import stem_terms
 from lexiloom.functions.text import ALPHA, hyphen_spaced, plain_tokens, without_stop_words, word_tokens
 from lexiloom.operators.analyze import leading, normalised
+from lexiloom.operators.index import in_chunks
 
 # Queries that stand in where too few documents yield one.
 FALLBACK_QUERIES = ("fox jumps", "Stanford university", "lung cancer")
@@ -47,6 +51,59 @@ def ground_truth(docs: DataFrame, queries: list[str]) -> DataFrame:
     return docs.select("doc_id", F.explode(F.filter(flags, lambda f: f["hit"])).alias("f")).select("f.query", "doc_id")
 
 
+#: Queries whose words one automaton holds; more are asked block by block, in a scan each.
+QUERY_BLOCK = 100_000
+
+
+def ground_truth_of(docs: DataFrame, queries: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, doc_id) of all relevant documents for a table (query_id, query) of any size: one pass over a text finds the words of all queries of a block.
+
+    A query without words is relevant to every document, as for ground_truth. Queries of equal text are asked once each; documents are rows, whatever their ids.
+    """
+    asked = queries.select("query_id", F.array_distinct(word_tokens(F.lower("query"))).alias("words"))
+    numbered = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // block)))))
+    kind, low = docs.schema["doc_id"].dataType.simpleString(), F.lower(hyphen_spaced(F.col("text"))).alias("text")
+    of_query = queries.schema["query_id"].dataType.simpleString()
+    rows, parts = docs.select("doc_id", low), []
+    for n in sorted(r[0] for r in numbered.select("block").distinct().collect()):
+        held = [(r.query_id, tuple(r.words)) for r in numbered.where(F.col("block") == n).select("query_id", "words").collect()]
+        parts.append(rows.mapInArrow(_matcher(held), f"query_id {of_query}, doc_id {kind}"))
+    return functools.reduce(DataFrame.union, parts) if parts else docs.sparkSession.createDataFrame([], f"query_id {of_query}, doc_id {kind}")
+
+
+def _matcher(queries: list[tuple]):
+    """A function of batches (doc_id, text) to rows (query_id, doc_id) for these queries and their words."""
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        of_word: dict[str, list[int]] = {}
+        always = [i for i, (_, words) in enumerate(queries) if not words]
+        for i, (_, words) in enumerate(queries):
+            for w in words:
+                of_word.setdefault(w, []).append(i)
+        words = ahocorasick.Automaton()
+        for w, wanted in of_word.items():
+            words.add_word(w, (w, wanted))
+        if of_word:
+            words.make_automaton()
+        for batch in batches:
+            doc, query = [], []
+            for at, text in enumerate(batch.column("text").to_pylist()):
+                held: dict[str, list[int]] = {w: wanted for _, (w, wanted) in words.iter(text)} if text and of_word else {}
+                left: dict[int, int] = {}
+                for wanted in held.values():
+                    for i in wanted:
+                        left[i] = left.get(i, len(queries[i][1])) - 1
+                found = always + [i for i, n in left.items() if not n]
+                query += found
+                doc += [at] * len(found)
+            ids = pa.array([q for q, _ in queries])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(query, pa.int64())), batch.column("doc_id").take(pa.array(doc, pa.int64()))], names=["query_id", "doc_id"])
+
+    return match
+
+
 def _raw(cfg: AnalyzerConfig, norm: str = "none") -> AnalyzerConfig:
     """The evaluation's analyzer: always in lower case, with one norm."""
     return replace(cfg, lowercase=True, norm=norm)
@@ -63,13 +120,9 @@ def normal_forms(docs: DataFrame, cfg: AnalyzerConfig = AnalyzerConfig(), lexico
     return lemmas.select("term", stem_terms(F.col("term")).alias("stem"), "lemma")
 
 
-def compare_normalizers(
-    docs: DataFrame, cfg: AnalyzerConfig = AnalyzerConfig(), queries: list[str] | None = None, lexicon: DataFrame | None = None, exceptions: DataFrame | None = None
-) -> DataFrame:
-    """Per query: for each method, retrieved documents, precision, recall and F1. One pass over the documents."""
+def _judged(docs: DataFrame, cfg: AnalyzerConfig, queries: list[str], lexical: dict) -> DataFrame:
+    """(i, doc_id, truth, stem, lemma): for each query, the documents that are relevant or that a method retrieves; a row for each row of docs."""
     spark = docs.sparkSession
-    lexical = {"lexicon": lexicon, "exceptions": exceptions}
-    queries = test_queries(docs) if queries is None else queries
     words = query_words(docs, queries)
     asked = spark.createDataFrame(list(enumerate(words)), "i int, w array<string>")
     forms = {m: {r.i: list(dict.fromkeys(r.w)) for r in normalised(asked, "w", _raw(cfg, m), **lexical).collect()} for m in METHODS}
@@ -77,32 +130,66 @@ def compare_normalizers(
     for m in METHODS:
         rows = normalised(rows.withColumn(m, F.col("tokens")), m, _raw(cfg, m), **lexical)
 
-    def retrieved(method: str, i: int) -> Column:
+    def retrieves(method: str, i: int) -> Column:
         wanted = forms[method][i]
         return F.size(F.array_except(F.array(*[F.lit(w) for w in wanted]), F.col(method))) == 0 if wanted else F.lit(False)
 
-    flags = [
-        F.struct(F.lit(i).alias("i"), F.lit(q).alias("query"), relevant(F.col("text"), w).alias("truth"), *[retrieved(m, i).alias(m) for m in METHODS])
-        for i, (q, w) in enumerate(zip(queries, words))
-    ]
+    flags = [F.struct(F.lit(i).alias("i"), relevant(F.col("text"), w).alias("truth"), *[retrieves(m, i).alias(m) for m in METHODS]) for i, w in enumerate(words)]
     judged = rows.select("doc_id", F.explode(F.array(*flags)).alias("f")).select("doc_id", "f.*")
-    sums = judged.groupBy("i", "query").agg(
+    return judged.where(F.col("truth") | functools.reduce(Column.__or__, [F.col(m) for m in METHODS])).select("i", "doc_id", "truth", *METHODS)
+
+
+def _metrics(judged: DataFrame, queries: list[str]) -> DataFrame:
+    """(i, query) with the numbers of relevant and of retrieved documents, and precision, recall and F1 of each method. Documents are counted, never listed."""
+    spark = judged.sparkSession
+    sums = judged.groupBy("i").agg(
         F.sum(F.col("truth").cast("long")).alias("n_truth"),
         *[F.sum(F.col(m).cast("long")).alias(f"n_{m}") for m in METHODS],
         *[F.sum((F.col(m) & F.col("truth")).cast("long")).alias(f"both_{m}") for m in METHODS],
-        *[F.array_sort(F.collect_list(F.when(F.col(m), F.col("doc_id")))).alias(f"{m}_retrieved") for m in METHODS],
     )
     # Queries keep their row when there are no documents.
-    every = spark.createDataFrame(list(enumerate(queries)), "i int, query string").join(sums.drop("query"), "i", "left")
-    empty = F.array().cast(sums.schema["stem_retrieved"].dataType)
-    out = ["query"]
+    every = spark.createDataFrame(list(enumerate(queries)), "i int, query string").join(sums, "i", "left")
+    out = [F.coalesce(n, F.lit(0)).alias(n) for n in ("n_truth", *(f"n_{m}" for m in METHODS))]
     for m in METHODS:
         ok = (F.coalesce(f"n_{m}", F.lit(0)) > 0) & (F.coalesce("n_truth", F.lit(0)) > 0)
         p, r = F.col(f"both_{m}") / F.col(f"n_{m}"), F.col(f"both_{m}") / F.col("n_truth")
         f1 = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
-        out.append(F.coalesce(f"{m}_retrieved", empty).alias(f"{m}_retrieved"))
         out += [F.when(ok, F.round(x, 4)).otherwise(F.lit(0.0)).alias(f"{m}_{name}") for x, name in ((p, "P"), (r, "R"), (f1, "F1"))]
-    return every.select("i", *out).orderBy("i").drop("i")
+    return every.select("i", "query", *out)
+
+
+def compare_metrics(
+    docs: DataFrame, cfg: AnalyzerConfig = AnalyzerConfig(), queries: list[str] | None = None, lexicon: DataFrame | None = None, exceptions: DataFrame | None = None
+) -> DataFrame:
+    """Per query: relevant documents, and for each method how many it retrieves, precision, recall and F1. One pass over the documents."""
+    queries = test_queries(docs) if queries is None else queries
+    return _metrics(_judged(docs, cfg, queries, {"lexicon": lexicon, "exceptions": exceptions}), queries).orderBy("i").drop("i")
+
+
+def retrieved(
+    docs: DataFrame, cfg: AnalyzerConfig = AnalyzerConfig(), queries: list[str] | None = None, lexicon: DataFrame | None = None, exceptions: DataFrame | None = None
+) -> DataFrame:
+    """(query, method, doc_id): a row for each document that a method retrieves. Nothing is shuffled."""
+    queries = test_queries(docs) if queries is None else queries
+    judged = _judged(docs, cfg, queries, {"lexicon": lexicon, "exceptions": exceptions})
+    kept = F.filter(F.array(*[F.when(F.col(m), F.lit(m)) for m in METHODS]), lambda m: m.isNotNull())
+    names = F.array(*[F.lit(q) for q in queries]) if queries else F.array(F.lit(""))
+    return judged.select(F.get(names, F.col("i")).alias("query"), F.explode(kept).alias("method"), "doc_id")
+
+
+def compare_normalizers(
+    docs: DataFrame, cfg: AnalyzerConfig = AnalyzerConfig(), queries: list[str] | None = None, lexicon: DataFrame | None = None, exceptions: DataFrame | None = None
+) -> DataFrame:
+    """Per query and chunk: for each method, retrieved documents, precision, recall and F1; documents in chunks as in an index, so that no row grows with the collection."""
+    queries = test_queries(docs) if queries is None else queries
+    judged = _judged(docs, cfg, queries, {"lexicon": lexicon, "exceptions": exceptions})
+    kinds = F.filter(F.array(*[F.when(F.col(m), F.struct(F.col("i"), F.lit(m).alias("m"))) for m in METHODS]), lambda x: x.isNotNull())
+    lists = in_chunks(judged.select("doc_id", F.explode(kinds).alias("key")), "key", "doc_id", F.col("doc_id"), ("n", "docs"), distinct=True)
+    by_query = lists.groupBy(F.col("key.i").alias("i"), "chunk").agg(*[F.max(F.when(F.col("key.m") == m, F.col("docs"))).alias(f"{m}_retrieved") for m in METHODS])
+    empty = F.array().cast(lists.schema["docs"].dataType)
+    out = [c for m in METHODS for c in (F.coalesce(f"{m}_retrieved", empty).alias(f"{m}_retrieved"), *[F.col(f"{m}_{k}") for k in ("P", "R", "F1")])]
+    joined = _metrics(judged, queries).join(by_query, "i", "left")
+    return joined.select("i", "query", F.coalesce("chunk", F.lit(0)).alias("chunk"), *out).orderBy("i", "chunk").drop("i")
 
 
 def compare_summary(
@@ -120,7 +207,7 @@ def compare_summary(
     both = sizes.agg(*[
         F.coalesce(F.max(F.when(F.col("method") == m, F.col(c))), F.lit(0)).alias(f"{c}_{m}") for m in (*METHODS, "raw") for c in ("n", "valid")
     ])
-    quality = compare_normalizers(docs, cfg, queries, lexicon, exceptions)
+    quality = compare_metrics(docs, cfg, queries, lexicon, exceptions)
     means = quality.agg(*[F.round(F.avg(f"{m}_{k}"), 4).alias(f"{k}_{m}") for m in METHODS for k in ("P", "R", "F1")])
     one = both.join(means)  # both have one row
     for m in METHODS:

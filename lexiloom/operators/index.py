@@ -19,7 +19,7 @@ from lexiloom.functions.text import ALPHA, biwords, kgrams, soundex_code
 CHUNK = 1 << 16
 
 
-def _in_chunks(pairs: DataFrame, key: str, by: str, members: Column, names: tuple[str, str], most: int | None = None, distinct: bool = False) -> DataFrame:
+def in_chunks(pairs: DataFrame, key: str, by: str, members: Column, names: tuple[str, str], most: int | None = None, distinct: bool = False) -> DataFrame:
     """(key, chunk, number of members, members) of pairs; only keys of more than CHUNK members are dealt.
 
     most: what no key has more members than, if that is known. Up to CHUNK, one exchange does. distinct: whether the pairs are distinct already.
@@ -49,7 +49,7 @@ def postings(frame: DataFrame) -> DataFrame:
 
 def inverted_index(frame: DataFrame, most: int | None = None) -> DataFrame:
     """(term, chunk, df, docs): documents of each term, ascending in a chunk; df is the term's. most: the number of documents, if known."""
-    return _in_chunks(_term_pairs(frame), "term", "doc_id", F.col("doc_id"), ("df", "docs"), most)
+    return in_chunks(_term_pairs(frame), "term", "doc_id", F.col("doc_id"), ("df", "docs"), most)
 
 
 def biword_pairs(arrays: DataFrame, *by: str) -> DataFrame:
@@ -65,7 +65,7 @@ def biword_postings(arrays: DataFrame) -> DataFrame:
 
 def biword_index(arrays: DataFrame, most: int | None = None) -> DataFrame:
     """(biword, chunk, df, docs). most: the number of documents, if known."""
-    return _in_chunks(biword_pairs(arrays), "biword", "doc_id", F.col("doc_id"), ("df", "docs"), most)
+    return in_chunks(biword_pairs(arrays), "biword", "doc_id", F.col("doc_id"), ("df", "docs"), most)
 
 
 def positional_index(tokens: DataFrame) -> DataFrame:
@@ -75,7 +75,7 @@ def positional_index(tokens: DataFrame) -> DataFrame:
 
 def positional_map(tokens: DataFrame) -> DataFrame:
     """(term, chunk, df, map of document to positions). A map has no null key: documents without an id are left out."""
-    pairs = _in_chunks(positional_index(tokens.where("doc_id is not null")), "term", "doc_id", F.struct("doc_id", "positions"), ("df", "docs"))
+    pairs = in_chunks(positional_index(tokens.where("doc_id is not null")), "term", "doc_id", F.struct("doc_id", "positions"), ("df", "docs"))
     return pairs.withColumn("docs", F.map_from_entries("docs"))
 
 
@@ -91,7 +91,7 @@ def kgram_pairs(terms: DataFrame, k: int = 2) -> DataFrame:
 
 def kgram_index(terms: DataFrame, k: int = 2) -> DataFrame:
     """(gram, chunk, n, terms), terms ascending in a chunk."""
-    return _in_chunks(kgram_pairs(terms, k), "gram", "term", F.col("term"), ("n", "terms"), distinct=True)
+    return in_chunks(kgram_pairs(terms, k), "gram", "term", F.col("term"), ("n", "terms"), distinct=True)
 
 
 def soundex_pairs(terms: DataFrame) -> DataFrame:
@@ -102,7 +102,7 @@ def soundex_pairs(terms: DataFrame) -> DataFrame:
 
 def soundex_index(terms: DataFrame) -> DataFrame:
     """(code, chunk, n, terms), terms ascending in a chunk."""
-    return _in_chunks(soundex_pairs(terms), "code", "term", F.col("term"), ("n", "terms"), distinct=True)
+    return in_chunks(soundex_pairs(terms), "code", "term", F.col("term"), ("n", "terms"), distinct=True)
 
 
 def index_sample(index: DataFrame, key: str, n: int) -> DataFrame:
@@ -120,9 +120,9 @@ def _first_keys(pairs: DataFrame, key: str, n: int) -> DataFrame:
 def samples(biword_pairs: DataFrame, tokens: DataFrame, grams: DataFrame) -> DataFrame:
     """(kind, key, entry): the first entries by key of the biword (8), positional (5) and k-gram (10) index, as JSON, of (biword, doc_id), a token table and (gram, term)."""
     kinds = (
-        ("biword", _in_chunks(_first_keys(biword_pairs, "biword", 8), "biword", "doc_id", F.col("doc_id"), ("df", "docs")), "biword", 8),
+        ("biword", in_chunks(_first_keys(biword_pairs, "biword", 8), "biword", "doc_id", F.col("doc_id"), ("df", "docs")), "biword", 8),
         ("positional", positional_map(_first_keys(tokens.where("doc_id is not null"), "term", 5)), "term", 5),
-        ("kgram", _in_chunks(_first_keys(grams, "gram", 10), "gram", "term", F.col("term"), ("n", "terms"), distinct=True), "gram", 10),
+        ("kgram", in_chunks(_first_keys(grams, "gram", 10), "gram", "term", F.col("term"), ("n", "terms"), distinct=True), "gram", 10),
     )
     parts = [index_sample(frame, key, n).select(F.lit(kind).alias("kind"), "key", "entry") for kind, frame, key, n in kinds]
     return functools.reduce(DataFrame.union, parts)

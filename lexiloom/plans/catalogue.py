@@ -222,6 +222,21 @@ def compare_normalizers(spark, sf_dir):
     return _listed(Collection(_docs(spark, sf_dir)).compare(), "stem_retrieved", "lemma_retrieved")
 
 
+def compare_metrics(spark, sf_dir):
+    return Collection(_docs(spark, sf_dir)).compare_metrics()
+
+
+def compare_retrieved(spark, sf_dir):
+    return Collection(_docs(spark, sf_dir)).retrieved()
+
+
+def ground_truth_of_items(spark, sf_dir):
+    """Documents that hold the first two words of a benchmark item, of all items at once."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    words = F.slice(F.split(F.trim(F.coalesce("text", F.lit(""))), " "), 1, 2)
+    return evaluate.ground_truth_of(_docs(spark, sf_dir), items.select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("query")))
+
+
 def compare_summary(spark, sf_dir):
     return Collection(_docs(spark, sf_dir)).summary()
 
@@ -440,7 +455,8 @@ QUERIES = {
     "phrase_positional_stemmed": partial(phrase_stemmed, method="positional"), "phrase_biword_stemmed": partial(phrase_stemmed, method="biword"),
     "dictionary_lookup": dictionary_lookup, "wildcard": wildcard, "wildcard_candidates": wildcard_candidates, "spell_suggest": spell_suggest,
     "spell_join": spell_join, "phonetic": phonetic, "ground_truth": ground_truth, "test_queries": test_queries,
-    "compare_normalizers": compare_normalizers, "compare_summary": compare_summary, "compression": compression, "lemmas": lemmas,
+    "compare_normalizers": compare_normalizers, "compare_metrics": compare_metrics, "compare_retrieved": compare_retrieved, "ground_truth_of_items": ground_truth_of_items,
+    "compare_summary": compare_summary, "compression": compression, "lemmas": lemmas,
     "collection_view": collection_view, "benchmark_phrases": benchmark_phrases, "test_queries_short": test_queries_short, "defaults": defaults,
     "last_duplicates": last_duplicates, "chosen_document": chosen_document, "phrase_default": phrase_default, "phrase_report": phrase_report, "wildcard_grams": wildcard_grams,
     "abbreviations": abbreviations, "tokens_abbreviated": tokens_abbreviated, "summary_json": summary_json, "justification": justification, "valid_terms": valid_terms,
@@ -479,8 +495,16 @@ array_to_string({_WORDLIST}, ',') as stage5_norm from documents where doc_id = 0
     "index_samples": _samples_sql(),
     "phrase_default": f"""{_LONG}, first as (select tokens[1] as a, tokens[2] as b from arrays where len(tokens) >= 2 order by doc_id limit 1)
 select x.doc_id, min(x.pos) || ',' || (min(x.pos) + 1) as positions from tokens x join tokens y on y.doc_id = x.doc_id and y.pos = x.pos + 1 join first on x.term = a and y.term = b group by 1""",
-    "compare_normalizers": f"""{_compare_tables()} select s.query, s.docs as stem_retrieved, s.p as "stem_P", s.r as "stem_R", s.f1 as "stem_F1", l.docs as lemma_retrieved, l.p as "lemma_P", l.r as "lemma_R", l.f1 as "lemma_F1"
+    "compare_normalizers": f"""{_compare_tables()} select s.query, 0 as chunk, s.docs as stem_retrieved, s.p as "stem_P", s.r as "stem_R", s.f1 as "stem_F1", l.docs as lemma_retrieved, l.p as "lemma_P", l.r as "lemma_R", l.f1 as "lemma_F1"
 from compared s join compared l using (ord) where s.method = 'stem' and l.method = 'lemma'""",
+    "compare_metrics": f"""{_compare_tables()}, n as (select ord, method, count(*) as n from retrieved group by 1, 2), t as (select ord, count(*) as n from truth group by 1)
+select s.query, coalesce(t.n, 0) as n_truth, coalesce(a.n, 0) as n_stem, coalesce(b.n, 0) as n_lemma, s.p as "stem_P", s.r as "stem_R", s.f1 as "stem_F1", l.p as "lemma_P", l.r as "lemma_R", l.f1 as "lemma_F1"
+from compared s join compared l using (ord) left join t using (ord) left join n a on a.ord = s.ord and a.method = 'stem' left join n b on b.ord = s.ord and b.method = 'lemma' where s.method = 'stem' and l.method = 'lemma'""",
+    "compare_retrieved": f"{_compare_tables()} select query, method, doc_id from retrieved join test_queries using (ord)",
+    "ground_truth_of_items": f"""with q as (select item_id as query_id, list_distinct({oracle.word_tokens("lower(array_to_string(string_split(trim(coalesce(text, '')), ' ')[1:2], ' '))")}) as words from benchmark),
+w as (select distinct unnest(words) as w from q), d as (select doc_id, {_TEXT} as t from documents), h as (select doc_id, w from d join w on contains(t, w))
+select query_id, doc_id from (select query_id, len(words) as n, unnest(words) as w from q) join h using (w) group by query_id, n, doc_id having count(*) = n
+union all select query_id, doc_id from q, documents where len(words) = 0""",
     "compare_summary": f"{_summary_tables()} select * from result",
     "justification": f"""{_summary_tables()} select max(winner) as winner, max(higher_compression) as higher_compression, max(higher_validity) as higher_validity,
 {_both('score')}, {_both('compression_rate')}, {_both('lexical_validity')}, {_both('vocab_size')} from result""",

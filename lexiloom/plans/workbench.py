@@ -93,6 +93,17 @@ class Collection:
     def compare(self, queries: list[str] | None = None) -> DataFrame:
         return evaluate.compare_normalizers(self.docs, self.cfg, queries, **self.lexical)
 
+    def compare_metrics(self, queries: list[str] | None = None) -> DataFrame:
+        return evaluate.compare_metrics(self.docs, self.cfg, queries, **self.lexical)
+
+    def retrieved(self, queries: list[str] | None = None) -> DataFrame:
+        """(query, method, doc_id) of all documents that stems or lemmas retrieve."""
+        return evaluate.retrieved(self.docs, self.cfg, queries, **self.lexical)
+
+    def ground_truth(self, queries: DataFrame) -> DataFrame:
+        """(query_id, doc_id) of the documents relevant to a table (query_id, query)."""
+        return evaluate.ground_truth_of(self.docs, queries)
+
     def wildcard_grams(self, pattern: str) -> DataFrame:
         return tolerant.decomposed(self.terms, pattern)
 

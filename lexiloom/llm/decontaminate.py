@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import fresh, utf8, words, write_shared
+from lexiloom.llm.common import free_name, fresh, utf8, words, write_shared
 
 WINDOW = 13
 #: Bytes of item text that one pass over the documents holds in memory.
@@ -103,7 +103,7 @@ def mark_contamination(
     out: str = "marks", window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Adds a struct: the number of words, the disjoint hit spans [start, end, ...] in words, the ids of the items found."""
-    context = docs.sparkSession.sparkContext
+    context, out = docs.sparkSession.sparkContext, free_name(docs, out)
     n, blocks = item_blocks(items, item_id, item_text, block_bytes)
     if n == 1:
         search = _searching(context.broadcast(compile_items(next(blocks), window)))

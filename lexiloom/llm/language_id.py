@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import crc_mod, utf8
+from lexiloom.llm.common import crc_mod, free_name, utf8
 from lexiloom.llm.hashing import mix
 
 #: The sample: at most one document for each language and each of SLOTS hash slots; of their texts, cut whole into
@@ -310,7 +310,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", out: str = "language") -> DataFrame:
-    """Adds a struct of the predicted language and a score, 0 to 1."""
+    """Adds a struct of the predicted language and a score, 0 to 1, under a name that no column has."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang:string,score:double>")
@@ -318,7 +318,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", out: str
         found = shared.value.parser().predict([None if not x.is_valid else x.as_py().decode("utf-8", "replace") for x in texts])
         return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["lang", "score"])
 
-    return docs.withColumn(out, identified.asNondeterministic()(utf8(docs[text])))
+    return docs.withColumn(free_name(docs, out), identified.asNondeterministic()(utf8(docs[text])))
 
 
 def digest(docs: DataFrame) -> DataFrame:

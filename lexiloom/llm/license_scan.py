@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import fresh
+from lexiloom.llm.common import free_name, fresh
 from lexiloom.llm.license_texts import FAMILIES, IDENTIFIER, NOTICES, ORDINARY
 
 #: Slots of the table of n-grams, so many that few meet; of those that do, the heavier stays.
@@ -190,7 +190,7 @@ def _holds_gate(text: Column) -> Column:
 
 def scan_licenses(docs: DataFrame, model: LicenseModel | None = None, text: str = "text", out: str = "licenses") -> DataFrame:
     """Adds an array of structs: paragraph number, family (or `unknown`), probability, and cover of the family's best template."""
-    model = model or default_model()
+    model, out = model or default_model(), free_name(docs, out)
     outputs = len(model.bias)
     rows = np.full(SLOTS, -1)
     rows[np.array(model.grams) % SLOTS] = np.arange(len(model.grams))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from lexiloom.llm.common import delete_shared, fresh, slices, write_shared
+from lexiloom.llm.common import delete_shared, free_name, fresh, slices, write_shared
 from lexiloom.llm.hashing import mix, word_hashes
 
 #: The smoothing's vocabulary, as a power of 2; that of the documents, if it is larger.
@@ -228,7 +228,7 @@ def score(
     RANGE_BYTES if not given) take memory in proportion, but a chunk sends a row to every range that has one of its
     keys: on inputs above some TB, where such a row holds few keys, larger ones move less.
     """
-    chunk_bytes, range_bytes = chunk_bytes or CHUNK_BYTES, range_bytes or RANGE_BYTES
+    chunk_bytes, range_bytes, out = chunk_bytes or CHUNK_BYTES, range_bytes or RANGE_BYTES, free_name(docs, out)
     key, own, flag = fresh(docs, "target_id", "own_id", "is_target")
     ids = targets.select(F.col(targets.columns[0]).cast("long").alias(key)).where(F.col(key).isNotNull()).distinct().withColumn(flag, F.lit(True))
     if ids.count() <= BROADCAST_IDS:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import utf8
+from lexiloom.llm.common import free_name, utf8
 
 UNIT, PAD, MCU = 192, 32, 384
 #: Spectral bands of the AC scans: two for luma, one for each chroma.
@@ -418,7 +418,7 @@ def store(docs: DataFrame, text: str = "text", out: str = "media") -> DataFrame:
     def stored(texts: pa.Array) -> pa.Array:
         return pa.array([encode(padded(x.as_py() or b"")) for x in texts], pa.binary())
 
-    return docs.withColumn(out, stored(utf8(docs[text])))
+    return docs.withColumn(free_name(docs, out), stored(utf8(docs[text])))
 
 
 def load_tensor(media: DataFrame, column: str = "media", out: str = "tensor") -> DataFrame:
@@ -433,7 +433,7 @@ def load_tensor(media: DataFrame, column: str = "media", out: str = "tensor") ->
             rows.append(None if t is None else {"height": t.shape[0], "width": t.shape[1], "rgb": t.tobytes()})
         return pa.array(rows, kind)
 
-    return media.withColumn(out, loaded(media[column]))
+    return media.withColumn(free_name(media, out), loaded(media[column]))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import crc_mod, utf8, words
+from lexiloom.llm.common import crc_mod, free_name, utf8, words
 
 #: The largest number of labelled rows that the model is fitted on.
 SAMPLE_ROWS = 20_000
@@ -176,7 +176,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: st
     known = labels.select(F.col(doc_id).cast("long").alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y is not null").distinct()
     sample = known.where(crc_mod(F.col("k"), folds) != 0).orderBy(F.xxhash64("k"), "k", "y").limit(sample_rows)
     texts = docs.select(F.col(doc_id).cast("long").alias("k"), utf8(docs[text]).alias("t"))
-    rows = texts.join(F.broadcast(sample), "k").select("y", feature_column("t").alias("x")).collect()
+    told = texts.join(F.broadcast(sample), "k").select("y", feature_column("t").alias("x"), F.xxhash64("k", "t").alias("h"))
+    # Ids may repeat among the documents, so that the bound is set again, on rows.
+    rows = told.orderBy("h", "y").limit(sample_rows).collect()
     if not rows:
         empty = np.zeros((2, len(FEATURES)))
         return AdditiveModel().fit(empty, np.array([0.0, 1.0]))
@@ -184,14 +186,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: st
 
 
 def score_quality(docs: DataFrame, model: AdditiveModel, text: str = "text", out: str = "score") -> DataFrame:
-    """Adds the model's score, 0 to 1."""
+    """Adds the model's score, 0 to 1, under a name that no column has."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
         return pa.array(shared.value.score(_matrix(texts)), pa.float64())
 
-    return docs.withColumn(out, scored.asNondeterministic()(utf8(docs[text])))
+    return docs.withColumn(free_name(docs, out), scored.asNondeterministic()(utf8(docs[text])))
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

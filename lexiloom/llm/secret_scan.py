@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import utf8
+from lexiloom.llm.common import free_name, utf8
 
 
 @dataclass(frozen=True)
@@ -136,7 +136,7 @@ def find_secrets(docs: DataFrame, text: str = "text", out: str = "secrets", rule
             })
         return pa.array(rows, kind)
 
-    return docs.withColumn(out, scanned.asNondeterministic()(utf8(docs[text])))
+    return docs.withColumn(free_name(docs, out), scanned.asNondeterministic()(utf8(docs[text])))
 
 
 def _listed(spans, kinds=None):

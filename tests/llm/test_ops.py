@@ -747,3 +747,29 @@ def test_few_of_many_languages_are_learned(spark, monkeypatch):
     rows = [(i, f"wort{i} satz", f"l{i % 9}") for i in range(90)] + [(1000 + i, "mehr text hier", f"l{7 + i % 2}") for i in range(40)]
     model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert len(model.samples) == 3 and {"l7", "l8"} <= {name for name, _ in model.samples}
+
+
+def test_a_taken_result_name_is_an_error(spark):
+    docs = frame(spark, ["some text"])
+    taken = {
+        "marks": lambda: decontaminate.mark_contamination(docs, spark.createDataFrame([(1, "a b")], "item_id long, text string")),
+        "score": lambda: quality.score_quality(docs, quality.AdditiveModel()),
+        "lang": lambda: language_id.identify(docs, language_id.LanguageModel(()), out="lang"),
+        "licenses": lambda: license_scan.scan_licenses(docs.withColumn("Licenses", docs.text)),
+        "lm": lambda: lm_score.score(docs.withColumn("lm", docs.text), spark.createDataFrame([(1,)], "doc_id long")),
+        "media": lambda: media.store(docs.withColumn("media", docs.text)),
+        "secrets": lambda: secret_scan.find_secrets(docs.withColumn("secrets", docs.text)),
+    }
+    for name, call in taken.items():
+        with pytest.raises(ValueError, match="already"):
+            call()
+
+
+def test_the_bound_on_labelled_rows_is_one_on_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality.AdditiveModel, "fit", lambda self, x, y: seen.append(len(y)) or self)
+    docs = frame(spark, [f"text {i}" for i in range(300)], ids=[7] * 290 + list(range(10)))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, quality int")
+    quality.train(docs, labels, sample_rows=50)
+    quality.train(docs, labels, sample_rows=5)
+    assert seen == [50, 5]

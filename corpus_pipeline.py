@@ -3,6 +3,12 @@
 Every stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns the
 columns of documents; the last adds those of the mixture. Each stage's result is written as Parquet
 and read again, so a lost executor never costs more than one stage.
+
+Edge cases, stage by stage. Null and empty texts: the classifier scores them as it scores any text, from their features; they are no near-duplicates of
+anything, so that all stay; they hold no benchmark words and no secrets; in the mixture they have no bytes, but are drawn like others of their source. Null ids: never labelled; each such row
+is known by its text. Null sources are a source of their own. Repeated rows: one of a group of copies stays, that with the least id, and rows with equal ids and texts are
+one document. Ties at the classifier's threshold are kept, those at the contamination rule's one word in twenty are removed. Extra columns pass through all stages, whatever their names.
+Empty tables: no documents give no documents; without labels the classifier scores all alike, by its prior of one half, and keeps them; without benchmark items nothing is removed.
 """
 
 from __future__ import annotations

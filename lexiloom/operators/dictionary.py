@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,6 +59,31 @@ def lookup_latency(tokens: DataFrame, entries: str, cfg: AnalyzerConfig = Analyz
     return spark.createDataFrame(rows, "query_term string, in_corpus boolean, search_us double, retrieval_us double")
 
 
+def read_latency(
+    frame: DataFrame, entries: str, search: Callable[[str], DataFrame], retrieve: Callable[[str], DataFrame], reads: int = 20,
+    cfg: AnalyzerConfig = AnalyzerConfig(), **lexical: DataFrame,
+) -> DataFrame:
+    """(query_term, in_corpus, reads, and the 50th, 95th and 99th percentile of search and retrieval in microseconds) for each entry.
+
+    Every read is a query of its own, planned and run; search tells whether there is a row, retrieval counts the documents. Both functions give a term's rows.
+    """
+    rows = []
+    for r in lookup_terms(frame, entries, cfg, **lexical).orderBy("ord").collect():
+        ask = (lambda: bool(search(r.term).limit(1).collect()), lambda: retrieve(r.term).select("doc_id").distinct().count())
+        shares, there = [], False
+        for k, f in enumerate(ask):
+            spent = []
+            for _ in range(reads):
+                start = time.perf_counter()
+                found = f()
+                spent.append((time.perf_counter() - start) * 1e6)
+            there = found if k == 0 else there
+            shares += [round(sorted(spent)[min(reads - 1, int(reads * p))], 1) for p in (0.5, 0.95, 0.99)]
+        rows.append((r.query_term, there, reads, *shares))
+    columns = ", ".join(f"{kind}_p{p}_us double" for kind in ("search", "retrieval") for p in (50, 95, 99))
+    return frame.sparkSession.createDataFrame(rows, f"query_term string, in_corpus boolean, reads int, {columns}")
+
+
 def default_entries(terms: DataFrame) -> str:
     """The first three terms and one that is missing; all terms of a vocabulary of fewer."""
     first = [r.term for r in terms.select("term").distinct().orderBy("term").limit(3).collect()]

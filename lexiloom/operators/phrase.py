@@ -14,7 +14,8 @@ from lexiloom.functions.text import biwords
 from lexiloom.operators.analyze import analyzed, leading
 
 
-def _pairs(terms: list[str]) -> list[str]:
+def pairs(terms: list[str]) -> list[str]:
+    """A phrase's distinct neighbouring pairs."""
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(terms, terms[1:])))
 
 
@@ -30,7 +31,7 @@ def has_biwords(tokens: Column, terms: list[str]) -> Column:
         return F.array_contains(tokens, terms[0])
     # A document without the terms cannot have the pairs; the cheap test comes first.
     return F.forall(_literals(list(dict.fromkeys(terms))), lambda t: F.array_contains(tokens, t)) & (
-        F.size(F.array_except(_literals(_pairs(terms)), biwords(tokens))) == 0
+        F.size(F.array_except(_literals(pairs(terms)), biwords(tokens))) == 0
     )
 
 
@@ -67,8 +68,8 @@ def phrase_report(arrays: DataFrame, terms: list[str]) -> DataFrame:
     both = arrays.select(has_biwords(F.col("tokens"), terms).alias("b"), phrase_start(F.col("tokens"), terms).isNotNull().alias("p"))
     wrong = F.col("b") & ~F.col("p") & F.lit(len(terms) >= 3)
     counts = both.agg(*[F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(n) for n, c in (("n_biword", F.col("b")), ("n_positional", F.col("p")), ("n_false_positives", wrong))])
-    pairs = _pairs(terms) if len(terms) != 1 else terms
-    return counts.select(*[_literals(x).cast("array<string>").alias(n) for n, x in (("tokens", terms), ("pairs", pairs))], *counts.columns)
+    asked = pairs(terms) if len(terms) != 1 else terms
+    return counts.select(*[_literals(x).cast("array<string>").alias(n) for n, x in (("tokens", terms), ("pairs", asked))], *counts.columns)
 
 
 def default_phrase(docs: DataFrame, cfg: AnalyzerConfig = AnalyzerConfig(), **lexical: DataFrame) -> str:
@@ -83,14 +84,14 @@ def default_phrase_of(arrays: DataFrame) -> str:
     return " ".join(first[0].t) if first else ""
 
 
-def biword_lookup(pairs: DataFrame, terms: list[str], *by: str) -> DataFrame:
+def biword_lookup(held: DataFrame, terms: list[str], *by: str) -> DataFrame:
     """phrase_biword over stored biwords (biword, doc_id), for two terms or more; for one over stored postings, renamed.
 
     by: what tells documents apart, if not their id alone; it is returned.
     """
     by = by or ("doc_id",)
-    wanted = _pairs(terms) if len(terms) != 1 else terms
-    found = pairs.where(F.col("biword").isin(*wanted) if wanted else F.lit(False))
+    wanted = pairs(terms) if len(terms) != 1 else terms
+    found = held.where(F.col("biword").isin(*wanted) if wanted else F.lit(False))
     return found.groupBy(*by).agg(F.count_distinct("biword").alias("n")).where(F.col("n") == len(wanted)).select(*by)
 
 

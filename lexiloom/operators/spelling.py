@@ -1,6 +1,6 @@
 """Spelling on a stored vocabulary: a Levenshtein automaton, built when the plan is, over blocks of sorted terms.
 
-Terms are stored in blocks of BLOCK neighbours in sorted order, front-coded: what all terms of a block begin with is kept once, with the rests. A query's
+Terms are stored in blocks of at most BLOCK neighbours in sorted order that share their first PREFIX characters, front-coded: what all terms of a block begin with is kept once, with the rests. A query's
 automaton reads that beginning first; where it is dead by then, no term of the block can be near enough, and the block's terms are neither
 unpacked nor compared. Otherwise each rest is read from the state that the beginning has led to, and the state at its end is the distance.
 Blocks of terms that are all too short or too long are skipped by the scan. The automaton is two arrays in the plan: transitions by state and character class, and distances.
@@ -13,8 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Terms in a block.
-BLOCK = 128
+#: Terms in a block, and characters that they share at least, if they have so many.
+BLOCK, PREFIX = 128, 4
 
 
 @dataclass(frozen=True)
@@ -65,7 +65,7 @@ def term_blocks(terms: DataFrame, size: int = BLOCK) -> DataFrame:
     """(first, prefix, least, most, n, rests): blocks of neighbours in sorted order; least and most are lengths in characters."""
     ordered = terms.select("term").where("term is not null").distinct().repartitionByRange("term").sortWithinPartitions("term")
     # Rows of a sorted partition are numbered in their order.
-    dealt = ordered.withColumn("block", F.floor(F.monotonically_increasing_id() / size))
+    dealt = ordered.withColumn("block", F.struct(F.left("term", F.lit(PREFIX)), F.floor(F.monotonically_increasing_id() / size)))
     blocks = dealt.groupBy("block").agg(F.array_sort(F.collect_list("term")).alias("terms"), F.min(F.length("term")).alias("least"), F.max(F.length("term")).alias("most"))
     first, last = F.element_at("terms", 1), F.element_at("terms", -1)
     shared = F.filter(F.sequence(F.lit(0), F.least(F.length(first), F.length(last))), lambda i: F.left(first, i) == F.left(last, i))

@@ -21,6 +21,8 @@ STEMMED = AnalyzerConfig()
 PHRASE = "The and attion to thanedble the, anea"
 #: A phrase whose pairs stand apart in many documents.
 FALSE_PHRASE = "de de la"
+#: A word of few documents between more frequent ones.
+RARE_PHRASE = "thtion nd ndes"
 TERMS = ["attion", "thanedble", "anea"]
 WORDS = "attion, thanedble anea, missingword, The, eriner"
 INNER_PATTERN = "*anea*d*"
@@ -210,6 +212,16 @@ def lookup_latency(spark, sf_dir):
     return _stored(spark, sf_dir).lookup_latency(WORDS)
 
 
+def read_latency(spark, sf_dir):
+    """What the times were measured of; the times themselves differ from run to run."""
+    return _stored(spark, sf_dir).read_latency(WORDS, 3).select("query_term", "in_corpus", "reads")
+
+
+def stored_phrase_rare(spark, sf_dir):
+    """A phrase of a rare word and two frequent ones."""
+    return stored_phrase(spark, sf_dir, "positional", RARE_PHRASE)
+
+
 def ground_truth(spark, sf_dir):
     return evaluate.ground_truth(_docs(spark, sf_dir), QUERIES_OF_TRUTH)
 
@@ -463,7 +475,7 @@ QUERIES = {
     "stored_vocabulary": stored_vocabulary, "stored_phrase_positional": partial(stored_phrase, method="positional"), "stored_phrase_biword": partial(stored_phrase, method="biword"),
     "stored_phrase_false_positives": partial(stored_phrase, method="false_positives", text=FALSE_PHRASE), "stored_lookup": stored_lookup,
     "stored_wildcard": stored_wildcard, "stored_spell": stored_spell, "stored_phonetic": stored_phonetic, "stored_wildcard_inner": stored_wildcard_inner,
-    "stored_wildcard_grams": stored_wildcard_grams, "stored_samples": stored_samples, "stored_defaults": stored_defaults, "lookup_latency": lookup_latency,
+    "stored_wildcard_grams": stored_wildcard_grams, "stored_samples": stored_samples, "stored_defaults": stored_defaults, "lookup_latency": lookup_latency, "read_latency": read_latency, "stored_phrase_rare": stored_phrase_rare,
 }
 
 ORACLE_SQL = {
@@ -490,7 +502,7 @@ array_to_string({_WORDLIST}, ',') as stage5_norm from documents where doc_id = 0
     "select doc_id, pos, stem as term from tokens t join lemmas l on l.term = t.term join stems s on s.term = l.lemma",
     "phrase_positional_stemmed": f"{_STEMMED} select doc_id, array_to_string(generate_series(start, start + {len(TERMS) - 1}), ',') as positions from starts",
     "phrase_biword_stemmed": f"{_STEMMED} select doc_id from have",
-    "phrase_report": _false_sql(f"""select '{','.join(FALSE_PHRASE.split())}' as tokens, '{','.join(phrase._pairs(FALSE_PHRASE.split()))}' as pairs, (select count(*) from have) as n_biword,
+    "phrase_report": _false_sql(f"""select '{','.join(FALSE_PHRASE.split())}' as tokens, '{','.join(phrase.pairs(FALSE_PHRASE.split()))}' as pairs, (select count(*) from have) as n_biword,
 (select count(*) from exact) as n_positional, (select count(*) from have where doc_id not in (select doc_id from exact)) as n_false_positives"""),
     "index_samples": _samples_sql(),
     "phrase_default": f"""{_LONG}, first as (select tokens[1] as a, tokens[2] as b from arrays where len(tokens) >= 2 order by doc_id limit 1)
@@ -537,7 +549,12 @@ select x.n as n_raw, y.n as n_norm, round((1 - y.n / greatest(x.n, 1)) * 100, 2)
     "collection_view": "select doc_id, text from documents",
     "benchmark_phrases": f"select item_id as doc_id, array_to_string({oracle.without_stop_words(oracle.word_tokens(_TEXT))}, ',') as tokens from benchmark",
 }
+_RARE = RARE_PHRASE.split()
 ORACLE_SQL |= {
+    "read_latency": f"select query_term, in_corpus, 3 as reads from ({_lookup_sql()})",
+    "stored_phrase_rare": f"""{_LONG}, q as (select unnest(generate_series(1, {len(_RARE)})) as k, unnest([{", ".join(map(oracle.quoted, _RARE))}]) as t),
+starts as (select doc_id, min(start) as start from (select doc_id, pos - (k - 1) as start from tokens join q on term = t group by 1, 2 having count(distinct k) = {len(_RARE)}) group by 1)
+select doc_id, array_to_string(generate_series(start, start + {len(_RARE) - 1}), ',') as positions from starts""",
     "stored_vocabulary": ORACLE_SQL["vocabulary"], "stored_phrase_positional": ORACLE_SQL["phrase_positional"], "stored_phrase_biword": ORACLE_SQL["phrase_biword"],
     "stored_phrase_false_positives": ORACLE_SQL["phrase_false_positives"], "stored_lookup": ORACLE_SQL["dictionary_lookup"], "stored_wildcard": ORACLE_SQL["wildcard"],
     "stored_spell": ORACLE_SQL["spell_suggest"], "stored_phonetic": ORACLE_SQL["phonetic"],

@@ -13,13 +13,17 @@ from pyspark.sql import functions as F
 from lexiloom.functions.config import AnalyzerConfig
 from lexiloom.operators import analyze, dictionary, index, permuterm, phrase, spelling, tolerant
 from lexiloom.plans.workbench import Collection
-from lexiloom.sources.collection import store_index
+from lexiloom.sources.collection import read_ranges, store_index, store_ranges
 
 #: Tables and their keys.
 TABLES = {
     "arrays": ("row",), "tokens": ("term", "row", "pos"), "biwords": ("biword", "row"), "terms": ("term",), "grams": ("gram", "term"),
-    "codes": ("code", "term"), "permuterm": ("rotation", "term"), "blocks": ("first",),
+    "codes": ("code", "term"), "permuterm": ("rotation", "term"), "blocks": ("first",), "counts": ("term",),
 }
+#: Tables that are asked for single keys: their row groups have Bloom filters, and the ranges of their files are stored.
+POINTS = ("tokens", "biwords", "codes", "counts")
+#: Rows of a phrase's rarest term up to which they are sent to all executors, to leave out rows of other terms before those are shuffled.
+RARE_ROWS = 1 << 20
 
 
 def build(collection: Collection, path: str) -> StoredCollection:
@@ -28,7 +32,9 @@ def build(collection: Collection, path: str) -> StoredCollection:
 
     def store(name: str, table: DataFrame, ordered: bool = True) -> DataFrame:
         if ordered:
-            store_index(table, f"{path}/{name}", *TABLES[name])
+            store_index(table, f"{path}/{name}", *TABLES[name], bloom=name in POINTS)
+            if name in POINTS:
+                store_ranges(spark, f"{path}/{name}", TABLES[name][0], f"{path}/ranges/{name}")
         else:
             table.write.mode("overwrite").parquet(f"{path}/{name}")
         return spark.read.parquet(f"{path}/{name}")
@@ -37,7 +43,8 @@ def build(collection: Collection, path: str) -> StoredCollection:
     arrays = store("arrays", collection.arrays.select(F.monotonically_increasing_id().alias("row"), "doc_id", "tokens"), ordered=False)
     tokens = store("tokens", arrays.select("row", "doc_id", F.posexplode("tokens").alias("pos", "term")))
     store("biwords", index.biword_pairs(arrays, "row", "doc_id"))
-    terms = store("terms", index.vocabulary(tokens))
+    counts = store("counts", tokens.groupBy("term").agg(F.count("*").alias("n"), F.count_distinct("row").alias("n_rows")))
+    terms = store("terms", counts.select("term"))
     store("grams", index.kgram_pairs(terms))
     store("codes", index.soundex_pairs(terms))
     store("permuterm", permuterm.permuterm_pairs(terms))
@@ -57,13 +64,31 @@ class StoredCollection:
     def _phrase(self, text: str) -> list[str]:
         return analyze.query_tokens(self.tokens, text, self.cfg, **self.lexical)
 
+    def at(self, name: str, *keys: str) -> DataFrame:
+        """The rows of one of POINTS with these keys."""
+        return read_ranges(self.spark, f"{self.path}/{name}", TABLES[name][0], f"{self.path}/ranges/{name}", list(dict.fromkeys(keys)))
+
+    def _holders(self, terms: list[str]) -> DataFrame | None:
+        """Numbers of the rows that hold the rarest of these terms, if they are few enough to be sent to all executors."""
+        counts = {r.term: r.n_rows for r in self.at("counts", *terms).collect()}
+        rarest = min(dict.fromkeys(terms), key=lambda t: counts.get(t, 0))
+        if counts.get(rarest, 0) > RARE_ROWS:
+            return None
+        return self.at("tokens", rarest).select("row").distinct()
+
     def phrase(self, text: str | None = None, method: str = "positional") -> DataFrame:
-        """method: positional, biword, or false_positives. Without a text, the first document's first two tokens are asked for."""
+        """method: positional, biword, or false_positives. Without a text, the first document's first two tokens are asked for.
+
+        Of a phrase's terms the rarest is read first, and of the others only what stands in its rows is shuffled.
+        """
         terms = self._phrase(phrase.default_phrase_of(self.arrays) if text is None else text)
-        positional = phrase.positional_lookup(self.tokens, terms, "row", "doc_id")
+        holders = self._holders(terms) if len(set(terms)) > 1 else None
+        within = lambda rows: rows if holders is None else rows.join(F.broadcast(holders), "row", "left_semi")
+        positional = phrase.positional_lookup(within(self.at("tokens", *terms)), terms, "row", "doc_id")
         if method == "positional":
             return positional.drop("row")
-        pairs = self.tokens.select(F.col("term").alias("biword"), "row", "doc_id") if len(terms) == 1 else self.biwords
+        single = len(terms) == 1
+        pairs = self.at("tokens", *terms).select(F.col("term").alias("biword"), "row", "doc_id") if single else within(self.at("biwords", *phrase.pairs(terms)))
         found = phrase.biword_lookup(pairs, terms, "row", "doc_id")
         if method == "false_positives":
             found = found.join(positional, "row", "left_anti") if len(terms) >= 3 else found.where(F.lit(False))
@@ -83,6 +108,11 @@ class StoredCollection:
     def lookup_latency(self, entries: str | None = None, iterations: int = 5000) -> DataFrame:
         return dictionary.lookup_latency(self.tokens, dictionary.default_entries(self.terms) if entries is None else entries, self.cfg, iterations, **self.lexical)
 
+    def read_latency(self, entries: str | None = None, reads: int = 20) -> DataFrame:
+        """How long separate look-ups take: (query_term, in_corpus, reads, and percentiles of search and retrieval in microseconds) for each entry."""
+        entries = dictionary.default_entries(self.terms) if entries is None else entries
+        return dictionary.read_latency(self.terms, entries, lambda t: self.at("counts", t), lambda t: self.at("tokens", t), reads, self.cfg, **self.lexical)
+
     def wildcard(self, pattern: str) -> DataFrame:
         """One range of rotations; a pattern that is not its own lower case has its candidates among the bigrams, as on an unstored collection."""
         if pattern == pattern.lower() or "*" not in pattern:
@@ -100,5 +130,5 @@ class StoredCollection:
         return spelling.spell_blocks(self.blocks, word, max_dist)
 
     def phonetic(self, word: str) -> DataFrame:
-        """The word's code is a constant of the plan, so the filter reaches the scan."""
+        """The word's code is known when the plan is built, so the filter reaches the scan."""
         return tolerant.coded(self.codes, word)

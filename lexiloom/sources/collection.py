@@ -64,12 +64,31 @@ def select_document(docs: DataFrame, doc_id) -> DataFrame:
     return docs.where(F.col("doc_id") == F.lit(doc_id)).select("doc_id", "text")
 
 
-def store_index(index: DataFrame, path: str, *keys: str) -> None:
+def store_index(index: DataFrame, path: str, *keys: str, bloom: bool = False) -> None:
     """Writes an index sorted by its keys within files of key ranges, so that scans skip files and row groups.
 
-    Further keys than the first let the ranges cut through a frequent one.
+    Further keys than the first let the ranges cut through a frequent one. bloom: row groups also have Bloom filters of the first key, so that a scan
+    for one value skips those that lack it even where it lies within their range.
     """
-    index.repartitionByRange(*[F.col(k) for k in keys]).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
+    writer = index.repartitionByRange(*[F.col(k) for k in keys]).sortWithinPartitions(*keys).write.mode("overwrite")
+    writer = writer.option(f"parquet.bloom.filter.enabled#{keys[0]}", "true").option(f"parquet.bloom.filter.adaptive.enabled#{keys[0]}", "true") if bloom else writer
+    writer.parquet(path)
+
+
+def store_ranges(spark: SparkSession, path: str, key: str, manifest: str) -> None:
+    """Writes what range of a key each file of an index holds: (file, first, last), a row for each file."""
+    files = spark.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("file"))
+    files.agg(F.min(key).alias("first"), F.max(key).alias("last")).coalesce(1).write.mode("overwrite").parquet(manifest)
+
+
+def read_ranges(spark: SparkSession, path: str, key: str, manifest: str, values: list[str]) -> DataFrame:
+    """The rows of an index that have one of these keys, read from the files whose range may hold one; the other files are not even opened."""
+    inside = F.lit(False)
+    for v in values:
+        inside = inside | F.lit(v).between(F.col("first"), F.col("last"))
+    files = [r.file for r in spark.read.parquet(manifest).where(inside).select("file").collect()]
+    frame = spark.read.parquet(path) if not files else spark.read.schema(spark.read.parquet(path).schema).parquet(*sorted(files))
+    return frame.where(F.col(key).isin(*values) if files and values else F.lit(False))
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

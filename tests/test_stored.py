@@ -117,3 +117,55 @@ def test_no_terms(spark, tmp_path):
     kept = stored.build(Collection(spark.createDataFrame([(1, None)], "doc_id long, text string"), PLAIN), str(tmp_path))
     assert kept.wildcard("*").count() == kept.spell("word").count() == kept.samples().count() == kept.phrase("a b").count() == 0
     assert kept.spell_blocks("word").first().asDict() == {"blocks": 0, "blocks_read": 0, "terms": 0, "terms_read": 0}
+
+
+def leaves(df):
+    """Rows that come out of each scan of a query that has run, and the plan."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    todo, out = [plan], []
+    while todo:
+        node = todo.pop()
+        if "Adaptive" in node.nodeName():
+            todo.append(node.executedPlan())
+            continue
+        if "QueryStage" in node.getClass().getSimpleName():
+            todo.append(node.plan())
+            continue
+        if "Scan parquet" in node.nodeName():
+            out.append(node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return out, plan.toString()
+
+
+def test_point_reads_open_only_files_of_their_range_and_skip_by_bloom_filters(spark, tmp_path):
+    words = [f"w{i:05d}" for i in range(0, 4000, 2)]
+    docs = spark.createDataFrame([(i, " ".join(words[k] for k in range(i, 2000, 50))) for i in range(50)], "doc_id long, text string").repartition(2)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    kept = stored.build(Collection(docs, PLAIN), str(tmp_path))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    ranges = spark.read.parquet(f"{kept.path}/ranges/tokens").collect()
+    assert len(ranges) > 1 and all(r.first <= r.last for r in ranges)
+    assert len(kept.at("tokens", "w00100").inputFiles()) == 1
+    assert kept.at("tokens", "w00100").count() == 1 and kept.at("tokens", "w00100", "w03998", "w00101").count() == 2
+    assert leaves(kept.at("tokens", "w00101"))[0] == [0]  # within a range, but in no Bloom filter
+    assert leaves(kept.at("tokens", "w00100"))[0] != [0]
+    assert kept.at("tokens", "zzz").count() == 0 and kept.at("tokens").count() == 0
+    told = {r.query_term: r for r in kept.read_latency("w00100, w00101", 3).collect()}
+    assert told["w00100"].in_corpus and not told["w00101"].in_corpus and told["w00100"].search_p50_us <= told["w00100"].search_p99_us
+
+
+def test_a_rare_term_leaves_out_rows_of_the_others_before_they_are_shuffled(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, ("rare " if i == 7 else "") + "common words in common places " * 5) for i in range(300)], "doc_id long, text string")
+    plain = Collection(docs, PLAIN)
+    kept = stored.build(plain, str(tmp_path))
+    for text in ("rare common words", "common words", "absent common"):
+        for method in ("positional", "biword", "false_positives"):
+            want = rows(plain.phrase(text, method))
+            for most in (stored.RARE_ROWS, 0):
+                monkeypatch.setattr(stored, "RARE_ROWS", most)
+                assert rows(kept.phrase(text, method)) == want, (text, method, most)
+    monkeypatch.setattr(stored, "RARE_ROWS", 1 << 20)
+    plan = leaves(kept.phrase("rare common words"))[1]
+    assert "LeftSemi" in plan and plan.index("Exchange") < plan.index("LeftSemi")  # the join is below the exchange

@@ -38,7 +38,10 @@ def _joined(rows: DataFrame, column: str, cfg: AnalyzerConfig, lexicon: DataFram
 def normalised(rows: DataFrame, column: str, cfg: AnalyzerConfig, lexicon: DataFrame | None = None, exceptions: DataFrame | None = None) -> DataFrame:
     """A column of tokens after the norm alone, one row for each row."""
     norm = _in_place(cfg, lexicon, exceptions)
-    return _joined(rows, column, cfg, lexicon, exceptions) if norm is None else rows.withColumn(column, norm(F.col(column)))
+    if norm is None:
+        return _joined(rows, column, cfg, lexicon, exceptions)
+    # The generator keeps Catalyst from inlining stems wherever the tokens are used, in lambdas once for each element.
+    return rows if cfg.norm == "none" else rows.withColumn(column, F.explode(F.array(norm(F.col(column)))))
 
 
 def analyzed(docs: DataFrame, cfg: AnalyzerConfig = AnalyzerConfig(), lexicon: DataFrame | None = None, exceptions: DataFrame | None = None) -> DataFrame:

@@ -9,29 +9,30 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _mapped(values: pa.Array, f: Callable[[str], str]) -> pa.Array:
+def _mapped(values: pa.Array, f: Callable[[str], str] | Callable[[list[str]], list[str]], many: bool) -> pa.Array:
     coded = values.cast(pa.string()).dictionary_encode()
-    found = pa.array([None if x is None else f(x) for x in coded.dictionary.to_pylist()], pa.string())
+    words = coded.dictionary.to_pylist()
+    found = pa.array(f(words) if many else [None if x is None else f(x) for x in words], pa.string())
     return found.take(coded.indices)
 
 
-def on_terms(terms: Column, f: Callable[[str], str]) -> Column:
-    """f of a string column."""
+def on_terms(terms: Column, f: Callable, many: bool = False) -> Column:
+    """f of a string column. many: f maps a list of distinct words at once."""
 
     @F.arrow_udf("string")
     def mapped(values: pa.Array) -> pa.Array:
-        return _mapped(values, f)
+        return _mapped(values, f, many)
 
     return mapped(terms)
 
 
-def on_tokens(tokens: Column, f: Callable[[str], str]) -> Column:
-    """f of every element of an array column, without exploding or shuffling it."""
+def on_tokens(tokens: Column, f: Callable, many: bool = False) -> Column:
+    """f of every element of an array column, without exploding or shuffling it. many: f maps a list of distinct words at once."""
 
     @F.arrow_udf("array<string>")
     def mapped(values: pa.Array) -> pa.Array:
         sizes = values.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         offsets = pa.array([0, *sizes.cumsum().tolist()], pa.int32())
-        return pa.ListArray.from_arrays(offsets, _mapped(values.flatten(), f))
+        return pa.ListArray.from_arrays(offsets, _mapped(values.flatten(), f, many))
 
     return mapped(tokens)

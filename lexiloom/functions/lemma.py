@@ -6,6 +6,12 @@ rules are complete, the data is whatever the caller supplies.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,25 +78,78 @@ def noun_forms(nouns, exceptions: dict[str, str]) -> dict[str, str]:
     return {form: lemma for form, lemma in ({f: n for f, (_, n) in best.items()} | exceptions).items() if form != lemma}
 
 
-def lemma_forms(lexicon: DataFrame | None, exceptions: DataFrame | None) -> dict[str, str] | None:
-    """noun_forms of a lexicon and exceptions, or of the seed's; None if they have more than LEXICON_WORDS words."""
+#: Words of a lexicon up to which the words themselves, packed, are sent (some 25 bytes each); beyond, terms are joined.
+PACKED_WORDS = 5_000_000
+
+
+@dataclass(frozen=True)
+class PackedWords:
+    """A set of words as three arrays, in the order of their hashes: about 12 bytes a word and its letters."""
+
+    hashes: np.ndarray
+    offsets: np.ndarray
+    letters: bytes
+
+    @classmethod
+    def of(cls, words: pa.Array) -> PackedWords:
+        raws = words.cast(pa.binary()).to_pylist()
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in raws), np.uint64, len(raws))
+        order = np.argsort(hashes, kind="stable")
+        sizes = np.fromiter((len(raws[i]) for i in order), np.int64, len(raws))
+        return cls(hashes[order], np.concatenate([[0], np.cumsum(sizes)]), b"".join([raws[i] for i in order]))
+
+    def holds(self, words: list[bytes]) -> list[bool]:
+        """Which words are in the set: hashes find them, letters decide."""
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+        low, high = (np.searchsorted(self.hashes, hashes, side).tolist() for side in ("left", "right"))
+        at = self.offsets
+        return [any(self.letters[at[k] : at[k + 1]] == w for k in range(a, b)) for w, a, b in zip(words, low, high)]
+
+
+@dataclass(frozen=True)
+class PackedLemmas:
+    """Lemmas by a packed lexicon, which executors hold once a process, and exceptions."""
+
+    nouns: Broadcast
+    irregular: dict[str, str]
+
+    def many(self, words: list[str | None]) -> list[str | None]:
+        """The exception's lemma, else the shortest candidate that is a noun, else the word."""
+        tried = [(i, c) for i, w in enumerate(words) if w is not None for c in [w, *(w[: len(w) - len(s)] + new for s, new in DETACHMENTS if w.endswith(s))]]
+        best: dict[int, str] = {}
+        for (i, c), held in zip(tried, self.nouns.value.holds([c.encode() for _, c in tried])):
+            if held and (i not in best or (len(c), c) < (len(best[i]), best[i])):
+                best[i] = c
+        return [None if w is None else self.irregular.get(w, best.get(i, w)) for i, w in enumerate(words)]
+
+
+Forms = dict[str, str] | PackedLemmas
+
+
+def lemma_forms(lexicon: DataFrame | None, exceptions: DataFrame | None) -> Forms | None:
+    """What lemmas are looked up in: noun_forms of a lexicon and exceptions, or of the seed's; the packed words, if they are over LEXICON_WORDS; None if they are too many for that."""
     nouns, irregular = list(NOUNS), dict(EXCEPTIONS)
-    if lexicon is not None:
-        found = lexicon.where((F.col("pos") == "noun") & F.col("word").isNotNull()).select("word").distinct()
-        nouns = [r.word for r in found.limit(LEXICON_WORDS + 1).collect()]
     if exceptions is not None:
         found = exceptions.where("form is not null and lemma is not null").groupBy("form").agg(F.min("lemma").alias("lemma"))
         irregular = {r.form: r.lemma for r in found.limit(LEXICON_WORDS + 1).collect()}
+    if lexicon is not None:
+        found = lexicon.where((F.col("pos") == "noun") & F.col("word").isNotNull()).select("word").distinct()
+        nouns = [r.word for r in found.limit(LEXICON_WORDS + 1).collect()]
+        if len(irregular) <= LEXICON_WORDS < len(nouns) + len(irregular):
+            whole = found.limit(PACKED_WORDS + 1).toArrow().column("word").combine_chunks()
+            return None if len(whole) > PACKED_WORDS else PackedLemmas(lexicon.sparkSession.sparkContext.broadcast(PackedWords.of(whole)), irregular)
     return None if len(nouns) + len(irregular) > LEXICON_WORDS else noun_forms(nouns, irregular)
 
 
-def lemma_terms(terms: Column, forms: dict[str, str]) -> Column:
+def lemma_terms(terms: Column, forms: Forms) -> Column:
     """Lemmas of a string column."""
-    return on_terms(terms, lambda w: forms.get(w, w))
+    return on_terms(terms, forms.many, many=True) if isinstance(forms, PackedLemmas) else on_terms(terms, lambda w: forms.get(w, w))
 
 
-def lemma_tokens(tokens: Column, forms: dict[str, str], stemmed: bool = False) -> Column:
+def lemma_tokens(tokens: Column, forms: Forms, stemmed: bool = False) -> Column:
     """Lemmas of an array column, or their stems, in place: no join, no shuffle."""
+    if isinstance(forms, PackedLemmas):
+        return on_tokens(tokens, (lambda ws: [None if w is None else stem(w) for w in forms.many(ws)]) if stemmed else forms.many, many=True)
     return on_tokens(tokens, (lambda w: stem(forms.get(w, w))) if stemmed else (lambda w: forms.get(w, w)))
 
 

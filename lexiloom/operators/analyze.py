@@ -14,7 +14,7 @@ from lexiloom.functions.text import hyphen_spaced, plain_tokens, without_stop_wo
 
 
 def _in_place(cfg: AnalyzerConfig, lexicon: DataFrame | None, exceptions: DataFrame | None) -> Callable[[Column], Column] | None:
-    """The norm as a function of a column of tokens; None if the lexicon has more than LEXICON_WORDS words."""
+    """The norm as a function of a column of tokens; None if the lexicon has more than PACKED_WORDS words."""
     if cfg.norm == "none":
         return lambda tokens: tokens
     if cfg.norm == "stem":

@@ -217,9 +217,9 @@ def lexical(spark):
     return {"lexicon": spark.createDataFrame(LEXICON, "word string, pos string"), "exceptions": spark.createDataFrame(IRREGULAR, "form string, lemma string")}
 
 
-@pytest.mark.parametrize("words", [lemma.LEXICON_WORDS, 0])
+@pytest.mark.parametrize("words", [lemma.LEXICON_WORDS, 1, 0])
 def test_a_callers_lexicon_reaches_every_query(spark, lexical, monkeypatch, words):
-    """With forms sent to executors, and with terms joined."""
+    """With forms sent to executors, with words packed, and with terms joined."""
     monkeypatch.setattr(lemma, "LEXICON_WORDS", words)
     docs = spark.createDataFrame([(0, "Two quuxen saw zorns and geese."), (1, "One quux."), (2, "")], "doc_id long, text string")
     c = Collection(docs, AnalyzerConfig(norm="lemma"), **lexical)
@@ -247,7 +247,7 @@ def test_lemmas_of_rows_with_one_id_or_none(spark, monkeypatch, words):
     assert [list(r.stage5_norm) for r in Collection(docs, AnalyzerConfig(norm="lemma")).stages(1).orderBy("stage0_raw").collect()] == [["goose", "ran"], ["wolf", "slept"]]
 
 
-def test_lemmas_by_forms_and_by_join(spark):
+def test_lemmas_by_forms_by_packed_words_and_by_join(spark, monkeypatch):
     rnd = random.Random(2)
     nouns = sorted({"".join(rnd.choice("aefhimnsxyz") for _ in range(rnd.randint(1, 5))) for _ in range(400)})
     terms = sorted({n[: len(n) - len(new)] + s for n in nouns for s, new in lemma.DETACHMENTS if n.endswith(new)} | set(nouns) | {"none", "zzz"})
@@ -256,6 +256,20 @@ def test_lemmas_by_forms_and_by_join(spark):
     joined = {r.term: r.lemma for r in lemma.lemma_map(spark.createDataFrame([(t,) for t in terms], "term string"), lexicon, exceptions).collect()}
     forms = lemma.lemma_forms(lexicon, exceptions)
     assert joined == {t: forms.get(t, t) for t in terms}
+    monkeypatch.setattr(lemma, "LEXICON_WORDS", 2)
+    packed = lemma.lemma_forms(lexicon, exceptions)
+    assert isinstance(packed, lemma.PackedLemmas) and joined == dict(zip(terms, packed.many(terms))) and packed.many([None]) == [None]
+    monkeypatch.setattr(lemma, "PACKED_WORDS", 3)
+    assert lemma.lemma_forms(lexicon, exceptions) is None
+
+
+def test_two_million_words_without_an_exchange_of_documents(spark):
+    lexicon = spark.range(2_000_000).select(F.concat(F.lit("n"), F.conv(F.col("id").cast("string"), 10, 36)).alias("word"), F.lit("noun").alias("pos"))
+    lexicon = lexicon.select(F.lower("word").alias("word"), "pos")
+    docs = spark.createDataFrame([(1, "n1abs nzzzzzs n0 boxes"), (2, None)], "doc_id long, text string")
+    c = Collection(docs, AnalyzerConfig(norm="lemma"), lexicon)
+    assert "Exchange" not in c.arrays._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc_id: list(r.tokens) for r in c.arrays.collect()} == {1: ["n1ab", "nzzzzzs", "n0", "boxes"], 2: []}
 
 
 def test_spelling_in_bulk_against_brute_force(spark):

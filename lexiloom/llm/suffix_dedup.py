@@ -9,8 +9,11 @@ A byte goes if some string of LENGTH bytes over it also starts in a document wit
    Of anchors with different segments, one copy of each segment is fetched from its document. An anchor
    of more than HOT different segments (a common string in many surroundings) does not stay together:
    its windows are dealt anew by the anchor and CONTEXT bytes after it, or before it where a window has
-   fewer after it, so that equal windows still meet, but not all surroundings.
-3. Those segments are joined to one text and indexed: suffixes are sorted to a depth of 64 by
+   fewer after it, so that equal windows still meet, but not all surroundings. An anchor of more than
+   HOTTEST different segments may lie in a longer string that is as common. Its windows are dealt one by
+   one, by all their LENGTH bytes, and compared as bytes; a task sends one copy of each. So what is
+   indexed together for the sake of one anchor has a fixed bound.
+3. All other segments are joined to one text and indexed: suffixes are sorted to a depth of 64 by
    doubling, which gives the Burrows-Wheeler transform. Common prefixes follow by increasing value:
    starting from the boundaries between first letters, each step extends all intervals backwards by
    one letter through the transform, which sets exactly the boundaries with the next value, and
@@ -47,12 +50,16 @@ LENGTH, ANCHOR = 50, 20
 DEPTH = 64
 #: Different segments of an anchor that are indexed together, and the bytes by which those of others are dealt.
 HOT, CONTEXT = 512, 15
+#: Different segments of an anchor beyond which its windows are dealt one by one.
+HOTTEST = 16 * HOT
 #: Bytes of text for each bucket up to 1 GB of input; beyond, buckets grow with its cube root, so that pieces stay of useful size.
 BUCKET_BYTES = 4 << 20
 #: Bytes hashed at once (a longer text is cut into overlapping pieces), and bytes whose segments are sent together.
 PIECE, BATCH = 1 << 20, 8 << 20
 _BLOB = "kind int, place long, data binary"
-SEGMENTS, SPANS, NEEDS, TEXTS = 0, 1, 2, 3
+SEGMENTS, SPANS, NEEDS, TEXTS, WINDOWS = 0, 1, 2, 3, 4
+#: In place of a bucket: the segment's windows are dealt by their surroundings, or one by one.
+BY_CONTEXT, BY_WINDOW = -1, -2
 
 
 # ---- packed columns
@@ -225,11 +232,12 @@ def _settle(n: int):
             starts = np.flatnonzero(by_anchor)
             shared = np.minimum.reduceat(rows["id"], starts) < np.maximum.reduceat(rows["id"], starts)
             index = ~known & ((contents > 1) & shared)[group]
-            hot = (contents > HOT)[group]
+            different = contents[group][index]
             spans = _spans_of({k: v[known] for k, v in rows.items()})
             out += _dealt(SPANS, _place(spans["id"], spans["tag"], n), spans)
             needs = {k: rows[k][index] for k in ("id", "tag", "start", "windows")}
-            needs["bucket"] = np.where(hot[index], -1, table.column("bucket")[0].as_py()).astype(np.int64)
+            bucket = table.column("bucket")[0].as_py()
+            needs["bucket"] = np.select([different > HOTTEST, different > HOT], [BY_WINDOW, BY_CONTEXT], bucket).astype(np.int64)
             out += _dealt(NEEDS, _place(needs["id"], needs["tag"], n), needs)
         return _table(out)
 
@@ -238,7 +246,7 @@ def _settle(n: int):
 
 def _halves(rows: dict[str, np.ndarray], n: int) -> dict[str, np.ndarray]:
     """Deals the segments of hot anchors by what surrounds the anchor: their windows with CONTEXT bytes after it, and the others."""
-    hot = np.flatnonzero(rows["bucket"] < 0)
+    hot = np.flatnonzero(rows["bucket"] == BY_CONTEXT)
     if not len(hot):
         return rows
     parts: dict[str, list] = {k: [] for k in rows}
@@ -257,6 +265,39 @@ def _halves(rows: dict[str, np.ndarray], n: int) -> dict[str, np.ndarray]:
     return {k: np.concatenate([v[cold], np.array(parts[k], v.dtype)]) for k, v in rows.items()}
 
 
+def _runs(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Spans of windows, consecutive ones together."""
+    order = np.lexsort((rows["start"], rows["tag"], rows["id"]))
+    new = _first_of_groups(order, rows["id"], rows["tag"])
+    start = rows["start"][order]
+    new[1:] |= start[1:] != start[:-1] + 1
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(order))[: len(first)] - 1
+    return {"id": rows["id"][order][first], "tag": rows["tag"][order][first], "start": start[first], "end": start[last] + LENGTH}
+
+
+def _one_by_one(rows: dict[str, np.ndarray], n: int) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """The windows of segments, with their buckets, one copy of each; and the spans of those that a smaller document here has."""
+    data = np.frombuffer(b"".join(rows["bytes"].tolist()), np.uint8)
+    windows = rows["windows"].astype(np.int64)
+    begins = np.cumsum(windows + LENGTH - 1) - windows - LENGTH + 1
+    row = np.repeat(np.arange(len(windows)), windows)
+    offset = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
+    at = begins[row] + offset
+    hashes = window_hashes(Rolling(data), LENGTH)[at]
+    order = np.lexsort((rows["id"][row], hashes))
+    row, offset, at, hashes = row[order], offset[order], at[order], hashes[order]
+    content = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
+    new = np.diff(hashes, prepend=~hashes[:1]) != 0
+    same = np.flatnonzero(~new)
+    new[same] = (content[at[same]] != content[at[same - 1]]).any(1)
+    found = {"id": rows["id"][row], "tag": rows["tag"][row], "start": rows["start"][row] + offset}
+    gone = found["id"] > found["id"][new][np.cumsum(new) - 1]
+    kept = {k: v[~gone] for k, v in found.items()} | {"bucket": (hashes[~gone] % np.uint64(n)).astype(np.int64)}
+    kept["bytes"] = np.ascontiguousarray(content[at[~gone]]).view(f"V{LENGTH}").ravel()
+    return kept, _runs({k: v[gone] for k, v in found.items()})
+
+
 def _fetch(n: int):
     """Takes the needed segments' bytes from the texts of one place."""
 
@@ -287,9 +328,17 @@ def _fetched(texts: pa.Table, needs: pa.Table, n: int) -> pa.Table:
     chosen = np.concatenate(chosen)
     held = np.empty(len(parts), object)
     held[:] = parts
-    rows = _halves({k: v[chosen] for k, v in rows.items()} | {"bytes": held}, n)
-    bucket = rows.pop("bucket")
-    return _table(list(_dealt(TEXTS, bucket, rows)))
+    rows = {k: v[chosen] for k, v in rows.items()} | {"bytes": held}
+    out = []
+    single = rows["bucket"] == BY_WINDOW
+    if single.any():
+        windows, spans = _one_by_one({k: v[single] for k, v in rows.items()}, n)
+        windows["bytes"] = np.array(windows["bytes"].tolist(), object)
+        out += _dealt(WINDOWS, windows.pop("bucket"), windows)
+        out += _dealt(SPANS, _place(spans["id"], spans["tag"], n), spans)
+    rows = _halves({k: v[~single] for k, v in rows.items()}, n)
+    out += _dealt(TEXTS, rows.pop("bucket"), rows)
+    return _table(out)
 
 
 # ---- the index
@@ -344,11 +393,32 @@ def equal_windows(text: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, n
     return order, np.cumsum(closed) - 1
 
 
+def _equal(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Spans of windows, all of LENGTH bytes, that a smaller document has."""
+    content = rows.pop("bytes").combine_chunks().dictionary_encode().indices.to_numpy()
+    least = np.full(content.max() + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, content, rows["id"])
+    gone = rows["id"] > least[content]
+    return _runs({k: v[gone] for k, v in rows.items()})
+
+
 def _index(n: int):
-    """A bucket's segments to spans: windows that a smaller document has."""
+    """A bucket's segments and windows to spans: what a smaller document has; spans pass."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = _unpack(x.as_py() for x in table.column("data"))
+        kinds = table.column("kind").to_numpy()
+        places, data = table.column("place"), table.column("data")
+        of = lambda kind: np.flatnonzero(kinds == kind).tolist()
+        out = [(SPANS, places[i].as_py(), data[i].as_py()) for i in of(SPANS)]
+        if of(WINDOWS):
+            spans = _equal(_unpack(data[i].as_py() for i in of(WINDOWS)))
+            out += _dealt(SPANS, _place(spans["id"], spans["tag"], n), spans)
+        if of(TEXTS):
+            spans = indexed(_unpack(data[i].as_py() for i in of(TEXTS)))
+            out += _dealt(SPANS, _place(spans["id"], spans["tag"], n), spans)
+        return _table(out)
+
+    def indexed(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         numbers: dict[bytes, int] = {}
         content = np.array([numbers.setdefault(x, len(numbers)) for x in rows.pop("bytes").to_pylist()], np.int64)
         parts = list(numbers)
@@ -380,8 +450,7 @@ def _index(n: int):
         k = np.repeat(begins[content], repeat) + np.arange(len(row)) - np.repeat(np.cumsum(repeat) - repeat, repeat)
         shift = rows["start"][row] - starts[content[row]]
         spans = {"id": rows["id"][row], "tag": rows["tag"][row], "start": first[k] + shift, "end": last[k] + shift + LENGTH - 1}
-        spans = {k: np.concatenate([whole[k], v]) for k, v in spans.items()}
-        return _table(list(_dealt(SPANS, _place(spans["id"], spans["tag"], n), spans)))
+        return {k: np.concatenate([whole[k], v]) for k, v in spans.items()}
 
     return run
 

@@ -190,27 +190,27 @@ def test_suffix_dedup_of_cut_and_changed_copies(spark, monkeypatch):
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=repr) == brute_removed(docs)
 
 
-def test_suffix_dedup_of_a_hot_string(spark, monkeypatch):
-    """A string of 30 bytes in 4000 surroundings: no bucket gets them all, and nothing is lost."""
+@pytest.mark.parametrize("size", [30, 60, 400])
+def test_suffix_dedup_of_a_hot_string(spark, monkeypatch, size):
+    """A string in very many surroundings, shorter or longer than the least length: no bucket gets them all, and nothing is lost."""
     rnd = random.Random(14)
     noise = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
-    hot = "one very common string, thirty"
-    assert len(hot) == 30
-    texts = [f"{noise(60)}{hot}{noise(60)}" for _ in range(4000)]
+    hot = ("one very common string, thirty" + noise(size))[:size]
+    texts = [f"{noise(60)}{hot}{noise(60)}" for _ in range(4000 if size == 30 else 1200)]
     for i in range(0, 400, 4):  # repeated strings across the hot one: 50 bytes and more around it, before it, after it; and 49, which are none
         cut = ((40, 110), (15, 90), (75, 140), (50, 99))[i // 4 % 4]
         texts[i + 2] = noise(20) + texts[i][cut[0] : cut[1]] + noise(20)
     docs = [(i, t) for i, t in enumerate(texts)]
 
-    def largest(n=64):
-        """The most bytes that a bucket indexes; all steps run in this process."""
+    def bytes_by_bucket(n=64):
+        """The bytes that each bucket indexes or compares; all steps run in this process."""
         rows = [(i, 0, t.encode()) for i, t in docs]
         cut = suffix_dedup._cut(n)(iter([pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows]) for k in range(3)], ["id", "tag", "raw"])]))
 
-        def dealt(found, kind):
+        def dealt(found, *kinds):
             parts: dict = {}
             for r in found:
-                if r["kind"] == kind:
+                if r["kind"] in kinds:
                     parts.setdefault(r["place"], []).append(r)
             return parts
 
@@ -222,17 +222,38 @@ def test_suffix_dedup_of_a_hot_string(spark, monkeypatch):
         for p, part in dealt(settled, suffix_dedup.NEEDS).items():
             held = pa.Table.from_pylist([{"id": r[0], "tag": r[1], "raw": r[2]} for r in rows if (r[0] ^ r[1]) % n == p])
             found += suffix_dedup._fetch(n)(held, packed(part, p)).to_pylist()
-        return max(sum(sum(map(len, suffix_dedup._unpack([r["data"]])["bytes"].to_pylist())) for r in part) for part in dealt(found, suffix_dedup.TEXTS).values())
-
-    split = largest()
-    with monkeypatch.context() as together:
-        together.setattr(suffix_dedup, "HOT", 1 << 30)
-        assert split < largest() / 4
+        parts = dealt(found, suffix_dedup.TEXTS, suffix_dedup.WINDOWS).values()
+        return sorted(sum(sum(map(len, suffix_dedup._unpack([r["data"]])["bytes"].to_pylist())) for r in part) for part in parts)
+
+    if size == 30:
+        split = bytes_by_bucket()[-1]
+        with monkeypatch.context() as together:
+            together.setattr(suffix_dedup, "HOT", 1 << 30)
+            together.setattr(suffix_dedup, "HOTTEST", 1 << 30)
+            assert split < bytes_by_bucket()[-1] / 4
+    else:
+        monkeypatch.setattr(suffix_dedup, "HOTTEST", suffix_dedup.HOT)
+        split = bytes_by_bucket()
+        assert split[-1] < 2 * split[len(split) // 2]
     monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 1 << 13)
     got = suffix_dedup.digest(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=repr) == brute_removed(docs)
 
 
+def test_suffix_dedup_window_by_window(spark, monkeypatch):
+    """With every anchor dealt one window at a time, results stay as they are: repeated ids, ids of any sign, zero bytes."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 1)
+    monkeypatch.setattr(suffix_dedup, "HOTTEST", 1)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 3000)
+    rnd = random.Random(31)
+    base = ["".join(rnd.choice(letters) for _ in range(200)) for letters in ("ab", "xyz é", "\0\1", "0123456789")]
+    piece = lambda: (lambda t, at: t[at : at + rnd.choice([20, 49, 50, 51, 90])])(rnd.choice(base), rnd.randrange(150))
+    docs = [(rnd.randrange(-100, 100), "".join(piece() for _ in range(rnd.randint(1, 5)))) for _ in range(250)]
+    docs += [docs[0], docs[1], (7, docs[2][1]), (None, docs[3][1])]
+    got = suffix_dedup.digest(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=repr) == brute_removed(docs)
+
+
 # ---- licences
 
 

@@ -42,7 +42,7 @@ FAMILIES: dict[str, tuple[tuple[str, ...], tuple[str, ...], tuple[str, ...]]] =
         ),
     ),
     "gpl": (
-        ("GNU General Public License, version 2", "GNU General Public License, version 3", "GNU General Public License", "GNU GPL v2 license", "GNU GPL v3 license"),
+        ("GNU General Public License, version 2", "GNU General Public License, version 3", "GNU General Public License", "GNU GPL v2 license", "GNU GPL v3 license", "GPLv2", "GPLv3"),
         ("GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later"),
         (
             "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
@@ -51,7 +51,7 @@ FAMILIES: dict[str, tuple[tuple[str, ...], tuple[str, ...], tuple[str, ...]]] =
         ),
     ),
     "lgpl": (
-        ("GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License, version 3", "GNU Lesser General Public License", "GNU LGPL license"),
+        ("GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License, version 3", "GNU Lesser General Public License", "GNU LGPL license", "LGPLv2.1", "LGPLv3"),
         ("LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-or-later"),
         (
             "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
@@ -60,7 +60,7 @@ FAMILIES: dict[str, tuple[tuple[str, ...], tuple[str, ...], tuple[str, ...]]] =
         ),
     ),
     "agpl": (
-        ("GNU Affero General Public License, version 3", "GNU Affero General Public License", "GNU AGPL license"),
+        ("GNU Affero General Public License, version 3", "GNU Affero General Public License", "GNU AGPL license", "AGPLv3"),
         ("AGPL-3.0-only", "AGPL-3.0-or-later"),
         (
             "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
@@ -129,7 +129,8 @@ FAMILIES: dict[str, tuple[tuple[str, ...], tuple[str, ...], tuple[str, ...]]] =
 
 # How notices name a licence; {} is the name or identifier.
 NOTICES = ("Licensed under {}.", "Licensed under the {}.", "Released under the {}.", "This work is licensed under the {}.", "Distributed under the terms of the {}.")
-IDENTIFIER = "SPDX-License-Identifier: {}"
+# How short identifiers are given.
+CLAIMS = ("SPDX-License-Identifier: {}", "{} licensed", "{} license", "licence {}")
 
 # Sentences that share words with licences and are none.
 ORDINARY = (

@@ -295,12 +295,34 @@ def test_license_model_of_unseen_families():
     model = license_scan.default_model()
     for family, texts in license_scan.templates().items():
         for t in texts:
-            assert license_scan.gated(t) and [f for f, _ in model.findings(t)] == [family], t
+            assert model.bound(t) >= 1 and [f for f, _ in model.findings(t)] == [family], t
     unseen, ordinary = (model.calibration["large"][model.calibration["is_licence"] == x] for x in (True, False))
     assert (unseen >= model.licence_threshold).mean() > 0.9 and (ordinary < model.licence_threshold).mean() > 0.9
     assert (model.calibration["best"][model.calibration["is_licence"]] >= model.threshold).mean() <= 0.06
 
 
+def test_license_bound_drops_no_finding(spark):
+    """Short and foreign notices, and words of templates in any mixture: what is not scored holds no finding."""
+    model = license_scan.default_model()
+    short = {
+        "Released under GPLv3.": {"gpl", "unknown"}, "GPL-2.0-or-later": {"gpl"}, "This project is MIT licensed.": {"mit"},
+        "Ce logiciel est distribué sous licence Apache 2.0": {"apache-2.0"}, "You may use it under MPL-2.0": {"mpl-2.0"},
+    }
+    rnd = random.Random(41)
+    words = sorted({w for texts in license_scan.templates().values() for t in texts for w in license_scan.tokens(t)})
+    pieces = [p for texts in license_scan.templates().values() for t in texts for p in re.findall(r"(?:\S+\s*){1,4}", t)]
+    mixed = [" ".join(rnd.choice((words, pieces, ["plain", "prose"])[rnd.randrange(3)]) for _ in range(rnd.randint(1, 12))) for _ in range(1500)]
+    texts = [*short, *mixed, " ".join(license_scan.FUNCTION_WORDS), "Apache helicopters flew over the domain.", "Die Reise mit dem Zug."]
+    found = rows(license_scan.scan_licenses(frame(spark, texts)))
+    for i, t in enumerate(texts):
+        want = [f for f, _ in model.findings(re.sub(r"[A-Z]", lambda m: m[0].lower(), t))]
+        assert [x.family for x in found[i].licenses] == want, t
+        assert not want or model.bound(t) >= 1
+        assert t not in short or set(want) & short[t], t
+    assert any(model.bound(t) < 1 for t in mixed) and any(found[len(short) + k].licenses for k in range(len(mixed)))
+    assert not any(found[len(texts) - k].licenses for k in (1, 2, 3))
+
+
 # ---- mixing
 
 

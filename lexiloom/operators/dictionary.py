@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions.config import AnalyzerConfig
 from lexiloom.functions.text import comma_list
 from lexiloom.operators.analyze import analyzed
-from lexiloom.operators.index import inverted_index
+from lexiloom.operators.index import empty_list, inverted_index
 
 
 def lookup_terms(frame: DataFrame, entries: str, cfg: AnalyzerConfig, **lexical: DataFrame) -> DataFrame:
@@ -24,8 +24,8 @@ def lookup_terms(frame: DataFrame, entries: str, cfg: AnalyzerConfig, **lexical:
     )
 
 
-def dictionary_lookup(tokens: DataFrame, entries: str, cfg: AnalyzerConfig = AnalyzerConfig(), **lexical: DataFrame) -> DataFrame:
-    """(query_term, in_corpus, chunk, docs) for each entry of a comma-separated list; docs in chunks as in the index.
+def dictionary_lookup(tokens: DataFrame, entries: str, cfg: AnalyzerConfig = AnalyzerConfig(), lists: Callable[[DataFrame], DataFrame] = inverted_index, **lexical: DataFrame) -> DataFrame:
+    """(query_term, in_corpus, chunk, docs) for each entry of a comma-separated list; docs in chunks as in the index, or, with lists=inverted_list, one text.
 
     The few terms are known when the plan is built, so the token table is filtered by them before it is
     shuffled, and the terms' documents are gathered for those terms alone.
@@ -33,9 +33,9 @@ def dictionary_lookup(tokens: DataFrame, entries: str, cfg: AnalyzerConfig = Ana
     terms = lookup_terms(tokens, entries, cfg, **lexical)
     wanted = [r.term for r in terms.select("term").distinct().collect()]
     found = tokens.where(F.col("term").isin(*wanted) if wanted else F.lit(False)).select("term", "doc_id")
-    docs = inverted_index(found)
+    docs = lists(found)
     joined = terms.join(docs, "term", "left")
-    empty = F.array().cast(docs.schema["docs"].dataType)
+    empty = empty_list(docs, "docs")
     return joined.select("query_term", F.col("docs").isNotNull().alias("in_corpus"), F.coalesce("chunk", F.lit(0)).alias("chunk"), F.coalesce("docs", empty).alias("docs"))
 
 

@@ -2,15 +2,17 @@
 
 The long forms (postings, biword_postings, kgram_pairs, soundex_pairs, the token table) are the indexes that queries
 read. The forms with arrays are for results: a key's members come in chunks of about CHUNK, dealt by hash,
-so no row grows with the collection; a key with at most CHUNK members has chunk 0 alone.
+so no row grows with the collection; a key with at most CHUNK members has chunk 0 alone. The forms with text (listed)
+have one row for each key, however many members it has.
 """
 
 from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lexiloom.functions.text import ALPHA, biwords, kgrams, soundex_code
 
@@ -35,6 +37,27 @@ def in_chunks(pairs: DataFrame, key: str, by: str, members: Column, names: tuple
     return dealt.groupBy(key, "chunk").agg(F.coalesce(F.max("all"), F.count("*")).alias(n), F.array_sort(F.collect_list(members)).alias(name))
 
 
+def listed(pairs: DataFrame, key: str, members: str, names: tuple[str, str]) -> DataFrame:
+    """(key, chunk 0, number of members, members as text) of pairs: all members of a key, each once, ascending, with commas between.
+
+    One exchange. A key's rows are sorted, on disk where they are many; as members only CHUNK at a time are held, and of a whole key its text alone.
+    Null counts as a member, and has no text.
+    """
+    n, name = names
+    piece = F.floor((F.col("place") - 1) / CHUNK)
+    ranked = pairs.withColumn("place", F.dense_rank().over(Window.partitionBy(key).orderBy(members)))
+    text = F.array_join(F.transform(F.array_sort(F.collect_set(members)), lambda x: x.cast("string")), ",")
+    pieces = ranked.groupBy(key, piece.alias("piece")).agg(F.max("place").cast("long").alias(n), text.alias("text"))
+    whole = pieces.groupBy(key).agg(F.max(n).alias(n), F.array_sort(F.collect_list(F.struct("piece", "text"))).alias("texts"))
+    return whole.select(key, F.lit(0).alias("chunk"), n, F.array_join(F.transform("texts", lambda x: x["text"]), ",").alias(name))
+
+
+def empty_list(lists: DataFrame, name: str) -> Column:
+    """No members, as in_chunks or listed would give them."""
+    kind = lists.schema[name].dataType
+    return F.lit("") if kind == StringType() else F.array().cast(kind)
+
+
 def _term_pairs(frame: DataFrame) -> DataFrame:
     """(term, doc_id) of a token table or of token arrays; of arrays, each once a row."""
     if "tokens" in frame.columns:
@@ -52,6 +75,11 @@ def inverted_index(frame: DataFrame, most: int | None = None) -> DataFrame:
     return in_chunks(_term_pairs(frame), "term", "doc_id", F.col("doc_id"), ("df", "docs"), most)
 
 
+def inverted_list(frame: DataFrame) -> DataFrame:
+    """inverted_index with one row for each term, its documents as text."""
+    return listed(_term_pairs(frame), "term", "doc_id", ("df", "docs"))
+
+
 def biword_pairs(arrays: DataFrame, *by: str) -> DataFrame:
     """(biword, doc_id), each once a row; from token arrays, so pairs need no window. by: other columns to keep than doc_id."""
     by = by or ("doc_id",)
@@ -68,6 +96,11 @@ def biword_index(arrays: DataFrame, most: int | None = None) -> DataFrame:
     return in_chunks(biword_pairs(arrays), "biword", "doc_id", F.col("doc_id"), ("df", "docs"), most)
 
 
+def biword_list(arrays: DataFrame) -> DataFrame:
+    """biword_index with one row for each biword, its documents as text."""
+    return listed(biword_pairs(arrays), "biword", "doc_id", ("df", "docs"))
+
+
 def positional_index(tokens: DataFrame) -> DataFrame:
     """(term, doc_id, positions), positions ascending."""
     return tokens.groupBy("term", "doc_id").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
@@ -94,6 +127,11 @@ def kgram_index(terms: DataFrame, k: int = 2) -> DataFrame:
     return in_chunks(kgram_pairs(terms, k), "gram", "term", F.col("term"), ("n", "terms"), distinct=True)
 
 
+def kgram_list(terms: DataFrame, k: int = 2) -> DataFrame:
+    """kgram_index with one row for each k-gram, its terms as text."""
+    return listed(kgram_pairs(terms, k), "gram", "term", ("n", "terms"))
+
+
 def soundex_pairs(terms: DataFrame) -> DataFrame:
     """(code, term) of all-letter terms."""
     alpha = terms.select("term").distinct().where(F.col("term").rlike(ALPHA))
@@ -105,6 +143,11 @@ def soundex_index(terms: DataFrame) -> DataFrame:
     return in_chunks(soundex_pairs(terms), "code", "term", F.col("term"), ("n", "terms"), distinct=True)
 
 
+def soundex_list(terms: DataFrame) -> DataFrame:
+    """soundex_index with one row for each code, its terms as text."""
+    return listed(soundex_pairs(terms), "code", "term", ("n", "terms"))
+
+
 def index_sample(index: DataFrame, key: str, n: int) -> DataFrame:
     """The first n entries by key, as JSON text."""
     order = [key, *(c for c in ("chunk",) if c in index.columns)]

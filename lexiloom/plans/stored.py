@@ -102,8 +102,8 @@ class StoredCollection:
         """What a user is offered for each kind of query."""
         return {"phrase": phrase.default_phrase_of(self.arrays), "lookup": dictionary.default_entries(self.terms), **tolerant.default_queries(self.terms)}
 
-    def lookup(self, entries: str | None = None) -> DataFrame:
-        return dictionary.dictionary_lookup(self.tokens, dictionary.default_entries(self.terms) if entries is None else entries, self.cfg, **self.lexical)
+    def lookup(self, entries: str | None = None, **options) -> DataFrame:
+        return dictionary.dictionary_lookup(self.tokens, dictionary.default_entries(self.terms) if entries is None else entries, self.cfg, **options, **self.lexical)
 
     def lookup_latency(self, entries: str | None = None, iterations: int = 5000) -> DataFrame:
         return dictionary.lookup_latency(self.tokens, dictionary.default_entries(self.terms) if entries is None else entries, self.cfg, iterations, **self.lexical)

@@ -78,8 +78,8 @@ class Collection:
     def phrase_report(self, text: str) -> DataFrame:
         return phrase.phrase_report(self.arrays, self._phrase(text))
 
-    def lookup(self, entries: str | None = None) -> DataFrame:
-        return dictionary.dictionary_lookup(self.tokens, dictionary.default_entries(self.terms) if entries is None else entries, self.cfg, **self.lexical)
+    def lookup(self, entries: str | None = None, **options) -> DataFrame:
+        return dictionary.dictionary_lookup(self.tokens, dictionary.default_entries(self.terms) if entries is None else entries, self.cfg, **options, **self.lexical)
 
     def wildcard(self, pattern: str) -> DataFrame:
         return tolerant.wildcard(self.terms, pattern)
@@ -90,8 +90,8 @@ class Collection:
     def phonetic(self, word: str) -> DataFrame:
         return tolerant.phonetic(self.terms, word)
 
-    def compare(self, queries: list[str] | None = None) -> DataFrame:
-        return evaluate.compare_normalizers(self.docs, self.cfg, queries, **self.lexical)
+    def compare(self, queries: list[str] | None = None, **options) -> DataFrame:
+        return evaluate.compare_normalizers(self.docs, self.cfg, queries, **options, **self.lexical)
 
     def compare_metrics(self, queries: list[str] | None = None) -> DataFrame:
         return evaluate.compare_metrics(self.docs, self.cfg, queries, **self.lexical)

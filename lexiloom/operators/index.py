@@ -117,6 +117,14 @@ def vocabulary(tokens: DataFrame) -> DataFrame:
     return tokens.select("term").distinct()
 
 
+def term_counts(arrays: DataFrame) -> DataFrame:
+    """(term, n, n_rows): how often each term stands in a table of token arrays, and in how many rows. Tasks send a term once, and hold no more than their terms."""
+    ordered = arrays.select(F.array_sort("tokens").alias("tokens"))
+    # In order, a term stands first where it differs from the one before.
+    first = F.transform("tokens", lambda t, i: F.struct(t.alias("term"), ((i == 0) | (t != F.get("tokens", i - 1))).cast("long").alias("first")))
+    return ordered.select(F.inline(first)).groupBy("term").agg(F.count("*").alias("n"), F.sum("first").alias("n_rows"))
+
+
 def kgram_pairs(terms: DataFrame, k: int = 2) -> DataFrame:
     """(gram, term), distinct."""
     return terms.select("term").distinct().select(F.explode(F.array_distinct(kgrams(F.col("term"), k))).alias("gram"), "term")

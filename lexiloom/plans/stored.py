@@ -7,6 +7,8 @@ with one id, or none, stay apart.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,29 +28,48 @@ POINTS = ("tokens", "biwords", "codes", "counts")
 RARE_ROWS = 1 << 20
 
 
-def build(collection: Collection, path: str) -> StoredCollection:
-    """Writes all tables under a path. Texts are analyzed once; what hangs on terms alone is made from the stored terms."""
-    spark, cfg = collection.docs.sparkSession, collection.cfg
+#: What each table is made from.
+MADE_FROM = {
+    "tokens": "arrays", "biwords": "arrays", "counts": "arrays", "terms": "counts", "grams": "terms", "codes": "terms", "permuterm": "terms", "blocks": "terms",
+}
+
+
+def with_sources(*names: str) -> list[str]:
+    """These tables and those they are made from, in the order in which they are built."""
+    found = set(names)
+    for name in names:
+        while name := MADE_FROM.get(name, ""):
+            found.add(name)
+    return [n for n in ("arrays", *MADE_FROM) if n in found]
 
-    def store(name: str, table: DataFrame, ordered: bool = True) -> DataFrame:
-        if ordered:
-            store_index(table, f"{path}/{name}", *TABLES[name], bloom=name in POINTS)
-            if name in POINTS:
-                store_ranges(spark, f"{path}/{name}", TABLES[name][0], f"{path}/ranges/{name}")
-        else:
-            table.write.mode("overwrite").parquet(f"{path}/{name}")
-        return spark.read.parquet(f"{path}/{name}")
-
-    # Numbers rise in the order in which rows are written.
-    arrays = store("arrays", collection.arrays.select(F.monotonically_increasing_id().alias("row"), "doc_id", "tokens"), ordered=False)
-    tokens = store("tokens", arrays.select("row", "doc_id", F.posexplode("tokens").alias("pos", "term")))
-    store("biwords", index.biword_pairs(arrays, "row", "doc_id"))
-    counts = store("counts", tokens.groupBy("term").agg(F.count("*").alias("n"), F.count_distinct("row").alias("n_rows")))
-    terms = store("terms", counts.select("term"))
-    store("grams", index.kgram_pairs(terms))
-    store("codes", index.soundex_pairs(terms))
-    store("permuterm", permuterm.permuterm_pairs(terms))
-    store("blocks", spelling.term_blocks(terms))
+
+def build(collection: Collection, path: str, tables: Iterable[str] = tuple(TABLES), built: Iterable[str] = ()) -> StoredCollection:
+    """Writes tables under a path, all of them unless some are named. Texts are analyzed once; what hangs on terms alone is made from the stored terms.
+
+    A named table brings those that it is made from. built: tables that are there already, of the same collection.
+    """
+    spark, cfg = collection.docs.sparkSession, collection.cfg
+    at = lambda name: spark.read.parquet(f"{path}/{name}")
+    make = {
+        # Numbers rise in the order in which rows are written.
+        "arrays": lambda: collection.arrays.select(F.monotonically_increasing_id().alias("row"), "doc_id", "tokens"),
+        "tokens": lambda: at("arrays").select("row", "doc_id", F.posexplode("tokens").alias("pos", "term")),
+        "biwords": lambda: index.biword_pairs(at("arrays"), "row", "doc_id"),
+        "counts": lambda: index.term_counts(at("arrays")),
+        "terms": lambda: at("counts").select("term"),
+        "grams": lambda: index.kgram_pairs(at("terms")),
+        "codes": lambda: index.soundex_pairs(at("terms")),
+        "permuterm": lambda: permuterm.permuterm_pairs(at("terms")),
+        "blocks": lambda: spelling.term_blocks(at("terms")),
+    }
+    have = set(built)
+    for name in (n for n in with_sources(*tables) if n not in have):
+        if name == "arrays":
+            make[name]().write.mode("overwrite").parquet(f"{path}/{name}")
+            continue
+        store_index(make[name](), f"{path}/{name}", *TABLES[name], bloom=name in POINTS)
+        if name in POINTS:
+            store_ranges(spark, f"{path}/{name}", TABLES[name][0], f"{path}/ranges/{name}")
     return StoredCollection(spark, path, cfg, **collection.lexical)
 
 
@@ -58,8 +79,13 @@ class StoredCollection:
     def __init__(self, spark: SparkSession, path: str, cfg: AnalyzerConfig = AnalyzerConfig(), lexicon: DataFrame | None = None, exceptions: DataFrame | None = None) -> None:
         self.spark, self.path, self.cfg = spark, path, cfg
         self.lexical = {"lexicon": lexicon, "exceptions": exceptions}
-        for name in TABLES:
-            setattr(self, name, spark.read.parquet(f"{path}/{name}"))
+
+    def __getattr__(self, name: str) -> DataFrame:
+        """A table, opened when it is first asked for."""
+        if name not in TABLES:
+            raise AttributeError(name)
+        setattr(self, name, self.spark.read.parquet(f"{self.path}/{name}"))
+        return self.__dict__[name]
 
     def _phrase(self, text: str) -> list[str]:
         return analyze.query_tokens(self.tokens, text, self.cfg, **self.lexical)

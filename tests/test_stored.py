@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.functions.config import AnalyzerConfig
-from lexiloom.operators import permuterm, spelling, tolerant
-from lexiloom.plans import stored
+from lexiloom.operators import index, permuterm, spelling, tolerant
+from lexiloom.plans import catalogue, stored
 from lexiloom.plans.workbench import Collection
 
 PLAIN = AnalyzerConfig(norm="none")
@@ -169,3 +169,23 @@ def test_a_rare_term_leaves_out_rows_of_the_others_before_they_are_shuffled(spar
     monkeypatch.setattr(stored, "RARE_ROWS", 1 << 20)
     plan = leaves(kept.phrase("rare common words"))[1]
     assert "LeftSemi" in plan and plan.index("Exchange") < plan.index("LeftSemi")  # the join is below the exchange
+
+
+def test_a_query_builds_only_the_tables_it_reads(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalogue, "_STORES", {})
+    monkeypatch.setattr(catalogue, "scratch_path", lambda *_: str(tmp_path))
+    written = lambda: sorted(p.name for p in tmp_path.iterdir() if p.name != "ranges")
+    catalogue.QUERIES["stored_defaults"](spark, "/root/testdata/sf0.001").collect()
+    assert written() == ["arrays", "counts", "terms"]
+    before = (tmp_path / "arrays" / "_SUCCESS").stat().st_mtime_ns
+    catalogue.QUERIES["stored_phrase_rare"](spark, "/root/testdata/sf0.001").collect()
+    assert written() == ["arrays", "counts", "terms", "tokens"] and (tmp_path / "arrays" / "_SUCCESS").stat().st_mtime_ns == before
+    catalogue.QUERIES["stored_samples"](spark, "/root/testdata/sf0.001").collect()
+    assert written() == ["arrays", "biwords", "counts", "grams", "terms", "tokens"]
+
+
+def test_terms_are_counted_without_a_row_for_each_occurrence(spark):
+    arrays = spark.createDataFrame([(1, ["b", "a", "b"]), (2, ["b"]), (3, []), (3, None), (4, ["a", "a"])], "row long, tokens array<string>")
+    counts = index.term_counts(arrays)
+    assert counts._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert {tuple(r) for r in counts.collect()} == {("a", 3, 2), ("b", 3, 2)}

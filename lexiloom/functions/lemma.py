@@ -6,6 +6,7 @@ rules are complete, the data is whatever the caller supplies.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.functions.batches import on_terms, on_tokens
-from lexiloom.functions.porter import stem
+from lexiloom.functions.porter import stem, stem_tokens
 
 # Suffixes of plural nouns and what replaces them.
 DETACHMENTS = (("s", ""), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"), ("ches", "ch"), ("shes", "sh"), ("men", "man"), ("ies", "y"))
@@ -141,13 +142,33 @@ def lemma_forms(lexicon: DataFrame | None, exceptions: DataFrame | None) -> Form
     return None if len(nouns) + len(irregular) > LEXICON_WORDS else noun_forms(nouns, irregular)
 
 
+#: Forms up to which a plan holds them, so that lemmas are an expression; beyond, workers look them up.
+PLAN_FORMS = 2_000
+
+
+def _in_plan(forms: Forms) -> Callable[[Column], Column] | None:
+    """A word's lemma as an expression; None of too many forms. Most words are no form, which a hash tells; only of a form the pairs are gone through."""
+    if isinstance(forms, PackedLemmas) or len(forms) > PLAN_FORMS or any("\n" in x for pair in forms.items() for x in pair):
+        return None
+    if not forms:
+        return lambda word: word
+    listed = lambda words: F.split(F.lit("\n".join(words)), "\n")
+    pairs = F.map_from_arrays(listed(forms.keys()), listed(forms.values()))
+    return lambda word: F.when(word.isin(*forms), F.element_at(pairs, word)).otherwise(word)
+
+
 def lemma_terms(terms: Column, forms: Forms) -> Column:
     """Lemmas of a string column."""
+    if told := _in_plan(forms):
+        return told(terms)
     return on_terms(terms, forms.many, many=True) if isinstance(forms, PackedLemmas) else on_terms(terms, lambda w: forms.get(w, w))
 
 
 def lemma_tokens(tokens: Column, forms: Forms, stemmed: bool = False) -> Column:
     """Lemmas of an array column, or their stems, in place: no join, no shuffle."""
+    if told := _in_plan(forms):
+        lemmas = F.transform(tokens, told)
+        return F.get(F.transform(F.array(lemmas), stem_tokens), F.lit(0)) if stemmed else lemmas
     if isinstance(forms, PackedLemmas):
         return on_tokens(tokens, (lambda ws: [None if w is None else stem(w) for w in forms.many(ws)]) if stemmed else forms.many, many=True)
     return on_tokens(tokens, (lambda w: stem(forms.get(w, w))) if stemmed else (lambda w: forms.get(w, w)))

@@ -162,18 +162,37 @@ def index_sample(index: DataFrame, key: str, n: int) -> DataFrame:
     return index.orderBy(*order).limit(n).select(F.col(key).alias("key"), F.to_json(F.struct(*index.columns)).alias("entry"))
 
 
-def _first_keys(pairs: DataFrame, key: str, n: int) -> DataFrame:
-    """The rows of the first n keys, which are known before any key's members are gathered."""
-    keys = [r[0] for r in pairs.select(key).where(F.col(key).isNotNull()).distinct().orderBy(key).limit(n).collect()]
+#: Documents whose keys bound the first keys of all.
+SOME_DOCUMENTS = 1000
+
+
+def _first_keys(pairs: DataFrame, key: str, n: int, some: DataFrame | None = None) -> DataFrame:
+    """The rows of the first n keys, and perhaps of some keys behind them, before any key's members are gathered.
+
+    some: a few of the pairs; the nth of their keys is at or behind the nth of all, so that one pass leaves out what is behind it. Without so many, the keys are sought in a pass of their own.
+    """
+    first = lambda frame: [r[0] for r in frame.select(key).where(F.col(key).isNotNull()).distinct().orderBy(key).limit(n).collect()]
+    known = [] if some is None else first(some)
+    if len(known) == n:
+        return pairs.where(F.col(key) <= known[-1])
+    keys = first(pairs)
     return pairs.where(F.col(key).isin(*keys) if keys else F.lit(False))
 
 
-def samples(biword_pairs: DataFrame, tokens: DataFrame, grams: DataFrame) -> DataFrame:
-    """(kind, key, entry): the first entries by key of the biword (8), positional (5) and k-gram (10) index, as JSON, of (biword, doc_id), a token table and (gram, term)."""
+def samples(biwords_held: DataFrame, tokens: DataFrame, grams: DataFrame, arrays: DataFrame | None = None) -> DataFrame:
+    """(kind, key, entry): the first entries by key of the biword (8), positional (5) and k-gram (10) index, as JSON, of (biword, doc_id), a token table and (gram, term).
+
+    arrays: the same documents' token arrays, of which a few bound the keys.
+    """
+    some: list[DataFrame | None] = [None, None, None]
+    if arrays is not None:
+        few = arrays.select("doc_id", "tokens").limit(SOME_DOCUMENTS)
+        terms = few.select("doc_id", F.explode("tokens").alias("term"))
+        some = [biword_pairs(few), terms.where("doc_id is not null"), kgram_pairs(terms)]
     kinds = (
-        ("biword", in_chunks(_first_keys(biword_pairs, "biword", 8), "biword", "doc_id", F.col("doc_id"), ("df", "docs")), "biword", 8),
-        ("positional", positional_map(_first_keys(tokens.where("doc_id is not null"), "term", 5)), "term", 5),
-        ("kgram", in_chunks(_first_keys(grams, "gram", 10), "gram", "term", F.col("term"), ("n", "terms"), distinct=True), "gram", 10),
+        ("biword", in_chunks(_first_keys(biwords_held, "biword", 8, some[0]), "biword", "doc_id", F.col("doc_id"), ("df", "docs")), "biword", 8),
+        ("positional", positional_map(_first_keys(tokens.where("doc_id is not null"), "term", 5, some[1])), "term", 5),
+        ("kgram", in_chunks(_first_keys(grams, "gram", 10, some[2]), "gram", "term", F.col("term"), ("n", "terms"), distinct=True), "gram", 10),
     )
     parts = [index_sample(frame, key, n).select(F.lit(kind).alias("kind"), "key", "entry") for kind, frame, key, n in kinds]
     return functools.reduce(DataFrame.union, parts)

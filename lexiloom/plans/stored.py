@@ -122,7 +122,7 @@ class StoredCollection:
 
     def samples(self) -> DataFrame:
         """As of the collection, from the stored tables."""
-        return index.samples(self.biwords.select("biword", "doc_id"), self.tokens, self.grams)
+        return index.samples(self.biwords.select("biword", "doc_id"), self.tokens, self.grams, self.arrays)
 
     def defaults(self) -> dict[str, str]:
         """What a user is offered for each kind of query."""

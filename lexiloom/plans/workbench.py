@@ -113,7 +113,7 @@ class Collection:
 
     def samples(self) -> DataFrame:
         """The first entries of the biword (8), positional (5) and k-gram (10) index, as JSON."""
-        return index.samples(index.biword_pairs(self.arrays), self.tokens, index.kgram_pairs(self.terms))
+        return index.samples(index.biword_pairs(self.arrays), self.tokens, index.kgram_pairs(self.terms), self.arrays)
 
     def summary_json(self, queries: list[str] | None = None) -> DataFrame:
         return evaluate.summary_json(self.summary(queries))

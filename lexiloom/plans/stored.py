@@ -15,17 +15,19 @@ from pyspark.sql import functions as F
 from lexiloom.functions.config import AnalyzerConfig
 from lexiloom.operators import analyze, dictionary, index, permuterm, phrase, spelling, tolerant
 from lexiloom.plans.workbench import Collection
-from lexiloom.sources.collection import read_ranges, store_index, store_ranges
+from lexiloom.sources.collection import read_ranges, store_index, store_ranges, stored_bytes
 
 #: Tables and their keys.
 TABLES = {
     "arrays": ("row",), "tokens": ("term", "row", "pos"), "biwords": ("biword", "row"), "terms": ("term",), "grams": ("gram", "term"),
     "codes": ("code", "term"), "permuterm": ("rotation", "term"), "blocks": ("first",), "counts": ("term",),
 }
-#: Tables that are asked for single keys: their row groups have Bloom filters, and the ranges of their files are stored.
-POINTS = ("tokens", "biwords", "codes", "counts")
+#: Tables that are asked for single keys: their row groups have Bloom filters, for about so many keys, and the ranges of their files are stored.
+POINTS = {"tokens": 1 << 17, "biwords": 1 << 20, "codes": 1 << 13, "counts": 1 << 20}
 #: Rows of a phrase's rarest term up to which they are sent to all executors, to leave out rows of other terms before those are shuffled.
 RARE_ROWS = 1 << 20
+#: Bytes of a stored table whose rows' terms, pairs or places, with their keys, are one range at most: some 1.5 million rows, which a task sorts in some 250 MB.
+RANGE_BYTES = {"arrays": 8 << 20, "counts": 32 << 20, "terms": 1 << 20}
 
 
 #: What each table is made from.
@@ -67,7 +69,9 @@ def build(collection: Collection, path: str, tables: Iterable[str] = tuple(TABLE
         if name == "arrays":
             make[name]().write.mode("overwrite").parquet(f"{path}/{name}")
             continue
-        store_index(make[name](), f"{path}/{name}", *TABLES[name], bloom=name in POINTS)
+        source = MADE_FROM[name]
+        parts = -(-stored_bytes(spark, f"{path}/{source}") // RANGE_BYTES[source])
+        store_index(make[name](), f"{path}/{name}", *TABLES[name], bloom=POINTS.get(name, 0), parts=parts)
         if name in POINTS:
             store_ranges(spark, f"{path}/{name}", TABLES[name][0], f"{path}/ranges/{name}")
     return StoredCollection(spark, path, cfg, **collection.lexical)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -64,21 +64,37 @@ def select_document(docs: DataFrame, doc_id) -> DataFrame:
     return docs.where(F.col("doc_id") == F.lit(doc_id)).select("doc_id", "text")
 
 
-def store_index(index: DataFrame, path: str, *keys: str, bloom: bool = False) -> None:
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of a stored table, by its list of files."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+
+
+def store_index(index: DataFrame, path: str, *keys: str, bloom: int = 0, parts: int = 0) -> None:
     """Writes an index sorted by its keys within files of key ranges, so that scans skip files and row groups.
 
-    Further keys than the first let the ranges cut through a frequent one. bloom: row groups also have Bloom filters of the first key, so that a scan
-    for one value skips those that lack it even where it lies within their range.
+    Further keys than the first let the ranges cut through a frequent one. bloom: row groups also have Bloom filters of the first key, for about so many
+    values, so that a scan for one value skips those that lack it even where it lies within their range. parts: the least number of ranges that a task can sort each of.
     """
-    writer = index.repartitionByRange(*[F.col(k) for k in keys]).sortWithinPartitions(*keys).write.mode("overwrite")
-    writer = writer.option(f"parquet.bloom.filter.enabled#{keys[0]}", "true").option(f"parquet.bloom.filter.adaptive.enabled#{keys[0]}", "true") if bloom else writer
+    known = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = [F.col(k) for k in keys]
+    ranged = index.repartitionByRange(parts, *columns) if parts > known else index.repartitionByRange(*columns)
+    writer = ranged.sortWithinPartitions(*keys).write.mode("overwrite")
+    # Of a given size: an adaptive filter puts every row into candidates of all sizes.
+    writer = writer.option(f"parquet.bloom.filter.enabled#{keys[0]}", "true").option(f"parquet.bloom.filter.expected.ndv#{keys[0]}", str(bloom)) if bloom else writer
     writer.parquet(path)
 
 
 def store_ranges(spark: SparkSession, path: str, key: str, manifest: str) -> None:
-    """Writes what range of a key each file of an index holds: (file, first, last), a row for each file."""
-    files = spark.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("file"))
-    files.agg(F.min(key).alias("first"), F.max(key).alias("last")).coalesce(1).write.mode("overwrite").parquet(manifest)
+    """Writes what range of a key each file of an index may hold: (file, first, last), a row for each file.
+
+    A file is sorted, and the next one goes on where it ends: so each one's first row is enough, and `last` is where the next begins; of the last, the greatest
+    key of all. The least and greatest key by file would take a sort of the whole index.
+    """
+    index = spark.read.parquet(path)
+    rows = index.where(F.col("_metadata.row_index") == 0).select(F.col("_metadata.file_path").alias("file"), F.col(key).alias("first"))
+    # Files that begin with one frequent key come in the order of their names, as they were written.
+    last = F.coalesce(F.lead("first").over(Window.orderBy("first", "file")), index.agg(F.max(key)).scalar())
+    rows.withColumn("last", last).coalesce(1).write.mode("overwrite").parquet(manifest)
 
 
 def read_ranges(spark: SparkSession, path: str, key: str, manifest: str, values: list[str]) -> DataFrame:

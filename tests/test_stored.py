@@ -10,6 +10,7 @@ from lexiloom.functions.config import AnalyzerConfig
 from lexiloom.operators import index, permuterm, spelling, tolerant
 from lexiloom.plans import catalogue, stored
 from lexiloom.plans.workbench import Collection
+from lexiloom.sources import collection as sources
 
 PLAIN = AnalyzerConfig(norm="none")
 ROWS = [
@@ -189,3 +190,34 @@ def test_terms_are_counted_without_a_row_for_each_occurrence(spark):
     counts = index.term_counts(arrays)
     assert counts._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
     assert {tuple(r) for r in counts.collect()} == {("a", 3, 2), ("b", 3, 2)}
+
+
+def test_ranges_of_a_store_grow_in_number_and_their_manifest_sorts_nothing(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(["common"] * 40 + [f"w{i:03d}", "then", f"z{i % 7}"])) for i in range(60)], "doc_id long, text string")
+    plain = Collection(docs, catalogue.PLAIN)
+    monkeypatch.setattr(stored, "RANGE_BYTES", {"arrays": 200, "counts": 200, "terms": 200})
+    kept = stored.build(plain, str(tmp_path), ("tokens", "biwords", "counts"))
+    ranges = sorted(spark.read.parquet(f"{tmp_path}/ranges/tokens").collect(), key=lambda r: r.file)
+    assert len(ranges) > 4 and sum(r.first == "common" for r in ranges) > 2  # more than shuffle partitions; one term over several files
+    for r in ranges:
+        held = [x.term for x in spark.read.parquet(r.file).select("term").distinct().collect()]
+        assert all(r.first <= t <= r.last for t in held)
+    for text in ("common w007", "w059 then z3", "then z6", "z6", "common"):
+        assert rows(kept.phrase(text)) == rows(plain.phrase(text)), text
+    assert [r.n_rows for r in kept.at("counts", "common").collect()] == [60]
+
+
+def test_a_manifest_is_made_without_a_sort_of_the_index(spark, tmp_path, monkeypatch):
+    spark.range(100).selectExpr("cast(id as string) as term").sort("term").write.parquet(str(tmp_path / "t"))
+    plans = []
+    frame = type(spark.range(1))
+    real = frame.coalesce
+    monkeypatch.setattr(frame, "coalesce", lambda self, n: plans.append(self._jdf.queryExecution().executedPlan().toString()) or real(self, n))
+    sources.store_ranges(spark, str(tmp_path / "t"), "term", str(tmp_path / "m"))
+    assert plans[0].count("Sort [") == 1 and "EqualTo(_tmp_metadata_row_index,0)" in plans[0]  # of the files' first rows alone
+    assert [(r.first, r.last) for r in spark.read.parquet(str(tmp_path / "m")).orderBy("first").collect()][-1][1] == "99"
+
+
+def test_terms_are_counted_without_a_sort_of_each_row(spark):
+    arrays = spark.createDataFrame([(1, ["b", "a", "b", None])], "row long, tokens array<string>")
+    assert "lambda" not in index.term_counts(arrays)._jdf.queryExecution().executedPlan().toString()

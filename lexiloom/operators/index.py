@@ -119,10 +119,10 @@ def vocabulary(tokens: DataFrame) -> DataFrame:
 
 def term_counts(arrays: DataFrame) -> DataFrame:
     """(term, n, n_rows): how often each term stands in a table of token arrays, and in how many rows. Tasks send a term once, and hold no more than their terms."""
-    ordered = arrays.select(F.array_sort("tokens").alias("tokens"))
-    # In order, a term stands first where it differs from the one before.
-    first = F.transform("tokens", lambda t, i: F.struct(t.alias("term"), ((i == 0) | (t != F.get("tokens", i - 1))).cast("long").alias("first")))
-    return ordered.select(F.inline(first)).groupBy("term").agg(F.count("*").alias("n"), F.sum("first").alias("n_rows"))
+    # A row's tokens, then its distinct tokens; unlike a sort of each row, no function is called for each comparison.
+    both = F.array(F.struct(F.col("tokens"), F.lit(1).alias("n"), F.lit(0).alias("n_rows")), F.struct(F.array_distinct("tokens").alias("tokens"), F.lit(0).alias("n"), F.lit(1).alias("n_rows")))
+    told = arrays.select(F.inline(both)).select(F.explode("tokens").alias("term"), "n", "n_rows")
+    return told.groupBy("term").agg(F.sum("n").alias("n"), F.sum("n_rows").alias("n_rows"))
 
 
 def kgram_pairs(terms: DataFrame, k: int = 2) -> DataFrame:

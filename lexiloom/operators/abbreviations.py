@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import hyphen_spaced
+from lexiloom.sources.collection import scratch_path
 
 #: A run between these is a token; Java and RE2 read the class alike.
 RUN = r"[^\s,;:?!\"'()\[\]{}<>«»“”„‘’`@*]+"
@@ -46,8 +47,10 @@ def score(word: Column, n_with: Column, n_without: Column, n_periods: Column, n_
 
 def abbreviations(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(word, n_with, n_without, score) of the collection's abbreviations, without their last period."""
-    counts = period_counts(docs)
-    # Totals are a subquery of one row, over the same exchange.
+    spark, path = docs.sparkSession, scratch_path(docs.sparkSession, "periods")
+    # Stored, as they are read twice: in one plan, texts would be read and cut for the words and again for the totals, a subquery of one row.
+    period_counts(docs).write.mode("overwrite").parquet(path)
+    counts = spark.read.parquet(path)
     total = counts.agg(F.struct(F.sum("n_with").alias("periods"), F.sum(F.col("n_with") + F.col("n_without")).alias("tokens")).alias("t")).scalar()
     words = counts.where((F.col("n_with") > 0) & F.col("word").rlike(r"\p{L}")).withColumn("t", total)
     scored = words.withColumn("score", score(F.col("word"), F.col("n_with"), F.col("n_without"), F.col("t.periods"), F.col("t.tokens")))

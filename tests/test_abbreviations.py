@@ -91,3 +91,8 @@ def test_no_documents(spark):
     assert model.abbreviations(empty).count() == 0 and model.abbreviation_words(empty) == ()
     alone = spark.createDataFrame([(1, "a. b. c.")], "doc_id long, text string")  # every token has a period
     assert model.abbreviations(alone).count() == 0
+
+
+def test_texts_are_cut_once_for_words_and_totals(spark):
+    docs = spark.createDataFrame([(1, "Dr. Who met dr. No. Etc."), (2, None)], "doc_id long, text string")
+    assert "regexp_extract_all" not in model.abbreviations(docs)._jdf.queryExecution().optimizedPlan().toString()

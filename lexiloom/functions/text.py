@@ -1,4 +1,4 @@
-"""Text expressions: tokens, biwords, k-grams, Soundex. All are built-in columns that Catalyst sees through.
+"""Text expressions: tokens, positions, biwords, k-grams, Soundex. All are built-in columns that Catalyst sees through.
 
 STEPS define the tokeniser: a chain of regular expressions that Java and RE2 read alike, which is what the
 DuckDB oracle runs. It follows the published word rules of treebank tokenisation as far as they matter
@@ -131,6 +131,24 @@ def biwords(tokens: Column) -> Column:
     return F.when(n > 0, pairs).otherwise(F.array().cast("array<string>"))
 
 
+def term_positions(tokens: Column) -> Column:
+    """Structs (term, positions), one for each distinct token, positions ascending from 0; by one sort of the tokens, otherwise in time proportional to their number."""
+
+    def groups(placed: Column) -> Column:
+        at = lambda i: F.get(placed, i)
+        marks = F.transform(placed, lambda x, i: F.when((i == 0) | ~x["term"].eqNullSafe(at(i - 1)["term"]), i))
+
+        def cut(starts: Column) -> Column:
+            end = lambda k: F.coalesce(F.get(starts, k + 1), F.size(placed))
+            # Not by slice, which may copy the whole array for each term.
+            places = lambda a, b: F.transform(F.sequence(a, b - 1), lambda j: at(j)["pos"])
+            return F.transform(starts, lambda a, k: F.struct(at(a)["term"].alias("term"), places(a, end(k)).alias("positions")))
+
+        return _once(F.filter(marks, lambda i: i.isNotNull()), cut)
+
+    return _once(F.sort_array(F.transform(tokens, lambda t, i: F.struct(t.alias("term"), i.alias("pos")))), groups)
+
+
 def kgrams(term: Column, k: int = 2) -> Column:
     """All windows of k characters of the term between dollar signs."""
     padded = F.concat(F.lit("$"), term, F.lit("$"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from lexiloom.functions.text import ALPHA, biwords, kgrams, soundex_code
+from lexiloom.functions.text import ALPHA, biwords, kgrams, soundex_code, term_positions
 
 
 #: Members of a key in one row.
@@ -101,9 +101,29 @@ def biword_list(arrays: DataFrame) -> DataFrame:
     return listed(biword_pairs(arrays), "biword", "doc_id", ("df", "docs"))
 
 
-def positional_index(tokens: DataFrame) -> DataFrame:
-    """(term, doc_id, positions), positions ascending."""
-    return tokens.groupBy("term", "doc_id").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+#: Ids of several rows that are sent to all tasks; of more, rows are shuffled to find theirs.
+SENT_IDS = 200_000
+
+
+def positional_index(frame: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """(term, doc_id, positions), positions ascending, of a token table or of token arrays.
+
+    Of arrays, a row's positions are put together in the row. Only rows that share their id, or have none as others do, are shuffled, by term and document;
+    which they are is looked up at once. ids: (doc_id) of the same rows, if that takes no tokens.
+    """
+    if "tokens" not in frame.columns:
+        return frame.groupBy("term", "doc_id").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    listed_in = lambda rows: rows.select("doc_id", F.inline(term_positions(F.col("tokens")))).select("term", "doc_id", "positions")
+    shared = (frame if ids is None else ids).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("shared"))
+    known = shared.limit(SENT_IDS + 1).count()
+    if not known:
+        return listed_in(frame)
+    shared = F.broadcast(shared) if known <= SENT_IDS else shared
+    of_shared = F.col("doc_id").eqNullSafe(F.col("shared"))
+    # Dealt by both: else what a join by id has dealt would do, and an id of very many rows would be one task's.
+    several = listed_in(frame.join(shared, of_shared, "left_semi")).repartition("term", "doc_id")
+    several = several.groupBy("term", "doc_id").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
+    return listed_in(frame.join(shared, of_shared, "left_anti")).union(several)
 
 
 def positional_map(tokens: DataFrame) -> DataFrame:

@@ -58,12 +58,14 @@ class Collection:
         return analyze.pipeline_stages(self.docs, doc_id, self.cfg, **self.lexical)
 
     def index(self, kind: str, **options) -> DataFrame:
-        """inverted, biword, positional, kgram or soundex. For the first two the documents are counted, so that small collections need no chunks."""
-        build = {"inverted": (index.inverted_index, "arrays"), "biword": (index.biword_index, "arrays"), "positional": (index.positional_index, "tokens"),
+        """inverted, biword, positional, kgram or soundex. For the first two the documents are counted, so that small collections need no chunks; for the third, rows of each id."""
+        build = {"inverted": (index.inverted_index, "arrays"), "biword": (index.biword_index, "arrays"), "positional": (index.positional_index, "arrays"),
                  "kgram": (index.kgram_index, "terms"), "soundex": (index.soundex_index, "terms")}
         function, frame = build[kind]
         if kind in ("inverted", "biword"):
             options.setdefault("most", self.docs.count())
+        if kind == "positional":
+            options.setdefault("ids", self.docs.select("doc_id"))
         return function(getattr(self, frame), **options)
 
     def vocabulary(self) -> DataFrame:
